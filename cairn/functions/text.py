@@ -6,6 +6,8 @@ nothing runs Python per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,10 +93,9 @@ def has_parent_directory(path, name: str) -> Column:
 
 
 def in_blacklisted_directory(path) -> Column:
-    cond = F.lit(False)
-    for d in DIRECTORY_BLACKLIST:
-        cond = cond | has_parent_directory(path, d)
-    return cond
+    """Any blacklisted name as a whole component: one regex over one normalised path."""
+    names = "|".join(re.escape(d) for d in DIRECTORY_BLACKLIST)
+    return normalized_path(path).rlike(f"/({names})/")
 
 
 def matches_blacklisted_pattern(path) -> Column:
@@ -106,22 +107,18 @@ def matches_blacklisted_pattern(path) -> Column:
 
 # ----------------------------- payloads ------------------------------------
 
-def _count(col: Column, pattern: str) -> Column:
-    return F.length(col) - F.length(F.regexp_replace(col, pattern, ""))
-
-
 def json_escaped_length(col) -> Column:
     """Length of the string as an ASCII-escaped JSON string literal, quotes excluded.
 
-    '"' and '\\' and the five short control escapes take 2 characters; any
-    other character outside printable ASCII takes 6 (\\uXXXX), astral ones 12.
+    Each character is replaced by as many '#' as its escaped form takes: astral
+    characters 12 (a surrogate pair), '"', '\\' and the five short control
+    escapes 2, anything else outside printable ASCII 6 ('\\uXXXX').  '#' is
+    printable, so later steps leave earlier replacements alone.
     """
-    c = _c(col)
-    quote_bs = _count(c, r'["\\]')
-    short = _count(c, r"[\n\r\t\f\x08]")
-    other = _count(c, r"[^\x20-\x7e]")
-    astral = _count(c, r"[\x{10000}-\x{10FFFF}]")
-    return (F.length(c) + quote_bs + short + (other - short - astral) * 5 + astral * 11).cast("bigint")
+    c = F.regexp_replace(_c(col), r"[\x{10000}-\x{10FFFF}]", "#" * 12)
+    c = F.regexp_replace(c, r'["\\\n\r\t\f\x08]', "##")
+    c = F.regexp_replace(c, r"[^\x20-\x7e]", "#" * 6)
+    return F.length(c).cast("bigint")
 
 
 def payload_length(path, content) -> Column:

@@ -8,6 +8,8 @@ from cairn.plans.oracle import with_views
 
 MODULES = (
     "cairn.plans.corpus",
+    "cairn.plans.conversation",
+    "cairn.plans.inputs",
 )
 
 

@@ -36,7 +36,7 @@ SELECT concat(CAST(user_id AS VARCHAR), '-', CAST(CAST(ts AS DATE) AS VARCHAR))
 FROM events""",
     "transcript_entries": r"""
 SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS pos, text,
-  conv_id * 1000.25 + turn * 61.5 AS start, 61.5 AS duration
+  CAST(conv_id * 1000.25 + turn * 61.5 AS DOUBLE) AS start, CAST(61.5 AS DOUBLE) AS duration
 FROM conversations""",
     "assistants": r"""
 SELECT 'asst_' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS instructions,

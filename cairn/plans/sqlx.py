@@ -64,16 +64,11 @@ def disposition(p: str, content: str) -> str:
             f"WHEN {conv} THEN 'converted' ELSE 'kept' END")
 
 
-def _count(t: str, pattern: str) -> str:
-    return f"(length({t}) - length(regexp_replace({t}, {q(pattern)}, '', 'g')))"
-
-
 def json_len(t: str) -> str:
-    qb = _count(t, r'["\\]')
-    short = _count(t, r"[\n\r\t\f\x08]")
-    other = _count(t, r"[^\x20-\x7e]")
-    astral = _count(t, r"[\x{10000}-\x{10FFFF}]")
-    return f"CAST(length({t}) + {qb} + {short} + ({other} - {short} - {astral}) * 5 + {astral} * 11 AS BIGINT)"
+    c = f"regexp_replace({t}, {q(r'[\x{10000}-\x{10FFFF}]')}, {q('#' * 12)}, 'g')"
+    c = f"regexp_replace({c}, {q(r'["\\\n\r\t\f\x08]')}, '##', 'g')"
+    c = f"regexp_replace({c}, {q(r'[^\x20-\x7e]')}, {q('#' * 6)}, 'g')"
+    return f"CAST(length({c}) AS BIGINT)"
 
 
 def payload_len(p: str, c: str) -> str:
