@@ -10,6 +10,7 @@ MODULES = (
     "cairn.plans.corpus",
     "cairn.plans.conversation",
     "cairn.plans.inputs",
+    "cairn.plans.registry",
 )
 
 
