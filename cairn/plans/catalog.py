@@ -11,6 +11,7 @@ MODULES = (
     "cairn.plans.conversation",
     "cairn.plans.inputs",
     "cairn.plans.registry",
+    "cairn.plans.retrieval",
 )
 
 
