@@ -5,6 +5,16 @@ from __future__ import annotations
 import importlib
 
 from cairn.plans.oracle import with_views
+from cairn.session import ship_package
+
+
+def _shipped(fn):
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
 
 MODULES = (
     "cairn.plans.corpus",
@@ -12,6 +22,7 @@ MODULES = (
     "cairn.plans.inputs",
     "cairn.plans.registry",
     "cairn.plans.retrieval",
+    "cairn.plans.io",
 )
 
 
@@ -22,7 +33,7 @@ def _load():
         for name, fn in mod.QUERIES.items():
             if name in queries:
                 raise ValueError(f"duplicate query {name}")
-            queries[name] = fn
+            queries[name] = _shipped(fn)
         for name, sql in mod.ORACLE.items():
             oracle[name] = with_views(sql)
     return queries, oracle

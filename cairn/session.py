@@ -62,3 +62,31 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new, unique sub-path of the shared folder (never reused)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{kind}/{uuid.uuid4().hex}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cairn`` importable by the Python workers of this SparkContext.
+
+    UDFs defined in the package are pickled by reference, so executors must
+    be able to import it; the package is zipped once and added with
+    ``addPyFile`` (Spark distributes it to every executor).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="cairn-pkg-"), "cairn.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(dirpath, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
