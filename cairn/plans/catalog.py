@@ -23,6 +23,7 @@ MODULES = (
     "cairn.plans.registry",
     "cairn.plans.retrieval",
     "cairn.plans.io",
+    "cairn.plans.streams",
 )
 
 

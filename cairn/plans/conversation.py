@@ -131,3 +131,36 @@ def q_response_text(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     msgs = M.message_blocks(c.filter(F.col("role") == "assistant"))
     return M.response_text(msgs, "conv_id", "turn").select("conv_id", "response_text", "n_messages")
+
+
+# ----------------------------------------------------------------- videos
+
+
+def _stored_transcripts(spark, sf_dir):
+    """Transcripts saved by an earlier run: the videos with conv_id % 3 = 0."""
+    e = FX.transcript_entries(spark, sf_dir).select("video_id").distinct()
+    stored = e.filter(F.col("video_id").cast("bigint") % 3 == 0)
+    h = F.sha2(F.concat(F.lit("stored:"), F.col("video_id")), 256)
+    return stored.select("video_id", F.concat(F.lit("vs_"), F.substring(h, 1, 24)).alias("vector_store_id"),
+                         F.concat(F.lit("file-"), F.substring(h, 1, 24)).alias("file_id"))
+
+
+@register("restore_or_create_videos", """
+WITH req AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, conv_id * 1000 + turn AS pos FROM conversations
+             WHERE role = 'user'),
+stored AS (SELECT DISTINCT video_id, 'vs_' || substr(sha256('stored:' || video_id), 1, 24) AS vector_store_id,
+             'file-' || substr(sha256('stored:' || video_id), 1, 24) AS file_id
+           FROM transcript_entries WHERE CAST(video_id AS BIGINT) % 3 = 0),
+first AS (SELECT video_id, min(pos) AS first_pos FROM req GROUP BY video_id)
+SELECT r.video_id, r.pos,
+  coalesce(s.vector_store_id, 'vs_' || substr(sha256('transcript_' || r.video_id), 1, 24)) AS vector_store_id,
+  coalesce(s.file_id, 'file-' || substr(sha256('transcript_' || r.video_id), 1, 24)) AS file_id,
+  (s.video_id IS NOT NULL OR r.pos > f.first_pos) AS restored
+FROM req r JOIN first f USING (video_id) LEFT JOIN stored s USING (video_id)""")
+def q_restore_or_create_videos(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
+    req = c.filter(F.col("role") == "user").select(F.col("conv_id").cast("string").alias("video_id"),
+                                                   (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    from cairn.operators.cache import restore_or_create_videos
+    return restore_or_create_videos(req, _stored_transcripts(spark, sf_dir)).select(
+        "video_id", "pos", "vector_store_id", "file_id", "restored")
