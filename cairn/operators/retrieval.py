@@ -12,16 +12,20 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
+from cairn.session import shared_dir
 
 K1, B = 1.2, 0.75
 MAX_BROADCAST_QUERIES = 100_000  # queries broadcast to every task only up to this count
+MAX_BROADCAST_PAIRS = 1_000_000  # (question, term) rows broadcast only up to this count (~40 MB)
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -61,26 +65,107 @@ def _maybe_broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def file_search(questions: DataFrame, chunks: DataFrame, k: int = 3, qid: str = "item_id",
-                text_col: str = "text", keys=("doc_id", "chunk_no")) -> DataFrame:
-    """Top-``k`` chunks per question by BM25: (qid, rank, keys..., score)."""
+class Bm25Index(NamedTuple):
+    """Postings with chunk lengths (keys..., term, tf, dl) plus corpus statistics."""
+    postings: DataFrame
+    keys: list
+    n_docs: int
+    avgdl: float
+
+
+def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool = True) -> Bm25Index:
+    """Build the search index once.
+
+    The postings are cut from lineage with ``checkpoint()`` (written to the
+    shared checkpoint folder) so every search reuses them instead of
+    re-tokenising the corpus; N and the mean chunk length are read from them.
+    """
     keys = list(keys)
+    postings, _ = build_index(chunks, keys)
+    weighted = postings.join(chunks.select(*keys, F.col("n_tokens").alias("dl")), keys)
+    if materialize:
+        shared_dir(chunks.sparkSession)
+        weighted = weighted.checkpoint(eager=True)
+    stats = weighted.select(*keys, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
+    return Bm25Index(weighted, keys, int(stats["n"] or 0), float(stats["a"] or 0.0))
+
+
+def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str = "item_id",
+                text_col: str = "text", seed_terms: int = 8) -> DataFrame:
+    """Top-``k`` chunks per question by BM25: (qid, rank, keys..., score).
+
+    Exact, with MaxScore pruning instead of scoring every chunk that shares a
+    (possibly very common) term with the question:
+
+    1. every term's contribution is at most ``ub``, its largest contribution
+       to any chunk (one aggregation over its postings);
+    2. per question, the chunks holding one of its ``seed_terms`` rarest terms
+       are scored exactly and the k-th best of those scores is a lower bound
+       ``theta`` of its final k-th score (0 when there are fewer than k);
+    3. terms sorted by ``ub`` whose running sum stays below ``theta - 1e-6``
+       cannot lift a chunk into the top-k on their own, so only chunks holding
+       at least one of the other ('essential') terms are candidates;
+    4. a candidate's score over the essential terms is a lower bound of its
+       score, and that plus the other terms' bounds an upper bound; the k-th
+       best lower bound raises ``theta``, and candidates whose upper bound
+       stays below it are dropped;
+    5. the survivors are scored exactly over all question terms.
+
+    The 1e-6 margin keeps the cut exact after rounding scores to 6 decimals.
+    Physical shape: the postings stay partitioned by chunk; the per-question
+    term tables are broadcast when their row count is proven small (else
+    shuffled), so (question, chunk, term) rows are produced map-side and
+    pre-aggregated to one row per (question, chunk) before any shuffle.
+    """
+    keys, n_docs, avgdl = index.keys, index.n_docs, index.avgdl
     q_terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
     vocab = _maybe_broadcast(q_terms.select("term").distinct(), MAX_BROADCAST_QUERIES)
-    postings, _ = build_index(chunks, keys)
-    post_q = postings.join(vocab, "term", "left_semi")
-    df = post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = chunks.agg(F.count(F.lit(1))).scalar()
-    avgdl = chunks.agg(F.avg("n_tokens")).scalar()
-    lengths = chunks.select(*keys, F.col("n_tokens").alias("dl"))
+    post_q = index.postings.join(vocab, "term", "left_semi").select(*keys, "term", "tf", "dl")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
-    norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)
-    contrib = (post_q.join(df, "term").join(lengths, keys)
-                     .join(q_terms, "term")
-                     .select(qid, *keys, (idf * tf * (K1 + 1) / norm).alias("_s")))
-    scores = contrib.groupBy(qid, *keys).agg(F.round(F.sum("_s"), 6).alias("score"))
-    return top_k(scores, [qid], [F.col("score").desc(), *keys], k)
+    saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    contrib = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    # per term: df, idf and ub = the largest contribution any chunk gets from it
+    term_stats = (post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(saturation).alias("_sat"))
+                        .select("term", idf.alias("idf"), (idf * F.col("_sat")).alias("ub")))
+    qt = q_terms.join(term_stats, "term")  # terms without postings contribute nothing
+    qt_small = _maybe_broadcast(qt.select(qid, "term", "idf"), MAX_BROADCAST_PAIRS)
+
+    def score(rows: DataFrame, name: str, rounded: bool) -> DataFrame:
+        total = F.sum(contrib)
+        return rows.groupBy(qid, *keys).agg((F.round(total, 6) if rounded else total).alias(name))
+
+    def exact(cands: DataFrame) -> DataFrame:
+        """Candidates meet their chunk's postings; keep the question's terms."""
+        return score(cands.join(post_q, keys).join(qt_small, [qid, "term"]), "score", True)
+
+    def kth(scored: DataFrame, col: str, name: str) -> DataFrame:
+        """Per question: the k-th best ``col`` (0 when fewer than k rows)."""
+        best = top_k(scored, [qid], [F.col(col).desc(), *keys], k, "_r")
+        return (best.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("_kth"))
+                    .select(qid, F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(0.0)).alias(name)))
+
+    # 2. seed threshold from the rarest terms' chunks
+    rare = top_k(qt, [qid], [F.col("ub").desc(), F.col("term")], seed_terms).select(qid, "term")
+    seed_cands = post_q.join(_maybe_broadcast(rare, MAX_BROADCAST_PAIRS), "term").select(qid, *keys).distinct()
+    theta0 = kth(exact(seed_cands), "score", "theta0")
+    # 3. essential terms; the non-essential ones' bounds sum to below theta0
+    running = F.sum("ub").over(Window.partitionBy(qid).orderBy(F.col("ub"), F.col("term"))
+                               .rowsBetween(Window.unboundedPreceding, 0))
+    split = (qt.join(theta0, qid, "left").withColumn("_cum", running)
+               .withColumn("_ess", F.col("_cum") >= F.coalesce(F.col("theta0"), F.lit(0.0)) - 1e-6))
+    essential = _maybe_broadcast(split.filter("_ess").select(qid, "term", "idf"), MAX_BROADCAST_PAIRS)
+    rest_ub = (split.groupBy(qid).agg(F.sum(F.when(~F.col("_ess"), F.col("ub")).otherwise(0.0)).alias("_rest"),
+                                      F.first("theta0").alias("theta0")))
+    # 4. partial scores over essential terms: lower bounds; + rest_ub: upper bounds
+    partial = score(post_q.join(essential, "term"), "_partial", False)
+    theta1 = kth(partial, "_partial", "theta1")
+    survivors = (partial.join(rest_ub, qid).join(theta1, qid, "left")
+                        .filter(F.col("_partial") + F.col("_rest")
+                                >= F.greatest(F.coalesce("theta0", F.lit(0.0)), F.coalesce("theta1", F.lit(0.0)))
+                                - 1e-6)
+                        .select(qid, *keys))
+    return top_k(exact(survivors), [qid], [F.col("score").desc(), *keys], k)
 
 
 def centroids(vectors: DataFrame, group: str = "label", vec: str = "embedding") -> DataFrame:

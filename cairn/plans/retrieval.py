@@ -82,7 +82,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, doc_i
 SELECT item_id, rank, doc_id, chunk_no, score FROM r WHERE rank <= {TOP_K}""")
 def q_file_search(spark, sf_dir):
     questions = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    hits = RV.file_search(questions, _chunks(spark, sf_dir), k=TOP_K, qid="item_id")
+    hits = RV.file_search(questions, RV.bm25_index(_chunks(spark, sf_dir)), k=TOP_K, qid="item_id")
     return hits.select("item_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no", "score")
 
 
@@ -98,7 +98,7 @@ def q_answer_questions(spark, sf_dir):
     questions = conv.filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
     chunks = _chunks(spark, sf_dir)
-    hits = RV.file_search(questions, chunks, k=ANSWER_K, qid="question_id")
+    hits = RV.file_search(questions, RV.bm25_index(chunks), k=ANSWER_K, qid="question_id")
     return (hits.join(chunks.select("doc_id", "chunk_no", F.col("text").alias("passage")), ["doc_id", "chunk_no"])
                 .select((F.col("question_id") / 1000).cast("bigint").alias("conv_id"),
                         (F.col("question_id") % 1000).alias("turn"), F.col("rank").cast("bigint").alias("rank"),
@@ -119,7 +119,7 @@ def q_append_turns(spark, sf_dir):
                        .withColumnRenamed("conv_id", "question_id"))
     next_turn = conv.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
     chunks = _chunks(spark, sf_dir)
-    best = RV.file_search(last_prompt, chunks, k=1, qid="question_id")
+    best = RV.file_search(last_prompt, RV.bm25_index(chunks), k=1, qid="question_id")
     return (best.join(chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
                 .withColumnRenamed("question_id", "conv_id")
                 .join(next_turn, "conv_id")

@@ -78,12 +78,16 @@ def response_text_stream(messages: DataFrame) -> DataFrame:
 
 def answer_batch(chunks_path: str, answers_root: str, k: int = 1):
     """foreachBatch function: answer the batch's prompts from the written chunk index."""
+    state: dict = {}
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         chunks = spark.read.parquet(chunks_path)
+        if "index" not in state:  # built once per stream run, reused by every micro-batch
+            state["index"] = RV.bm25_index(chunks)
         prompts = batch.filter(F.col("role") == "user").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
-        hits = RV.file_search(prompts, chunks, k=k, qid="question_id")
+        hits = RV.file_search(prompts, state["index"], k=k, qid="question_id")
         out = (hits.join(chunks.select("doc_id", "chunk_no", F.col("text").alias("passage")),
                          ["doc_id", "chunk_no"])
                    .select((F.col("question_id") / 1000).cast("bigint").alias("conv_id"),
