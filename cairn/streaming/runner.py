@@ -20,8 +20,9 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, *columns: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A streaming DataFrame over ``<sf_dir>/<name>.parquet`` (and any later files of that name)."""
     path = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    glob = f"{name}*.parquet"
+    schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.parquet(path)
