@@ -11,6 +11,8 @@ from cairn.session import ship_package
 def _shipped(fn):
     def run(spark, sf_dir):
         ship_package(spark)
+        # timestamps of the landed tables are UTC wall clock (as in the oracle)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf_dir)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__

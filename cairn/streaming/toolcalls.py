@@ -12,6 +12,7 @@ it for one run only; a late event after expiry reopens the call.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,22 +38,22 @@ def _step(key, batches, state):
         state.remove()
         return
     completed, last_ord, snapshot = state.get if state.exists else (False, None, None)
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("ord", kind="stable")
-    out = []
-    max_ts = None
-    for ord_, phase, ts, snap in zip(pdf["ord"], pdf["phase"], pdf["ts"], pdf["snapshot"]):
-        max_ts = ts if max_ts is None or ts > max_ts else max_ts
-        if completed:
-            continue
-        out.append((call_id, int(ord_), phase, snap))
-        last_ord, snapshot = int(ord_), snap
-        if phase == "done":
-            completed = True
+    frames = list(batches)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    order = np.argsort(pdf["ord"].to_numpy(), kind="stable")
+    kept = order[:0]
+    if not completed:
+        done = np.flatnonzero(pdf["phase"].to_numpy()[order] == "done")
+        kept = order[: done[0] + 1] if len(done) else order
+        completed = bool(len(done))
+    if len(kept):
+        out = pdf.iloc[kept]
+        last_ord, snapshot = int(out["ord"].iat[-1]), out["snapshot"].iat[-1]
     state.update((bool(completed), last_ord, snapshot))
-    if max_ts is not None:
-        state.setTimeoutTimestamp(int(pd.Timestamp(max_ts).timestamp() * 1000) + STATE_TTL_MS)
-    if out:
-        yield pd.DataFrame(out, columns=["call_id", "ord", "phase", "snapshot"])
+    state.setTimeoutTimestamp(int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000) + STATE_TTL_MS)
+    if len(kept):
+        yield pd.DataFrame({"call_id": call_id, "ord": out["ord"].to_numpy(),
+                            "phase": out["phase"].to_numpy(), "snapshot": out["snapshot"].to_numpy()})
 
 
 def tool_calls_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
