@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
-from cairn.session import shared_dir
+from cairn.session import fresh_path
 
 K1, B = 1.2, 0.75
 MAX_BROADCAST_QUERIES = 100_000  # queries broadcast to every task only up to this count
@@ -48,13 +48,20 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.array_join("w.tokens", " ").alias("text")))
 
 
+def _by_document(chunks: DataFrame, keys) -> DataFrame:
+    """Hash-partition chunk rows by document: the (chunk, term) aggregation that
+    follows then needs no shuffle of the exploded tokens.  A document is one
+    bounded row, so this cannot concentrate a hot key."""
+    return chunks.repartition(keys[0])
+
+
 def build_index(chunks: DataFrame, keys=("doc_id", "chunk_no")) -> tuple[DataFrame, DataFrame]:
     """(postings(keys..., term, tf), term_stats(term, df, cf)).
 
     Both are plain aggregations (partial aggregation absorbs very common terms);
     at scale the postings are written once, bucketed by term, and searched many times.
     """
-    postings = (chunks.select(*keys, F.explode("tokens").alias("term"))
+    postings = (_by_document(chunks, keys).select(*keys, F.explode("tokens").alias("term"))
                       .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     return postings, stats
@@ -76,16 +83,20 @@ class Bm25Index(NamedTuple):
 def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool = True) -> Bm25Index:
     """Build the search index once.
 
-    The postings are cut from lineage with ``checkpoint()`` (written to the
-    shared checkpoint folder) so every search reuses them instead of
-    re-tokenising the corpus; N and the mean chunk length are read from them.
+    The postings are written once as a Parquet table in the shared folder
+    (cutting lineage) so every search reuses them instead of re-tokenising the
+    corpus; N and the mean chunk length are read from them.
     """
     keys = list(keys)
-    postings, _ = build_index(chunks, keys)
-    weighted = postings.join(chunks.select(*keys, F.col("n_tokens").alias("dl")), keys)
+    # the chunk length rides along as a grouping key: no join back to the chunks
+    weighted = (_by_document(chunks, keys)
+                .select(*keys, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
+                      .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     if materialize:
-        shared_dir(chunks.sparkSession)
-        weighted = weighted.checkpoint(eager=True)
+        spark = chunks.sparkSession
+        path = fresh_path(spark, "bm25_index")
+        weighted.write.parquet(path)
+        weighted = spark.read.parquet(path)
     stats = weighted.select(*keys, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
     return Bm25Index(weighted, keys, int(stats["n"] or 0), float(stats["a"] or 0.0))
 

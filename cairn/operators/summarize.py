@@ -29,8 +29,16 @@ def split_sentences(units: DataFrame, unit: str, text: str = "text", part: str |
 
 
 def summarize(units: DataFrame, unit: str, text: str = "text", part: str | None = None,
-              n: int = 3) -> DataFrame:
-    """(unit, summary, n_sentences)."""
+              n: int = 3, colocate: bool = False) -> DataFrame:
+    """(unit, summary, n_sentences).
+
+    ``colocate=True`` hash-partitions the input by unit first, so every later
+    aggregation and join keyed by the unit runs without another shuffle; use it
+    when a unit is one bounded row (a document), not for units that may be
+    arbitrarily large (a conversation), where the default spreads work by term.
+    """
+    if colocate:
+        units = units.repartition(unit)
     sents = split_sentences(units, unit, text, part)
     toks = sents.select(unit, "s_ord", F.explode(T.tokens("sentence")).alias("term"))
     tf = toks.groupBy(unit, "term").agg(F.count(F.lit(1)).alias("tf"))

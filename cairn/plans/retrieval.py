@@ -161,7 +161,8 @@ SELECT summ.{unit}, summary, n_sentences FROM summ JOIN cnt USING ({unit})"""
 @register("summarize_documents", _summary_sql("documents", "doc_id", "0"))
 def q_summarize_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return SM.summarize(d, "doc_id", "text", None, SUMMARY_N).select("doc_id", "summary", "n_sentences")
+    return SM.summarize(d, "doc_id", "text", None, SUMMARY_N, colocate=True).select(
+        "doc_id", "summary", "n_sentences")
 
 
 @register("summarize_threads", _summary_sql("conversations", "conv_id", "turn"))
