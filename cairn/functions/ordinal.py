@@ -32,6 +32,10 @@ def global_ordinal(df: DataFrame, order_cols: Sequence, name: str = "ordinal",
                    num_partitions: int | None = None) -> DataFrame:
     """Append a 1-based ordinal in ``order_cols`` order (make it total with a unique key)."""
     order = _cols(order_cols)
+    # An explicit partition count makes this a REPARTITION_BY_NUM shuffle, which
+    # AQE never coalesces, so both readers below (the per-partition counts and
+    # the rows) see the same partition ids.  With a total order the sort inside
+    # a partition is deterministic, so a recomputed task yields the same ids.
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)

@@ -67,11 +67,6 @@ def build_index(chunks: DataFrame, keys=("doc_id", "chunk_no")) -> tuple[DataFra
     return postings, stats
 
 
-def _maybe_broadcast(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast hint only when the row count is proven <= bound (reads at most bound+1 rows)."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 class Bm25Index(NamedTuple):
     """Postings with chunk lengths (keys..., term, tf, dl) plus corpus statistics."""
     postings: DataFrame
@@ -130,7 +125,12 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
     """
     keys, n_docs, avgdl = index.keys, index.n_docs, index.avgdl
     q_terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
-    vocab = _maybe_broadcast(q_terms.select("term").distinct(), MAX_BROADCAST_QUERIES)
+    # Every question-side table below (vocabulary, question terms, rarest and
+    # essential terms) is a projection or subset of these rows, so one count
+    # proves the broadcast bound for all of them; beyond it they are shuffled.
+    small = q_terms.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS
+    bc = F.broadcast if small else (lambda df: df)
+    vocab = bc(q_terms.select("term").distinct())
     post_q = index.postings.join(vocab, "term", "left_semi").select(*keys, "term", "tf", "dl")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
@@ -140,7 +140,7 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
     term_stats = (post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(saturation).alias("_sat"))
                         .select("term", idf.alias("idf"), (idf * F.col("_sat")).alias("ub")))
     qt = q_terms.join(term_stats, "term")  # terms without postings contribute nothing
-    qt_small = _maybe_broadcast(qt.select(qid, "term", "idf"), MAX_BROADCAST_PAIRS)
+    qt_small = bc(qt.select(qid, "term", "idf"))
 
     def score(rows: DataFrame, name: str, rounded: bool) -> DataFrame:
         total = F.sum(contrib)
@@ -158,14 +158,14 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
 
     # 2. seed threshold from the rarest terms' chunks
     rare = top_k(qt, [qid], [F.col("ub").desc(), F.col("term")], seed_terms).select(qid, "term")
-    seed_cands = post_q.join(_maybe_broadcast(rare, MAX_BROADCAST_PAIRS), "term").select(qid, *keys).distinct()
+    seed_cands = post_q.join(bc(rare), "term").select(qid, *keys).distinct()
     theta0 = kth(exact(seed_cands), "score", "theta0")
     # 3. essential terms; the non-essential ones' bounds sum to below theta0
     running = F.sum("ub").over(Window.partitionBy(qid).orderBy(F.col("ub"), F.col("term"))
                                .rowsBetween(Window.unboundedPreceding, 0))
     split = (qt.join(theta0, qid, "left").withColumn("_cum", running)
                .withColumn("_ess", F.col("_cum") >= F.coalesce(F.col("theta0"), F.lit(0.0)) - 1e-6))
-    essential = _maybe_broadcast(split.filter("_ess").select(qid, "term", "idf"), MAX_BROADCAST_PAIRS)
+    essential = bc(split.filter("_ess").select(qid, "term", "idf"))
     rest_ub = (split.groupBy(qid).agg(F.sum(F.when(~F.col("_ess"), F.col("ub")).otherwise(0.0)).alias("_rest"),
                                       F.first("theta0").alias("theta0")))
     # 4. partial scores over essential terms: lower bounds; + rest_ub: upper bounds
