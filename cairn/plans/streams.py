@@ -81,3 +81,11 @@ def q_answer_stream(spark, sf_dir):
     prompts = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     RN.run_foreach_batch(prompts, PL.answer_batch(chunks_path, answers_root, k=PR.ANSWER_K), "answers")
     return spark.read.parquet(answers_root).drop("batch_id")
+
+
+@register("response_deltas_stream", """
+SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'""")
+def q_response_deltas_stream(spark, sf_dir):
+    """Each assistant text delta as it arrives (append mode)."""
+    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return RN.run_to_memory(PL.response_deltas(msgs), "append", "response_deltas")

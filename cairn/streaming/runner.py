@@ -57,3 +57,15 @@ def run_foreach_batch(df: DataFrame, fn, kind: str = "stream", checkpoint: str |
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def watch(df: DataFrame, sink, mode: str = "update", every: str = "2 seconds", kind: str = "watch",
+          checkpoint: str | None = None):
+    """Start a long-running query that re-evaluates every ``every`` (the readiness
+    poll of a store is a streaming roll-up watched this way).  ``sink`` is a
+    ``foreachBatch`` function; returns the running ``StreamingQuery``."""
+    spark = df.sparkSession
+    return (df.writeStream.outputMode(mode).foreachBatch(sink)
+              .trigger(processingTime=every)
+              .option("checkpointLocation", checkpoint or checkpoint_for(spark, kind))
+              .start())

@@ -78,3 +78,14 @@ def test_hash_cache_load_missing_then_roundtrip(spark):
     c = spark.createDataFrame([("h1", "f1"), ("h1", "f1"), ("h2", "f2")], "hash string, file_id string")
     RC.save_hash_cache(c, path)
     assert sorted(map(tuple, RC.load_hash_cache(spark, path).collect())) == [("h1", "f1"), ("h2", "f2")]
+
+
+def test_watch_polls_until_stopped(spark, sf_small):
+    from cairn.operators import stores as ST
+    seen = []
+    docs = RN.table_stream(spark, sf_small, "documents", "doc_id", "source", "text")
+    status = PL.file_status_stream(docs, spark.read.parquet(f"{sf_small}/labels.parquet"))
+    q = RN.watch(ST.store_status(status, "store"), lambda df, i: seen.append(df.count()), every="1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert seen and seen[0] > 0
