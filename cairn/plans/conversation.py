@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.operators import cache as C
 from cairn.operators import messages as M
 from cairn.operators import select as S
 from cairn.operators import transcripts as TR
@@ -161,6 +162,5 @@ def q_restore_or_create_videos(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
     req = c.filter(F.col("role") == "user").select(F.col("conv_id").cast("string").alias("video_id"),
                                                    (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
-    from cairn.operators.cache import restore_or_create_videos
-    return restore_or_create_videos(req, _stored_transcripts(spark, sf_dir)).select(
+    return C.restore_or_create_videos(req, _stored_transcripts(spark, sf_dir)).select(
         "video_id", "pos", "vector_store_id", "file_id", "restored")
