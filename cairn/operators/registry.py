@@ -187,20 +187,22 @@ def record_key(name="name", instructions="instructions") -> "F.Column":
 def sync_defaults(registry: DataFrame, defaults: DataFrame, now_epoch: int) -> DataFrame:
     """Bring the default assistants into the registry.
 
-    Missing (by case-insensitive unique name) -> appended after the last
-    position; present with other instructions -> replaced in place, keeping
-    created_at and position; identical -> kept.  Output: the whole registry
-    with ``action``.
+    Looked up by case-insensitive name: missing -> appended after the last
+    position; found once but not equal (name or instructions differ) ->
+    replaced in place, keeping created_at and position; equal -> kept; the
+    name held by several items -> that default is skipped (the lookup fails).
+    Output: the whole registry with ``action``.
     """
     reg = registry.select("id", "name", "instructions", "created_at", "position")
-    names = unique_names(reg).select("lname", F.col("id").alias("_old_id"))
+    counts = (reg.groupBy(F.lower("name").alias("lname"))
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min_by("id", "position").alias("_old_id")))
     d = defaults.select(F.col("name").alias("_dname"), F.col("instructions").alias("_dinstr"),
                         F.col("seq").alias("_dseq"))
-    matched = d.join(names, F.lower("_dname") == F.col("lname"), "left")
-    replace = (matched.filter(F.col("_old_id").isNotNull())
-                      .join(reg.select(F.col("id").alias("_old_id"), F.col("instructions").alias("_oinstr")),
-                            "_old_id")
-                      .filter(F.col("_oinstr") != F.col("_dinstr"))
+    matched = d.join(counts, F.lower("_dname") == F.col("lname"), "left")
+    replace = (matched.filter(F.col("_n") == 1)
+                      .join(reg.select(F.col("id").alias("_old_id"), F.col("name").alias("_oname"),
+                                       F.col("instructions").alias("_oinstr")), "_old_id")
+                      .filter((F.col("_oname") != F.col("_dname")) | (F.col("_oinstr") != F.col("_dinstr")))
                       .select("_old_id", "_dname", "_dinstr"))
     updated = (reg.join(replace, F.col("id") == F.col("_old_id"), "left")
                   .select(F.when(F.col("_old_id").isNotNull(), assistant_id_for(F.col("_dname"), F.col("_dinstr")))
@@ -210,12 +212,12 @@ def sync_defaults(registry: DataFrame, defaults: DataFrame, now_epoch: int) -> D
                           "created_at", "position",
                           F.when(F.col("_old_id").isNotNull(), "replaced").otherwise("kept").alias("action")))
     last = reg.agg(F.max("position")).scalar()  # scalar subquery: one value, no join
-    appended = (matched.filter(F.col("_old_id").isNull())
+    appended = (matched.filter(F.col("_n").isNull())
                 .select(assistant_id_for(F.col("_dname"), F.col("_dinstr")).alias("id"),
-                         F.col("_dname").alias("name"), F.col("_dinstr").alias("instructions"),
-                         F.lit(now_epoch).cast("bigint").alias("created_at"),
-                         (F.coalesce(last, F.lit(-1)) + F.col("_dseq")).cast("bigint").alias("position"),
-                         F.lit("appended").alias("action")))
+                        F.col("_dname").alias("name"), F.col("_dinstr").alias("instructions"),
+                        F.lit(now_epoch).cast("bigint").alias("created_at"),
+                        (F.coalesce(last, F.lit(-1)) + F.col("_dseq")).cast("bigint").alias("position"),
+                        F.lit("appended").alias("action")))
     return updated.unionByName(appended)
 
 

@@ -234,9 +234,10 @@ _STALE_SQL = "SELECT " + ", ".join([X.q(STALE_DEFAULT[0]), X.q(STALE_DEFAULT[1])
 
 @register("sync_defaults", f"""
 WITH reg AS (SELECT id, name, instructions, created_at, position FROM assistants UNION ALL {_STALE_SQL}),
-names AS (SELECT lower(name) AS lname, arg_min(id, position) AS id FROM reg GROUP BY 1 HAVING count(*) = 1),
-m AS (SELECT d.*, n.id AS old_id FROM {_DEFAULTS_SQL} LEFT JOIN names n ON lower(d.dname) = n.lname),
-rep AS (SELECT m.old_id, m.dname, m.dinstr FROM m JOIN reg r ON r.id = m.old_id WHERE r.instructions <> m.dinstr)
+names AS (SELECT lower(name) AS lname, count(*) AS n, arg_min(id, position) AS id FROM reg GROUP BY 1),
+m AS (SELECT d.*, n.id AS old_id, n.n AS n FROM {_DEFAULTS_SQL} LEFT JOIN names n ON lower(d.dname) = n.lname),
+rep AS (SELECT m.old_id, m.dname, m.dinstr FROM m JOIN reg r ON r.id = m.old_id
+        WHERE m.n = 1 AND (r.name <> m.dname OR r.instructions <> m.dinstr))
 SELECT CASE WHEN rep.old_id IS NOT NULL THEN 'asst_' || substr(sha256(rep.dname || chr(10) || rep.dinstr), 1, 24)
             ELSE r.id END AS id,
   coalesce(rep.dname, r.name) AS name, coalesce(rep.dinstr, r.instructions) AS instructions,
@@ -245,7 +246,7 @@ FROM reg r LEFT JOIN rep ON r.id = rep.old_id
 UNION ALL
 SELECT 'asst_' || substr(sha256(dname || chr(10) || dinstr), 1, 24), dname, dinstr, CAST({SYNC_TIME} AS BIGINT),
   CAST((SELECT max(position) FROM reg) + dseq AS BIGINT), 'appended'
-FROM m WHERE old_id IS NULL""")
+FROM m WHERE n IS NULL""")
 def q_sync_defaults(spark, sf_dir):
     out = RG.sync_defaults(_registry_with_stale(spark, sf_dir), _defaults_df(spark), SYNC_TIME)
     return out.select("id", "name", "instructions", "created_at", "position", "action")

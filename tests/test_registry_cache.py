@@ -80,3 +80,14 @@ def test_restore_first_seen(spark):
     out = C.restore_or_create_files(batch, stored).orderBy("pos").collect()
     assert [r["full_path"] for r in out] == ["/a/x.py", "/a/x.py"]   # first-seen path wins
     assert [r["restored"] for r in out] == [False, True]
+
+
+def test_sync_defaults_name_case_and_ambiguity(spark):
+    reg = registry(spark)
+    defaults = spark.createDataFrame([("alpha", "x", 1), ("Dup", "d", 2)], "name string, instructions string, seq int")
+    rows = RG.sync_defaults(reg, defaults, 99).collect()
+    by_action = {}
+    for r in rows:
+        by_action.setdefault(r["action"], []).append(r["name"])
+    assert by_action["replaced"] == ["alpha"]          # same instructions, name differs in case -> not equal
+    assert "appended" not in by_action                 # 'Dup' is ambiguous -> the default is skipped
