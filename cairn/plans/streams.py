@@ -21,6 +21,11 @@ from cairn.streaming import toolcalls as TS
 QUERIES: dict = {}
 ORACLE: dict = {}
 
+# Tool-call state is kept per hash bucket of call ids (the set of recently
+# completed calls per bucket): one vectorised Python call per bucket per
+# micro-batch instead of one per call.  Raise with the number of active calls.
+STATE_BUCKETS = 256
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -38,7 +43,7 @@ FROM tool_events e LEFT JOIN (SELECT call_id, min(ord) AS done FROM tool_events
 WHERE d.done IS NULL OR e.ord <= d.done""")
 def q_tool_calls_stream(spark, sf_dir):
     events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events"))
-    return RN.run_to_memory(TS.tool_calls_stream(events), "append", "tool_calls")
+    return RN.run_to_memory(TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS), "append", "tool_calls")
 
 
 @register("completed_calls_stream", """

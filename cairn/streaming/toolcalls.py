@@ -1,7 +1,7 @@
 """Tool-call events as a stream.
 
 ``tool_calls_stream``: per call id the state is (completed, last ord,
-snapshot).  Events of a call are emitted in order until its first 'done';
+snapshot); or, bucketed, per hash bucket the set of recently completed calls.  Events of a call are emitted in order until its first 'done';
 later events of that call are dropped.  State expires one day of event time
 after the call's last event (watermark-driven timeout) — the reference keeps
 it for one run only; a late event after expiry reopens the call.
@@ -32,36 +32,94 @@ def tool_call_events(events: DataFrame) -> DataFrame:
                          F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("snapshot"))
 
 
+def _cols(frames, name):
+    arrays = [f[name].to_numpy() for f in frames]
+    return arrays[0] if len(arrays) == 1 else np.concatenate(arrays)
+
+
 def _step(key, batches, state):
+    """One call id: emit its events in order up to the first 'done' (numpy only, no
+    per-row Python; this runs once per call per micro-batch)."""
     (call_id,) = key
     if state.hasTimedOut:
         state.remove()
         return
     completed, last_ord, snapshot = state.get if state.exists else (False, None, None)
     frames = list(batches)
-    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    order = np.argsort(pdf["ord"].to_numpy(), kind="stable")
+    ords = _cols(frames, "ord")
+    order = np.argsort(ords, kind="stable")
+    phases = _cols(frames, "phase")[order]
     kept = order[:0]
     if not completed:
-        done = np.flatnonzero(pdf["phase"].to_numpy()[order] == "done")
+        done = np.flatnonzero(phases == "done")
         kept = order[: done[0] + 1] if len(done) else order
-        completed = bool(len(done))
+        completed = len(done) > 0
+    snaps = _cols(frames, "snapshot")
     if len(kept):
-        out = pdf.iloc[kept]
-        last_ord, snapshot = int(out["ord"].iat[-1]), out["snapshot"].iat[-1]
+        last_ord, snapshot = int(ords[kept[-1]]), snaps[kept[-1]]
     state.update((bool(completed), last_ord, snapshot))
-    state.setTimeoutTimestamp(int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000) + STATE_TTL_MS)
+    max_ms = int(_cols(frames, "ts").max().astype("datetime64[ms]").astype(np.int64))
+    # late input (older than the watermark) must not push the timeout into the past
+    state.setTimeoutTimestamp(max(max_ms + STATE_TTL_MS, state.getCurrentWatermarkMs() + 1))
     if len(kept):
-        yield pd.DataFrame({"call_id": call_id, "ord": out["ord"].to_numpy(),
-                            "phase": out["phase"].to_numpy(), "snapshot": out["snapshot"].to_numpy()})
+        yield pd.DataFrame({"call_id": np.full(len(kept), call_id, dtype=object), "ord": ords[kept],
+                            "phase": phases[: len(kept)], "snapshot": snaps[kept]})
+
+
+BUCKET_STATE_SCHEMA = "calls array<string>, done_ms array<bigint>"
+
+
+def _bucket_step(key, batches, state):
+    """One bucket of call ids: drop events of calls completed earlier, keep each
+    remaining call's events up to its first 'done' (vectorised over the bucket),
+    remember newly completed calls; forget completions older than the TTL."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    wm = state.getCurrentWatermarkMs()
+    calls, done_ms = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
+    alive = {c: t for c, t in zip(calls, done_ms) if t + STATE_TTL_MS >= wm}
+    frames = list(batches)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    pdf = pdf[~pdf["call_id"].isin(list(alive))].sort_values(["call_id", "ord"], kind="stable")
+    if len(pdf):
+        is_done = (pdf["phase"] == "done").to_numpy()
+        before = pdf.assign(_d=is_done).groupby("call_id", sort=False)["_d"].cumsum().to_numpy() - is_done
+        out = pdf[before == 0]
+        finished = out[out["phase"] == "done"]
+        ms = finished["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+        alive.update(zip(finished["call_id"].tolist(), ms.tolist()))
+        if len(out):
+            yield out[["call_id", "ord", "phase", "snapshot"]]
+    if alive:
+        state.update((list(alive.keys()), list(alive.values())))
+        state.setTimeoutTimestamp(max(max(alive.values()) + STATE_TTL_MS, wm + 1))
+    elif state.exists:
+        state.remove()
+
+
+def tool_calls_stream(events: DataFrame, watermark: str = "1 day",
+                      state_buckets: int | None = None) -> DataFrame:
+    """Streaming kept events: (call_id, ord, phase, snapshot).
+
+    ``state_buckets=None``: one state per call id (one Python call per call per
+    micro-batch).  ``state_buckets=B``: calls are hashed into B buckets whose
+    state is the set of recently completed calls — one vectorised Python call
+    per bucket per micro-batch; choose B so a bucket holds thousands of
+    completed calls per TTL, not millions.
+    """
+    wm = events.withWatermark("ts", watermark)
+    if state_buckets is None:
+        return wm.groupBy("call_id").applyInPandasWithState(
+            _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    bucketed = wm.withColumn("_bucket", F.pmod(F.xxhash64("call_id"), F.lit(state_buckets)))
+    return (bucketed.groupBy("_bucket")
+              .applyInPandasWithState(_bucket_wrap, OUT_SCHEMA, BUCKET_STATE_SCHEMA, "append",
+                                      GroupStateTimeout.EventTimeTimeout))
 
 
-def tool_calls_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Streaming kept events: (call_id, ord, phase, snapshot)."""
-    return (events.withWatermark("ts", watermark)
-                  .groupBy("call_id")
-                  .applyInPandasWithState(_step, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                          GroupStateTimeout.EventTimeTimeout))
+def _bucket_wrap(key, batches, state):
+    yield from _bucket_step(key, (b.drop(columns=["_bucket"], errors="ignore") for b in batches), state)
 
 
 def completed_calls_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:

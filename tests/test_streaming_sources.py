@@ -25,10 +25,13 @@ def _split_table(src, name, parts, write=None):
 
 
 def _write_parts(src, d, name, parts, which):
+    """The file source orders files by modification time: give part i time base + i."""
     t = pq.read_table(src)
     step = -(-t.num_rows // parts)
     for i in which:
-        pq.write_table(t.slice(i * step, step), os.path.join(d, f"{name}_{i}.parquet"))
+        path = os.path.join(d, f"{name}_{i}.parquet")
+        pq.write_table(t.slice(i * step, step), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
 
 
 def test_tool_calls_stream_equals_batch_over_batches(spark, sf_small):
@@ -89,3 +92,11 @@ def test_watch_polls_until_stopped(spark, sf_small):
     q.processAllAvailable()
     q.stop()
     assert seen and seen[0] > 0
+
+
+def test_bucketed_tool_calls_stream_equals_batch(spark, sf_small):
+    d = _split_table(f"{sf_small}/events.parquet", "events", 3)
+    stream = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
+    got = RN.run_to_memory(TS.tool_calls_stream(stream, state_buckets=4), "append", "tb").select("call_id", "ord")
+    batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
