@@ -71,22 +71,32 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``cairn`` importable by the Python workers of this SparkContext.
 
     UDFs defined in the package are pickled by reference, so executors must
-    be able to import it; the package is zipped once and added with
-    ``addPyFile`` (Spark distributes it to every executor).
+    be able to import it.  The package is zipped in memory, written once into
+    the shared folder and added with ``addPyFile`` (Spark distributes it).
     """
+    import io
+    import posixpath
     import zipfile
 
+    import pyarrow.fs as pafs
+
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    zpath = os.path.join(tempfile.mkdtemp(prefix="cairn-pkg-"), "cairn.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, names in os.walk(pkg_dir):
-            for n in names:
+            for n in sorted(names):
                 if n.endswith(".py"):
                     full = os.path.join(dirpath, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(zpath)
+    target = fresh_path(spark, "pkg") + "/cairn.zip"
+    uri = target if "://" in target else "file://" + posixpath.abspath(target)
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    with fs.open_output_stream(path, compression=None) as f:
+        f.write(buf.getvalue())
+    sc.addPyFile(target)
     _SHIPPED.add(key)
