@@ -187,9 +187,15 @@ def centroids(vectors: DataFrame, group: str = "label", vec: str = "embedding")
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(vec)))
 
 
+def _safe_norm(m: np.ndarray) -> np.ndarray:
+    """Row norms; an all-zero vector gets norm 1 (similarity 0 instead of NaN)."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(n == 0, 1.0, n)
+
+
 def _cosine_topk_partitions(query_ids, query_mat, k, id_col, vec_col, qid):
     q = np.asarray(query_mat, dtype=np.float64)
-    qn = q / np.linalg.norm(q, axis=1, keepdims=True)
+    qn = q / _safe_norm(q)
     qids = np.asarray(query_ids)
 
     def run(batches):
@@ -197,7 +203,7 @@ def _cosine_topk_partitions(query_ids, query_mat, k, id_col, vec_col, qid):
             if pdf.empty:
                 continue
             v = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            vn = v / np.linalg.norm(v, axis=1, keepdims=True)
+            vn = v / _safe_norm(v)
             sims = qn @ vn.T  # (queries, batch)
             kk = min(k, sims.shape[1])
             ids = pdf[id_col].to_numpy()

@@ -91,3 +91,28 @@ def test_sync_defaults_name_case_and_ambiguity(spark):
         by_action.setdefault(r["action"], []).append(r["name"])
     assert by_action["replaced"] == ["alpha"]          # same instructions, name differs in case -> not equal
     assert "appended" not in by_action                 # 'Dup' is ambiguous -> the default is skipped
+
+
+def test_clean_cache_golden(spark):
+    df = spark.createDataFrame([(1, '{"a":"x","b":1,"c":null,"d":{"e":"f"}}')], "k int, json string")
+    assert [(r["key"], r["value"]) for r in RG.clean_cache(df).collect()] == [("a", "x")]
+
+
+def test_store_refs_golden(spark):
+    from cairn.operators import route as R
+    rows = [("ok", ["vs_1"]), ("none", []), ("two", ["a", "b"]), ("prefix", ["x"]), ("empty", [""])]
+    df = spark.createDataFrame(rows, "input string, vector_store_ids array<string>")
+    got = {r["input"]: (r["store_ok"], r["store_error"]) for r in R.check_store_refs(df).collect()}
+    assert got["ok"] == (True, None)
+    assert got["none"][0] is False and got["two"][0] is False
+    assert got["prefix"] == (False, "invalid format") and got["empty"] == (False, "empty")
+
+
+def test_build_messages_header_and_limit(spark):
+    from cairn.operators import messages as M
+    files = spark.createDataFrame([("s", "/a.py", "x" * 10), ("s", "/b.py", "y" * 100), ("s", "/c.py", "é")],
+                                  "store string, path string, content string")
+    out = M.build_messages(files, limit=60).orderBy("seq").collect()
+    assert out[0]["seq"] == 0 and "The following 3 messages" in out[0]["message"]   # count before the cap
+    assert [(r["seq"], r["path"]) for r in out[1:]] == [(1, "/a.py"), (2, "/c.py")]  # /b.py exceeds 60 chars
+    assert out[2]["payload_chars"] == len('{"path": "/c.py", "content": "\\u00e9"}')
