@@ -42,7 +42,7 @@ def build_messages(files: DataFrame, store: str = "store", path: str = "path",
     return header.unionByName(body)
 
 
-def thread_resources(assistants: DataFrame, store_ids: DataFrame | None = None) -> DataFrame:
+def thread_resources(assistants: DataFrame) -> DataFrame:
     """Tools, response format and tool resources implied by an assistant's flags."""
     tools = F.array_compact(F.array(F.when(F.col("file_search"), F.lit("file_search")),
                                     F.when(F.col("interpret_code"), F.lit("code_interpreter"))))

@@ -18,10 +18,6 @@ REJECT_EXTENSION, REJECT_ENCODING = "rejected_extension", "rejected_encoding"
 REJECT_DIRECTORY, REJECT_PATTERN = "rejected_directory", "rejected_pattern"
 
 
-def with_suffix(df: DataFrame, path: str = "path") -> DataFrame:
-    return df.withColumn("suffix", T.path_suffix(path))
-
-
 def filter_extension(df: DataFrame, path: str = "path") -> DataFrame:
     """Keep whitelisted or convertible suffixes (case-sensitive, last suffix)."""
     allowed = T.EXTENSION_WHITELIST + T.EXTENSIONS_CONVERT
