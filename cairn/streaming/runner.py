@@ -69,3 +69,16 @@ def watch(df: DataFrame, sink, mode: str = "update", every: str = "2 seconds", k
               .trigger(processingTime=every)
               .option("checkpointLocation", checkpoint or checkpoint_for(spark, kind))
               .start())
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
+    """Run a streaming DataFrame over what is available into a file sink.
+
+    The file sink commits through its own metadata log, so together with the
+    checkpoint a restarted query neither loses nor repeats output (exactly once).
+    """
+    q = (df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+           .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))

@@ -100,3 +100,21 @@ def test_bucketed_tool_calls_stream_equals_batch(spark, sf_small):
     got = RN.run_to_memory(TS.tool_calls_stream(stream, state_buckets=4), "append", "tb").select("call_id", "ord")
     batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_tool_calls_stream_restart_keeps_state(spark, sf_small):
+    src = f"{sf_small}/events.parquet"
+    d = _split_table(src, "events", 3, write=[0])
+    out, ckpt = fresh_path(spark, "tc_out"), fresh_path(spark, "tc_ckpt")
+
+    def run():
+        ev = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
+        RN.run_to_files(TS.tool_calls_stream(ev, state_buckets=4), out, ckpt)
+
+    run()
+    _write_parts(src, d, "events", 3, [1, 2])   # later events arrive after a stop
+    run()                                        # restart: completed calls are remembered
+    run()                                        # nothing new: no duplicate output
+    got = spark.read.parquet(out).select("call_id", "ord")
+    batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
