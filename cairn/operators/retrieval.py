@@ -97,7 +97,7 @@ def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool
 
 
 def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str = "item_id",
-                text_col: str = "text", seed_terms: int = 8) -> DataFrame:
+                text_col: str = "text", seed_terms: int = 8, probe_size: int = 32) -> DataFrame:
     """Top-``k`` chunks per question by BM25: (qid, rank, keys..., score).
 
     Exact, with MaxScore pruning instead of scoring every chunk that shares a
@@ -113,8 +113,9 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
        at least one of the other ('essential') terms are candidates;
     4. a candidate's score over the essential terms is a lower bound of its
        score, and that plus the other terms' bounds an upper bound; the k-th
-       best lower bound raises ``theta``, and candidates whose upper bound
-       stays below it are dropped;
+       best lower bound, and the k-th best exact score of the ``probe_size``
+       best candidates by lower bound, raise ``theta``; candidates whose upper
+       bound stays below it are dropped;
     5. the survivors are scored exactly over all question terms.
 
     The 1e-6 margin keeps the cut exact after rounding scores to 6 decimals.
@@ -171,10 +172,13 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
     # 4. partial scores over essential terms: lower bounds; + rest_ub: upper bounds
     partial = score(post_q.join(essential, "term"), "_partial", False)
     theta1 = kth(partial, "_partial", "theta1")
-    survivors = (partial.join(rest_ub, qid).join(theta1, qid, "left")
-                        .filter(F.col("_partial") + F.col("_rest")
-                                >= F.greatest(F.coalesce("theta0", F.lit(0.0)), F.coalesce("theta1", F.lit(0.0)))
-                                - 1e-6)
+    # the best candidates by lower bound, scored exactly, give a tighter theta
+    probe = top_k(partial, [qid], [F.col("_partial").desc(), *keys], probe_size).select(qid, *keys)
+    theta2 = kth(exact(probe), "score", "theta2")
+    theta = F.greatest(F.coalesce("theta0", F.lit(0.0)), F.coalesce("theta1", F.lit(0.0)),
+                       F.coalesce("theta2", F.lit(0.0)))
+    survivors = (partial.join(rest_ub, qid).join(theta1, qid, "left").join(theta2, qid, "left")
+                        .filter(F.col("_partial") + F.col("_rest") >= theta - 1e-6)
                         .select(qid, *keys))
     return top_k(exact(survivors), [qid], [F.col("score").desc(), *keys], k)
 
