@@ -72,7 +72,7 @@ def resources(routed: DataFrame, col: str = "input") -> DataFrame:
 def check_store_refs(df: DataFrame, ids: str = "vector_store_ids") -> DataFrame:
     """``store_ok`` and ``store_error``: exactly one non-empty id starting with 'vs_'."""
     n = F.size(ids)
-    first = F.element_at(F.col(ids), 1)
+    first = F.try_element_at(F.col(ids), F.lit(1))
     err = (F.when(n == 0, "Resources object has no vector store id.")
             .when(n > 1, "Resources object has more than 1 vector store id associated with it.")
             .when(F.length(first) == 0, "empty")
