@@ -114,3 +114,12 @@ def test_summary_picks_frequent_sentences(spark):
     r = SM.summarize(df, "doc_id", "text", None, 2).first()
     assert r["n_sentences"] == 5
     assert r["summary"] == "Cats purr. Cats purr."
+
+
+def test_global_ordinal_many_partitions(spark):
+    df = spark.range(20000).select((F.hash("id") % 997).alias("k"), "id")
+    got = global_ordinal(df, ["k", "id"], "o", num_partitions=16)
+    exp = df.select("id", F.row_number().over(Window.orderBy("k", "id")).alias("e"))
+    bad = got.join(exp, "id").filter(F.col("o") != F.col("e")).count()
+    assert got.count() == 20000 and bad == 0
+    assert got.agg(F.min("o"), F.max("o")).first() == (1, 20000)
