@@ -66,6 +66,13 @@ def q_read_corpus(spark, sf_dir):
     return FS.read_corpus(spark, root).select(_rel().alias("path"), "text")
 
 
+@register("read_text_corpus", f"""
+SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.gz' ELSE '' END AS path, content AS text FROM files WHERE {_VISIBLE}""")
+def q_read_text_corpus(spark, sf_dir):
+    root = _land(spark, sf_dir, compress=(F.col("doc_id") % 5 == 0))
+    return FS.read_text_corpus(spark, root).select(_rel().alias("path"), "text")
+
+
 @register("file_metadata", f"""
 SELECT sha256(content) AS hash, regexp_extract(path, '([^/]*)$', 1) AS name, path AS full_path,
   CAST(octet_length(encode(content)) AS BIGINT) AS sz_bytes, true AS has_mtime

@@ -72,6 +72,8 @@ def test_scan_walk_and_read(spark):
     assert walked == {"a.py", ".git/b.py", "_u.py", "e.py", "z.md.gz", "bad.txt"}
     text = {r["path"].split("/r/")[-1]: r["text"] for r in FS.read_corpus(spark, root).collect()}
     assert text == {"a.py": "print(1)", "z.md.gz": "héllo", "bad.txt": None}   # invalid UTF-8 -> null, row kept
+    native = {r["path"].split("/r/")[-1]: r["text"] for r in FS.read_text_corpus(spark, root).collect()}
+    assert {k: v for k, v in native.items() if k != "e.py"} == text              # JVM-only path agrees
     assert gzip.decompress(open(os.path.join(root, "r", "z.md.gz"), "rb").read()) == "héllo".encode()
 
 
