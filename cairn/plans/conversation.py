@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.plans import query_registry
 from cairn.operators import cache as C
 from cairn.operators import messages as M
 from cairn.operators import select as S
@@ -12,17 +13,7 @@ from cairn.plans import sqlx as X
 from cairn.sources import fixtures as FX
 from cairn.sources.tables import read_table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+QUERIES, ORACLE, register = query_registry()
 
 
 # ----------------------------------------------------------------- transcripts

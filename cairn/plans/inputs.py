@@ -4,23 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.plans import query_registry
 from cairn.functions import text as T
 from cairn.operators import route as R
 from cairn.plans import sqlx as X
 from cairn.sources import fixtures as FX
 from cairn.sources.tables import read_table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+QUERIES, ORACLE, register = query_registry()
 
 
 # Fixed literal inputs: the landed pages contain no video URL and no exit word.

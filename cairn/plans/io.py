@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.plans import query_registry
 from cairn.functions.hashing import hash_udf
 from cairn.operators import cache as C
 from cairn.session import fresh_path
@@ -18,17 +19,7 @@ from cairn.sources import records as RC
 from cairn.sources.tables import read_table
 from cairn.sources.schemas import THREAD_RECORD
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+QUERIES, ORACLE, register = query_registry()
 
 
 def _land(spark, sf_dir, compress=None):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.plans import query_registry
 from cairn.operators import retrieval as RV
 from cairn.plans import retrieval as PR
 from cairn.plans.conversation import ORACLE as CONV_ORACLE
@@ -18,8 +19,7 @@ from cairn.streaming import pipelines as PL
 from cairn.streaming import runner as RN
 from cairn.streaming import toolcalls as TS
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES, ORACLE, register = query_registry()
 
 # Tool-call state is kept per hash bucket of call ids (the set of recently
 # completed calls per bucket): one vectorised Python call per bucket per
@@ -27,15 +27,6 @@ ORACLE: dict = {}
 STATE_BUCKETS = 256
 
 
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
 @register("tool_calls_stream", """
 SELECT e.call_id, e.ord, e.phase, e.snapshot
 FROM tool_events e LEFT JOIN (SELECT call_id, min(ord) AS done FROM tool_events WHERE phase = 'done' GROUP BY call_id) d
