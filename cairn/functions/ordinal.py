@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import fresh_path
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
 
@@ -29,8 +31,17 @@ def _cols(cols) -> list[Column]:
 
 
 def global_ordinal(df: DataFrame, order_cols: Sequence, name: str = "ordinal",
-                   num_partitions: int | None = None) -> DataFrame:
-    """Append a 1-based ordinal in ``order_cols`` order (make it total with a unique key)."""
+                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+    """Append a 1-based ordinal in ``order_cols`` order (make it total with a unique key).
+
+    The input is evaluated twice (range-partition sample, then the shuffle);
+    ``materialize=True`` writes it once to the shared folder first, which pays
+    off when the input is expensive to compute.
+    """
+    if materialize:
+        path = fresh_path(df.sparkSession, "ordinal_input")
+        df.write.parquet(path)
+        df = df.sparkSession.read.parquet(path)
     order = _cols(order_cols)
     # An explicit partition count makes this a REPARTITION_BY_NUM shuffle, which
     # AQE never coalesces, so both readers below (the per-partition counts and
@@ -54,9 +65,9 @@ def global_ordinal(df: DataFrame, order_cols: Sequence, name: str = "ordinal",
 
 
 def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                  name: str = "ordinal") -> DataFrame:
+                  name: str = "ordinal", materialize: bool = False) -> DataFrame:
     """1-based ordinal within each group, safe for groups of any size."""
-    numbered = global_ordinal(df, list(group_cols) + list(order_cols), "_g")
+    numbered = global_ordinal(df, list(group_cols) + list(order_cols), "_g", materialize=materialize)
     starts = numbered.groupBy(*group_cols).agg(F.min("_g").alias("_start"))
     return (numbered.join(starts, list(group_cols))
                     .withColumn(name, F.col("_g") - F.col("_start") + 1)

@@ -31,7 +31,8 @@ def build_messages(files: DataFrame, store: str = "store", path: str = "path",
     sized = files.select(store, path, content,
                          T.payload_length(F.col(path), F.col(content)).alias("payload_chars"))
     kept = sized.filter(F.col("payload_chars") <= limit)
-    numbered = group_ordinal(kept, [store], [path], "seq")
+    # the selection and payload lengths above are regex-heavy: write them once
+    numbered = group_ordinal(kept, [store], [path], "seq", materialize=True)
     body = numbered.select(store, "seq", path, "payload_chars",
                            F.to_json(F.struct(F.col(path).alias("path"),
                                               F.col(content).alias("content"))).alias("message"))
