@@ -230,6 +230,11 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     decimals break on the vector id.
     """
     n_q = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
+    qtype = queries.schema[qid].dataType.simpleString()
+    itype = vectors.schema[id_col].dataType.simpleString()
+    if n_q == 0:
+        return vectors.sparkSession.createDataFrame(
+            [], f"{qid} {qtype}, {id_col} {itype}, score double, rank int")
     if n_q <= MAX_BROADCAST_QUERIES:
         rows = queries.select(qid, vec_col).orderBy(qid).collect()  # bounded: checked above
         spark = vectors.sparkSession
