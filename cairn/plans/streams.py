@@ -27,6 +27,21 @@ QUERIES, ORACLE, register = query_registry()
 STATE_BUCKETS = 256
 
 
+def stream_frames(spark, sf_dir) -> dict:
+    """The streaming DataFrames behind the registered streams (not started), for plan review."""
+    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events"))
+    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "source", "text")
+    status = PL.file_status_stream(docs, read_table(spark, sf_dir, "labels", "doc_id"))
+    return {
+        "tool_calls_stream": TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS),
+        "completed_calls_stream": TS.completed_calls_stream(events),
+        "response_text_stream": PL.response_text_stream(msgs),
+        "response_deltas_stream": PL.response_deltas(msgs),
+        "store_status_stream": PL.store_status_stream(status),
+    }
+
+
 @register("tool_calls_stream", """
 SELECT e.call_id, e.ord, e.phase, e.snapshot
 FROM tool_events e LEFT JOIN (SELECT call_id, min(ord) AS done FROM tool_events WHERE phase = 'done' GROUP BY call_id) d
