@@ -50,7 +50,9 @@ def assign_file_ids(batch: DataFrame, cache: DataFrame, key: str = "hash",
 
 def update_hash_cache(cache: DataFrame, assigned: DataFrame, key: str = "hash") -> DataFrame:
     """The cache after this batch: old entries plus one entry per new hash."""
-    new = (assigned.select(key, "file_id").dropDuplicates([key])
+    # within one batch every row of a hash carries the same id, so distinct() gives
+    # one row per hash (a hash aggregate; dropDuplicates would sort)
+    new = (assigned.select(key, "file_id").distinct()
                    .join(cache.select(key), key, "left_anti"))
     return cache.select(key, "file_id").unionByName(new)
 

@@ -33,7 +33,7 @@ def hash_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = sha256_hex("content")
     return (f.select(h.alias("hash"))
              .select("hash", content_id("file-", "hash").alias("file_id"))
-             .dropDuplicates(["hash"]))
+             .distinct())  # file_id is a function of hash: one row per hash
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
