@@ -75,27 +75,68 @@ class Bm25Index(NamedTuple):
     avgdl: float
 
 
-def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool = True) -> Bm25Index:
+def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool = True,
+               path: str | None = None) -> Bm25Index:
     """Build the search index once.
 
-    The postings are written once as a Parquet table in the shared folder
-    (cutting lineage) so every search reuses them instead of re-tokenising the
-    corpus; N and the mean chunk length are read from them.
+    The postings (chunk length riding along as a grouping key) are written as
+    a Parquet table in the shared folder, cutting lineage, so every search
+    reuses them instead of re-tokenising the corpus; N and the mean chunk
+    length are read from them.  With ``path`` the index is persistent: an
+    index already there is loaded; otherwise it is built in a fresh folder and
+    moved to ``path`` in one rename (if another job got there first, its
+    index is used).
     """
     keys = list(keys)
-    # the chunk length rides along as a grouping key: no join back to the chunks
-    weighted = (_by_document(chunks, keys)
-                .select(*keys, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
-                      .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    if materialize:
-        spark = chunks.sparkSession
-        path = fresh_path(spark, "bm25_index")
-        weighted.write.parquet(path)
+    spark = chunks.sparkSession
+    weighted = None
+    if path is not None and _index_exists(path):
         weighted = spark.read.parquet(path)
+    if weighted is None:
+        built = (_by_document(chunks, keys)
+                 .select(*keys, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
+                 .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+        if materialize or path is not None:
+            tmp = fresh_path(spark, "bm25_index")
+            built.write.parquet(tmp)
+            if path is not None:
+                _publish(tmp, path)
+                tmp = path
+            built = spark.read.parquet(tmp)
+        weighted = built
     stats = weighted.select(*keys, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
     return Bm25Index(weighted, keys, int(stats["n"] or 0), float(stats["a"] or 0.0))
 
 
+def _fs_path(uri: str):
+    import posixpath
+
+    import pyarrow.fs as pafs
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + posixpath.abspath(uri))
+
+
+def _index_exists(path: str) -> bool:
+    import pyarrow.fs as pafs
+    fs, p = _fs_path(path)
+    return fs.get_file_info(p + "/_SUCCESS").type == pafs.FileType.File
+
+
+def _publish(tmp: str, path: str) -> None:
+    """Move a finished index into place with one rename; keep an existing one."""
+    import posixpath
+
+    fs, src = _fs_path(tmp)
+    _, dst = _fs_path(path)
+    if _index_exists(path):
+        return
+    fs.create_dir(posixpath.dirname(dst), recursive=True)
+    try:
+        fs.move(src, dst)
+    except OSError:
+        if not _index_exists(path):
+            raise
+
+
 def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str = "item_id",
                 text_col: str = "text", seed_terms: int = 8, probe_size: int = 32) -> DataFrame:
     """Top-``k`` chunks per question by BM25: (qid, rank, keys..., score).

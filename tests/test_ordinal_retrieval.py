@@ -123,3 +123,21 @@ def test_global_ordinal_many_partitions(spark):
     bad = got.join(exp, "id").filter(F.col("o") != F.col("e")).count()
     assert got.count() == 20000 and bad == 0
     assert got.agg(F.min("o"), F.max("o")).first() == (1, 20000)
+
+
+def test_persistent_index_is_built_once(spark):
+    import os
+    from cairn.session import fresh_path
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta delta"), (3, "gamma gamma epsilon")],
+                                 "doc_id long, text string")
+    chunks = RV.chunk_documents(docs, size=8, overlap=2)
+    path = fresh_path(spark, "idx_test")
+    first = RV.bm25_index(chunks, path=path)
+    stamp = os.path.getmtime(os.path.join(path, "_SUCCESS"))
+    second = RV.bm25_index(chunks, path=path)      # loaded, not rebuilt
+    assert os.path.getmtime(os.path.join(path, "_SUCCESS")) == stamp
+    assert (first.n_docs, first.avgdl) == (second.n_docs, second.avgdl) == (3, 8 / 3)
+    q = spark.createDataFrame([(1, "gamma beta")], "item_id long, text string")
+    a = RV.file_search(q, first, k=2).orderBy("rank").collect()
+    b = RV.file_search(q, second, k=2).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in a] == [(r["doc_id"], r["score"]) for r in b]
