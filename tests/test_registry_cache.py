@@ -116,3 +116,35 @@ def test_build_messages_header_and_limit(spark):
     assert out[0]["seq"] == 0 and "The following 3 messages" in out[0]["message"]   # count before the cap
     assert [(r["seq"], r["path"]) for r in out[1:]] == [(1, "/a.py"), (2, "/c.py")]  # /b.py exceeds 60 chars
     assert out[2]["payload_chars"] == len('{"path": "/c.py", "content": "\\u00e9"}')
+
+
+def test_route_precedence(spark):
+    from cairn.operators import route as R
+    listing = spark.createDataFrame([("/c/src/a.py",), ("/c/src/exit",)], "path string")
+    inputs = ["exit", "/c/src/a.py", "/c/src", "/c", "https://youtu.be/dQw4w9WgXcQ", "https://example.com/x",
+              "nothing here", "/c/src/exit"]
+    df = spark.createDataFrame([(x,) for x in inputs], "input string")
+    got = {r["input"]: r["kind"] for r in R.route_inputs(df, listing).collect()}
+    assert got == {"exit": "exit", "/c/src/a.py": "file", "/c/src": "directory", "/c": "directory",
+                   "https://youtu.be/dQw4w9WgXcQ": "video", "https://example.com/x": "web",
+                   "nothing here": "unsupported", "/c/src/exit": "file"}
+
+
+def test_settings_defaults_and_changed(spark):
+    docs = spark.createDataFrame([
+        (1, '{"api_key":"k","model":"m","compression":false,"data_mode":"json","code_style":"s",'
+            '"assistants":[],"threads":[]}'),
+        (2, '{"api_key":"k","assistant_id":"old","threads":[]}')], "k int, json string")
+    rows = {r["k"]: r for r in RG.normalize_settings(docs).collect()}
+    assert (rows[1]["model"], rows[1]["compression"], rows[1]["changed"]) == ("m", False, False)
+    r = rows[2]
+    assert (r["model"], r["compression"], r["data_mode"], r["code_style"]) == ("gpt-3.5-turbo", True, "binary", "monokai")
+    assert r["changed"] is True and "assistant_id" not in r.asDict()
+
+
+def test_export_time_formats(spark):
+    df = spark.createDataFrame([("2024-01-02 03:04:05.123456",), ("2024-01-02 03:04:05",)], "t string") \
+        .select(F.to_timestamp("t").alias("created_at"))
+    out = RG.export_times(df).collect()
+    assert out[0]["created_at_iso"] == "2024-01-02T03:04:05.123456" and out[1]["created_at_iso"] == "2024-01-02T03:04:05"
+    assert out[1]["created_at_int"] == 1704164645 and abs(out[0]["created_at_ts"] - 1704164645.123456) < 1e-6
