@@ -148,3 +148,26 @@ def test_export_time_formats(spark):
     out = RG.export_times(df).collect()
     assert out[0]["created_at_iso"] == "2024-01-02T03:04:05.123456" and out[1]["created_at_iso"] == "2024-01-02T03:04:05"
     assert out[1]["created_at_int"] == 1704164645 and abs(out[0]["created_at_ts"] - 1704164645.123456) < 1e-6
+
+
+def test_transcript_without_entries_and_text_blocks(spark):
+    from cairn.operators import messages as M
+    from cairn.operators import transcripts as TR
+    recs = spark.createDataFrame([('{"video_id":"v1","vector_store_id":"","file_id":""}',),
+                                  ('{"video_id":"v2","entries":[{"text":"hi","start":3661.5,"duration":1.0}]}',)],
+                                 "json string")
+    rows = {r["video_id"]: r for r in TR.load_transcripts(recs).collect()}
+    assert rows["v1"]["pos"] is None and rows["v1"]["text"] is None          # missing entries -> empty
+    assert (rows["v2"]["pos"], rows["v2"]["text"]) == (0, "hi")
+    rendered = TR.render_transcripts(TR.load_transcripts(recs).filter("pos IS NOT NULL")).first()
+    assert rendered["transcript"] == "1:01:01.500000 hi"
+    msgs = M.message_blocks(spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "conv_id long, pos long, text string"))
+    assert M.response_text(msgs, "conv_id", "pos").first()["response_text"] == "ab"   # image blocks ignored
+
+
+def test_exit_cut(spark):
+    from cairn.operators import messages as M
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", " exit"), (1, 2, "assistant", "exit"),
+                                   (1, 3, "user", "EXIT"), (1, 4, "user", "after")],
+                                  "conv_id long, pos long, role string, text string")
+    assert [r["pos"] for r in M.truncate_at_exit(turns).orderBy("pos").collect()] == [0, 1, 2]
