@@ -171,3 +171,28 @@ def test_exit_cut(spark):
                                    (1, 3, "user", "EXIT"), (1, 4, "user", "after")],
                                   "conv_id long, pos long, role string, text string")
     assert [r["pos"] for r in M.truncate_at_exit(turns).orderBy("pos").collect()] == [0, 1, 2]
+
+
+def test_choices_fields_and_names(spark):
+    from cairn.operators import route as R
+    taken = spark.createDataFrame([("Order 1",), ("chat",)], "name string")
+    cands = spark.createDataFrame([("order 1",), ("ORDER 2",), ("CHAT",)], "input string")
+    got = {r["input"]: r["valid"] for r in RG.check_choices(cands, taken, "input", "name", blacklist=True,
+                                                            case_sensitive=False).collect()}
+    assert got == {"order 1": False, "ORDER 2": True, "CHAT": False}
+    nums = spark.createDataFrame([(" 2 ",), ("0",), ("6",), ("x",), ("+5",)], "input string")
+    got = {r["input"]: r["valid"] for r in RG.check_numeric_choices(nums, registry(spark), "input").collect()}
+    assert got == {" 2 ": True, "0": False, "6": False, "x": False, "+5": True}
+    recs = spark.createDataFrame([("a", "", "i"), ("b", "n", ""), ("c", "n", "i")], "id string, name string, instructions string")
+    assert {r["id"]: r["missing"] for r in RG.missing_fields(recs).collect()} == \
+        {"a": ["name"], "b": ["instructions"], "c": []}
+    looks = spark.createDataFrame([("ALPHA",), ("Dup",), ("zeta",)], "lookup string")
+    got = {r["lookup"]: (r["status"], r["id"]) for r in RG.lookup_by_name(looks, registry(spark)).collect()}
+    assert got == {"ALPHA": ("found", "asst_1"), "Dup": ("ambiguous", None), "zeta": ("missing", None)}
+    amb = RG.ambiguous_names(registry(spark)).collect()
+    assert [(r["lname"], r["n"]) for r in amb] == [("dup", 2)]
+    parts = spark.createDataFrame([(["'my", "file.txt'"],), (['"a', 'b"'],)], "parts array<string>")
+    assert [r["input"] for r in R.clean_inputs(parts).collect()] == ["myfile.txt", "ab"]
+    bodies = spark.createDataFrame([("  <!DOCTYPE html><p>",), ("%PDF-1.7",), ("plain",)], "b string")
+    assert [r[0] for r in bodies.select(R.sniff_content_type(F.col("b"))).collect()] == \
+        ["text/html; charset=utf-8", "application/pdf", "text/plain"]
