@@ -18,6 +18,7 @@ def _shipped(fn):
     run.__doc__ = fn.__doc__
     return run
 
+
 MODULES = (
     "cairn.plans.corpus",
     "cairn.plans.conversation",
