@@ -8,7 +8,6 @@ import os
 from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
-from cairn.functions import text as T
 from cairn.operators import retrieval as RV
 from cairn.operators import summarize as SM
 from cairn.operators import toolcalls as TC

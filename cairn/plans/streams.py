@@ -6,7 +6,6 @@ SQL as the batch operator's, so the stream is checked against the batch answer.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
 from cairn.operators import retrieval as RV
