@@ -120,3 +120,22 @@ def test_tool_calls_stream_restart_keeps_state(spark, sf_small):
     got = spark.read.parquet(out).select("call_id", "ord")
     batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_binaryfile_pushdown_and_pruning(spark):
+    import contextlib
+    import io
+    root = fresh_path(spark, "pushdown")
+    df = spark.createDataFrame([("/r/a.py", "x" * 10, False), ("/r/b.py", "y" * 1000, False)],
+                               "path string, content string, gz boolean")
+    FS.land_files(df, root).write.parquet(root + "_m")
+    sized = FS.scan_contents(spark, root, max_bytes=100)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        sized.explain()
+    assert "LessThanOrEqual(length,100)" in buf.getvalue()          # pushed into the listing
+    assert [r["path"].split("/r/")[-1] for r in sized.collect()] == ["a.py"]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        FS.scan_files(spark, root).explain()
+    assert "content" not in buf.getvalue().split("ReadSchema:")[1].split("\n")[0]   # bytes not read
