@@ -141,3 +141,16 @@ def test_persistent_index_is_built_once(spark):
     a = RV.file_search(q, first, k=2).orderBy("rank").collect()
     b = RV.file_search(q, second, k=2).orderBy("rank").collect()
     assert [(r["doc_id"], r["score"]) for r in a] == [(r["doc_id"], r["score"]) for r in b]
+
+
+def test_top_k_limits_before_the_shuffle(spark):
+    import contextlib
+    import io
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("s"), "id")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        top_k(df, ["g"], [F.col("s").desc(), "id"], 3).explain()
+    plan = buf.getvalue()
+    assert "row_number(), 3, Partial" in plan
+    # printed top-down: the partial limit sits below (after) the exchange, i.e. runs map-side
+    assert plan.index("Exchange") < plan.index("row_number(), 3, Partial")
