@@ -36,3 +36,16 @@ def test_query_matches_oracle(spark, sf_small, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "store_id" in df.columns
+
+
+def test_no_cross_products_in_any_plan(spark, sf_small):
+    import contextlib
+    import io
+    offenders = []
+    for name, fn in QUERIES.items():
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            fn(spark, sf_small).explain()
+        if any(op in buf.getvalue() for op in ("CartesianProduct", "BroadcastNestedLoopJoin")):
+            offenders.append(name)
+    assert offenders == []
