@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.bpe_automaton import encode_texts
 from cairn.llm.exact_dedup import exact_duplicates
+from cairn.llm.mixing import draw_mix
 from cairn.llm.record_files import record_digests
 from cairn.llm.token_counts import token_counts
 from cairn.plans import query_registry
@@ -20,6 +21,12 @@ def _texts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+@register("op5_hypergeometric_mix")
+def op5(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return draw_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "draws")
+
+
 @register("op6_digest_cache_counts")
 def op6(spark, sf_dir):
     # one cache for each corpus folder, shared by all runs on it
