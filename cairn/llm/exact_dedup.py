@@ -156,9 +156,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     repeated = materialize(repeated_fingerprints(filters, bits), "dedup_repeated")
     routed = materialize(digests.join(repeated, "fp", "left_semi").select("doc_id", "row", "sha"), "dedup_routed")
     ids = routed.select(F.col("doc_id").alias("routed_id"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fold_case(F.col("text")).alias("text"))
-    same_bytes = (texts.join(ids, F.col("doc_id").eqNullSafe(F.col("routed_id")), "left_semi")
-                       .groupBy("text").agg(F.count(F.lit(1)).alias("same"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # the routed rows are a share of the input: one plan at every size, a shuffle of both sides
+    same_bytes = (texts.hint("merge").join(ids, F.col("doc_id").eqNullSafe(F.col("routed_id")), "left_semi")
+                       .groupBy(fold_case(F.col("text")).alias("text")).agg(F.count(F.lit(1)).alias("same"))
                        .select(F.sha2("text", 256).alias("sha"), "same"))
     groups = (routed.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
                     .join(same_bytes, "sha").filter("n = same AND n > 1")
