@@ -249,7 +249,8 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     wanted = (left.select("class_key").distinct().withColumnRenamed("class_key", "wanted")
               .join(classes.select(F.col("class_key").alias("wanted"), "rep_id"), "wanted"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(wanted.select("rep_id").distinct(), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    # survivors are a share of the input: one plan at every size, a shuffle of both sides
+    texts = texts.hint("merge").join(wanted.select("rep_id").distinct(), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
     sets = (shingle_table(texts, with_sets=True).join(wanted, F.col("class_key") == F.col("wanted"), "left_semi")
             .groupBy("class_key").agg(F.first("made").alias("shingles")))
     sets = materialize(sets, "join_sets")
