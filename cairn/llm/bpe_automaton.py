@@ -37,13 +37,26 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 NEVER = float("inf")
-MEMO_ENTRIES = 250_000  # bound of each worker's memo of chunks and of looked-up arcs
-# The word pattern of the lower-case vocabulary, and what it is for printable ASCII.
+HEAD = 4
+MEMO_ENTRIES = 400_000  # bound of each worker's memo of chunks and of looked-up arcs
+# The word pattern of the lower-case vocabulary, and what it is for printable
+# characters before U+0250, which are in normal form C and whose case folds one by one.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+SIMPLE_END = "\u0250"
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself if visible, else the next one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
 CHUNK = re.compile(r"[^ \t-\r]+")  # no word of a text crosses ASCII white space
 
 
@@ -55,7 +68,10 @@ class TokenizationAutomaton:
         end = len(word_end)
         self.final = {s[:-end]: i for s, i in labels.items() if s.endswith(word_end)} if end else labels
         self.inner = {s: i for s, i in labels.items() if not s.endswith(word_end)} if end else labels
-        self.longest = max(map(len, labels), default=1)
+        self.reach: dict[str, int] = {}  # first HEAD characters -> longest label that begins so
+        for s in labels:
+            if len(s) >= HEAD:
+                self.reach[s[:HEAD]] = max(len(s), self.reach.get(s[:HEAD], 0))
         self.lost: dict[tuple[int, int], int] = {}  # (state's label, arc) -> when the arc went
         self.began: dict[int, tuple[int, int]] = {}  # state's label -> (state it copies, when)
         self.made: dict[int, tuple[int, int]] = {}  # arc uv -> (arc u it needs, when)
@@ -102,7 +118,7 @@ class TokenizationAutomaton:
         n, at, path, starts, dead = len(word), 0, [], [], set()
         while at < n:
             state = path[-1] if path else None
-            for stop in range(min(n, at + self.longest), at, -1):
+            for stop in range(min(n, at + self.reach.get(word[at:at + HEAD], HEAD - 1)), at, -1):
                 label = (self.final if stop == n else self.inner).get(word[at:stop])
                 if label is not None and stop not in dead and self.has_arc(state, label):
                     path.append(label)
@@ -136,13 +152,15 @@ class AutomatonTokenizer:
         splitter = Tokenizer.from_str(spec)
         self.normalize = splitter.normalizer.normalize_str
         self.split = splitter.pre_tokenizer.pre_tokenize_str
-        # ASCII words, for the one word pattern this is known for, without the library's splitter
+        # for the one word pattern this is known for, simple words go without the library's splitter
         pattern = (content["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
-        self.words = ASCII_WORDS if pattern == WORDS else None
+        self.words = regex.compile(WORDS) if pattern == WORDS else None
+        self.bytes = byte_alphabet()
         self.word_memo: dict[str, list[int]] = {}
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(names)})") if names else None
-        self.memo: dict[str, tuple[str, int, str]] = {}
+        self.memo: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}  # the memo before the last time it was full
 
     def _word(self, word: str) -> list[int]:
         ids = self.word_memo.get(word)
@@ -154,42 +172,50 @@ class AutomatonTokenizer:
                 self.word_memo[word] = ids
         return ids
 
+    def pre_split(self, part: str) -> list[str]:
+        """The words of a text without special strings, in the byte alphabet."""
+        if self.words and part.isprintable():
+            if part.isascii():
+                return ASCII_WORDS.findall(part.lower())
+            if max(part) < SIMPLE_END and "\u0130" not in part:
+                return ["".join([self.bytes[b] for b in w.encode()]) for w in self.words.findall(part.lower())]
+        return [w for w, _ in self.split(self.normalize(part))]
+
     def encode_chunk(self, chunk: str) -> list[int]:
         ids: list[int] = []
-        for part in self.cut.split(chunk) if self.cut else [chunk]:
+        for part in self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]:
             if part in self.special:
                 ids.append(self.special[part])
-            elif self.words and part.isascii() and part.isprintable():
-                for word in self.words.findall(part.lower()):
-                    ids += self._word(word)
             elif part:
-                for word, _ in self.split(self.normalize(part)):
+                for word in self.pre_split(part):
                     ids += self._word(word)
         return ids
 
-    def _learn(self, chunk: str) -> tuple[str, int, str]:
-        ids = self.encode_chunk(chunk)
-        found = " ".join(map(str, ids)), len(ids), " ".join(map(self.label.__getitem__, ids))
+    def _learn(self, chunk: str) -> tuple[str, str]:
+        found = self.older.get(chunk)
+        if found is None:
+            ids = self.encode_chunk(chunk)
+            found = " ".join(map(str, ids)), self.decode(ids)
         if len(self.memo) >= MEMO_ENTRIES:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         if len(chunk) <= 200:
             self.memo[chunk] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text, as the library's encode(add_special_tokens=False)."""
-        return [int(i) for c in CHUNK.findall(text or "") for i in self.encode_chunk(c)]
+        return [i for c in CHUNK.findall(text or "") for i in self.encode_chunk(c)]
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels, joined as the library's decode(skip_special_tokens=False)."""
-        return " ".join(map(self.label.__getitem__, ids))
+        return " ".join([self.label[i] for i in ids])
 
     def written(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal, and the decoded text, of a whole text."""
-        get, learn = self.memo.get, self._learn
-        parts = [get(c) or learn(c) for c in CHUNK.findall(text or "")]
-        return (sum([p[1] for p in parts]), " ".join([p[0] for p in parts if p[1]]),
-                " ".join([p[2] for p in parts if p[1]]))
+        learn = self._learn
+        parts = [self.memo.get(c) or learn(c) for c in CHUNK.findall(text or "")]
+        ids = " ".join([p[0] for p in parts if p[0]])
+        return ids.count(" ") + bool(ids), ids, " ".join([p[1] for p in parts if p[0]])
 
 
 _TOKENIZERS: dict[str, AutomatonTokenizer] = {}
