@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.llm.bpe_automaton import encode_texts
 from cairn.llm.exact_dedup import exact_duplicates
 from cairn.llm.jaccard_join import jaccard_links
+from cairn.llm.language_id import identify_languages
 from cairn.llm.mixing import draw_mix
 from cairn.llm.record_files import record_digests
 from cairn.llm.token_counts import token_counts
@@ -27,6 +28,11 @@ def op2(spark, sf_dir):
     return jaccard_links(_texts(spark, sf_dir))
 
 
+@register("op3_kneser_ney_language")
+def op3(spark, sf_dir):
+    return identify_languages(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 @register("op5_hypergeometric_mix")
 def op5(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
