@@ -18,10 +18,11 @@ model's size, which is collected and broadcast); that is the only bound.
 
 The language with the least cross-entropy per character wins.  Its score is the
 posterior probability under a temperature chosen to minimise the log-loss of the
-calibration rows.  A document is rejected if its cross-entropy exceeds the
-quantile of its language's calibration rows by more than a slack that shrinks with
-the square root of its length; the calibration rows, a quarter of all, take no
-part in the counts.  Rows with crc32(doc_id) mod 4 of 2 are held out of both.
+calibration rows.  A document is rejected if its cross-entropy lies more than half the
+way from the quantile of its language's calibration rows to that of a uniform
+distribution, plus a slack that shrinks with the square root of its length: mixed
+and noisy documents stay, characters of no language go.  The calibration rows,
+a quarter of all, take no part in the counts.  Rows with crc32(doc_id) mod 4 of 2 are held out of both.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0
 and rejected, and so are all if no language can be learned; ties go to the first
@@ -96,7 +97,7 @@ class CharacterModels:
         self.languages = sorted(grams["lang"].unique())
         points = np.frombuffer("".join(grams["gram"]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER)
         language = np.searchsorted(self.languages, grams["lang"].to_numpy(object).astype(str))
-        alphabet = len(np.unique(points[:, -1])) + 1
+        self.alphabet = alphabet = len(np.unique(points[:, -1])) + 1
         size = len(self.languages)
         parts: list[list[tuple]] = [[] for _ in range(ORDER + 1)]
         self.floor = np.zeros(size)
@@ -280,11 +281,12 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     limits = {r["best"]: r["limit"] for r in calibration.filter("best = lang").groupBy("best").agg(
         F.percentile_approx("cross_entropy", QUANTILE, 10_000).alias("limit")).collect()}  # a row per language
     limit = F.coalesce(*[F.when(F.col("best") == k, F.lit(float(v))) for k, v in sorted(limits.items())], F.lit(float("inf")))
+    limit = limit + F.greatest(F.lit(0.0), F.lit(float(np.log(models.alphabet))) - limit) / 2 + SLACK / F.sqrt("chars")
     known = F.col("chars") > 0
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(known, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(known, posterior(best, temperature)).otherwise(0.0).alias("score"),
-        F.when(known, F.col("cross_entropy") > limit + SLACK / F.sqrt("chars")).otherwise(True).alias("rejected"), "cross_entropy")
+        F.when(known, F.col("cross_entropy") > limit).otherwise(True).alias("rejected"), "cross_entropy")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
