@@ -13,8 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-
-import numpy as np
+from array import array
 
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # White space beyond space, tab, line feed and carriage return.
@@ -36,9 +35,10 @@ class PieceEncoder:
         self.cuts = self.tokenizer.normalizer is None and "ByteLevel" in repr(self.tokenizer.pre_tokenizer)[:40]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the memo before the last time it was full
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
+        return [array("I", e.ids).tobytes()  # four bytes each, little-endian on Spark's platforms
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _safe(self, text: str) -> bool:
@@ -51,11 +51,13 @@ class PieceEncoder:
         found = [list(map(self.memo.get, p)) for p in pieces]
         missing = list(dict.fromkeys(p for own, got in zip(pieces, found, strict=True) if None in got
                                      for p, g in zip(own, got, strict=True) if g is None))
-        new = dict(zip(missing, self._library(missing), strict=True))
+        new = {p: self.older[p] for p in missing if p in self.older}
+        missing = [p for p in missing if p not in new]
+        new.update(zip(missing, self._library(missing), strict=True))
         out = [b"".join([new[p] if g is None else g for p, g in zip(own, got, strict=True)] if None in got else got)
                for own, got in zip(pieces, found, strict=True)]
         if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         self.memo.update((p, ids) for p, ids in list(new.items())[:MEMO_ENTRIES] if len(p) <= LONG_PIECE)
         return out
 
