@@ -10,6 +10,7 @@ from cairn.llm.exact_dedup import exact_duplicates
 from cairn.llm.jaccard_join import jaccard_links
 from cairn.llm.language_id import identify_languages
 from cairn.llm.mixing import draw_mix
+from cairn.llm.quality_rules import apply_rules
 from cairn.llm.record_files import record_digests
 from cairn.llm.token_counts import token_counts
 from cairn.plans import query_registry
@@ -23,6 +24,12 @@ def _texts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+@register("op1_risk_controlled_rules")
+def op1(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return apply_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @register("op2_bayes_jaccard_join")
 def op2(spark, sf_dir):
     return jaccard_links(_texts(spark, sf_dir))
