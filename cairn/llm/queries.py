@@ -12,6 +12,7 @@ from cairn.llm.language_id import identify_languages
 from cairn.llm.mixing import draw_mix
 from cairn.llm.quality_rules import apply_rules
 from cairn.llm.record_files import record_digests
+from cairn.llm.rule_ensemble import classify
 from cairn.llm.token_counts import token_counts
 from cairn.plans import query_registry
 from cairn.session import shared_dir
@@ -40,6 +41,11 @@ def op3(spark, sf_dir):
     return identify_languages(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+@register("op4_sparse_rule_ensemble")
+def op4(spark, sf_dir):
+    return classify(_texts(spark, sf_dir), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @register("op5_hypergeometric_mix")
 def op5(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
