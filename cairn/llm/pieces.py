@@ -18,7 +18,7 @@ from array import array
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # White space beyond space, tab, line feed and carriage return.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 350_000
 LONG_PIECE = 200
 
 

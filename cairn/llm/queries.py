@@ -10,6 +10,7 @@ from cairn.llm.exact_dedup import exact_duplicates
 from cairn.llm.jaccard_join import jaccard_links
 from cairn.llm.language_id import identify_languages
 from cairn.llm.mixing import draw_mix
+from cairn.llm.pii import find_personal_data
 from cairn.llm.quality_rules import apply_rules
 from cairn.llm.record_files import record_digests
 from cairn.llm.rule_ensemble import classify
@@ -70,6 +71,11 @@ def op7(spark, sf_dir):
     return exact_duplicates(_texts(spark, sf_dir))
 
 
+@register("op8_disclosure_pii")
+def op8(spark, sf_dir):
+    return find_personal_data(_texts(spark, sf_dir)).drop("digest", "terms")
+
+
 @register("op9_automaton_bpe")
 def op9(spark, sf_dir):
     return encode_texts(_texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
