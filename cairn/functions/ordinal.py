@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import fresh_path
+from cairn.session import written
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -31,28 +31,22 @@ def _cols(cols) -> list[Column]:
 
 
 def global_ordinal(df: DataFrame, order_cols: Sequence, name: str = "ordinal",
-                   num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+                   num_partitions: int | None = None) -> DataFrame:
     """Append a 1-based ordinal in ``order_cols`` order (make it total with a unique key).
 
-    The input is evaluated twice (range-partition sample, then the shuffle);
-    ``materialize=True`` writes it once to the shared folder first, which pays
-    off when the input is expensive to compute.
+    The range-partitioned rows are written once with their partition and place in it;
+    both the counts per partition and the rows come from that table.  (Two reads of
+    the shuffle itself may sample different range bounds, since column pruning gives
+    them different inputs, and then disagree about which partition a row is in.)
     """
-    if materialize:
-        path = fresh_path(df.sparkSession, "ordinal_input")
-        df.write.parquet(path)
-        df = df.sparkSession.read.parquet(path)
     order = _cols(order_cols)
-    # An explicit partition count makes this a REPARTITION_BY_NUM shuffle, which
-    # AQE never coalesces, so both readers below (the per-partition counts and
-    # the rows) see the same partition ids.  With a total order the sort inside
-    # a partition is deterministic, so a recomputed task yields the same ids.
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-                .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+    ranged = written(df.repartitionByRange(n, *order)
+                       .sortWithinPartitions(*order)
+                       .withColumn("_mid", F.monotonically_increasing_id())
+                       .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+                       .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
+                       .drop("_mid"), "ordinal")
     # One row per partition: bounded by the partition count, never by the data.
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
@@ -61,19 +55,27 @@ def global_ordinal(df: DataFrame, order_cols: Sequence, name: str = "ordinal",
         .alias("_offset"))
     return (ranged.join(F.broadcast(offsets), "_pid", "left")
                   .withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local") + 1)
-                  .drop("_mid", "_pid", "_local", "_offset"))
+                  .drop("_pid", "_local", "_offset"))
 
 
 def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                  name: str = "ordinal", materialize: bool = False) -> DataFrame:
+                  name: str = "ordinal") -> DataFrame:
     """1-based ordinal within each group, safe for groups of any size."""
-    numbered = global_ordinal(df, list(group_cols) + list(order_cols), "_g", materialize=materialize)
-    starts = numbered.groupBy(*group_cols).agg(F.min("_g").alias("_start"))
+    numbered = global_ordinal(df, list(group_cols) + list(order_cols), "_g")
+    # a written table, so that AQE can split the join on a hot group
+    starts = written(numbered.groupBy(*group_cols).agg(F.min("_g").alias("_start")), "group_starts")
     return (numbered.join(starts, list(group_cols))
                     .withColumn(name, F.col("_g") - F.col("_start") + 1)
                     .drop("_g", "_start"))
 
 
+def nth(df: DataFrame, order_cols: Sequence, n: int) -> DataFrame:
+    """The row with ordinal ``n`` (1-based; negative counts from the end); none if there is none."""
+    numbered = global_ordinal(df, order_cols, "_ordinal")
+    wanted = F.lit(n) if n > 0 else numbered.agg(F.max("_ordinal") + 1 + n).scalar()
+    return numbered.filter(F.col("_ordinal") == wanted).drop("_ordinal")
+
+
 def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int,
           rank_name: str = "rank") -> DataFrame:
     """First ``k`` rows per group in ``order_cols`` order, numbered 1..k."""

@@ -175,6 +175,10 @@ def is_url(text) -> Column:
     return _c(text).rlike(URL_PATTERN)
 
 
+# A body that opens, after white space and comments, like an HTML page (our own rule).
+HTML_START = r"(?is)^\s*(?:<!--.*?-->\s*)*<(?:!doctype html|html)"
+
+
 def content_type_extension(content_type) -> Column:
     """Extension of the first supported type the header starts with; null otherwise."""
     out = F.lit(None).cast("string")

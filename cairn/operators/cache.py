@@ -1,8 +1,9 @@
 """Content-addressed ingest: fingerprint, reuse earlier ids, remember new ones.
 
-Duplicates are resolved with per-hash aggregates joined back on the hash
-(partial aggregation absorbs a hash that holds a third of the batch; AQE
-splits the skewed join partition), never with a window over a hot hash.
+Duplicates are resolved with per-hash aggregates, written and joined back on the
+hash: partial aggregation absorbs a hash that holds a third of the batch, and
+AQE splits the skewed join partition, as both its sides are scans with a shuffle
+of their own.  Never a window over a hot hash.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.hashing import content_id, sha256_hex
 from cairn.functions import text as T
+from cairn.session import written
 
 FILE_ID_PREFIX = "file-"
 STORE_ID_PREFIX = "vs_"
@@ -23,7 +25,7 @@ def fingerprint(df: DataFrame, content: str = "content", out: str = "hash") -> D
 
 
 def first_positions(batch: DataFrame, key: str = "hash", pos: str = "pos") -> DataFrame:
-    return batch.groupBy(key).agg(F.min(pos).alias("first_pos"))
+    return written(batch.groupBy(key).agg(F.min(pos).alias("first_pos")), "first_positions")
 
 
 def batch_duplicates(batch: DataFrame, key: str = "hash", pos: str = "pos") -> DataFrame:
@@ -41,8 +43,9 @@ def assign_file_ids(batch: DataFrame, cache: DataFrame, key: str = "hash",
     count as cached (the id was remembered at once).
     """
     cached_ids = cache.select(F.col(key), F.col("file_id").alias("_cached_id"))
-    return (batch.join(first_positions(batch, key, pos), key)
-                 .join(cached_ids, key, "left")
+    # one row per hash, so the batch is joined once
+    known = written(batch.groupBy(key).agg(F.min(pos).alias("first_pos")).join(cached_ids, key, "left"), "known_hashes")
+    return (batch.join(known, key)
                  .withColumn("file_id", F.coalesce("_cached_id", content_id(FILE_ID_PREFIX, key)))
                  .withColumn("cached", F.col("_cached_id").isNotNull() | (F.col(pos) > F.col("first_pos")))
                  .drop("_cached_id", "first_pos"))
@@ -96,7 +99,7 @@ def restore_or_create(requests: DataFrame, stored: DataFrame, key: str, pos: str
                           F.min_by(F.struct(*[e.alias(n) for n, e in new_cols.items()]), pos)
                            .alias("_new")))
     old = stored.select(key, F.struct(*names).alias("_old"))
-    canon = first.join(old, key, "left")
+    canon = written(first.join(old, key, "left"), "canonical_records")
     picked = [F.coalesce(F.col(f"_old.{n}"), F.col(f"_new.{n}")).alias(n) for n in names]
     return (requests.join(canon, key)
                     .select(*[F.col(c) for c in requests.columns if c not in names], *picked,

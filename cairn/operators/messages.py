@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import group_ordinal, ordered_concat
+from cairn.session import written
 
 # The header message announcing the per-file messages.
 HEADER_TEMPLATE = (
@@ -31,8 +32,7 @@ def build_messages(files: DataFrame, store: str = "store", path: str = "path",
     sized = files.select(store, path, content,
                          T.payload_length(F.col(path), F.col(content)).alias("payload_chars"))
     kept = sized.filter(F.col("payload_chars") <= limit)
-    # the selection and payload lengths above are regex-heavy: write them once
-    numbered = group_ordinal(kept, [store], [path], "seq", materialize=True)
+    numbered = group_ordinal(kept, [store], [path], "seq")
     body = numbered.select(store, "seq", path, "payload_chars",
                            F.to_json(F.struct(F.col(path).alias("path"),
                                               F.col(content).alias("content"))).alias("message"))
@@ -58,11 +58,11 @@ def truncate_at_exit(turns: DataFrame, conv: str = "conv_id", pos: str = "pos",
                      role: str = "role", text: str = "text") -> DataFrame:
     """Drop each conversation's turns from its first user exit word on.
 
-    The cut is a per-conversation aggregate joined back (no window over a
-    possibly huge conversation).
+    The cut is a per-conversation aggregate, written and joined back (no window over a
+    possibly huge conversation; the join on it can be split).
     """
-    cut = (turns.filter((F.col(role) == "user") & T.is_exit_word(text))
-                .groupBy(conv).agg(F.min(pos).alias("_cut")))
+    cut = written(turns.filter((F.col(role) == "user") & T.is_exit_word(text))
+                       .groupBy(conv).agg(F.min(pos).alias("_cut")), "exit_cuts")
     return (turns.join(cut, conv, "left")
                  .filter(F.col("_cut").isNull() | (F.col(pos) < F.col("_cut")))
                  .drop("_cut"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.hashing import sha256_hex
-from cairn.functions.ordinal import global_ordinal
+from cairn.functions.ordinal import global_ordinal, nth
+from cairn.session import written
 
 ID_PREFIXES = ("asst_", "thread_")
 
@@ -52,12 +53,10 @@ CONVERSATION_OPENINGS = (
 )
 DEFAULT_OPENING = ("Generating summary of content...",
                    "Please identify what the provided content is and provide a summary.")
-THREAD_SUMMARY_PROMPT = "Please summarize our conversation thus far."
 DEFAULT_MODEL = "gpt-3.5-turbo"
 SETTINGS_DEFAULTS = {"model": DEFAULT_MODEL, "compression": True, "code_style": "monokai",
                      "data_mode": "binary"}
 SETTINGS_KEYS = ("api_key", "model", "compression", "data_mode", "code_style", "assistants", "threads")
-DEPRECATED_KEYS = ("assistant_id",)
 
 
 def default_order(registry: DataFrame, name: str = "ordinal") -> DataFrame:
@@ -65,6 +64,11 @@ def default_order(registry: DataFrame, name: str = "ordinal") -> DataFrame:
     return global_ordinal(registry, ["created_at", "position"], name)
 
 
+def pick(registry: DataFrame, n: int) -> DataFrame:
+    """The n-th item of the list (1-based; negative: from the end); empty if there is none."""
+    return nth(registry, ["created_at", "position"], n)
+
+
 def custom_order(registry: DataFrame, key, descending: bool = False, name: str = "ordinal") -> DataFrame:
     """1-based ordinal by a custom key column/expression, ties kept in position order."""
     k = F.col(key) if isinstance(key, str) else key
@@ -98,6 +102,7 @@ def lookup_by_name(lookups: DataFrame, registry: DataFrame, col: str = "lookup")
     """Per lookup: status 'found' / 'ambiguous' / 'missing' and the id when found."""
     counts = (registry.groupBy(F.lower("name").alias("_lname"))
                       .agg(F.count(F.lit(1)).alias("_n"), F.min_by("id", "position").alias("_id")))
+    counts = written(counts, "name_counts")  # so that a hot lookup's join can be split
     j = lookups.join(counts, F.lower(F.col(col)) == F.col("_lname"), "left")
     status = (F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").otherwise("found"))
     return (j.withColumn("status", status)
@@ -107,7 +112,7 @@ def lookup_by_name(lookups: DataFrame, registry: DataFrame, col: str = "lookup")
 
 def lookup_by_id(lookups: DataFrame, registry: DataFrame, col: str = "lookup") -> DataFrame:
     """Per lookup: ``idx`` = 0-based list position of the first item with that id, else -1."""
-    idx = (default_order(registry).groupBy("id").agg((F.min("ordinal") - 1).alias("_idx")))
+    idx = written(default_order(registry).groupBy("id").agg((F.min("ordinal") - 1).alias("_idx")), "id_places")
     return (lookups.join(idx, F.col(col) == F.col("id"), "left")
                    .withColumn("idx", F.coalesce(F.col("_idx"), F.lit(-1)).cast("bigint"))
                    .drop("_idx"))
@@ -121,11 +126,12 @@ def resolve_identifier(idents: DataFrame, registry: DataFrame, col: str = "ident
     allowed); numbers out of range resolve to nothing.
     """
     ordered = default_order(registry)
-    by_id = ordered.groupBy("id").agg((F.min("ordinal") - 1).alias("_idx_id"))
-    by_name = (unique_names(ordered.select("id", "name", "position"))
-               .join(by_id.withColumnRenamed("_idx_id", "_idx_name"), "id")
-               .select("lname", "_idx_name", F.col("id").alias("_id_name")))
-    by_num = ordered.select((F.col("ordinal") - 1).alias("_idx_num"), F.col("id").alias("_id_num"))
+    # written tables, so that the joins of a hot identifier can be split
+    by_id = written(ordered.groupBy("id").agg((F.min("ordinal") - 1).alias("_idx_id")), "id_places")
+    by_name = written(unique_names(ordered.select("id", "name", "position"))
+                      .join(by_id.withColumnRenamed("_idx_id", "_idx_name"), "id")
+                      .select("lname", "_idx_name", F.col("id").alias("_id_name")), "name_places")
+    by_num = written(ordered.select((F.col("ordinal") - 1).alias("_idx_num"), F.col("id").alias("_id_num")), "places")
     ident = F.col(col)
     prefixed = F.lit(False)
     for p in ID_PREFIXES:
@@ -153,7 +159,7 @@ def delete_identified(registry: DataFrame, idents: DataFrame, col: str = "identi
 def thread_assistant(threads: DataFrame, assistants: DataFrame) -> DataFrame:
     """The assistant a thread resumes with: by its stored name (unique,
     case-insensitive, names only), falling back to the stored id."""
-    names = unique_names(assistants).withColumnRenamed("id", "_by_name")
+    names = written(unique_names(assistants).withColumnRenamed("id", "_by_name"), "unique_names")
     return (threads.join(names, F.lower(F.col("assistant_name")) == F.col("lname"), "left")
                    .withColumn("resolved_assistant_id", F.coalesce("_by_name", "assistant_id"))
                    .withColumn("resolved_by", F.when(F.col("_by_name").isNotNull(), "name").otherwise("stored_id"))
@@ -191,20 +197,22 @@ def sync_defaults(registry: DataFrame, defaults: DataFrame, now_epoch: int) -> D
     position; found once but not equal (name or instructions differ) ->
     replaced in place, keeping created_at and position; equal -> kept; the
     name held by several items -> that default is skipped (the lookup fails).
-    Output: the whole registry with ``action``.
+    Output: the whole registry with ``action``.  The defaults are a fixed list of a few
+    rows, so they and what they match are broadcast.
     """
     reg = registry.select("id", "name", "instructions", "created_at", "position")
-    counts = (reg.groupBy(F.lower("name").alias("lname"))
-                 .agg(F.count(F.lit(1)).alias("_n"), F.min_by("id", "position").alias("_old_id")))
-    d = defaults.select(F.col("name").alias("_dname"), F.col("instructions").alias("_dinstr"),
-                        F.col("seq").alias("_dseq"))
-    matched = d.join(counts, F.lower("_dname") == F.col("lname"), "left")
-    replace = (matched.filter(F.col("_n") == 1)
-                      .join(reg.select(F.col("id").alias("_old_id"), F.col("name").alias("_oname"),
-                                       F.col("instructions").alias("_oinstr")), "_old_id")
-                      .filter((F.col("_oname") != F.col("_dname")) | (F.col("_oinstr") != F.col("_dinstr")))
-                      .select("_old_id", "_dname", "_dinstr"))
-    updated = (reg.join(replace, F.col("id") == F.col("_old_id"), "left")
+    d = defaults.select(F.lower("name").alias("_lname"), F.col("name").alias("_dname"),
+                        F.col("instructions").alias("_dinstr"), F.col("seq").alias("_dseq"))
+    # only items that carry a default's name matter: a row per default is left of them
+    held = (reg.join(F.broadcast(d.select("_lname")), F.lower("name") == F.col("_lname"), "left_semi")
+               .groupBy(F.lower("name").alias("_lname")).agg(
+                   F.count(F.lit(1)).alias("_n"),
+                   F.min_by(F.struct("id", "name", "instructions"), "position").alias("_old")))
+    matched = written(d.join(held, "_lname", "left"), "default_matches")
+    replace = (matched.filter((F.col("_n") == 1) & ((F.col("_old.name") != F.col("_dname"))
+                                                    | (F.col("_old.instructions") != F.col("_dinstr"))))
+                      .select(F.col("_old.id").alias("_old_id"), "_dname", "_dinstr"))
+    updated = (reg.join(F.broadcast(replace), F.col("id") == F.col("_old_id"), "left")
                   .select(F.when(F.col("_old_id").isNotNull(), assistant_id_for(F.col("_dname"), F.col("_dinstr")))
                            .otherwise(F.col("id")).alias("id"),
                           F.coalesce("_dname", "name").alias("name"),
@@ -228,6 +236,7 @@ def append_unique(registry: DataFrame, candidates: DataFrame, order: str = "pos"
     named = candidates.filter(F.length("name") > 0).withColumn("lname", F.lower("name"))
     first = named.groupBy("lname").agg(F.min(order).alias("_first"))
     taken = registry.select(F.lower("name").alias("lname")).distinct()
+    first = written(first, "first_names")
     accepted = (named.join(first, "lname").filter(F.col(order) == F.col("_first"))
                      .join(taken, "lname", "left_anti").drop("_first", "lname"))
     last = registry.agg(F.max("position")).scalar()  # scalar subquery
@@ -248,7 +257,7 @@ def check_choices(inputs: DataFrame, choices: DataFrame, col: str = "input", cho
                   blacklist: bool = False, case_sensitive: bool = True) -> DataFrame:
     """``valid`` per input: in the choice list (or not in it, for a blacklist)."""
     key = (lambda c: c) if case_sensitive else (lambda c: F.lower(c))
-    ch = choices.select(key(F.col(choice)).alias("_c")).distinct().withColumn("_hit", F.lit(True))
+    ch = written(choices.select(key(F.col(choice)).alias("_c")).distinct().withColumn("_hit", F.lit(True)), "choices")
     j = inputs.join(ch, key(F.col(col)) == F.col("_c"), "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return j.withColumn("valid", ~hit if blacklist else hit).drop("_c", "_hit")
@@ -299,9 +308,37 @@ def export_times(df: DataFrame, ts: str = "created_at") -> DataFrame:
     """The three timestamp conversions of an export: ISO text, float and int epoch seconds."""
     t = F.col(ts)
     micros = F.unix_micros(t)
-    iso = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    iso = F.when(micros % 1_000_000 != 0, F.concat(iso, F.format_string(".%06d", F.pmod(micros, F.lit(1_000_000))))
-                 ).otherwise(iso)
-    return (df.withColumn(f"{ts}_iso", iso)
+    return (df.withColumn(f"{ts}_iso", iso_time(t))
               .withColumn(f"{ts}_ts", (micros / F.lit(1_000_000.0)))
               .withColumn(f"{ts}_int", (micros / F.lit(1_000_000)).cast("bigint")))
+
+
+def convert_times(df: DataFrame, convert) -> DataFrame:
+    """Every timestamp of ``df``, at any depth of structs, arrays and map values, replaced by
+    ``convert(column)``."""
+    def walk(value, kind: T.DataType):
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return convert(value)
+        if isinstance(kind, T.StructType):
+            fields = F.struct(*[walk(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+            return F.when(value.isNotNull(), fields)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: walk(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(value, lambda _, x: walk(x, kind.valueType))
+        return value
+
+    return df.select(*[walk(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def iso_time(t) -> "F.Column":
+    """ISO text of a timestamp, with a fraction only where there is one."""
+    micros = F.unix_micros(t)
+    iso = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(micros % 1_000_000 != 0, F.concat(iso, F.format_string(".%06d", F.pmod(micros, F.lit(1_000_000))))).otherwise(iso)
+
+
+def export_json(records: DataFrame) -> DataFrame:
+    """One JSON text per record, nested records included, timestamps as ISO text."""
+    exported = convert_times(records, iso_time)
+    return exported.select("id", F.to_json(F.struct(*exported.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -54,8 +54,7 @@ def resolve_content_type(df: DataFrame, header: str = "content_type") -> DataFra
 
 def sniff_content_type(body) -> "F.Column":
     """Content-Type a server would send for a landed body (our own rule)."""
-    b = F.ltrim(F.lower(F.substring(body, 1, 64)))
-    return (F.when(b.startswith("<!doctype html") | b.startswith("<html"), "text/html; charset=utf-8")
+    return (F.when(F.col(body).rlike(T.HTML_START) if isinstance(body, str) else body.rlike(T.HTML_START), "text/html; charset=utf-8")
              .when(F.substring(body, 1, 5) == "%PDF-", "application/pdf")
              .otherwise("text/plain"))
 
@@ -80,6 +79,9 @@ def check_store_refs(df: DataFrame, ids: str = "vector_store_ids") -> DataFrame:
     return df.withColumn("store_error", err).withColumn("store_ok", err.isNull())
 
 
+# The error classes and messages below.
+
+
 def rejected_inputs(routed: DataFrame, col: str = "input") -> DataFrame:
     """(input, error_class, message) for every input that cannot be processed."""
     err = (F.when(F.col("kind") == UNSUPPORTED, F.lit("NotSupportedError"))
@@ -91,13 +93,25 @@ def rejected_inputs(routed: DataFrame, col: str = "input") -> DataFrame:
                   .select(col, "error_class", msg.alias("message")))
 
 
+def typed_pages(pages: DataFrame) -> DataFrame:
+    """Pages that aren't videos with content_type (the landed one if there is one) and extension."""
+    if "content_type" not in pages.columns:
+        pages = pages.withColumn("content_type", sniff_content_type(F.col("html")))
+    return resolve_content_type(pages.filter(~T.is_video_url("url")))
+
+
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, error_class, message) of the pages whose Content-Type isn't supported."""
+    return typed_pages(pages).filter(F.col("extension").isNull()).select(
+        "page_id", "url", F.lit("NotSupportedError").alias("error_class"),
+        F.concat(F.lit("Unsupported content type: "), F.coalesce("content_type", F.lit(""))).alias("message"))
+
+
 def ingest_pages(pages: DataFrame) -> DataFrame:
     """Landed pages -> corpus rows keyed by URL: video pages are routed away, the
-    rest typed by Content-Type; unsupported types get a null extension."""
-    typed = (pages.withColumn("content_type", sniff_content_type(F.col("html")))
-                  .withColumn("is_video", T.is_video_url("url")))
-    typed = resolve_content_type(typed.filter(~F.col("is_video")))
+    rest typed by Content-Type; unsupported types are refused (``rejected_pages``)."""
+    typed = typed_pages(pages).filter(F.col("extension").isNotNull())
     return typed.select(
         "page_id", "url", "content_type", "extension",
-        F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.coalesce("extension", F.lit(""))).alias("name"),
+        F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.col("extension")).alias("name"),
         sha256_hex("html").alias("hash"), F.octet_length("html").cast("bigint").alias("sz_bytes"))

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
-
-SENTENCE_STRIDE = 1_000_000  # order key = part * stride + sentence index
+from cairn.session import written
 
 
 def split_sentences(units: DataFrame, unit: str, text: str = "text", part: str | None = None) -> DataFrame:
-    """(unit, s_ord, sentence) for every non-blank sentence; ``part`` orders texts inside a unit."""
+    """(unit, s_ord, sentence) for every non-blank sentence; s_ord orders by ``part``, then by
+    place in the text."""
     p = F.col(part) if part else F.lit(0)
     s = units.select(unit, p.alias("_part"), F.posexplode(T.sentences(text)).alias("_i", "_s"))
-    return (s.select(unit, (F.col("_part") * SENTENCE_STRIDE + F.col("_i")).alias("s_ord"),
+    return (s.select(unit, F.struct(F.col("_part").alias("part"), F.col("_i").alias("i")).alias("s_ord"),
                      F.trim("_s").alias("sentence"))
              .filter(F.length("sentence") > 0))
 
@@ -47,15 +47,18 @@ def summarize(units: DataFrame, unit: str, text: str = "text", part: str | None
         # window count next to every occurrence (one local sort, no join)
         with_tf = toks.withColumn("tf", F.count(F.lit(1)).over(Window.partitionBy(unit, "term")))
     else:
-        # possibly huge units: a partially aggregated count joined back stays skew-safe
-        tf = toks.groupBy(unit, "term").agg(F.count(F.lit(1)).alias("tf"))
+        # possibly huge units: a partially aggregated count, written, so that the join
+        # splits a hot (unit, term)
+        tf = written(toks.groupBy(unit, "term").agg(F.count(F.lit(1)).alias("tf")), "unit_terms")
         with_tf = toks.join(tf, [unit, "term"])
     scored = (with_tf.groupBy(unit, "s_ord")
                      .agg((F.sum("tf") / F.count(F.lit(1))).alias("score")))
     best = top_k(scored, [unit], [F.col("score").desc(), F.col("s_ord")], n)
     chosen = best.join(sents, [unit, "s_ord"])
+    # a unit without any token keeps a row, with an empty summary
     summary = chosen.groupBy(unit).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_ord", "sentence"))),
                                  lambda x: x["sentence"]), " ").alias("summary"))
     counts = sents.groupBy(unit).agg(F.count(F.lit(1)).alias("n_sentences"))
-    return summary.join(counts, unit)
+    return counts.join(summary, unit, "left").select(
+        unit, F.coalesce("summary", F.lit("")).alias("summary"), "n_sentences")

@@ -51,7 +51,7 @@ def q_render_transcripts(spark, sf_dir):
 
 # ----------------------------------------------------------------- messages
 
-MESSAGE_LIMIT = 5000  # lowered from the production 256,000 so the filter acts on this data
+MESSAGE_LIMIT = 256_000  # fixed value: the largest message payload, in characters
 
 _SEL = f"""
 SELECT source AS store,
@@ -138,13 +138,13 @@ def _stored_transcripts(spark, sf_dir):
 
 
 @register("restore_or_create_videos", """
-WITH req AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, conv_id * 1000 + turn AS pos FROM conversations
+WITH req AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, struct_pack(c := conv_id, t := turn) AS pos FROM conversations
              WHERE role = 'user'),
 stored AS (SELECT DISTINCT video_id, 'vs_' || substr(sha256('stored:' || video_id), 1, 24) AS vector_store_id,
              'file-' || substr(sha256('stored:' || video_id), 1, 24) AS file_id
            FROM transcript_entries WHERE CAST(video_id AS BIGINT) % 3 = 0),
 first AS (SELECT video_id, min(pos) AS first_pos FROM req GROUP BY video_id)
-SELECT r.video_id, r.pos,
+SELECT r.video_id, r.pos.c AS conv_id, r.pos.t AS turn,
   coalesce(s.vector_store_id, 'vs_' || substr(sha256('transcript_' || r.video_id), 1, 24)) AS vector_store_id,
   coalesce(s.file_id, 'file-' || substr(sha256('transcript_' || r.video_id), 1, 24)) AS file_id,
   (s.video_id IS NOT NULL OR r.pos > f.first_pos) AS restored
@@ -152,6 +152,6 @@ FROM req r JOIN first f USING (video_id) LEFT JOIN stored s USING (video_id)""")
 def q_restore_or_create_videos(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role")
     req = c.filter(F.col("role") == "user").select(F.col("conv_id").cast("string").alias("video_id"),
-                                                   (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+                                                   F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")).alias("pos"))
     return C.restore_or_create_videos(req, _stored_transcripts(spark, sf_dir)).select(
-        "video_id", "pos", "vector_store_id", "file_id", "restored")
+        "video_id", F.col("pos.c").alias("conv_id"), F.col("pos.t").alias("turn"), "vector_store_id", "file_id", "restored")

@@ -33,8 +33,18 @@ def _inputs(spark, sf_dir):
     files = FX.files(spark, sf_dir).select("path")
     entries = R.listing_entries(files).select(F.col("path").alias("input"))
     urls = read_table(spark, sf_dir, "pages", "url").select(F.col("url").alias("input"))
+    made = urls.select(F.explode(F.array(*_made_inputs(F.md5("input")))).alias("input"))
     extra = spark.createDataFrame([(x,) for x in EXTRA_INPUTS], "input string")
-    return entries.unionByName(urls).unionByName(extra), files
+    return entries.unionByName(urls).unionByName(made).unionByName(extra), files
+
+
+def _made_inputs(digest):
+    """Inputs that the pages themselves lack, one of each for every page: a video by its
+    11-character id in both URL forms, a video URL without an id, and a name of nothing."""
+    return [F.concat(F.lit("https://www.youtube.com/watch?v="), F.substring(digest, 1, 11)),
+            F.concat(F.lit("https://youtu.be/"), F.substring(digest, 12, 11)),
+            F.concat(F.lit("https://youtu.be/"), F.substring(digest, 1, 5)),
+            F.concat(F.lit("missing "), digest)]
 
 
 def _routed(spark, sf_dir):
@@ -54,6 +64,9 @@ _INPUTS = f"""
 inputs AS (
   SELECT path AS input FROM listing
   UNION ALL SELECT url FROM pages
+  UNION ALL SELECT unnest(['https://www.youtube.com/watch?v=' || substr(md5(url), 1, 11),
+    'https://youtu.be/' || substr(md5(url), 12, 11), 'https://youtu.be/' || substr(md5(url), 1, 5),
+    'missing ' || md5(url)]) FROM pages
   UNION ALL SELECT * FROM (VALUES {', '.join('(' + X.q(x) + ')' for x in EXTRA_INPUTS)}) v(input))"""
 
 _KIND = f"""CASE WHEN lower(i.input) IN ('exit', 'quit', ':q') THEN 'exit'
@@ -83,8 +96,7 @@ def q_clean_inputs(spark, sf_dir):
 
 
 def _sniff_sql(body: str) -> str:
-    b = f"ltrim(lower(substr({body}, 1, 64)))"
-    return (f"CASE WHEN starts_with({b}, '<!doctype html') OR starts_with({b}, '<html') "
+    return (f"CASE WHEN regexp_matches({body}, {X.q(T.HTML_START)}) "
             f"THEN 'text/html; charset=utf-8' WHEN substr({body}, 1, 5) = '%PDF-' THEN 'application/pdf' "
             f"ELSE 'text/plain' END")
 
@@ -157,6 +169,6 @@ def q_rejected_inputs(spark, sf_dir):
 SELECT page_id, url, {_sniff_sql('html')} AS content_type, {_ext_sql(_sniff_sql('html'))} AS extension,
   'page_' || CAST(page_id AS VARCHAR) || coalesce({_ext_sql(_sniff_sql('html'))}, '') AS name,
   sha256(html) AS hash, CAST(octet_length(encode(html)) AS BIGINT) AS sz_bytes
-FROM pages WHERE NOT regexp_matches(url, {X.q(T.VIDEO_URL_PATTERN)})""")
+FROM pages WHERE NOT regexp_matches(url, {X.q(T.VIDEO_URL_PATTERN)}) AND {_ext_sql(_sniff_sql('html'))} IS NOT NULL""")
 def q_ingest_pages(spark, sf_dir):
     return R.ingest_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))

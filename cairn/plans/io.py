@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
-from cairn.functions.hashing import hash_udf
 from cairn.operators import cache as C
 from cairn.session import fresh_path
 from cairn.sources import files as FS
@@ -33,11 +32,8 @@ def _rel(col="path"):
     return F.regexp_extract(F.col(col), r"(/corpus/.*)$", 1)
 
 
-_VISIBLE = "NOT regexp_matches(path, '/[._]')"
-
-
-@register("scan_files", f"""
-SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS length FROM files WHERE {_VISIBLE}""")
+@register("scan_files", """
+SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS length FROM files""")
 def q_scan_files(spark, sf_dir):
     root = _land(spark, sf_dir)
     return FS.scan_files(spark, root).select(_rel().alias("path"), "length")
@@ -50,24 +46,24 @@ def q_walk_files(spark, sf_dir):
     return FS.walk_files(spark, root).select(_rel().alias("path"), "length")
 
 
-@register("read_corpus", f"""
-SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.gz' ELSE '' END AS path, content AS text FROM files WHERE {_VISIBLE}""")
+@register("read_corpus", """
+SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.gz' ELSE '' END AS path, content AS text FROM files""")
 def q_read_corpus(spark, sf_dir):
     root = _land(spark, sf_dir, compress=(F.col("doc_id") % 5 == 0))
     return FS.read_corpus(spark, root).select(_rel().alias("path"), "text")
 
 
-@register("read_text_corpus", f"""
-SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.gz' ELSE '' END AS path, content AS text FROM files WHERE {_VISIBLE}""")
+@register("read_text_corpus", """
+SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.gz' ELSE '' END AS path, content AS text FROM files""")
 def q_read_text_corpus(spark, sf_dir):
     root = _land(spark, sf_dir, compress=(F.col("doc_id") % 5 == 0))
     return FS.read_text_corpus(spark, root).select(_rel().alias("path"), "text")
 
 
-@register("file_metadata", f"""
+@register("file_metadata", """
 SELECT sha256(content) AS hash, regexp_extract(path, '([^/]*)$', 1) AS name, path AS full_path,
   CAST(octet_length(encode(content)) AS BIGINT) AS sz_bytes, true AS has_mtime
-FROM files WHERE {_VISIBLE}""")
+FROM files""")
 def q_file_metadata(spark, sf_dir):
     root = _land(spark, sf_dir)
     raw = FS.scan_contents(spark, root).withColumn("path", _rel())
@@ -100,17 +96,3 @@ def q_load_hash_cache(spark, sf_dir):
     empty = RC.load_hash_cache(spark, path)  # nothing saved yet -> empty cache, same schema
     RC.save_hash_cache(empty.unionByName(FX.hash_cache(spark, sf_dir)), path)
     return RC.load_hash_cache(spark, path)
-
-
-@register("fingerprint_sha3")
-def q_fingerprint_sha3(spark, sf_dir):
-    """SHA3-256 (the reference's default algorithm) — no Spark built-in, Arrow UDF."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", hash_udf("sha3_256")(F.col("text")).alias("hash"))
-
-
-@register("fingerprint_xxh64")
-def q_fingerprint_xxh64(spark, sf_dir):
-    """XXH64 (seed 0) of each assistant's instructions, as the hidden 'hash' command prints."""
-    a = FX.assistants(spark, sf_dir).select("id", "instructions")
-    return a.select("id", hash_udf("xxh64")(F.col("instructions")).alias("instructions_hash"))

@@ -369,10 +369,28 @@ def q_registry_sorted(spark, sf_dir):
     return RG.custom_order(FX.assistants(spark, sf_dir), "name", descending=True).select("id", "ordinal")
 
 
+PICKED = 7  # the ordinal that the query picks
+
+
 @register("pick_ordinal", f"""
-SELECT source AS store, min(path) AS first_path, arg_min('file-' || substr(sha256(content), 1, 24), path) AS first_file_id
-FROM files WHERE {X.disposition('path', 'content')} IN ('kept', 'converted') GROUP BY source""")
+SELECT 'first' AS pick, id, name FROM {_ORDERED} WHERE ordinal = 1
+UNION ALL SELECT 'n-th', id, name FROM {_ORDERED} WHERE ordinal = {PICKED}
+UNION ALL SELECT 'last', id, name FROM {_ORDERED} WHERE ordinal = (SELECT count(*) FROM assistants)""")
 def q_pick_ordinal(spark, sf_dir):
-    sel = S.select_files(FX.files(spark, sf_dir)).withColumn("file_id", content_id("file-", sha256_hex("content")))
-    return sel.groupBy(F.col("source").alias("store")).agg(
-        F.min("path").alias("first_path"), F.min_by("file_id", "path").alias("first_file_id"))
+    registry = FX.assistants(spark, sf_dir)
+    picks = [RG.pick(registry, n).select(F.lit(label).alias("pick"), "id", "name")
+             for label, n in (("first", 1), ("n-th", PICKED), ("last", -1))]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2])
+
+
+@register("export_json", """
+SELECT id, '{"id":"' || id || '","name":"' || name || '","assistant":{"name":"' || assistant_name || '","id":"'
+  || assistant_id || '"},"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN epoch_us(created_at) % 1000000 <> 0 THEN printf('.%06d', epoch_us(created_at) % 1000000) ELSE '' END
+  || '"}' AS json
+FROM threads WHERE assistant_name IS NOT NULL AND assistant_id IS NOT NULL""")
+def q_export_json(spark, sf_dir):
+    """Thread records as JSON, with the assistant nested and times as ISO text."""
+    t = FX.threads(spark, sf_dir).filter("assistant_name IS NOT NULL AND assistant_id IS NOT NULL")
+    return RG.export_json(t.select("id", "name", F.struct(
+        F.col("assistant_name").alias("name"), F.col("assistant_id").alias("id")).alias("assistant"), "created_at"))

@@ -3,8 +3,6 @@ question answering and the tool-call state machine (batch)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
@@ -32,20 +30,19 @@ def _index(spark, sf_dir):
     """The search index of this corpus version, built once per application and
     shared by every search in it.
 
-    Its location is keyed by the documents file's identity (path, size,
+    Its location is keyed by the identity of all the documents' files (path, size,
     modification time), the chunk parameters and the application id, under the
     shared folder.  (A deployment would drop the application id to keep one
     index per corpus version across jobs; here it keeps every benchmark run cold.)
     """
     import hashlib
 
-    import pyarrow.fs as pafs
-
     src = f"{sf_dir.rstrip('/')}/documents.parquet"
-    fs, p = pafs.FileSystem.from_uri(src if "://" in src else "file://" + os.path.abspath(src))
-    info = fs.get_file_info(p)
+    files = spark.read.parquet(src).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    # one row per file, folded into one row on the executors
+    n, mark = files.distinct().agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first()
     app = spark.sparkContext.applicationId
-    key = hashlib.sha256(f"{p}|{info.size}|{info.mtime_ns}|{SIZE}|{OVERLAP}|{app}|v1".encode()).hexdigest()[:32]
+    key = hashlib.sha256(f"{src}|{n}|{mark}|{SIZE}|{OVERLAP}|{app}|v2".encode()).hexdigest()[:32]
     path = f"{shared_dir(spark).rstrip('/')}/bm25/{key}"
     return RV.bm25_index(_chunks(spark, sf_dir), path=path)
 
@@ -101,45 +98,44 @@ def q_file_search(spark, sf_dir):
     return hits.select("item_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no", "score")
 
 
-_USER_Q = "(SELECT conv_id * 1000 + turn AS question_id, text FROM conversations WHERE role = 'user')"
+_USER_Q = "(SELECT struct_pack(conv_id := conv_id, turn := turn) AS question_id, text FROM conversations WHERE role = 'user')"
+
+
+def _prompts(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conv.filter(F.col("role") == "user").select(F.struct("conv_id", "turn").alias("question_id"), "text")
+
+
+def _answers(spark, sf_dir, prompts):
+    hits = RV.file_search(prompts, _index(spark, sf_dir), k=ANSWER_K, qid="question_id")
+    passages = _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.col("text").alias("passage"))
+    return (hits.join(passages, ["doc_id", "chunk_no"])
+                .select("question_id.conv_id", "question_id.turn", F.col("rank").cast("bigint").alias("rank"),
+                        "doc_id", "chunk_no", "score", "passage"))
 
 
 @register("answer_questions", _bm25_sql(_USER_Q, "question_id", ANSWER_K) + f"""
-SELECT question_id // 1000 AS conv_id, question_id % 1000 AS turn, rank, r.doc_id, r.chunk_no, score,
+SELECT question_id.conv_id AS conv_id, question_id.turn AS turn, rank, r.doc_id, r.chunk_no, score,
   array_to_string(c.tokens, ' ') AS passage
 FROM r JOIN chn c USING (doc_id, chunk_no) WHERE rank <= {ANSWER_K}""")
 def q_answer_questions(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    questions = conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
-    chunks = _chunks(spark, sf_dir)
-    hits = RV.file_search(questions, _index(spark, sf_dir), k=ANSWER_K, qid="question_id")
-    return (hits.join(chunks.select("doc_id", "chunk_no", F.col("text").alias("passage")), ["doc_id", "chunk_no"])
-                .select((F.col("question_id") / 1000).cast("bigint").alias("conv_id"),
-                        (F.col("question_id") % 1000).alias("turn"), F.col("rank").cast("bigint").alias("rank"),
-                        "doc_id", "chunk_no", "score", "passage"))
+    return _answers(spark, sf_dir, _prompts(spark, sf_dir))
 
 
-@register("append_turns", _bm25_sql(
-    "(SELECT conv_id AS question_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)",
-    "question_id", 1) + """
-SELECT r.question_id AS conv_id, (SELECT max(turn) FROM conversations x WHERE x.conv_id = r.question_id) + 1 AS turn,
-  'assistant' AS role, array_to_string(c.tokens, ' ') AS text, r.doc_id AS source_doc
+@register("append_turns", _bm25_sql(_USER_Q, "question_id", 1) + """
+SELECT conv_id, turn, 0 AS step, 'user' AS role, text, '' AS source_doc FROM conversations WHERE role = 'user'
+UNION ALL
+SELECT r.question_id.conv_id, r.question_id.turn, 1, 'assistant', array_to_string(c.tokens, ' '), CAST(r.doc_id AS VARCHAR)
 FROM r JOIN chn c USING (doc_id, chunk_no) WHERE rank = 1""")
 def q_append_turns(spark, sf_dir):
-    """Each conversation's latest prompt is answered with its best passage, appended as a new turn."""
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    last_prompt = (conv.filter(F.col("role") == "user").groupBy("conv_id")
-                       .agg(F.max_by("text", "turn").alias("text"))
-                       .withColumnRenamed("conv_id", "question_id"))
-    next_turn = conv.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
-    chunks = _chunks(spark, sf_dir)
-    best = RV.file_search(last_prompt, _index(spark, sf_dir), k=1, qid="question_id")
-    return (best.join(chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
-                .withColumnRenamed("question_id", "conv_id")
-                .join(next_turn, "conv_id")
-                .select("conv_id", "turn", F.lit("assistant").alias("role"), "text",
-                        F.col("doc_id").alias("source_doc")))
+    """The threads as extended: every prompt (step 0), followed by the best passage as its answer (step 1)."""
+    prompts = _prompts(spark, sf_dir)
+    asked = prompts.select("question_id.conv_id", "question_id.turn", F.lit(0).alias("step"), F.lit("user").alias("role"),
+                           "text", F.lit("").alias("source_doc"))
+    answered = _answers(spark, sf_dir, prompts).filter(F.col("rank") == 1).select(
+        "conv_id", "turn", F.lit(1).alias("step"), F.lit("assistant").alias("role"), F.col("passage").alias("text"),
+        F.col("doc_id").cast("string").alias("source_doc"))
+    return asked.unionByName(answered)
 
 
 @register("vector_topk", f"""
@@ -161,7 +157,7 @@ def _summary_sql(units: str, unit: str, part: str) -> str:
     return f"""
 WITH s0 AS (SELECT {unit}, {part} AS part, unnest({X.sentences('text')}) AS raw,
                    unnest(range(len({X.sentences('text')}))) AS i FROM {units}),
-s AS (SELECT {unit}, part * {SM.SENTENCE_STRIDE} + i AS s_ord, trim(raw) AS sentence FROM s0 WHERE length(trim(raw)) > 0),
+s AS (SELECT {unit}, struct_pack(part := part, i := i) AS s_ord, trim(raw) AS sentence FROM s0 WHERE length(trim(raw)) > 0),
 t AS (SELECT {unit}, s_ord, unnest({X.tokens('sentence')}) AS term FROM s),
 tf AS (SELECT {unit}, term, count(*) AS tf FROM t GROUP BY ALL),
 sc AS (SELECT t.{unit}, t.s_ord, sum(tf.tf) / count(*) AS score FROM t JOIN tf USING ({unit}, term) GROUP BY ALL),
@@ -170,7 +166,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {unit} ORDER B
 summ AS (SELECT b.{unit}, string_agg(s.sentence, ' ' ORDER BY b.s_ord) AS summary FROM best b JOIN s USING ({unit}, s_ord)
          GROUP BY b.{unit}),
 cnt AS (SELECT {unit}, count(*) AS n_sentences FROM s GROUP BY {unit})
-SELECT summ.{unit}, summary, n_sentences FROM summ JOIN cnt USING ({unit})"""
+SELECT cnt.{unit}, coalesce(summary, '') AS summary, n_sentences FROM cnt LEFT JOIN summ USING ({unit})"""
 
 
 @register("summarize_documents", _summary_sql("documents", "doc_id", "0"))

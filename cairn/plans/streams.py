@@ -24,13 +24,14 @@ QUERIES, ORACLE, register = query_registry()
 # completed calls per bucket): one vectorised Python call per bucket per
 # micro-batch instead of one per call.  Raise with the number of active calls.
 STATE_BUCKETS = 256
+FILES_PER_BATCH = 16  # files that a micro-batch takes at most, which bounds its size
 
 
 def stream_frames(spark, sf_dir) -> dict:
     """The streaming DataFrames behind the registered streams (not started), for plan review."""
-    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events"))
-    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "source", "text")
+    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events", max_files_per_trigger=FILES_PER_BATCH))
+    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", max_files_per_trigger=FILES_PER_BATCH)
+    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "source", "text", max_files_per_trigger=FILES_PER_BATCH)
     status = PL.file_status_stream(docs, read_table(spark, sf_dir, "labels", "doc_id"))
     return {
         "tool_calls_stream": TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS),
@@ -47,37 +48,37 @@ FROM tool_events e LEFT JOIN (SELECT call_id, min(ord) AS done FROM tool_events
   USING (call_id)
 WHERE d.done IS NULL OR e.ord <= d.done""")
 def q_tool_calls_stream(spark, sf_dir):
-    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events"))
-    return RN.run_to_memory(TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS), "append", "tool_calls")
+    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events", max_files_per_trigger=FILES_PER_BATCH))
+    return RN.run_to_table(TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS), "append", "tool_calls")
 
 
 @register("completed_calls_stream", """
 SELECT DISTINCT call_id FROM tool_events WHERE phase = 'done'""")
 def q_completed_calls_stream(spark, sf_dir):
-    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events"))
-    return RN.run_to_memory(TS.completed_calls_stream(events), "append", "completed_calls").select("call_id")
+    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events", max_files_per_trigger=FILES_PER_BATCH))
+    return RN.run_to_table(TS.completed_calls_stream(events), "append", "completed_calls").select("call_id")
 
 
 @register("response_text_stream", CONV_ORACLE["response_text"])
 def q_response_text_stream(spark, sf_dir):
-    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return RN.run_to_memory(PL.response_text_stream(msgs), "complete", "response_text").select(
+    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", max_files_per_trigger=FILES_PER_BATCH)
+    return RN.run_to_table(PL.response_text_stream(msgs), "complete", "response_text").select(
         "conv_id", "response_text", "n_messages")
 
 
 @register("store_status_stream", CORPUS_ORACLE["store_status"])
 def q_store_status_stream(spark, sf_dir):
-    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "source", "text")
+    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "source", "text", max_files_per_trigger=FILES_PER_BATCH)
     labels = read_table(spark, sf_dir, "labels", "doc_id")
     status = PL.file_status_stream(docs, labels)
-    return RN.run_to_memory(PL.store_status_stream(status), "complete", "store_status")
+    return RN.run_to_table(PL.store_status_stream(status), "complete", "store_status")
 
 
 @register("ingest_stream", """
 SELECT DISTINCT sha256(text) AS hash, 'file-' || substr(sha256(text), 1, 24) AS file_id FROM documents""")
 def q_ingest_stream(spark, sf_dir):
     cache_root = fresh_path(spark, "hash_cache_stream")
-    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "text")
+    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "text", max_files_per_trigger=FILES_PER_BATCH)
     RN.run_foreach_batch(docs, PL.ingest_batch(cache_root), "ingest")
     return PL.read_hash_cache(spark, cache_root)
 
@@ -88,7 +89,7 @@ def q_answer_stream(spark, sf_dir):
     RV.chunk_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                        size=PR.SIZE, overlap=PR.OVERLAP).write.parquet(chunks_path)
     answers_root = fresh_path(spark, "answers")
-    prompts = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    prompts = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", max_files_per_trigger=FILES_PER_BATCH)
     RN.run_foreach_batch(prompts, PL.answer_batch(chunks_path, answers_root, k=PR.ANSWER_K), "answers")
     return spark.read.parquet(answers_root).drop("batch_id")
 
@@ -97,5 +98,5 @@ def q_answer_stream(spark, sf_dir):
 SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'""")
 def q_response_deltas_stream(spark, sf_dir):
     """Each assistant text delta as it arrives (append mode)."""
-    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return RN.run_to_memory(PL.response_deltas(msgs), "append", "response_deltas")
+    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", max_files_per_trigger=FILES_PER_BATCH)
+    return RN.run_to_table(PL.response_deltas(msgs), "append", "response_deltas")

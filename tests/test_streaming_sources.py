@@ -37,7 +37,7 @@ def _write_parts(src, d, name, parts, which):
 def test_tool_calls_stream_equals_batch_over_batches(spark, sf_small):
     d = _split_table(f"{sf_small}/events.parquet", "events", 3)
     stream = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
-    got = RN.run_to_memory(TS.tool_calls_stream(stream), "append", "t").select("call_id", "ord")
+    got = RN.run_to_table(TS.tool_calls_stream(stream), "append", "t").select("call_id", "ord")
     batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
@@ -67,13 +67,14 @@ def test_scan_walk_and_read(spark):
     with open(os.path.join(root, "r", "bad.txt"), "wb") as f:
         f.write(b"\xff\xfe bad")
     scanned = {p.split("/r/")[-1] for p in [r["path"] for r in FS.scan_files(spark, root).collect()]}
-    assert scanned == {"a.py", "z.md.gz", "bad.txt"}            # hidden, '_' and empty files skipped
+    assert scanned == {"a.py", ".git/b.py", "_u.py", "e.py", "z.md.gz", "bad.txt"}  # hidden, '_' and empty files too
     walked = {p.split("/r/")[-1] for p in [r["path"] for r in FS.walk_files(spark, root).collect()]}
     assert walked == {"a.py", ".git/b.py", "_u.py", "e.py", "z.md.gz", "bad.txt"}
     text = {r["path"].split("/r/")[-1]: r["text"] for r in FS.read_corpus(spark, root).collect()}
-    assert text == {"a.py": "print(1)", "z.md.gz": "héllo", "bad.txt": None}   # invalid UTF-8 -> null, row kept
+    assert text == {"a.py": "print(1)", ".git/b.py": "x", "_u.py": "y", "e.py": "", "z.md.gz": "héllo",
+                    "bad.txt": None}   # invalid UTF-8 -> null, row kept
     native = {r["path"].split("/r/")[-1]: r["text"] for r in FS.read_text_corpus(spark, root).collect()}
-    assert {k: v for k, v in native.items() if k != "e.py"} == text              # JVM-only path agrees
+    assert native == text              # Spark's text source and the rest by path agree
     assert gzip.decompress(open(os.path.join(root, "r", "z.md.gz"), "rb").read()) == "héllo".encode()
 
 
@@ -99,7 +100,7 @@ def test_watch_polls_until_stopped(spark, sf_small):
 def test_bucketed_tool_calls_stream_equals_batch(spark, sf_small):
     d = _split_table(f"{sf_small}/events.parquet", "events", 3)
     stream = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
-    got = RN.run_to_memory(TS.tool_calls_stream(stream, state_buckets=4), "append", "tb").select("call_id", "ord")
+    got = RN.run_to_table(TS.tool_calls_stream(stream, state_buckets=4), "append", "tb").select("call_id", "ord")
     batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
@@ -122,20 +123,15 @@ def test_tool_calls_stream_restart_keeps_state(spark, sf_small):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_binaryfile_pushdown_and_pruning(spark):
-    import contextlib
-    import io
-    root = fresh_path(spark, "pushdown")
-    df = spark.createDataFrame([("/r/a.py", "x" * 10, False), ("/r/b.py", "y" * 1000, False)],
-                               "path string, content string, gz boolean")
+def test_oversize_files_are_rejects_and_single_child_roots_fan_out(spark):
+    root = fresh_path(spark, "oversize")
+    rows = [(f"/r/d{i}/f{j}.py", "x" * (10 if j else 1000), False) for i in range(6) for j in range(2)]
+    df = spark.createDataFrame(rows, "path string, content string, gz boolean")
     FS.land_files(df, root).write.parquet(root + "_m")
-    sized = FS.scan_contents(spark, root, max_bytes=100)
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        sized.explain()
-    assert "LessThanOrEqual(length,100)" in buf.getvalue()          # pushed into the listing
-    assert [r["path"].split("/r/")[-1] for r in sized.collect()] == ["a.py"]
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        FS.scan_files(spark, root).explain()
-    assert "content" not in buf.getvalue().split("ReadSchema:")[1].split("\n")[0]   # bytes not read
+    small = FS.scan_contents(spark, root, max_bytes=100)
+    assert sorted(r["path"][-4:] for r in small.collect()) == ["1.py"] * 6
+    rejects = FS.oversize_files(FS.scan_files(spark, root), 100).collect()
+    assert len(rejects) == 6 and all(r["length"] == 1000 for r in rejects)
+    # one child below the root: its six directories are still listed by several tasks
+    listed = FS.walk_files(spark, root)
+    assert listed.count() == 12 and listed.rdd.getNumPartitions() > 1
