@@ -6,7 +6,7 @@ tokenizations (Berglund, Martens and van der Merwe, "Constructing a BPE
 tokenization DFA").  It starts as one state that loops on every base symbol.
 The gadget of a merge (u, v) -> uv puts a copy of the state that u leads to in
 its place, without the arc v, and gives every state that has the arc u an arc
-uv to the state that v leads to.  All arcs of one label lead to one state,
+uv to the state that v leads to; if u's state has no arc v, nothing can merge.  All arcs of one label lead to one state,
 so a state is named by its label; of each gadget it is enough to keep which arc
 the state of u lost and when, and that the state of uv began as the state of v
 at that time.  Looked-up arcs are kept in a transition table, which encoding
@@ -66,8 +66,8 @@ class TokenizationAutomaton:
     def __init__(self, labels: dict[str, int], merges: list[tuple[str, str]], word_end: str = ""):
         self.label = {i: s for s, i in labels.items()}
         end = len(word_end)
-        self.final = {s[:-end]: i for s, i in labels.items() if s.endswith(word_end)} if end else labels
-        self.inner = {s: i for s, i in labels.items() if not s.endswith(word_end)} if end else labels
+        self.final = {s[:-end]: i for s, i in labels.items() if s.endswith(word_end)} if end else dict(labels)
+        self.inner = {s: i for s, i in labels.items() if not s.endswith(word_end)} if end else self.final
         self.reach: dict[str, int] = {}  # first HEAD characters -> longest label that begins so
         for s in labels:
             if len(s) >= HEAD:
@@ -75,6 +75,7 @@ class TokenizationAutomaton:
         self.lost: dict[tuple[int, int], int] = {}  # (state's label, arc) -> when the arc went
         self.began: dict[int, tuple[int, int]] = {}  # state's label -> (state it copies, when)
         self.made: dict[int, tuple[int, int]] = {}  # arc uv -> (arc u it needs, when)
+        self.dead: set[int] = set()
         self.table: dict[tuple[int, int], bool] = {}
         for when, (u, v) in enumerate(merges):
             self._gadget(labels[u], labels[v], labels[u + v], when)
@@ -82,6 +83,12 @@ class TokenizationAutomaton:
     def _gadget(self, u: int, v: int, uv: int, when: int) -> None:
         if uv in self.made:
             raise ValueError(f"two merges make {self.label[uv]!r}")
+        if u in self.dead or v in self.dead or not self._holds(u, v):  # no path has this label
+            self.dead.add(uv)
+            for arcs in (self.final, self.inner):
+                for s in [s for s, i in arcs.items() if i == uv]:
+                    del arcs[s]
+            return
         self.lost[u, v] = when
         self.began[uv] = (v, when)  # for u = v: the state before it lost the arc
         self.made[uv] = (u, when)
@@ -97,20 +104,26 @@ class TokenizationAutomaton:
                 return gone
             state, until = self.began[state]
 
-    def has_arc(self, state: int | None, arc: int) -> bool:
+    def _holds(self, state: int, arc: int) -> bool:
         """A state has the arc uv if it had u when (u, v) merged and hasn't lost uv since."""
-        if state is None:  # the start loses nothing
+        if self._gone(state, arc) != NEVER:
+            return False
+        while arc in self.made:
+            arc, when = self.made[arc]
+            if self._gone(state, arc) <= when:
+                return False
+        return True
+
+    def has_arc(self, state: int | None, arc: int) -> bool:
+        """``_holds`` through the transition table; the start loses nothing."""
+        if state is None:
             return True
         key = (state, arc)
         known = self.table.get(key)
         if known is None:
-            known = self._gone(state, arc) == NEVER
-            while known and arc in self.made:
-                arc, when = self.made[arc]
-                known = self._gone(state, arc) > when
             if len(self.table) >= MEMO_ENTRIES:
                 self.table.clear()
-            self.table[key] = known
+            known = self.table[key] = self._holds(state, arc)
         return known
 
     def spell(self, word: str) -> list[int]:
