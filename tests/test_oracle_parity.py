@@ -1,4 +1,5 @@
-"""Every registered query against its DuckDB oracle on sf0.001 (the driver's gate runs sf0.01)."""
+"""Every registered query against its DuckDB oracle on sf0.01 with 4 shuffle partitions
+(the searches that answer every prompt: on sf0.001)."""
 
 import duckdb
 import pytest
@@ -11,23 +12,40 @@ QUERIES = E.queries()
 SQL = E.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def con(sf_small):
+SF_PARITY = "/root/testdata/sf0.01"
+SLOW = ("answer_questions", "answer_stream", "append_turns")
+
+
+def connect(sf_dir):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return c
 
 
+@pytest.fixture(scope="module")
+def cons(sf_small):
+    return {sf: connect(sf) for sf in (sf_small, SF_PARITY)}
+
+
+@pytest.fixture(scope="module")
+def four_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_every_query_is_known():
     assert len(QUERIES) >= 80
     assert set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_matches_oracle(spark, sf_small, con, name):
-    sc, sr = rows_of(QUERIES[name](spark, sf_small).toPandas())
-    oc, orows = rows_of(con.execute(SQL[name]).df())
+def test_query_matches_oracle(spark, four_partitions, sf_small, cons, name):
+    sf = sf_small if name in SLOW else SF_PARITY
+    sc, sr = rows_of(QUERIES[name](spark, sf).toPandas())
+    oc, orows = rows_of(cons[sf].execute(SQL[name]).df())
     assert sc == oc
     assert len(sr) == len(orows)
     assert digest(sr) == digest(orows)
