@@ -5,9 +5,9 @@
 * Search: BM25 (k1, b; idf = ln(1 + (N - df + 0.5) / (df + 0.5))) summed over
   the distinct query terms, top-k per question; ties broken by (doc, chunk)
   after rounding the score to 6 decimals.
-* Vector search: exact cosine top-k.  Queries are broadcast only after their
-  count is checked against a bound; beyond it, vectors and queries are paired
-  block by block in a cogroup, so no task ever holds the whole query set.
+* Vector search: exact cosine top-k.  Vectors and queries are paired block by
+  block in a cogroup, with blocks of a fixed number of bytes, so no task ever
+  holds the whole of either.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
-from cairn.session import fresh_path
+from cairn.session import fresh_path, written
 
 K1, B = 1.2, 0.75
-MAX_BROADCAST_QUERIES = 100_000  # queries broadcast to every task only up to this count
+BLOCK_BYTES = 64 << 20  # vectors in a block, and similarities in a slice, of vector search
 MAX_BROADCAST_PAIRS = 1_000_000  # (question, term) rows broadcast only up to this count (~40 MB)
 
 
@@ -173,19 +173,21 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
     small = q_terms.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS
     bc = F.broadcast if small else (lambda df: df)
     vocab = bc(q_terms.select("term").distinct())
-    post_q = index.postings.join(vocab, "term", "left_semi").select(*keys, "term", "tf", "dl")
+    raw = written(index.postings.join(vocab, "term", "left_semi").select(*keys, "term", "tf", "dl"), "search_postings")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
     saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    contrib = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     # per term: df, idf and ub = the largest contribution any chunk gets from it
-    term_stats = (post_q.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(saturation).alias("_sat"))
-                        .select("term", idf.alias("idf"), (idf * F.col("_sat")).alias("ub")))
-    qt = q_terms.join(term_stats, "term")  # terms without postings contribute nothing
-    qt_small = bc(qt.select(qid, "term", "idf"))
+    term_stats = written(raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(saturation).alias("_sat"))
+                            .select("term", idf.alias("idf"), (idf * F.col("_sat")).alias("ub")), "search_terms")
+    # every branch below reads these postings and their contributions, written once
+    post_q = written(raw.join(bc(term_stats.select("term", "idf")), "term").select(*keys, "term", weight.alias("w")), "search_weights")
+    qt = written(q_terms.join(term_stats, "term"), "question_terms")  # terms without postings contribute nothing
+    qt_small = bc(qt.select(qid, "term"))
 
     def score(rows: DataFrame, name: str, rounded: bool) -> DataFrame:
-        total = F.sum(contrib)
+        total = F.sum("w")
         return rows.groupBy(qid, *keys).agg((F.round(total, 6) if rounded else total).alias(name))
 
     def exact(cands: DataFrame) -> DataFrame:
@@ -201,17 +203,17 @@ def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str =
     # 2. seed threshold from the rarest terms' chunks
     rare = top_k(qt, [qid], [F.col("ub").desc(), F.col("term")], seed_terms).select(qid, "term")
     seed_cands = post_q.join(bc(rare), "term").select(qid, *keys).distinct()
-    theta0 = kth(exact(seed_cands), "score", "theta0")
+    theta0 = written(kth(exact(seed_cands), "score", "theta0"), "search_theta")
     # 3. essential terms; the non-essential ones' bounds sum to below theta0
     running = F.sum("ub").over(Window.partitionBy(qid).orderBy(F.col("ub"), F.col("term"))
                                .rowsBetween(Window.unboundedPreceding, 0))
     split = (qt.join(theta0, qid, "left").withColumn("_cum", running)
                .withColumn("_ess", F.col("_cum") >= F.coalesce(F.col("theta0"), F.lit(0.0)) - 1e-6))
-    essential = bc(split.filter("_ess").select(qid, "term", "idf"))
+    essential = bc(split.filter("_ess").select(qid, "term"))
     rest_ub = (split.groupBy(qid).agg(F.sum(F.when(~F.col("_ess"), F.col("ub")).otherwise(0.0)).alias("_rest"),
                                       F.first("theta0").alias("theta0")))
     # 4. partial scores over essential terms: lower bounds; + rest_ub: upper bounds
-    partial = score(post_q.join(essential, "term"), "_partial", False)
+    partial = written(score(post_q.join(essential, "term"), "_partial", False), "search_partial")
     theta1 = kth(partial, "_partial", "theta1")
     # the best candidates by lower bound, scored exactly, give a tighter theta
     probe = top_k(partial, [qid], [F.col("_partial").desc(), *keys], probe_size).select(qid, *keys)
@@ -238,87 +240,60 @@ def _safe_norm(m: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, n)
 
 
-def _cosine_topk_partitions(query_ids, query_mat, k, id_col, vec_col, qid):
-    q = np.asarray(query_mat, dtype=np.float64)
-    qn = q / _safe_norm(q)
-    qids = np.asarray(query_ids)
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            vn = v / _safe_norm(v)
-            sims = qn @ vn.T  # (queries, batch)
-            kk = min(k, sims.shape[1])
-            ids = pdf[id_col].to_numpy()
-            # Local candidates: everything within 1e-6 of the k-th best raw score.
-            # A vector below that cannot reach the global top-k after rounding to
-            # 6 decimals, so the candidate set is exact (ties included).
-            kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1:kk]
-            rows_q, cols = np.nonzero(sims >= kth - 1e-6)
-            yield pd.DataFrame({qid: qids[rows_q], id_col: ids[cols],
-                                "score": sims[rows_q, cols]})
-    return run
+def _cosine_candidates(query_ids, queries, vector_ids, vectors, k, id_col, qid):
+    """Candidates of one block pair: everything within 1e-6 of a query's k-th best raw score.
+
+    A vector below that can't reach the global top-k after rounding to 6 decimals, so the
+    candidate set is exact (ties included).  Vectors are taken in slices whose
+    similarities stay within ``BLOCK_BYTES``.
+    """
+    q = queries / _safe_norm(queries)
+    step = max(1, int(BLOCK_BYTES // (8 * max(1, len(q)))))
+    for at in range(0, len(vectors), step):
+        v = vectors[at:at + step]
+        sims = q @ (v / _safe_norm(v)).T  # (queries, slice)
+        kk = min(k, sims.shape[1])
+        kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1:kk]
+        rows_q, cols = np.nonzero(sims >= kth - 1e-6)
+        yield pd.DataFrame({qid: query_ids[rows_q], id_col: vector_ids[at + cols], "score": sims[rows_q, cols]})
+
+
+def vector_blocks(n_rows: int, dims: int) -> int:
+    """Blocks that hold at most about ``BLOCK_BYTES`` of vectors each."""
+    return max(1, -(-n_rows * dims * 8 // BLOCK_BYTES))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                 vec_col: str = "embedding", qid: str = "label") -> DataFrame:
     """Exact top-``k`` vectors per query by cosine similarity: (qid, rank, id, score).
 
-    Local candidates inside each vector partition (numpy on Arrow batches),
-    then a per-query top-k over those candidates.  Ties after rounding to 6
+    Vectors and queries are hashed into blocks of a fixed number of bytes, and each
+    (vector block, query block) pair is one cogroup: a vector is copied once per
+    query block and a query once per vector block, and no task holds more than two
+    blocks and one slice of similarities, however many there are of either.  A
+    per-query top-k over the pairs' candidates follows.  Ties after rounding to 6
     decimals break on the vector id.
     """
-    n_q = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    qtype = queries.schema[qid].dataType.simpleString()
-    itype = vectors.schema[id_col].dataType.simpleString()
-    if n_q == 0:
-        return vectors.sparkSession.createDataFrame(
-            [], f"{qid} {qtype}, {id_col} {itype}, score double, rank int")
-    if n_q <= MAX_BROADCAST_QUERIES:
-        rows = queries.select(qid, vec_col).orderBy(qid).collect()  # bounded: checked above
-        spark = vectors.sparkSession
-        ids = [r[0] for r in rows]
-        mat = spark.sparkContext.broadcast(np.array([np.asarray(r[1], dtype=np.float64) for r in rows]))
-        qtype = queries.schema[qid].dataType.simpleString()
-        itype = vectors.schema[id_col].dataType.simpleString()
-
-        def run(batches):
-            yield from _cosine_topk_partitions(ids, mat.value, k, id_col, vec_col, qid)(batches)
-
-        cand = vectors.select(id_col, vec_col).mapInPandas(
-            run, f"{qid} {qtype}, {id_col} {itype}, score double")
-    else:
-        cand = _vector_candidates_blocked(vectors, queries, k, id_col, vec_col, qid)
-    cand = cand.withColumn("score", F.round("score", 6))
-    return top_k(cand, [qid], [F.col("score").desc(), F.col(id_col)], k)
-
-
-def _vector_candidates_blocked(vectors, queries, k, id_col, vec_col, qid, vector_buckets: int = 64):
-    """Large query sets: every (vector bucket, query block) pair is one cogroup task.
-
-    Each vector is copied once per query block and each query once per vector
-    bucket, so a task holds about N/buckets vectors and at most the broadcast
-    bound of queries; no cross join and no broadcast of the query set.
-    """
-    n_q = queries.count()
-    blocks = max(1, -(-n_q // MAX_BROADCAST_QUERIES))
+    dims = F.max(F.size(vec_col))
+    n_v, dim = vectors.agg(F.count(F.lit(1)), dims).first()
+    n_q = queries.agg(F.count(F.lit(1))).first()[0]
+    vector_n, query_n = vector_blocks(n_v, dim or 1), vector_blocks(n_q, dim or 1)
     vq = (vectors.select(id_col, vec_col)
-                 .withColumn("_vb", F.pmod(F.xxhash64(id_col), F.lit(vector_buckets)))
-                 .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+                 .withColumn("_vb", F.pmod(F.xxhash64(id_col), F.lit(vector_n)))
+                 .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_n - 1)))))
     qq = (queries.select(qid, vec_col)
-                 .withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(blocks)))
-                 .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vector_buckets - 1)))))
+                 .withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(query_n)))
+                 .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vector_n - 1)))))
     qtype = queries.schema[qid].dataType.simpleString()
     itype = vectors.schema[id_col].dataType.simpleString()
 
     def pair(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if vpdf.empty or qpdf.empty:
             return pd.DataFrame({qid: [], id_col: [], "score": []})
-        run = _cosine_topk_partitions(qpdf[qid].to_numpy(), np.vstack(qpdf[vec_col].to_numpy()), k,
-                                      id_col, vec_col, qid)
-        return pd.concat(list(run(iter([vpdf]))), ignore_index=True)
+        mats = [np.vstack(f[vec_col].to_numpy()).astype(np.float64) for f in (qpdf, vpdf)]
+        return pd.concat(list(_cosine_candidates(qpdf[qid].to_numpy(), mats[0], vpdf[id_col].to_numpy(), mats[1], k,
+                                                 id_col, qid)), ignore_index=True)
 
-    return (vq.groupBy("_vb", "_qb").cogroup(qq.groupBy("_vb", "_qb"))
+    cand = (vq.groupBy("_vb", "_qb").cogroup(qq.groupBy("_vb", "_qb"))
               .applyInPandas(pair, f"{qid} {qtype}, {id_col} {itype}, score double"))
+    return top_k(cand.withColumn("score", F.round("score", 6)), [qid], [F.col("score").desc(), F.col(id_col)], k)

@@ -84,7 +84,7 @@ def test_bm25_pruned_equals_brute_force(spark):
     assert {q: v for q, v in exp.items() if v} == got
 
 
-def test_vector_topk_paths_agree(spark):
+def test_vector_topk_in_one_block_and_in_many(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     vecs = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(120)]
     qs = [(l, [float(x) for x in rnd.normal(size=8)]) for l in range(4)]
@@ -96,16 +96,14 @@ def test_vector_topk_paths_agree(spark):
         sims = m @ np.array(q) / (np.linalg.norm(m, axis=1) * np.linalg.norm(q))
         order = sorted(range(len(vecs)), key=lambda i: (-round(sims[i], 6), i))[:5]
         exp[l] = order
-    got = {}
-    for r in RV.vector_topk(vdf, qdf, k=5).orderBy("label", "rank").collect():
-        got.setdefault(r["label"], []).append(r["vec_id"])
-    assert got == exp
-    blocked = RV._vector_candidates_blocked(vdf, qdf, 5, "vec_id", "embedding", "label", vector_buckets=4)
-    got_b = {}
-    for r in top_k(blocked.withColumn("score", F.round("score", 6)), ["label"],
-                   [F.col("score").desc(), F.col("vec_id")], 5).orderBy("label", "rank").collect():
-        got_b.setdefault(r["label"], []).append(r["vec_id"])
-    assert got_b == exp
+    for budget in (RV.BLOCK_BYTES, 8 * 8 * 20):  # one block, and blocks of about 20 vectors
+        monkeypatch.setattr(RV, "BLOCK_BYTES", budget)
+        got = {}
+        for r in RV.vector_topk(vdf, qdf, k=5).orderBy("label", "rank").collect():
+            got.setdefault(r["label"], []).append(r["vec_id"])
+        assert got == exp
+    assert RV.vector_blocks(120, 8) == 6
+    assert RV.vector_topk(vdf, qdf.limit(0), k=5).count() == RV.vector_topk(vdf.limit(0), qdf, k=5).count() == 0
 
 
 def test_summary_picks_frequent_sentences(spark):
