@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairn.session import fresh_path
+from cairn.session import written as materialize  # noqa: F401  a table written once, read by all that follows
 
 # Fixed value: a word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,17 +18,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def materialize(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage with a table every executor can read, so a lost executor
-    costs only the tasks it ran, and gives later joins a side of known size.
-    """
-    path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold_case(text: Column) -> Column:
     """The text with A-Z lower-cased and nothing else changed (null: empty)."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
