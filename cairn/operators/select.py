@@ -24,15 +24,12 @@ def filter_extension(df: DataFrame, path: str = "path") -> DataFrame:
     return df.filter(T.path_suffix(path).isin(*allowed))
 
 
-def _bytes_col(df: DataFrame):
-    if "content_bytes" in df.columns:
-        return F.col("content_bytes")
-    return F.encode(F.col("content"), "UTF-8")
-
-
 def detect_encoding(df: DataFrame) -> DataFrame:
-    """Add ``encoding`` ('ASCII' / 'UTF-8' / null) from the first 4 KB."""
-    return df.withColumn("encoding", T.detect_encoding(_bytes_col(df)))
+    """Add ``encoding`` ('ASCII' / 'UTF-8' / null) from the first 4 KB (of text, only these are encoded)."""
+    if "content_bytes" in df.columns:
+        return df.withColumn("encoding", T.detect_encoding("content_bytes"))
+    head = F.encode(F.substring("content", 1, T.ENCODING_SAMPLE_BYTES), "UTF-8")
+    return df.withColumn("encoding", T.detect_encoding(head, F.octet_length("content")))
 
 
 def filter_encoding(df: DataFrame) -> DataFrame:

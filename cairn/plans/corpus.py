@@ -159,11 +159,14 @@ def q_assign_file_ids(spark, sf_dir):
 
 
 @register("batch_duplicates", """
-SELECT b.pos, b.hash, f.first_pos FROM batch b
-JOIN (SELECT hash, min(pos) AS first_pos FROM batch GROUP BY hash) f USING (hash)
+WITH b AS (SELECT doc_id AS pos, sha256(content) AS hash FROM files)
+SELECT b.pos, b.hash, f.first_pos FROM b
+JOIN (SELECT hash, min(pos) AS first_pos FROM b GROUP BY hash) f USING (hash)
 WHERE b.pos > f.first_pos""")
 def q_batch_duplicates(spark, sf_dir):
-    return C.batch_duplicates(FX.batch(spark, sf_dir)).select("pos", "hash", "first_pos")
+    """All files as one batch."""
+    everything = C.fingerprint(FX.files(spark, sf_dir).select(F.col("doc_id").alias("pos"), "content")).select("pos", "hash")
+    return C.batch_duplicates(everything).select("pos", "hash", "first_pos")
 
 
 @register("cache_stats", f"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
+from cairn.functions.hashing import content_id
 from cairn.operators import cache as C
 from cairn.session import fresh_path
 from cairn.sources import files as FS
@@ -90,9 +91,11 @@ def q_json_roundtrip(spark, sf_dir):
                        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
-@register("load_hash_cache", "SELECT hash, file_id FROM hash_cache")
+@register("load_hash_cache", """
+SELECT DISTINCT sha256(content) AS hash, 'file-' || substr(sha256(content), 1, 24) AS file_id FROM files""")
 def q_load_hash_cache(spark, sf_dir):
     path = fresh_path(spark, "hash_cache")
     empty = RC.load_hash_cache(spark, path)  # nothing saved yet -> empty cache, same schema
-    RC.save_hash_cache(empty.unionByName(FX.hash_cache(spark, sf_dir)), path)
+    every = C.fingerprint(FX.files(spark, sf_dir).select("content")).select("hash", content_id("file-", "hash").alias("file_id"))
+    RC.save_hash_cache(empty.unionByName(every.distinct()), path)
     return RC.load_hash_cache(spark, path)
