@@ -213,10 +213,10 @@ def gram_counts(training: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
         for pdf in frames:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                words = held.setdefault(lang, Counter())
-                words.update(words_of(text))
-                if len(words) > FLUSH_WORDS:
-                    yield flush(lang, held.pop(lang))
+                held.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, held.values())) > FLUSH_WORDS:  # of all languages together
+                    largest = max(held, key=lambda k: len(held[k]))
+                    yield flush(largest, held.pop(largest))
         for lang, words in held.items():
             if words:
                 yield flush(lang, words)

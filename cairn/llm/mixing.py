@@ -220,10 +220,9 @@ def take_mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     one = Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(1))
     rows = (docs.withColumn("__text", F.xxhash64("text"))
                 .withColumn("__copy", F.row_number().over(one)).filter("__copy = 1"))
-    shards = 1 << math.ceil(math.log2(MIN_SHARDS))
     return (rows.join(draws, rows["doc_id"].cast("bigint").eqNullSafe(draws["__id"])
                       & rows["source"].eqNullSafe(draws["__source"]) & (rows["__text"] == draws["__digest"]))
                 .withColumn("__draw", F.explode("__draws"))
-                .repartition(shards, F.col("__draw.shard"))
+                .repartition(F.col("__draw.shard"))  # a shard is about SHARD_WORDS words, so there are more of larger mixes
                 .sortWithinPartitions("__draw.shard", F.xxhash64(F.lit(seed), "__id", "__digest", "__draw.epoch"))
                 .select(*docs.columns))
