@@ -48,20 +48,21 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.array_join("w.tokens", " ").alias("text")))
 
 
-def _by_document(chunks: DataFrame, keys) -> DataFrame:
-    """Hash-partition chunk rows by document: the (chunk, term) aggregation that
+def _by_document(chunks: DataFrame, keys, colocated: bool) -> DataFrame:
+    """Chunk rows hash-partitioned by document: the (chunk, term) aggregation that
     follows then needs no shuffle of the exploded tokens.  A document is one
-    bounded row, so this cannot concentrate a hot key."""
-    return chunks.repartition(keys[0])
+    bounded row, so this cannot concentrate a hot key.  ``colocated``: the documents
+    were partitioned so before they were chunked, which moves each token once."""
+    return chunks if colocated else chunks.repartition(keys[0])
 
 
-def build_index(chunks: DataFrame, keys=("doc_id", "chunk_no")) -> tuple[DataFrame, DataFrame]:
+def build_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), colocated: bool = False) -> tuple[DataFrame, DataFrame]:
     """(postings(keys..., term, tf), term_stats(term, df, cf)).
 
     Both are plain aggregations (partial aggregation absorbs very common terms);
     at scale the postings are written once, bucketed by term, and searched many times.
     """
-    postings = (_by_document(chunks, keys).select(*keys, F.explode("tokens").alias("term"))
+    postings = (_by_document(chunks, keys, colocated).select(*keys, F.explode("tokens").alias("term"))
                       .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     return postings, stats
@@ -76,7 +77,7 @@ class Bm25Index(NamedTuple):
 
 
 def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool = True,
-               path: str | None = None) -> Bm25Index:
+               path: str | None = None, colocated: bool = False) -> Bm25Index:
     """Build the search index once.
 
     The postings (chunk length riding along as a grouping key) are written as
@@ -93,7 +94,7 @@ def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool
     if path is not None and _index_exists(path):
         weighted = spark.read.parquet(path)
     if weighted is None:
-        built = (_by_document(chunks, keys)
+        built = (_by_document(chunks, keys, colocated)
                  .select(*keys, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
                  .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
         if materialize or path is not None:

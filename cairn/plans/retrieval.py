@@ -22,8 +22,9 @@ STRIDE = SIZE - OVERLAP
 TOP_K, ANSWER_K, VECTOR_K, SUMMARY_N = 3, 1, 5, 3
 
 
-def _chunks(spark, sf_dir):
-    return RV.chunk_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), size=SIZE, overlap=OVERLAP)
+def _chunks(spark, sf_dir, colocate=False):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return RV.chunk_documents(docs.repartition("doc_id") if colocate else docs, size=SIZE, overlap=OVERLAP)
 
 
 def _index(spark, sf_dir):
@@ -44,7 +45,7 @@ def _index(spark, sf_dir):
     app = spark.sparkContext.applicationId
     key = hashlib.sha256(f"{src}|{n}|{mark}|{SIZE}|{OVERLAP}|{app}|v2".encode()).hexdigest()[:32]
     path = f"{shared_dir(spark).rstrip('/')}/bm25/{key}"
-    return RV.bm25_index(_chunks(spark, sf_dir), path=path)
+    return RV.bm25_index(_chunks(spark, sf_dir, colocate=True), path=path, colocated=True)
 
 
 _CHUNKS_SQL = f"""
@@ -69,7 +70,7 @@ post AS (SELECT doc_id, chunk_no, term, count(*) AS tf FROM (SELECT doc_id, chun
          GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term""")
 def q_build_index(spark, sf_dir):
-    _, stats = RV.build_index(_chunks(spark, sf_dir))
+    _, stats = RV.build_index(_chunks(spark, sf_dir, colocate=True), colocated=True)
     return stats.select("term", "df", F.col("cf").cast("bigint").alias("cf"))
 
 
