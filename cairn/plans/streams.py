@@ -20,10 +20,6 @@ from cairn.streaming import toolcalls as TS
 
 QUERIES, ORACLE, register = query_registry()
 
-# Tool-call state is kept per hash bucket of call ids (the set of recently
-# completed calls per bucket): one vectorised Python call per bucket per
-# micro-batch instead of one per call.  Raise with the number of active calls.
-STATE_BUCKETS = 256
 FILES_PER_BATCH = 16  # files that a micro-batch takes at most, which bounds its size
 
 
@@ -34,7 +30,7 @@ def stream_frames(spark, sf_dir) -> dict:
     docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "source", "text", max_files_per_trigger=FILES_PER_BATCH)
     status = PL.file_status_stream(docs, read_table(spark, sf_dir, "labels", "doc_id"))
     return {
-        "tool_calls_stream": TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS),
+        "tool_calls_stream": TS.tool_calls_stream(events),
         "completed_calls_stream": TS.completed_calls_stream(events),
         "response_text_stream": PL.response_text_stream(msgs),
         "response_deltas_stream": PL.response_deltas(msgs),
@@ -48,8 +44,10 @@ FROM tool_events e LEFT JOIN (SELECT call_id, min(ord) AS done FROM tool_events
   USING (call_id)
 WHERE d.done IS NULL OR e.ord <= d.done""")
 def q_tool_calls_stream(spark, sf_dir):
+    root = fresh_path(spark, "tool_calls")
     events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events", max_files_per_trigger=FILES_PER_BATCH))
-    return RN.run_to_table(TS.tool_calls_stream(events, state_buckets=STATE_BUCKETS), "append", "tool_calls")
+    RN.run_foreach_batch(events, TS.kept_events_batch(root), "tool_calls")
+    return TS.read_kept(spark, root)
 
 
 @register("completed_calls_stream", """

@@ -1,8 +1,9 @@
 """Tool-call events as a stream.
 
 ``tool_calls_stream``: per call id the state is (completed, last ord,
-snapshot); or, bucketed, per hash bucket the set of recently completed calls.  Events of a call are emitted in order until its first 'done';
-later events of that call are dropped.  State expires one day of event time
+snapshot).  Events of a call are emitted in order until its first 'done'; later
+events of that call are dropped.  ``kept_events_batch`` keeps the completed calls
+in a table instead and joins each micro-batch to it.  State expires one day of event time
 after the call's last event (watermark-driven timeout) — the reference keeps
 it for one run only; a late event after expiry reopens the call.
 
@@ -14,10 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from cairn.operators.toolcalls import kept_events
+from cairn.session import written
+
 STATE_SCHEMA = "completed boolean, last_ord bigint, snapshot string"
 OUT_SCHEMA = "call_id string, ord bigint, phase string, snapshot string"
 STATE_TTL_MS = 24 * 3600 * 1000
@@ -66,64 +71,58 @@ def _step(key, batches, state):
                             "phase": phases[: len(kept)], "snapshot": snaps[kept]})
 
 
-BUCKET_STATE_SCHEMA = "calls array<string>, done_ms array<bigint>"
+def tool_calls_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Streaming kept events: (call_id, ord, phase, snapshot), one state and one Python call per
+    call id and micro-batch; ``kept_events_batch`` is the form without Python."""
+    return (events.withWatermark("ts", watermark).groupBy("call_id").applyInPandasWithState(
+        _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def _bucket_step(key, batches, state):
-    """One bucket of call ids: drop events of calls completed earlier, keep each
-    remaining call's events up to its first 'done' (vectorised over the bucket),
-    remember newly completed calls; forget completions older than the TTL."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    wm = state.getCurrentWatermarkMs()
-    calls, done_ms = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    alive = {c: t for c, t in zip(calls, done_ms) if t + STATE_TTL_MS >= wm}
-    frames = list(batches)
-    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    pdf = pdf[~pdf["call_id"].isin(list(alive))].sort_values(["call_id", "ord"], kind="stable")
-    if len(pdf):
-        is_done = (pdf["phase"] == "done").to_numpy()
-        before = pdf.assign(_d=is_done).groupby("call_id", sort=False)["_d"].cumsum().to_numpy() - is_done
-        out = pdf[before == 0]
-        finished = out[out["phase"] == "done"]
-        ms = finished["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64)
-        alive.update(zip(finished["call_id"].tolist(), ms.tolist()))
-        if len(out):
-            yield out[["call_id", "ord", "phase", "snapshot"]]
-    if alive:
-        state.update((list(alive.keys()), list(alive.values())))
-        state.setTimeoutTimestamp(max(max(alive.values()) + STATE_TTL_MS, wm + 1))
-    elif state.exists:
-        state.remove()
+def completed_calls_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """One row per completed call (its first 'done' event to arrive)."""
+    return (events.filter(F.col("phase") == "done")
+                  .withWatermark("ts", watermark)
+                  .dropDuplicatesWithinWatermark(["call_id"]))
 
 
-def tool_calls_stream(events: DataFrame, watermark: str = "1 day",
-                      state_buckets: int | None = None) -> DataFrame:
-    """Streaming kept events: (call_id, ord, phase, snapshot).
+DONE = "call_id string, done_ts timestamp, batch_id bigint"
 
-    ``state_buckets=None``: one state per call id (one Python call per call per
-    micro-batch).  ``state_buckets=B``: calls are hashed into B buckets whose
-    state is the set of recently completed calls — one vectorised Python call
-    per bucket per micro-batch; choose B so a bucket holds thousands of
-    completed calls per TTL, not millions.
-    """
-    wm = events.withWatermark("ts", watermark)
-    if state_buckets is None:
-        return wm.groupBy("call_id").applyInPandasWithState(
-            _step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    bucketed = wm.withColumn("_bucket", F.pmod(F.xxhash64("call_id"), F.lit(state_buckets)))
-    return (bucketed.groupBy("_bucket")
-              .applyInPandasWithState(_bucket_wrap, OUT_SCHEMA, BUCKET_STATE_SCHEMA, "append",
-                                      GroupStateTimeout.EventTimeTimeout))
 
+def _completed(spark: SparkSession, root: str, before_batch: int) -> DataFrame:
+    """Calls that earlier batches completed."""
+    try:
+        done = spark.read.schema(DONE).parquet(f"{root}/done")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], DONE)
+    return done.filter(F.col("batch_id") < before_batch)
 
-def _bucket_wrap(key, batches, state):
-    yield from _bucket_step(key, (b.drop(columns=["_bucket"], errors="ignore") for b in batches), state)
 
+def kept_events_batch(root: str, ttl: str = "1 day"):
+    """foreachBatch function: the batch's events of calls that no earlier batch completed,
+    up to their first 'done', to ``root``/kept, and the calls completed to ``root``/done.
 
-def completed_calls_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """One row per completed call (its first 'done' event to arrive)."""
-    return (events.filter(F.col("phase") == "done")
-                  .withWatermark("ts", watermark)
-                  .dropDuplicatesWithinWatermark(["call_id"]))
+    The state is the table of completed calls, a row each, read back by earlier batch ids
+    only, and every folder is overwritten by its own batch id, so a replayed batch
+    writes the same again.  Completions more than ``ttl`` before the batch's first
+    event are passed over.  Plain joins and aggregates: no state per group in memory,
+    and a call with a large share of the events splits like in the batch form.
+    """
+    root = root.rstrip("/")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = batch.agg(F.min("ts").cast("timestamp")).scalar()
+        done = _completed(spark, root, batch_id).filter(
+            F.col("done_ts") >= F.coalesce(first, F.to_timestamp(F.lit("1970-01-01"))) - F.expr(f"INTERVAL {ttl}")).select("call_id").distinct()
+        events = written(batch.join(written(done, "completed_calls"), "call_id", "left_anti"), "open_events")
+        kept_events(events).select("call_id", "ord", "phase", "snapshot").write.mode("overwrite").parquet(
+            f"{root}/kept/batch_id={batch_id}")
+        (events.filter(F.col("phase") == "done").groupBy("call_id").agg(F.max("ts").cast("timestamp").alias("done_ts"))
+         .write.mode("overwrite").parquet(f"{root}/done/batch_id={batch_id}"))
+    return run
+
+
+def read_kept(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(OUT_SCHEMA).parquet(f"{root.rstrip('/')}/kept").select("call_id", "ord", "phase", "snapshot")

@@ -97,32 +97,54 @@ def test_watch_polls_until_stopped(spark, sf_small):
     assert seen and seen[0] > 0
 
 
-def test_bucketed_tool_calls_stream_equals_batch(spark, sf_small):
-    d = _split_table(f"{sf_small}/events.parquet", "events", 3)
-    stream = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
-    got = RN.run_to_table(TS.tool_calls_stream(stream, state_buckets=4), "append", "tb").select("call_id", "ord")
-    batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
-
-
-def test_tool_calls_stream_restart_keeps_state(spark, sf_small):
+def test_tool_calls_with_table_state_equal_batch_and_restart(spark, sf_small):
     src = f"{sf_small}/events.parquet"
     d = _split_table(src, "events", 3, write=[0])
-    out, ckpt = fresh_path(spark, "tc_out"), fresh_path(spark, "tc_ckpt")
+    root, ckpt = fresh_path(spark, "tc_table"), fresh_path(spark, "tc_table_ckpt")
 
     def run():
         ev = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
-        RN.run_to_files(TS.tool_calls_stream(ev, state_buckets=4), out, ckpt)
+        RN.run_foreach_batch(ev, TS.kept_events_batch(root), checkpoint=ckpt)
 
     run()
     _write_parts(src, d, "events", 3, [1, 2])   # later events arrive after a stop
     run()                                        # restart: completed calls are remembered
     run()                                        # nothing new: no duplicate output
-    got = spark.read.parquet(out).select("call_id", "ord")
+    got = TS.read_kept(spark, root).select("call_id", "ord")
     batch = TC.kept_events(TS.tool_call_events(spark.read.parquet(d))).select("call_id", "ord")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_a_replayed_batch_writes_the_same(spark, sf_small):
+    events = TS.tool_call_events(spark.read.parquet(f"{sf_small}/events.parquet"))
+    root = fresh_path(spark, "tc_replay")
+    step = TS.kept_events_batch(root)
+    half = events.filter("ord % 2 = 0"), events.filter("ord % 2 = 1")
+    step(half[0], 0)
+    step(half[1], 1)
+    before = sorted(map(tuple, TS.read_kept(spark, root).collect()))
+    step(half[1], 1)
+    assert sorted(map(tuple, TS.read_kept(spark, root).collect())) == before
+
+
+def test_completed_calls_restart(spark, sf_small):
+    src = f"{sf_small}/events.parquet"
+    d = _split_table(src, "events", 2, write=[0])
+    out, ckpt = fresh_path(spark, "cc_out"), fresh_path(spark, "cc_ckpt")
+
+    def run():
+        ev = TS.tool_call_events(RN.table_stream(spark, d, "events", max_files_per_trigger=1))
+        RN.run_to_files(TS.completed_calls_stream(ev), out, ckpt)
+
+    run()
+    _write_parts(src, d, "events", 2, [1])
+    run()
+    run()
+    got = spark.read.parquet(out)
+    done = TS.tool_call_events(spark.read.parquet(d)).filter("phase = 'done'").select("call_id").distinct().count()
+    assert got.count() == got.select("call_id").distinct().count() == done
+
+
 def test_oversize_files_are_rejects_and_single_child_roots_fan_out(spark):
     root = fresh_path(spark, "oversize")
     rows = [(f"/r/d{i}/f{j}.py", "x" * (10 if j else 1000), False) for i in range(6) for j in range(2)]
