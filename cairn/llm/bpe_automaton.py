@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 
 NEVER = float("inf")
 HEAD = 4
-MEMO_ENTRIES = 400_000  # bound of each worker's memo of chunks and of looked-up arcs
+MEMO_ENTRIES = 300_000  # bound of each worker's memo of chunks and of looked-up arcs
 # The word pattern of the lower-case vocabulary, and what it is for printable
 # characters before U+0250, which are in normal form C and whose case folds one by one.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from cairn.llm.bpe_automaton import encode_texts
 from cairn.llm.exact_dedup import exact_duplicates
@@ -56,7 +57,7 @@ def op5(spark, sf_dir):
 @register("op6_digest_cache_counts")
 def op6(spark, sf_dir):
     # one cache for each corpus folder, shared by all runs on it
-    corpus = spark.range(1).select(F.sha2(F.lit(sf_dir), 256)).first()[0][:24]
+    corpus = hashlib.sha256(sf_dir.encode()).hexdigest()[:24]
     cache = f"{shared_dir(spark).rstrip('/')}/token_cache/{corpus}"
     return token_counts(_texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
