@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from cairn.plans import catalog
 from cairn.sources.tables import TABLES
 from tools.check_oracle import digest, rows_of
 
@@ -60,7 +61,7 @@ def test_no_cross_products_in_any_plan(spark, sf_small):
     import contextlib
     import io
     offenders = []
-    for name, fn in QUERIES.items():
+    for name, fn in catalog.queries().items():
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             fn(spark, sf_small).explain()
