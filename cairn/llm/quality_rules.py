@@ -10,7 +10,7 @@ limit (union bound), rules and strata share the error of confidence (Bonferroni)
 the cutoffs of one rule are tested from the loosest on, in fixed sequence, up to the
 first that fails, which needs no further correction.  Of the admissible cutoffs the
 one is taken that separates the labels best (share of bad documents rejected less
-share of good ones), the loosest if several do; a rule that doesn't separate, or a
+``GOOD_COST`` times the share of good ones), the loosest if several do; a rule that doesn't separate, or a
 stratum with too few labels to bound anything, gets none.
 
 Everything is DataFrame functions.  All labelled documents take part.  Counts per
@@ -36,6 +36,7 @@ from cairn.llm.textstats import RATIOS, with_counts, with_ratios, with_repeated_
 GRID = 50  # cutoffs are multiples of 1 / GRID
 LIMIT = 0.03  # of the good documents of a stratum, over all rules
 ERROR = 0.05  # chance that any stratum's limit is exceeded
+GOOD_COST = 10.0
 RULES = (*RATIOS, "repeat_window_ratio")
 
 # Fixed values of the base rule.
@@ -96,7 +97,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, error: fl
               .withColumn("passes", within_limit(F.col("good"), F.col("good_rejected"), F.lit(limit / len(RULES)),
                                                  F.lit(error / (len(RULES) * max(1, strata))))))
     looser = Window.partitionBy("stratum", "rule").orderBy(F.desc("at"))
-    gain = F.col("bad_rejected") / F.greatest("bad", F.lit(1)) - F.col("good_rejected") / F.greatest("good", F.lit(1))
+    gain = F.col("bad_rejected") / F.greatest("bad", F.lit(1)) - GOOD_COST * F.col("good_rejected") / F.greatest("good", F.lit(1))
     return (tested.withColumn("all_pass", F.min("passes").over(looser)).filter("all_pass").withColumn("gain", gain)
             .groupBy("stratum", "rule").agg(F.max(F.struct("gain", "at", "good", "good_rejected", "bad", "bad_rejected")).alias("x"))
             .filter("x.gain > 0")
