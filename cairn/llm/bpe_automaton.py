@@ -40,6 +40,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cairn.llm.common import held_by_worker
+
 NEVER = float("inf")
 HEAD = 4
 MEMO_ENTRIES = 300_000  # bound of each worker's memo of chunks and of looked-up arcs
@@ -231,16 +233,10 @@ class AutomatonTokenizer:
         return ids.count(" ") + bool(ids), ids, " ".join([p[1] for p in parts if p[0]])
 
 
-_TOKENIZERS: dict[str, AutomatonTokenizer] = {}
-
-
 def tokenizer_of(spec: str) -> AutomatonTokenizer:
     """One automaton a worker and vocabulary."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = AutomatonTokenizer(spec)
-    return _TOKENIZERS[key]
+    key = "automaton", hashlib.sha256(spec.encode()).hexdigest()
+    return held_by_worker(key, lambda: AutomatonTokenizer(spec))
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -255,7 +251,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, with_ids: bool = False, with_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(spec.value)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             counts, ids, texts, written, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 n, a, b = tokenizer.written(text)

@@ -33,6 +33,22 @@ def unit_hash(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key=None, make=None):
+    """What a Python worker keeps between tasks: one object, of the operator that ran last.
+
+    Workers are reused by all operators of a job; whichever starts with another key (or
+    none) lets go of what the one before kept, so that memos don't add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        if make is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
 def partitions_for(rows: int, per_task: int) -> int:
     """Tasks needed to keep each at about ``per_task`` rows."""
     return max(1, math.ceil(rows / per_task))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fold_case, materialize
+from cairn.llm.common import fold_case, held_by_worker, materialize
 
 QUOTIENT_BITS = 12
 SEGMENT_ROWS = 1 << 15  # fingerprints in a segment, about
@@ -94,7 +94,8 @@ def text_digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        held_by_worker()
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [(t or "").encode().lower() for t in batch.column(1).to_pylist()]
             prints = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({
@@ -173,9 +174,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    kept = (exact_duplicates(docs).filter("kept")
-            .select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")))
-    rows = docs.withColumn("__sha", F.sha2(fold_case(F.col("text")), 256)).join(
-        kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    first = Window.partitionBy("doc_id", "__sha").orderBy(F.lit(1))  # rows that repeat a doc_id and its text
+    key = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.sha2(fold_case(F.col("text")), 256).alias("sha"))
+    kept = exact_duplicates(docs).filter("kept").select(
+        F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("__key"))
+    # one key for the join and the window, so that the texts are shuffled once
+    rows = docs.withColumn("__key", key).hint("merge").join(kept, "__key", "left_semi")
+    first = Window.partitionBy("__key").orderBy("__key")  # rows that repeat a doc_id and its text
     return rows.withColumn("__copy", F.row_number().over(first)).filter("__copy = 1").select(*docs.columns)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, partitions_for
+from cairn.llm.common import held_by_worker, materialize, partitions_for
 from cairn.llm.components import connected_components
 
 WORDS = 5
@@ -201,9 +201,10 @@ def shingle_table(docs: DataFrame, with_sets: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        held_by_worker()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 made = [s.tobytes() if with_sets else signature(s).tobytes() for s in sets]
                 yield pa.RecordBatch.from_pydict({
@@ -278,7 +279,9 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document (the least doc_id) of each group of linked documents."""
     kept = (jaccard_links(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.col("doc_id").alias("__kept_id")).distinct())
-    rows = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))  # rows that repeat a doc_id and its text
+            .select(F.struct(F.col("doc_id").alias("id")).alias("__key")).distinct())
+    # one key for the join and the window, so that the texts are shuffled once
+    rows = (docs.withColumn("__key", F.struct(F.col("doc_id").cast("bigint").alias("id"))).hint("merge")
+                .join(kept, "__key", "left_semi").withColumn("__text", F.xxhash64("text")))
+    first = Window.partitionBy("__key", "__text").orderBy("__key")  # rows that repeat a doc_id and its text
     return rows.withColumn("__copy", F.row_number().over(first)).filter("__copy = 1").select(*docs.columns)

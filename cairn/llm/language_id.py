@@ -34,6 +34,7 @@ so other columns can't clash, and lang is only read to train.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import held_out, materialize
+from cairn.llm.common import held_by_worker, held_out, materialize
 
 ORDER = 4
 MAX_GRAMS = 200_000
@@ -52,7 +53,7 @@ QUANTILE = 0.999
 SLACK = 4.0  # nats a character, over the square root of the characters
 TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(21))
 FLUSH_WORDS = 200_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -175,7 +176,7 @@ class TextScorer:
     def __init__(self, models: CharacterModels):
         self.models = models
         self.place: dict[str, int] = {}
-        self.values = np.zeros((0, len(models.languages)))
+        self.values = np.zeros((0, len(models.languages)), np.float32)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability by language, characters predicted) of each text; no words: zeros."""
@@ -186,13 +187,13 @@ class TextScorer:
             self.place, self.values = {}, self.values[:0]
         if missing:
             self.place.update(zip(missing, range(len(self.values), len(self.values) + len(missing)), strict=True))
-            new = [self.models.log_probabilities(missing[at:at + 20_000]) for at in range(0, len(missing), 20_000)]
+            new = [self.models.log_probabilities(missing[at:at + 20_000]).astype(np.float32) for at in range(0, len(missing), 20_000)]
             self.values = np.concatenate([self.values, *new])
         totals = np.zeros((len(texts), len(self.models.languages)))
         chars = np.zeros(len(texts), np.int64)
         for i, words in enumerate(split):
             if words:
-                totals[i] = self.values[list(map(self.place.__getitem__, words))].sum(axis=0)
+                totals[i] = self.values[list(map(self.place.__getitem__, words))].sum(axis=0, dtype=np.float64)
                 chars[i] = sum(map(len, words)) + len(words)
         return totals, chars
 
@@ -210,6 +211,7 @@ def gram_counts(training: DataFrame) -> DataFrame:
                              "n": np.bincount(inverse, weights).astype(np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_by_worker()
         held: dict[str, Counter] = {}
         for pdf in frames:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -238,13 +240,13 @@ def train(training: DataFrame) -> CharacterModels | None:
 
 def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
     """doc_id, lang (as read), chars and the log-probability of every text in every language."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared, key = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = TextScorer(shared.value)
+        scorer = held_by_worker(("languages", key), lambda: TextScorer(shared.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 totals, chars = scorer.score(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "lang": part.column(1), "chars": pa.array(chars),

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import WORD, materialize, unit_hash
 
 BLOCK_ROWS = 1024
-SHARD_WORDS = 32_000_000
+SHARD_WORDS = 8_000_000
 MIN_SHARDS = 16
 SIGMAS = 12
 
@@ -214,15 +214,15 @@ def take_mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as drawn, shard by shard in a
     locally shuffled order, with the columns of ``docs``."""
     drawn = draw_mix(docs, seed=seed, **options)
+    key = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("digest"))
     draws = (drawn.filter("size(draws) > 0")
-                  .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"))
+                  .groupBy(F.struct(F.col("doc_id").alias("id"), "source", "digest").alias("__key"))
                   .agg(F.flatten(F.collect_list("draws")).alias("__draws")))
-    one = Window.partitionBy("doc_id", "source", "__text").orderBy(F.lit(1))
-    rows = (docs.withColumn("__text", F.xxhash64("text"))
-                .withColumn("__copy", F.row_number().over(one)).filter("__copy = 1"))
-    return (rows.join(draws, rows["doc_id"].cast("bigint").eqNullSafe(draws["__id"])
-                      & rows["source"].eqNullSafe(draws["__source"]) & (rows["__text"] == draws["__digest"]))
-                .withColumn("__draw", F.explode("__draws"))
-                .repartition(F.col("__draw.shard"))  # a shard is about SHARD_WORDS words, so there are more of larger mixes
-                .sortWithinPartitions("__draw.shard", F.xxhash64(F.lit(seed), "__id", "__digest", "__draw.epoch"))
-                .select(*docs.columns))
+    rows = docs.withColumn("__key", key).hint("merge").join(draws, "__key")
+    dealt = (rows.select("*", F.posexplode("__draws").alias("__place", "__draw")).drop("__draws")
+                 .withColumn("__shard", F.col("__draw.shard")).repartition("__shard"))
+    # rows that repeat a doc_id, source and text share their draws: each draw is taken once
+    one = Window.partitionBy("__shard", "__key", "__place").orderBy("__key")
+    return (dealt.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1")
+                 .sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__key", "__draw.epoch"), "__place")
+                 .select(*docs.columns))

@@ -18,6 +18,8 @@ from collections import Counter
 
 import numpy as np
 
+from cairn.llm.common import held_by_worker
+
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # White space beyond space, tab, line feed and carriage return.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -117,13 +119,7 @@ class PieceEncoder:
             self.seen.clear()
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder_of(spec: str) -> PieceEncoder:
     """One encoder a worker and vocabulary."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(spec)
-    return _ENCODERS[key]
+    key = "pieces", hashlib.sha256(spec.encode()).hexdigest()
+    return held_by_worker(key, lambda: PieceEncoder(spec))
