@@ -44,7 +44,8 @@ from cairn.llm.common import held_by_worker
 
 NEVER = float("inf")
 HEAD = 4
-MEMO_ENTRIES = 300_000  # bound of each worker's memo of chunks and of looked-up arcs
+# Bounds of what a worker keeps: chunks and words in two generations each, and looked-up arcs.
+MEMO_CHUNKS, MEMO_WORDS, MEMO_ARCS = 100_000, 200_000, 200_000
 # The word pattern of the lower-case vocabulary, and what it is for printable
 # characters before U+0250, which are in normal form C and whose case folds one by one.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -123,7 +124,7 @@ class TokenizationAutomaton:
         key = (state, arc)
         known = self.table.get(key)
         if known is None:
-            if len(self.table) >= MEMO_ENTRIES:
+            if len(self.table) >= MEMO_ARCS:
                 self.table.clear()
             known = self.table[key] = self._holds(state, arc)
         return known
@@ -164,27 +165,29 @@ class AutomatonTokenizer:
         self.automaton = TokenizationAutomaton(
             model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.label = self.automaton.label | {i: s for s, i in self.special.items()}
-        splitter = Tokenizer.from_str(spec)
+        # the library's splitter without its model
+        splitter = Tokenizer.from_str(json.dumps(content | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalize = splitter.normalizer.normalize_str
         self.split = splitter.pre_tokenizer.pre_tokenize_str
         # for the one word pattern this is known for, simple words go without the library's splitter
         pattern = (content["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.words = regex.compile(WORDS) if pattern == WORDS else None
         self.bytes = byte_alphabet()
-        self.word_memo: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # words
+        self.known_before: dict[str, tuple[int, ...]] = {}
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(names)})") if names else None
         self.memo: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}  # the memo before the last time it was full
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.word_memo.get(word)
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = self.known.get(word)
         if ids is None:
-            ids = self.automaton.spell(word)
-            if len(self.word_memo) >= MEMO_ENTRIES:
-                self.word_memo.clear()
+            ids = self.known_before.get(word) or tuple(self.automaton.spell(word))
+            if len(self.known) >= MEMO_WORDS:
+                self.known_before, self.known = self.known, {}
             if len(word) <= 200:
-                self.word_memo[word] = ids
+                self.known[word] = ids
         return ids
 
     def pre_split(self, part: str) -> list[str]:
@@ -211,7 +214,7 @@ class AutomatonTokenizer:
         if found is None:
             ids = self.encode_chunk(chunk)
             found = " ".join(map(str, ids)), self.decode(ids)
-        if len(self.memo) >= MEMO_ENTRIES:
+        if len(self.memo) >= MEMO_CHUNKS:
             self.older, self.memo = self.memo, {}
         if len(chunk) <= 200:
             self.memo[chunk] = found
