@@ -12,9 +12,10 @@ back-off weight.
 
 Training counts every training row: tasks count words, turn them into n-gram
 counts, and Spark adds these up by (language, n-gram), so a language that holds
-most rows is summed before the shuffle.  The models keep the ``MAX_GRAMS`` most
-frequent n-grams of each of at most ``MAX_LANGUAGES`` languages (a bound of the
-model's size, which is collected and broadcast); that is the only bound.
+most rows is summed before the shuffle.  Continuation counts, discounts, probabilities
+and back-offs are computed in Spark from all strings of all languages.  The finished models are
+collected and broadcast; if they pass ``MODEL_BYTES``, the strings that add least
+to their language's cross-entropy go, and their mass to the back-off of their contexts.
 
 The language with the least cross-entropy per character wins.  Its score is the
 posterior probability under a temperature chosen to minimise the log-loss of the
@@ -33,6 +34,7 @@ so other columns can't clash, and lang is only read to train.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections import Counter
@@ -47,13 +49,15 @@ from pyspark.sql import functions as F
 from cairn.llm.common import held_by_worker, held_out, materialize
 
 ORDER = 4
-MAX_GRAMS = 200_000
-MAX_LANGUAGES = 50
+MODEL_BYTES = 192 << 20  # of the broadcast models, all languages together
+GRAM_BYTES = 40  # of a stored string at most: hash, offset, language and value, and as much for its context
 QUANTILE = 0.999
 SLACK = 4.0  # nats a character, over the square root of the characters
 TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(21))
 FLUSH_WORDS = 200_000
 MEMO_WORDS = 200_000
+MEMO_CELLS = 10_000_000  # words times languages
+CHUNK_CELLS = 1_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -90,15 +94,26 @@ def hash_strings(points: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def hash_grams(grams: list[str]) -> np.ndarray:
+    """Hashes of strings of equal length."""
+    n = len(grams[0]) if grams else 0
+    points = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return hash_strings(points, np.arange(len(grams)) * n + n - 1, n)
+
+
 class CharacterModels:
-    """Kneser-Ney models of several languages over shared sorted hash arrays."""
+    """Kneser-Ney models of several languages over shared sorted hash arrays.
+
+    Each order has two of them, of strings and of contexts: the sorted hashes, where the
+    entries of each begin, and the entries, a language and a value.  Nothing is held
+    for a language that lacks a string."""
 
     def __init__(self, grams: pd.DataFrame):
         """``grams``: lang, gram (ORDER characters), n; one row per language and string."""
         self.languages = sorted(grams["lang"].unique())
         points = np.frombuffer("".join(grams["gram"]).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER)
         language = np.searchsorted(self.languages, grams["lang"].to_numpy(object).astype(str))
-        self.alphabet = alphabet = len(np.unique(points[:, -1])) + 1
+        alphabet = len(np.unique(points[:, -1])) + 1
         size = len(self.languages)
         parts: list[list[tuple]] = [[] for _ in range(ORDER + 1)]
         self.floor = np.zeros(size)
@@ -129,7 +144,16 @@ class CharacterModels:
                 parts[n].append((k, lower["keys"], np.log(lower["p"]), keys, np.log(backoff)))
                 if n == 1:
                     self.floor[k] = np.log(backoff[0] / alphabet) if len(backoff) else -np.log(alphabet)
-        self.tables = [self._merge(p, size) for p in parts[1:]]
+        self.tables = [tuple(self._index(*[np.concatenate(x) for x in zip(*[
+            (np.full(len(p[at]), p[0]), p[at], p[at + 1]) for p in own], strict=True)]) for at in (1, 3)) for own in parts[1:]]
+
+    @classmethod
+    def of_tables(cls, languages: list[str], floor: np.ndarray, tables: list[tuple]) -> CharacterModels:
+        """Finished models: for each order (language, hash, value) of its strings, and of its contexts."""
+        models = cls.__new__(cls)
+        models.languages, models.floor = languages, floor
+        models.tables = [tuple(cls._index(*x) for x in table) for table in tables]
+        return models
 
     @staticmethod
     def _hash(strings: np.ndarray) -> np.ndarray:
@@ -137,35 +161,37 @@ class CharacterModels:
         return hash_strings(strings.reshape(-1), np.arange(len(strings)) * n + n - 1, n)
 
     @staticmethod
-    def _merge(parts: list[tuple], size: int) -> tuple:
-        """Sorted hashes over all languages with a column for each: NaN where a language lacks one."""
-        keys = np.unique(np.concatenate([p[1] for p in parts]))
-        logs = np.full((len(keys), size), np.nan, np.float32)
-        contexts = np.unique(np.concatenate([p[3] for p in parts]))
-        backs = np.zeros((len(contexts), size), np.float32)
-        for k, own, values, own_contexts, weights in parts:
-            logs[np.searchsorted(keys, own), k] = values
-            backs[np.searchsorted(contexts, own_contexts), k] = weights
-        return keys, logs, contexts, backs
+    def _index(language: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> tuple:
+        """Sorted hashes, where the entries of each begin, and the entries."""
+        order = np.argsort(hashes, kind="stable")
+        keys, starts = np.unique(hashes[order], return_index=True)
+        return (keys, np.append(starts, len(order)).astype(np.uint32),
+                language[order].astype(np.uint32), values[order].astype(np.float32))
 
     @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _entries(table: tuple, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in wanted, language, value) of all entries of the wanted hashes."""
+        keys, starts, language, values = table
+        if not len(keys):
+            return np.zeros(0, np.int64), language, values
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+        seen = np.flatnonzero(keys[at] == wanted)
+        first = starts[at[seen]].astype(np.int64)
+        counts = starts[at[seen] + 1] - first
+        entry = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.repeat(seen, counts), language[entry], values[entry]
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Natural log-probability of each padded word in each language."""
         points, ends = _code_points(words)
         stops = _positions(ends)
         lp = np.tile(self.floor.astype(np.float32), (len(stops), 1))
-        for n in range(1, ORDER + 1):
-            keys, logs, contexts, backs = self.tables[n - 1]
+        for n, (strings, contexts) in enumerate(self.tables, 1):
             if n > 1:
-                at, seen = self._find(contexts, hash_strings(points, stops - 1, n - 1))
-                lp[seen] += backs[at[seen]]
-            at, seen = self._find(keys, hash_strings(points, stops, n))
-            found = logs[at[seen]]
-            lp[seen] = np.where(np.isnan(found), lp[seen], found)
+                at, language, weights = self._entries(contexts, hash_strings(points, stops - 1, n - 1))
+                lp[at, language] += weights
+            at, language, values = self._entries(strings, hash_strings(points, stops, n))
+            lp[at, language] = values
         counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
         return np.add.reduceat(lp.astype(np.float64), np.cumsum(counts) - counts, axis=0)
 
@@ -182,12 +208,14 @@ class TextScorer:
         """(log-probability by language, characters predicted) of each text; no words: zeros."""
         split = [words_of(t) for t in texts]
         missing = list(dict.fromkeys(w for words in split for w in words if w not in self.place))
-        if len(self.place) + len(missing) > MEMO_WORDS:
+        size = len(self.models.languages)
+        if len(self.place) + len(missing) > min(MEMO_WORDS, MEMO_CELLS // size):
             missing = list(dict.fromkeys(w for words in split for w in words))
             self.place, self.values = {}, self.values[:0]
         if missing:
             self.place.update(zip(missing, range(len(self.values), len(self.values) + len(missing)), strict=True))
-            new = [self.models.log_probabilities(missing[at:at + 20_000]).astype(np.float32) for at in range(0, len(missing), 20_000)]
+            step = min(20_000, max(100, CHUNK_CELLS // size))
+            new = [self.models.log_probabilities(missing[at:at + step]).astype(np.float32) for at in range(0, len(missing), step)]
             self.values = np.concatenate([self.values, *new])
         totals = np.zeros((len(texts), len(self.models.languages)))
         chars = np.zeros(len(texts), np.int64)
@@ -227,26 +255,96 @@ def gram_counts(training: DataFrame) -> DataFrame:
     return training.select("lang", "text").mapInPandas(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(training: DataFrame) -> CharacterModels | None:
+def string_counts(grams: DataFrame) -> dict[int, DataFrame]:
+    """(lang, gram, n, discount) of every order: counts of the highest, continuation counts
+    (in how many contexts a string occurs) of the others, over all strings of every language."""
+    tables = {ORDER: grams}
+    for n in range(ORDER - 1, 0, -1):
+        tables[n] = materialize(tables[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(
+            F.count(F.lit(1)).alias("n")), f"language_strings_{n}")
+    ones, twos = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+    discount = F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5).alias("discount")
+    return {n: t.join(F.broadcast(t.groupBy("lang").agg(discount)), "lang") for n, t in tables.items()}  # a row per language
+
+
+def probabilities(tables: dict[int, DataFrame], alphabet: int, least: float | None = None) -> dict[int, DataFrame]:
+    """``tables`` (from string_counts) with p, the back-off of the string's context, loss and kept.
+
+    A string's loss is about what the cross-entropy of its language gains a character if
+    the string is dropped.  Given ``least`` and tables with losses, strings of no more loss aren't
+    kept: their discounted mass goes to the back-off of their context, which still sums to one."""
+    done: dict[int, DataFrame] = {}
+    for n in range(1, ORDER + 1):
+        of = Window.partitionBy("lang", "context")
+        rows = (tables[n].withColumn("kept", F.lit(True) if least is None else F.col("loss") > least)
+                .withColumn("context", F.col("gram").substr(1, n - 1)).withColumn("rest", F.expr("substring(gram, 2)")))
+        if n == 1:
+            rows = rows.withColumn("below", F.lit(1 / alphabet))
+        else:
+            rows = rows.join(done[n - 1].select("lang", F.col("gram").alias("rest"), F.col("p").alias("below")), ["lang", "rest"])
+        share = F.col("n") - F.col("discount")
+        left = F.when(F.col("kept"), F.col("discount")).otherwise(F.col("n"))
+        rows = rows.withColumn("total", F.sum("n").over(of)).withColumn("backoff", F.sum(left).over(of) / F.col("total"))
+        p = F.when(F.col("kept"), share / F.col("total")).otherwise(0.0) + F.col("backoff") * F.col("below")
+        rows = rows.withColumn("p", p)
+        if least is None:
+            all_n = tables[n].groupBy("lang").agg(F.sum("n").alias("all_n"))  # a row per language
+            rows = rows.join(F.broadcast(all_n), "lang").withColumn(
+                "loss", F.col("n") / F.col("all_n") * F.log(F.col("p") / (F.col("backoff") * F.col("below"))))
+        done[n] = materialize(rows.select("lang", "gram", "n", "discount", "p", "backoff", "loss", "kept"), f"language_models_{n}")
+    return done
+
+
+def _collect(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, hash, log) of ``rows`` (lang, gram, p); strings are hashed in tasks."""
+    number = {k: i for i, k in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, grams, p = batch.columns
+            yield pa.RecordBatch.from_pydict({
+                "language": pa.array([number[k] for k in langs.to_pylist()], pa.int32()),
+                "key": pa.array(hash_grams(grams.to_pylist()).view(np.int64)),
+                "value": pa.array(np.log(p.to_numpy()).astype(np.float32))})
+
+    got = rows.select("lang", "gram", "p").mapInArrow(run, "language int, key bigint, value float").toArrow()
+    return got["language"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
+
+
+def train(training: DataFrame, model_bytes: int = MODEL_BYTES) -> CharacterModels | None:
     """Models of the languages of ``training`` (lang, text); None if there is nothing to learn."""
     grams = materialize(gram_counts(training), "language_grams")
-    most = grams.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = (grams.join(F.broadcast(most.select("lang")), "lang")  # at most MAX_LANGUAGES rows
-                .withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= MAX_GRAMS))
-    pdf = top.select("lang", "gram", "n").orderBy("lang", "gram").toPandas()  # at most MAX_LANGUAGES * MAX_GRAMS rows
-    return CharacterModels(pdf) if len(pdf) else None
+    languages = sorted(r["lang"] for r in grams.select("lang").distinct().collect())  # a row per language
+    if not languages:
+        return None
+    tables = string_counts(grams)
+    alphabet = tables[1].select("gram").distinct().count() + 1
+    done = probabilities(tables, alphabet)
+    most, losses = model_bytes // GRAM_BYTES, functools.reduce(DataFrame.union, [t.select("loss") for t in done.values()])
+    if (strings := losses.count()) > most:
+        # the quantile may be off by a share of 1 / 10,000
+        share = min(1.0, 1 - most / strings + 1e-4)
+        done = probabilities({n: t.drop("p", "backoff", "kept") for n, t in done.items()}, alphabet, losses.agg(F.percentile_approx("loss", share, 10_000)).first()[0])
+    floor = {r["lang"]: np.log(r["backoff"] / alphabet) for r in done[1].groupBy("lang").agg(F.first("backoff").alias("backoff")).collect()}
+    collected = []
+    for n in range(1, ORDER + 1):
+        kept = done[n].filter("kept")
+        contexts = kept.groupBy("lang", F.col("gram").substr(1, n - 1).alias("gram")).agg(F.first("backoff").alias("p"))
+        # a string that has no entry takes the next order's value times its context's weight: 1 if that has none kept
+        collected.append((_collect(kept, languages), _collect(contexts if n > 1 else contexts.limit(0), languages)))
+    return CharacterModels.of_tables(languages, np.array([floor[k] for k in languages]), collected)
 
 
 def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
     """doc_id, lang (as read), chars and the log-probability of every text in every language."""
     shared, key = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
+    step = min(500, max(10, 25_000 // len(models.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held_by_worker(("languages", key), lambda: TextScorer(shared.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 totals, chars = scorer.score(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "lang": part.column(1), "chars": pa.array(chars),

@@ -77,6 +77,52 @@ def test_gram_counts_by_brute_force(spark):
     assert {(r["lang"], r["gram"]): r["n"] for r in L.gram_counts(df).collect()} == exp
 
 
+def training(spark):
+    """60 languages; the first has letters of its own in every document, so many rare strings."""
+    r = np.random.default_rng(3)
+    rows = [(f"l{k:02}", " ".join("".join(map(chr, r.integers(0x4E00 + 20 * k, 0x4E14 + 20 * k, 5))) for _ in range(40))) for k in range(60)]
+    rows += [("l00", " ".join("".join(map(chr, r.integers(0x6000, 0x7000, 4))) for _ in range(30))) for _ in range(20)]
+    return rows, spark.createDataFrame(rows, "lang string, text string")
+
+
+def test_models_of_all_languages_from_whole_counts(spark):
+    rows, df = training(spark)
+    models, whole = L.train(df), L.CharacterModels(L.gram_counts(df).toPandas())
+    assert models.languages == whole.languages == [f"l{k:02}" for k in range(60)]
+    words = [w for _, t in rows[:3] + rows[-3:] for w in L.words_of(t)] + ["zzz", "q"]
+    assert np.allclose(models.log_probabilities(words), whole.log_probabilities(words), atol=1e-4)
+    totals, _ = L.TextScorer(models).score([t for _, t in rows[:60]])
+    assert totals.argmax(axis=1).tolist() == list(range(60))
+
+
+def test_pruned_models_fit_and_sum_to_one(spark):
+    rows, df = training(spark)
+    whole = sum(len(t[0][2]) for t in L.train(df).tables)
+    models = L.train(df, model_bytes=whole // 3 * L.GRAM_BYTES)
+    kept = [len(t[0][2]) for t in models.tables]
+    assert len(models.languages) == 60 and whole // 4 < sum(kept) <= whole // 3
+    held = sum(a.nbytes for table in models.tables for part in table for a in part)
+    assert held <= whole // 3 * L.GRAM_BYTES + 64
+    # every context still sums to one, over the characters that were seen and one that wasn't
+    grams = L.materialize(L.gram_counts(df), "test_grams")
+    tables = L.string_counts(grams)
+    alphabet = tables[1].select("gram").distinct().count() + 1
+    done = L.probabilities(tables, alphabet)
+    least = done[4].approxQuantile("loss", [0.5], 0.0)[0]
+    pruned = L.probabilities({n: t.drop("p", "backoff", "kept") for n, t in done.items()}, alphabet, least)
+    lower = pruned[1].toPandas()
+    for r in lower.groupby("lang"):
+        assert r[1]["p"].sum() + (alphabet - len(r[1])) * r[1]["backoff"].iloc[0] / alphabet == pytest.approx(1)
+    two = pruned[2].toPandas()
+    one = lower.set_index(["lang", "gram"])["p"]
+    for (lang, _), own in two.groupby(["lang", two["gram"].str[:1]]):
+        below = [one[lang, g[1:]] for g in own["gram"]]
+        assert own["p"].sum() + own["backoff"].iloc[0] * (1 - sum(below)) == pytest.approx(1)
+    assert pruned[4].filter("kept").count() < tables[4].count()
+    totals, _ = L.TextScorer(models).score([t for _, t in rows[:60]])
+    assert (totals.argmax(axis=1) == np.arange(60)).all()
+
+
 def test_held_out_accuracy_and_no_clean_rejects(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = L.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
