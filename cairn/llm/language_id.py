@@ -19,11 +19,14 @@ to their language's cross-entropy go, and their mass to the back-off of their co
 
 The language with the least cross-entropy per character wins.  Its score is the
 posterior probability under a temperature chosen to minimise the log-loss of the
-calibration rows.  A document is rejected if its cross-entropy lies more than half the
-way from the quantile of its language's calibration rows to that of a uniform
-distribution, plus a slack that shrinks with the square root of its length: mixed
-and noisy documents stay, characters of no language go.  The calibration rows,
-a quarter of all, take no part in the counts.  Rows with crc32(doc_id) mod 4 of 2 are held out of both.
+calibration rows.  The calibration rows also set the limit beyond which a document is
+rejected, and nothing else does.  A row's deviation is its cross-entropy less its language's median;
+its spread sqrt(a + b / characters) is fitted by least squares to these rows' squared deviations
+(cut at their ``TRIM`` quantile), so that short texts have more room.  The limit is the ``QUANTILE`` of
+deviation over spread over the rows of all languages: from a power-law tail fitted above ``TAIL``, which a
+few mislabelled rows hardly move, or the greatest where the rows are too few to have that
+quantile.  With fewer than ``LEAST_ROWS`` there is no limit; a language without any has the median of all.  The
+calibration rows, a quarter of all, take no part in the counts.  Rows with crc32(doc_id) mod 4 of 2 are held out of both.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0
 and rejected, and so are all if no language can be learned; ties go to the first
@@ -52,7 +55,9 @@ ORDER = 4
 MODEL_BYTES = 192 << 20  # of the broadcast models, all languages together
 GRAM_BYTES = 40  # of a stored string at most: hash, offset, language and value, and as much for its context
 QUANTILE = 0.999
-SLACK = 4.0  # nats a character, over the square root of the characters
+TAIL = 0.95  # quantile from which on the tail is fitted
+TRIM = 0.99
+LEAST_ROWS = 20
 TEMPERATURES = tuple(2.0 ** (i / 2) for i in range(21))
 FLUSH_WORDS = 200_000
 MEMO_WORDS = 200_000
@@ -353,6 +358,33 @@ def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, lang string, chars bigint, logs array<double>")
 
 
+def with_limits(scored: DataFrame, calibration: DataFrame) -> DataFrame:
+    """``scored`` (best, chars) with the cross-entropy from which on a text is rejected, from
+    the calibration rows (best, chars, cross_entropy) whose language was found."""
+    infinite = F.lit(float("inf"))
+    centres = calibration.groupBy("best").agg(F.percentile_approx("cross_entropy", 0.5, 10_000).alias("centre"))
+    centres = {r["best"]: r["centre"] for r in centres.collect()}  # a row per language
+    rows = calibration.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("cross_entropy", 0.5, 10_000).alias("centre")).first()
+    if rows["n"] < LEAST_ROWS:
+        return scored.withColumn("limit", infinite)
+    spark = scored.sparkSession
+    centres = F.broadcast(spark.createDataFrame(list(centres.items()), "of string, centre double"))
+    own = calibration.join(centres, F.col("best") == F.col("of")).withColumn("deviation", F.col("cross_entropy") - F.col("centre"))
+    own = own.withColumn("square", F.col("deviation") * F.col("deviation"))
+    half, most = own.agg(F.percentile_approx("square", F.array(F.lit(0.5), F.lit(TRIM)), 10_000)).first()[0]
+    square, inverse = F.least(F.col("square"), F.lit(most)), 1 / F.col("chars")
+    fit = own.agg(F.regr_slope(square, inverse).alias("b"), F.regr_intercept(square, inverse).alias("a"), F.avg(square).alias("all")).first()
+    a, b = (fit["a"], fit["b"]) if (fit["b"] or 0.0) > 0 else (fit["all"], 0.0)
+    spread = F.sqrt(F.lit(max(a, half, 1e-6)) + F.lit(b) * inverse)
+    own = own.withColumn("z", F.col("deviation") / spread)
+    tail, quantile = own.agg(F.percentile_approx("z", F.array(F.lit(TAIL), F.lit(QUANTILE)), 10_000)).first()[0]
+    if rows["n"] >= 1 / (1 - QUANTILE) and tail > 0:
+        slope = own.filter(F.col("z") > tail).agg(F.avg(F.log(F.col("z") / tail))).first()[0] or 0.0
+        quantile = tail * ((1 - TAIL) / (1 - QUANTILE)) ** slope
+    out = scored.join(centres, F.col("best") == F.col("of"), "left")
+    return out.withColumn("limit", F.coalesce("centre", F.lit(rows["centre"])) + F.lit(quantile) * spread).drop("of", "centre")
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected and cross_entropy of every row of
     ``docs`` (doc_id, text, lang); the docstring above says how."""
@@ -378,15 +410,12 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     losses = [F.avg(-F.log(F.greatest(posterior(truth, t), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
     found = calibration.agg(*losses).first()
     temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda i: (found[i] or 0.0, i))]
-    limits = {r["best"]: r["limit"] for r in calibration.filter("best = lang").groupBy("best").agg(
-        F.percentile_approx("cross_entropy", QUANTILE, 10_000).alias("limit")).collect()}  # a row per language
-    limit = F.coalesce(*[F.when(F.col("best") == k, F.lit(float(v))) for k, v in sorted(limits.items())], F.lit(float("inf")))
-    limit = limit + F.greatest(F.lit(0.0), F.lit(float(np.log(models.alphabet))) - limit) / 2 + SLACK / F.sqrt("chars")
+    scored = with_limits(scored, calibration.filter("best = lang"))
     known = F.col("chars") > 0
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(known, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(known, posterior(best, temperature)).otherwise(0.0).alias("score"),
-        F.when(known, F.col("cross_entropy") > limit).otherwise(True).alias("rejected"), "cross_entropy")
+        F.when(known, F.col("cross_entropy") > F.col("limit")).otherwise(True).alias("rejected"), "cross_entropy")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairn.llm import language_id as L
@@ -141,6 +142,17 @@ def test_junk_is_rejected(spark):
     assert kept.columns == all_docs.columns and kept.filter("doc_id >= 1000000").count() == 0 and kept.count() > 990
 
 
+def test_a_language_left_out_is_rejected_beside_stray_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    r = np.random.default_rng(1)
+    stray = [(10 ** 6 + i, "".join(map(chr, r.integers(0x4E00, 0x9000, 1500))), "en") for i in range(8)]
+    out = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang"))).unionByName(spark.createDataFrame(stray, docs.schema))
+    got = L.identify_languages(out).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id", "left")
+    share = {x["left"]: x["share"] for x in got.filter("truth IS NOT NULL").groupBy((F.col("truth") == "fr").alias("left")).agg(
+        F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert share[True] > 0.95 and share[False] < 0.002
+
+
 def test_language_of_edge_rows(spark):
     got = L.identify_languages(edge.frame(spark)).collect()
     assert len(got) == len(edge.rows())
