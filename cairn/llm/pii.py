@@ -6,7 +6,7 @@ normalised value of a base span; a term discloses it by their pointwise mutual
 information over the corpus, PMI = log2(N c(t, e) / (c(t) c(e))), against the
 entity's own information, IC = log2(N / c(e)).  c(t) counts the documents with the term,
 c(e) those with the entity, c(t, e) those with the term within ``CONTEXT`` words of the
-entity.  A term with PMI of at least ``THRESHOLD`` times IC, seen in at least
+entity (words of other entities aren't counted).  A term with PMI of at least ``THRESHOLD`` times IC, seen in at least
 ``CONTEXTS`` documents with different contexts of the entity (copies are one context), is
 protected in every document that holds the entity: generalised to its shape, or removed from
 ``REMOVE`` times IC on.  Documents without base spans are left alone.
@@ -44,6 +44,7 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"[\p{L}\p{N}]+"
+MARK = "\uE000"  # stands for spans while terms are counted; blank in a text
 
 CONTEXT = 8
 CONTEXTS = 2
@@ -104,13 +105,40 @@ def with_matches(df: DataFrame, name: str, pattern: Column, tried: Column) -> Da
             .drop(steps, runs, offsets))
 
 
-def context_terms(before: Column, after: Column) -> Column:
-    """Distinct terms among the last words before and the first words after a span."""
-    def terms(piece: Column) -> Column:
-        return F.regexp_extract_all(F.lower(piece), F.lit(TERM), F.lit(0))
-    left = terms(before)
-    near = F.slice(left, F.greatest(F.lit(1), F.size(left) - CONTEXT + 1), F.lit(CONTEXT))
-    return F.array_distinct(F.concat(near, F.slice(terms(after), F.lit(1), F.lit(CONTEXT))))
+def with_contexts(df: DataFrame) -> DataFrame:
+    """``df`` with ``entities``: (entity, terms) of each of its ``found`` spans (start, end, entity), the
+    terms being the distinct ones among the last ``CONTEXT`` before and the first after it in
+    the text.  Words of spans are no terms; spans that overlap are one place."""
+    found = F.array_sort("found")
+    plain = F.translate("text", MARK, " ")
+
+    def put(acc: Column, s: Column) -> Column:
+        new = s["start"] >= acc["end"]
+        places = acc["places"] + F.when(new, 1).otherwise(0)
+        kept = F.substr(plain, acc["end"] + 1, F.greatest(F.lit(0), s["start"] - acc["end"]))
+        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), places.alias("places"),
+                        F.when(new, F.concat(acc["out"], kept, F.lit(f" {MARK} "))).otherwise(acc["out"]).alias("out"),
+                        F.concat(acc["spans"], F.array(F.struct((places - 1).alias("place"), s["entity"].alias("entity")))).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("places"), F.lit("").alias("out"),
+                     F.array().cast("array<struct<place:int,entity:string>>").alias("spans"))
+    marked = F.aggregate(found, start, put)
+    masked = F.concat("marked.out", F.substr(plain, F.col("marked.end") + 1, F.length("text")))
+    tokens = F.regexp_extract_all(F.lower(masked), F.lit(f"{MARK}|{TERM}"), F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def entity(s: Column) -> Column:
+        before = F.get("marks", s["place"]) - s["place"]  # terms before the place
+        first = F.greatest(F.lit(0), before - CONTEXT)
+        return F.struct(s["entity"].alias("entity"), F.array_distinct(F.concat(
+            F.slice("words", first + 1, before - first), F.slice("words", before + 1, F.lit(CONTEXT)))).alias("terms"))
+
+    return (df.withColumn("marked", F.when(F.size("found") > 0, marked))
+            .withColumn("tokens", F.when(F.size("found") > 0, tokens).otherwise(none))
+            .withColumn("marks", F.filter(F.transform("tokens", lambda t, i: F.when(t == MARK, i)), lambda i: i.isNotNull()))
+            .withColumn("words", F.filter("tokens", lambda t: t != MARK))
+            .withColumn("entities", F.coalesce(F.transform("marked.spans", entity), F.array().cast(
+                "array<struct<entity:string,terms:array<string>>>"))))
 
 
 def written(kind: str, spans: Column) -> Column:
@@ -125,10 +153,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
         tried = F.contains("text", F.lit("@")) if kind == "email" else F.col("text").rlike(HINTS[kind])
         df = with_matches(df, kind, F.lit(pattern), tried)
         df = df.withColumn(kind, F.filter(kind, _passing(kind)))
-    found = [F.transform(kind, _entity(kind)) for kind in PATTERNS]
+    df = with_contexts(df.withColumn("found", F.concat(*[F.transform(kind, _entity(kind)) for kind in PATTERNS])))
     return (df.withColumn("base", F.concat(*[written(kind, F.col(kind)) for kind in PATTERNS]))
             .select("doc_id", F.xxhash64("text").alias("digest"), *[F.size(k).cast("bigint").alias(f"n_{k}") for k in PATTERNS],
-                    F.array_join("base", ",").alias("base"), F.concat(*found).alias("entities")))
+                    F.array_join("base", ",").alias("base"), "entities"))
 
 
 def _passing(kind: str):
@@ -136,9 +164,8 @@ def _passing(kind: str):
 
 
 def _entity(kind: str):
-    return lambda s: F.struct(
-        F.concat(F.lit(f"{kind}:"), normal(kind, s["value"])).alias("entity"),
-        context_terms(F.get(f"{kind}_pieces", s["place"]), F.get(f"{kind}_pieces", s["place"] + 1)).alias("terms"))
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+                              F.concat(F.lit(f"{kind}:"), normal(kind, s["value"])).alias("entity"))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, contexts: int = CONTEXTS) -> DataFrame:

@@ -239,6 +239,22 @@ def test_disclosing_terms_are_protected(spark):
     assert clean[1] == "write to  today at <EMAIL> please" and clean[10] == text[10]
 
 
+def test_context_reaches_over_numbers_and_neighbouring_entities(spark):
+    docs = [(1, "zorblax, exp 12/26, card 4111 1111 1111 1111 ok"),
+            (2, "mail: a@b.cc, d@e.ff, 4111-1111-1111-1111 +1 (706) 555-3138 of zorblax in 2024"),
+            (3, "one two three four five six seven eight nine x@y.zz 1 2 3 4 5 6 7 8 9"), (4, "no entity \ue000 here")]
+    got = {r["doc_id"]: {e["entity"]: e["terms"] for e in r["entities"]} for r in P.base_spans(edge.documents(spark, docs)).collect()}
+    assert got[1] == {"card:4111111111111111": ["zorblax", "exp", "12", "26", "card", "ok"]}
+    assert got[2] == dict.fromkeys(["email:a@b.cc", "email:d@e.ff", "card:4111111111111111", "phone:17065553138"],
+                                   ["mail", "of", "zorblax", "in", "2024"])
+    assert got[3] == {"email:x@y.zz": "two three four five six seven eight nine 1 2 3 4 5 6 7 8".split()}
+    assert got[4] == {}
+    rows = P.find_personal_data(edge.documents(spark, docs[:2] + corpus()[2:])).collect()
+    spans = {r["doc_id"]: [dict(docs)[r["doc_id"]][int(a):int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",")) if k == "term"]
+             for r in rows if r["doc_id"] < 3}
+    assert "zorblax" in spans[1] and "zorblax" in spans[2]
+
+
 def test_copies_are_one_context(spark):
     got = {r["doc_id"]: r["spans"] for r in P.find_personal_data(edge.documents(spark, corpus(copies=True))).collect()}
     assert "term" not in got[1] + got[2]
