@@ -1,10 +1,8 @@
 """Lexical and vector retrieval over a corpus, as Spark jobs.
 
 * Chunks: fixed token windows with overlap (both parameters).
-* Index: postings (chunk, term, tf), chunk lengths, document frequencies.
-* Search: BM25 (k1, b; idf = ln(1 + (N - df + 0.5) / (df + 0.5))) summed over
-  the distinct query terms, top-k per question; ties broken by (doc, chunk)
-  after rounding the score to 6 decimals.
+* Index: postings (chunk, term, tf) and document frequencies as one table each; the index
+  that is searched, and grows by batches, is ``block_index``.
 * Vector search: exact cosine top-k.  Vectors and queries are paired block by
   block in a cogroup, with blocks of a fixed number of bytes, so no task ever
   holds the whole of either.
@@ -12,20 +10,15 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
-from cairn.session import fresh_path, written
-
 K1, B = 1.2, 0.75
 BLOCK_BYTES = 64 << 20  # vectors in a block, and similarities in a slice, of vector search
-MAX_BROADCAST_PAIRS = 1_000_000  # (question, term) rows broadcast only up to this count (~40 MB)
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -68,165 +61,6 @@ def build_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), colocated: bool
     return postings, stats
 
 
-class Bm25Index(NamedTuple):
-    """Postings with chunk lengths (keys..., term, tf, dl) plus corpus statistics."""
-    postings: DataFrame
-    keys: list
-    n_docs: int
-    avgdl: float
-
-
-def bm25_index(chunks: DataFrame, keys=("doc_id", "chunk_no"), materialize: bool = True,
-               path: str | None = None, colocated: bool = False) -> Bm25Index:
-    """Build the search index once.
-
-    The postings (chunk length riding along as a grouping key) are written as
-    a Parquet table in the shared folder, cutting lineage, so every search
-    reuses them instead of re-tokenising the corpus; N and the mean chunk
-    length are read from them.  With ``path`` the index is persistent: an
-    index already there is loaded; otherwise it is built in a fresh folder and
-    moved to ``path`` in one rename (if another job got there first, its
-    index is used).
-    """
-    keys = list(keys)
-    spark = chunks.sparkSession
-    weighted = None
-    if path is not None and _index_exists(path):
-        weighted = spark.read.parquet(path)
-    if weighted is None:
-        built = (_by_document(chunks, keys, colocated)
-                 .select(*keys, F.col("n_tokens").alias("dl"), F.explode("tokens").alias("term"))
-                 .groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-        if materialize or path is not None:
-            tmp = fresh_path(spark, "bm25_index")
-            built.write.parquet(tmp)
-            if path is not None:
-                _publish(tmp, path)
-                tmp = path
-            built = spark.read.parquet(tmp)
-        weighted = built
-    stats = weighted.select(*keys, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
-    return Bm25Index(weighted, keys, int(stats["n"] or 0), float(stats["a"] or 0.0))
-
-
-def _fs_path(uri: str):
-    import posixpath
-
-    import pyarrow.fs as pafs
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + posixpath.abspath(uri))
-
-
-def _index_exists(path: str) -> bool:
-    import pyarrow.fs as pafs
-    fs, p = _fs_path(path)
-    return fs.get_file_info(p + "/_SUCCESS").type == pafs.FileType.File
-
-
-def _publish(tmp: str, path: str) -> None:
-    """Move a finished index into place with one rename; keep an existing one."""
-    import posixpath
-
-    fs, src = _fs_path(tmp)
-    _, dst = _fs_path(path)
-    if _index_exists(path):
-        return
-    fs.create_dir(posixpath.dirname(dst), recursive=True)
-    try:
-        fs.move(src, dst)
-    except OSError:
-        if not _index_exists(path):
-            raise
-
-
-def file_search(questions: DataFrame, index: "Bm25Index", k: int = 3, qid: str = "item_id",
-                text_col: str = "text", seed_terms: int = 8, probe_size: int = 32) -> DataFrame:
-    """Top-``k`` chunks per question by BM25: (qid, rank, keys..., score).
-
-    Exact, with MaxScore pruning instead of scoring every chunk that shares a
-    (possibly very common) term with the question:
-
-    1. every term's contribution is at most ``ub``, its largest contribution
-       to any chunk (one aggregation over its postings);
-    2. per question, the chunks holding one of its ``seed_terms`` rarest terms
-       are scored exactly and the k-th best of those scores is a lower bound
-       ``theta`` of its final k-th score (0 when there are fewer than k);
-    3. terms sorted by ``ub`` whose running sum stays below ``theta - 1e-6``
-       cannot lift a chunk into the top-k on their own, so only chunks holding
-       at least one of the other ('essential') terms are candidates;
-    4. a candidate's score over the essential terms is a lower bound of its
-       score, and that plus the other terms' bounds an upper bound; the k-th
-       best lower bound, and the k-th best exact score of the ``probe_size``
-       best candidates by lower bound, raise ``theta``; candidates whose upper
-       bound stays below it are dropped;
-    5. the survivors are scored exactly over all question terms.
-
-    The 1e-6 margin keeps the cut exact after rounding scores to 6 decimals.
-    Physical shape: the postings stay partitioned by chunk; the per-question
-    term tables are broadcast when their row count is proven small (else
-    shuffled), so (question, chunk, term) rows are produced map-side and
-    pre-aggregated to one row per (question, chunk) before any shuffle.
-    """
-    keys, n_docs, avgdl = index.keys, index.n_docs, index.avgdl
-    q_terms = questions.select(qid, F.explode(F.array_distinct(T.tokens(text_col))).alias("term"))
-    # Every question-side table below (vocabulary, question terms, rarest and
-    # essential terms) is a projection or subset of these rows, so one count
-    # proves the broadcast bound for all of them; beyond it they are shuffled.
-    small = q_terms.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS
-    bc = F.broadcast if small else (lambda df: df)
-    vocab = bc(q_terms.select("term").distinct())
-    raw = written(index.postings.join(vocab, "term", "left_semi").select(*keys, "term", "tf", "dl"), "search_postings")
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf")
-    saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    # per term: df, idf and ub = the largest contribution any chunk gets from it
-    term_stats = written(raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(saturation).alias("_sat"))
-                            .select("term", idf.alias("idf"), (idf * F.col("_sat")).alias("ub")), "search_terms")
-    # every branch below reads these postings and their contributions, written once
-    post_q = written(raw.join(bc(term_stats.select("term", "idf")), "term").select(*keys, "term", weight.alias("w")), "search_weights")
-    qt = written(q_terms.join(term_stats, "term"), "question_terms")  # terms without postings contribute nothing
-    qt_small = bc(qt.select(qid, "term"))
-
-    def score(rows: DataFrame, name: str, rounded: bool) -> DataFrame:
-        total = F.sum("w")
-        return rows.groupBy(qid, *keys).agg((F.round(total, 6) if rounded else total).alias(name))
-
-    def exact(cands: DataFrame) -> DataFrame:
-        """Candidates meet their chunk's postings; keep the question's terms."""
-        return score(cands.join(post_q, keys).join(qt_small, [qid, "term"]), "score", True)
-
-    def kth(scored: DataFrame, col: str, name: str) -> DataFrame:
-        """Per question: the k-th best ``col`` (0 when fewer than k rows)."""
-        best = top_k(scored, [qid], [F.col(col).desc(), *keys], k, "_r")
-        return (best.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("_kth"))
-                    .select(qid, F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(0.0)).alias(name)))
-
-    # 2. seed threshold from the rarest terms' chunks
-    rare = top_k(qt, [qid], [F.col("ub").desc(), F.col("term")], seed_terms).select(qid, "term")
-    seed_cands = post_q.join(bc(rare), "term").select(qid, *keys).distinct()
-    theta0 = written(kth(exact(seed_cands), "score", "theta0"), "search_theta")
-    # 3. essential terms; the non-essential ones' bounds sum to below theta0
-    running = F.sum("ub").over(Window.partitionBy(qid).orderBy(F.col("ub"), F.col("term"))
-                               .rowsBetween(Window.unboundedPreceding, 0))
-    split = (qt.join(theta0, qid, "left").withColumn("_cum", running)
-               .withColumn("_ess", F.col("_cum") >= F.coalesce(F.col("theta0"), F.lit(0.0)) - 1e-6))
-    essential = bc(split.filter("_ess").select(qid, "term"))
-    rest_ub = (split.groupBy(qid).agg(F.sum(F.when(~F.col("_ess"), F.col("ub")).otherwise(0.0)).alias("_rest"),
-                                      F.first("theta0").alias("theta0")))
-    # 4. partial scores over essential terms: lower bounds; + rest_ub: upper bounds
-    partial = written(score(post_q.join(essential, "term"), "_partial", False), "search_partial")
-    theta1 = kth(partial, "_partial", "theta1")
-    # the best candidates by lower bound, scored exactly, give a tighter theta
-    probe = top_k(partial, [qid], [F.col("_partial").desc(), *keys], probe_size).select(qid, *keys)
-    theta2 = kth(exact(probe), "score", "theta2")
-    theta = F.greatest(F.coalesce("theta0", F.lit(0.0)), F.coalesce("theta1", F.lit(0.0)),
-                       F.coalesce("theta2", F.lit(0.0)))
-    survivors = (partial.join(rest_ub, qid).join(theta1, qid, "left").join(theta2, qid, "left")
-                        .filter(F.col("_partial") + F.col("_rest") >= theta - 1e-6)
-                        .select(qid, *keys))
-    return top_k(exact(survivors), [qid], [F.col("score").desc(), *keys], k)
-
-
 def centroids(vectors: DataFrame, group: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean vector per group, as double arrays (dimension-wise average)."""
     comp = vectors.select(group, F.posexplode(vec).alias("i", "x"))

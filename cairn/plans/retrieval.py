@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
+from cairn.operators import block_index as BI
 from cairn.operators import retrieval as RV
 from cairn.operators import summarize as SM
 from cairn.operators import toolcalls as TC
 from cairn.plans import sqlx as X
 from cairn.sources import fixtures as FX
-from cairn.session import shared_dir
+from cairn.session import fresh_path, shared_dir
 from cairn.sources.tables import read_table
 
 QUERIES, ORACLE, register = query_registry()
@@ -43,9 +44,12 @@ def _index(spark, sf_dir):
     # one row per file, folded into one row on the executors
     n, mark = files.distinct().agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first()
     app = spark.sparkContext.applicationId
-    key = hashlib.sha256(f"{src}|{n}|{mark}|{SIZE}|{OVERLAP}|{app}|v2".encode()).hexdigest()[:32]
-    path = f"{shared_dir(spark).rstrip('/')}/bm25/{key}"
-    return RV.bm25_index(_chunks(spark, sf_dir, colocate=True), path=path, colocated=True)
+    key = hashlib.sha256(f"{src}|{n}|{mark}|{SIZE}|{OVERLAP}|{app}|v3".encode()).hexdigest()[:32]
+    index = BI.BlockIndex(spark, f"{shared_dir(spark).rstrip('/')}/bm25/{key}")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    if not index.commits():
+        index.add_chunks(RV.chunk_documents(docs.repartition("doc_id"), size=SIZE, overlap=OVERLAP), batch="corpus")
+    return index.snapshot()
 
 
 _CHUNKS_SQL = f"""
@@ -95,7 +99,32 @@ r AS (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, doc_i
 SELECT item_id, rank, doc_id, chunk_no, score FROM r WHERE rank <= {TOP_K}""")
 def q_file_search(spark, sf_dir):
     questions = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    hits = RV.file_search(questions, _index(spark, sf_dir), k=TOP_K, qid="item_id")
+    hits = BI.search(questions, _index(spark, sf_dir), k=TOP_K, qid="item_id")
+    return hits.select("item_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no", "score")
+
+
+def grown_index(spark, sf_dir):
+    """An index that several runs have added to, replaced documents in and removed some from, with merges between:
+    its live documents are the whole ``documents`` table, once each."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    index = BI.BlockIndex(spark, fresh_path(spark, "grown_index"))
+    run = F.pmod(F.col("doc_id"), F.lit(5))
+    # the first run has outdated texts, and documents that go again
+    index.add(docs.select("doc_id", F.concat(F.lit("outdated text of "), F.reverse("text")).alias("text")).filter(run < 2)
+                  .unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), "text").filter(run == 4)), SIZE, OVERLAP, batch="first")
+    for n in range(5):
+        index.add(docs.filter(run == n), SIZE, OVERLAP, batch=f"run {n}")
+        index.merge()
+    index.remove(docs.select((-F.col("doc_id") - 1).alias("doc_id")).filter(run.isNotNull()), batch="withdrawn")
+    index.add(docs.filter(run == 4), SIZE, OVERLAP, batch="run 4")  # a repeated run adds nothing
+    return index
+
+
+@register("file_search_grown", ORACLE["file_search"])
+def q_file_search_grown(spark, sf_dir):
+    """The same answers from an index that grew by batches, replacements, removals and merges."""
+    questions = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    hits = BI.search(questions, grown_index(spark, sf_dir).snapshot(), k=TOP_K, qid="item_id")
     return hits.select("item_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "chunk_no", "score")
 
 
@@ -108,8 +137,9 @@ def _prompts(spark, sf_dir):
 
 
 def _answers(spark, sf_dir, prompts):
-    hits = RV.file_search(prompts, _index(spark, sf_dir), k=ANSWER_K, qid="question_id")
-    passages = _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.col("text").alias("passage"))
+    index = _index(spark, sf_dir)
+    hits = BI.search(prompts, index, k=ANSWER_K, qid="question_id")
+    passages = index.chunks.select("doc_id", "chunk_no", F.col("text").alias("passage"))
     return (hits.join(passages, ["doc_id", "chunk_no"])
                 .select("question_id.conv_id", "question_id.turn", F.col("rank").cast("bigint").alias("rank"),
                         "doc_id", "chunk_no", "score", "passage"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 
 from cairn.plans import query_registry
+from cairn.operators import block_index as BI
 from cairn.operators import retrieval as RV
 from cairn.plans import retrieval as PR
 from cairn.plans.conversation import ORACLE as CONV_ORACLE
@@ -81,6 +82,15 @@ def q_ingest_stream(spark, sf_dir):
     return PL.read_hash_cache(spark, cache_root)
 
 
+@register("index_stream", PR.ORACLE["build_index"])
+def q_index_stream(spark, sf_dir):
+    """Document frequencies of an index that micro-batches have grown."""
+    index = BI.BlockIndex(spark, fresh_path(spark, "index_stream"))
+    docs = RN.table_stream(spark, sf_dir, "documents", "doc_id", "text", max_files_per_trigger=FILES_PER_BATCH)
+    RN.run_foreach_batch(docs, PL.index_batch(index, PR.SIZE, PR.OVERLAP), "index")
+    return BI.term_stats(index.snapshot())
+
+
 @register("answer_stream", PR.ORACLE["answer_questions"])
 def q_answer_stream(spark, sf_dir):
     chunks_path = fresh_path(spark, "chunk_index")

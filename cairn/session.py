@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,24 +49,51 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and written tables.
 
     Read from ``spark.checkpoint.dir``.  Where it is unset, a session whose master is
-    ``local`` gets a scratch folder, recorded in the session so that every later call
-    agrees on it; any other session gets an error, since its executors couldn't
-    see a folder of the driver's machine.
+    ``local`` gets a scratch folder, one for each application (the setting itself can't
+    be changed in a running session); any other session gets an error, since its executors
+    couldn't see a folder of the driver's machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or None
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cairn-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        base = _SCRATCH.get(spark.sparkContext.applicationId)
+        if base is None:
+            base = _SCRATCH[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="cairn-ckpt-")
+            spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_SCRATCH: dict = {}
+_RUN: ContextVar = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """Intermediate tables written inside the block go to one folder, dropped at its end.
+
+    Consume or write the results inside the block: they are read from those tables.
+    Indexes and caches, which later runs use again, aren't intermediate and stay.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/runs/{uuid.uuid4().hex}"
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file systems; nothing happens if it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    """A new, unique sub-path of the shared folder (never reused)."""
-    base = shared_dir(spark).rstrip("/")
+    """A new, unique sub-path of the shared folder, or of the run's own folder (never reused)."""
+    base = _RUN.get() or shared_dir(spark).rstrip("/")
     return f"{base}/{kind}/{uuid.uuid4().hex}"
 
 
@@ -108,7 +137,7 @@ def ship_package(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(dirpath, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    target = fresh_path(spark, "pkg") + "/cairn.zip"
+    target = f"{shared_dir(spark).rstrip('/')}/pkg/{uuid.uuid4().hex}/cairn.zip"
     uri = target if "://" in target else "file://" + posixpath.abspath(target)
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(posixpath.dirname(path), recursive=True)

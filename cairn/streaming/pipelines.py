@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.hashing import content_id, sha256_hex
-from cairn.operators import retrieval as RV
+from cairn.operators import block_index as BI
 from cairn.operators import stores as ST
+from cairn.session import fresh_path
 from cairn.sources.records import HASH_CACHE_SCHEMA
 
 
@@ -79,6 +80,15 @@ def response_text_stream(messages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_messages"))
 
 
+def index_batch(index: BI.BlockIndex, size: int, overlap: int):
+    """foreachBatch function: one segment a micro-batch (a replayed one adds nothing), merged as they pile up."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        here = BI.BlockIndex(batch.sparkSession, index.root, index.buckets)
+        here.add(batch, size, overlap, batch=batch_id)
+        here.merge()
+    return run
+
+
 def answer_batch(chunks_path: str, answers_root: str, k: int = 1):
     """foreachBatch function: answer the batch's prompts from the written chunk index."""
     state: dict = {}
@@ -87,10 +97,12 @@ def answer_batch(chunks_path: str, answers_root: str, k: int = 1):
         spark = batch.sparkSession
         chunks = spark.read.parquet(chunks_path)
         if "index" not in state:  # built once per stream run, reused by every micro-batch
-            state["index"] = RV.bm25_index(chunks)
+            index = BI.BlockIndex(spark, fresh_path(spark, "answer_index"))
+            index.add_chunks(chunks)
+            state["index"] = index.snapshot()
         prompts = batch.filter(F.col("role") == "user").select(
             F.struct("conv_id", "turn").alias("question_id"), "text")
-        hits = RV.file_search(prompts, state["index"], k=k, qid="question_id")
+        hits = BI.search(prompts, state["index"], k=k, qid="question_id")
         out = (hits.join(chunks.select("doc_id", "chunk_no", F.col("text").alias("passage")),
                          ["doc_id", "chunk_no"])
                    .select("question_id.conv_id", "question_id.turn",

@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions.ordinal import global_ordinal, group_ordinal, ordered_concat, top_k
+from cairn.session import fresh_path
+from cairn.operators import block_index as BI
 from cairn.operators import retrieval as RV
 from cairn.operators import summarize as SM
 
@@ -76,7 +78,9 @@ def test_bm25_pruned_equals_brute_force(spark):
     ddf = spark.createDataFrame(docs, "doc_id long, text string")
     qdf = spark.createDataFrame(questions, "item_id long, text string")
     chunks = RV.chunk_documents(ddf, size=16, overlap=4)
-    hits = RV.file_search(qdf, RV.bm25_index(chunks), k=3, seed_terms=2)
+    index = BI.BlockIndex(spark, fresh_path(spark, "idx_test"))
+    index.add_chunks(chunks)
+    hits = BI.search(qdf, index.snapshot(), k=3)
     got = {}
     for r in hits.orderBy("item_id", "rank").collect():
         got.setdefault(r["item_id"], []).append((r["doc_id"], r["chunk_no"]))
@@ -123,24 +127,6 @@ def test_global_ordinal_many_partitions(spark):
     assert got.agg(F.min("o"), F.max("o")).first() == (1, 20000)
 
 
-def test_persistent_index_is_built_once(spark):
-    import os
-    from cairn.session import fresh_path
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta delta"), (3, "gamma gamma epsilon")],
-                                 "doc_id long, text string")
-    chunks = RV.chunk_documents(docs, size=8, overlap=2)
-    path = fresh_path(spark, "idx_test")
-    first = RV.bm25_index(chunks, path=path)
-    stamp = os.path.getmtime(os.path.join(path, "_SUCCESS"))
-    second = RV.bm25_index(chunks, path=path)      # loaded, not rebuilt
-    assert os.path.getmtime(os.path.join(path, "_SUCCESS")) == stamp
-    assert (first.n_docs, first.avgdl) == (second.n_docs, second.avgdl) == (3, 8 / 3)
-    q = spark.createDataFrame([(1, "gamma beta")], "item_id long, text string")
-    a = RV.file_search(q, first, k=2).orderBy("rank").collect()
-    b = RV.file_search(q, second, k=2).orderBy("rank").collect()
-    assert [(r["doc_id"], r["score"]) for r in a] == [(r["doc_id"], r["score"]) for r in b]
-
-
 def test_top_k_limits_before_the_shuffle(spark):
     import contextlib
     import io

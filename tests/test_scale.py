@@ -152,6 +152,39 @@ def test_shared_folder_is_needed_off_local(spark, monkeypatch):
         S.shared_dir(Session())
 
 
+def test_a_local_session_without_settings_gets_one_folder(spark, monkeypatch):
+    import os
+    from cairn import session as S
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf, spark.sparkContext
+
+    monkeypatch.setattr(S, "_SCRATCH", {})
+    was = spark.conf.get("spark.checkpoint.dir")
+    first = S.shared_dir(Session())
+    assert os.path.isdir(first) and S.shared_dir(Session()) == first != was
+    spark.sparkContext.setCheckpointDir(was)
+
+
+def test_a_run_drops_its_intermediate_tables(spark):
+    import os
+    from cairn import session as S
+
+    with S.run_folder(spark) as path:
+        df = S.written(spark.range(5), "things")
+        assert df.count() == 5 and os.listdir(path) == ["things"]
+        with S.run_folder(spark) as inner:
+            S.written(spark.range(5), "things")
+            assert os.path.isdir(inner)
+        assert not os.path.exists(inner) and os.path.isdir(path)
+    assert not os.path.exists(path) and S.fresh_path(spark, "x").startswith(S.shared_dir(spark))
+
+
 def test_cache_errors_are_not_an_empty_cache(spark, tmp_path):
     from cairn.streaming import pipelines as PL
 
@@ -168,10 +201,10 @@ def test_index_key_sees_a_changed_inner_file(spark, sf_small, tmp_path):
 
     folder = tmp_path / "documents.parquet"
     folder.mkdir()
-    shutil.copy(f"{sf_small}/documents.parquet", folder / "part-0.parquet")
+    shutil.copyfile(f"{sf_small}/documents.parquet", folder / "part-0.parquet")
     first = PR._index(spark, str(tmp_path)).n_docs
     assert PR._index(spark, str(tmp_path)).n_docs == first
-    shutil.copy(f"{sf_small}/documents.parquet", folder / "part-1.parquet")
+    shutil.copyfile(f"{sf_small}/documents.parquet", folder / "part-1.parquet")
     assert PR._index(spark, str(tmp_path)).n_docs >= first
     changed = spark.read.parquet(str(folder)).limit(1).select("doc_id", "text")
     changed.toPandas().to_parquet(folder / "part-1.parquet")
