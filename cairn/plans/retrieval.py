@@ -10,6 +10,7 @@ from cairn.operators import block_index as BI
 from cairn.operators import retrieval as RV
 from cairn.operators import summarize as SM
 from cairn.operators import toolcalls as TC
+from cairn.operators import vector_index as VI
 from cairn.plans import sqlx as X
 from cairn.sources import fixtures as FX
 from cairn.session import fresh_path, shared_dir
@@ -184,6 +185,31 @@ def q_vector_topk(spark, sf_dir):
     return hits.select("label", F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
 
 
+RECALL_K = 10
+
+
+def _vector_index_search(spark, sf_dir):
+    """(index, queries, hits): every row whose id is divisible by 20 as a query against all rows."""
+    vec = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    asked = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") % 20 == 0)
+    queries = asked.select(F.col("vec_id").alias("query_id"), "embedding")
+    return vec, queries, VI.search_vectors(VI.build_vector_index(vec), queries, k=RECALL_K, qid="query_id")
+
+
+@register("vector_topk_approx")
+def q_vector_topk_approx(spark, sf_dir):
+    """Nearest vectors by the approximate index; scores are exact cosines."""
+    _, _, hits = _vector_index_search(spark, sf_dir)
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "score")
+
+
+@register("vector_index_recall")
+def q_vector_index_recall(spark, sf_dir):
+    """Per query, the share of the exact top answers that the approximate index finds."""
+    vec, queries, hits = _vector_index_search(spark, sf_dir)
+    return VI.recall(hits, RV.vector_topk(vec, queries, k=RECALL_K, qid="query_id"), "query_id")
+
+
 def _summary_sql(units: str, unit: str, part: str) -> str:
     return f"""
 WITH s0 AS (SELECT {unit}, {part} AS part, unnest({X.sentences('text')}) AS raw,
