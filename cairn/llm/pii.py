@@ -23,7 +23,12 @@ between matches, in code points.
 
 Defined cases: a null text is empty and has no spans; repeated rows each give a row
 with equal spans; null doc_ids are documents like others; an empty table gives an
-empty result; only doc_id and text are read, so other columns can't clash.
+empty result; only doc_id and text are read, so other columns can't clash.  A text's spans
+may be any number: the work grows with the text and its spans, not with their product.
+
+Limits: an entity with contexts of one kind only (most that stand in a single document) has too
+little evidence to call a term disclosing; and disclosing terms are protected in documents that hold
+their entity, not in others.
 """
 
 from __future__ import annotations
@@ -51,6 +56,7 @@ CONTEXTS = 2
 THRESHOLD = 0.9
 REMOVE = 0.99
 RUN = 64  # matches whose lengths are added up at a time
+CHUNK = 256  # code points of a piece that parts of a text are cut from
 
 
 def luhn(digits: Column) -> Column:
@@ -77,68 +83,123 @@ def normal(kind: str, value: Column) -> Column:
     return F.lower(value) if kind in ("email", "ip") else F.regexp_replace(value, "[^0-9]", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once.
+
+    The optimizer puts a column that an expression names once into it, also into a lambda, where it
+    would be worked out for every element.  So lambdas here name lambda variables only."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def before_each(values: Column, fold, first: int = 0) -> Column:
+    """For each entry of an array of ints, what ``fold`` makes of ``first`` and all entries before it.
+
+    Entries are folded ``RUN`` at a time, so the work grows with their number."""
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.lit(first), fold)
+
+    def offsets(own: Column) -> Column:
+        n_runs = F.ceil(F.size(own) / RUN).cast("int")
+        runs = F.when(n_runs > 0, F.transform(F.sequence(F.lit(0), n_runs - 1), lambda r: folded(F.slice(own, r * RUN + 1, F.lit(RUN))))
+                      ).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(runs, F.array(F.lit(first)), lambda acc, x: F.concat(acc, F.array(fold(F.element_at(acc, -1), x))))
+
+    def before(own: Column, off: Column) -> Column:
+        def at(x: Column, k: Column) -> Column:
+            run = F.floor(k / RUN).cast("int")
+            return fold(F.get(off, run), folded(F.slice(own, run * RUN + 1, k - run * RUN)))
+        return F.transform(own, at)
+
+    return let(values, lambda own: let(offsets(own), lambda off: before(own, off)))
+
+
 def with_matches(df: DataFrame, name: str, pattern: Column, tried: Column) -> DataFrame:
-    """``df`` with ``name``: (place, start, end, value) of all matches of the pattern in text,
-    and ``name``_pieces: the text around them."""
-    values, pieces, steps, runs, offsets = (f"{name}{x}" for x in ("", "_pieces", "_steps", "_runs", "_offsets"))
+    """``df`` with ``name``: (start, end, value) of all matches of the pattern in text."""
+    values, pieces, steps = (f"{name}{x}" for x in ("", "_pieces", "_steps"))
     none = F.array().cast("array<string>")
+    ends = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"))
+    return (df.withColumn(values, F.when(tried, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(none))
+            .withColumn(pieces, F.when(F.size(values) > 0, F.slice(F.split("text", pattern, -1), F.lit(1), F.size(values))).otherwise(none))
+            # what lies before a match, and the match
+            .withColumn(steps, F.zip_with(values, pieces, lambda v, p: F.struct((F.length(p) + F.length(v)).alias("n"), v.alias("value"))))
+            .withColumn(values, F.when(F.size(steps) > 0, let(F.col(steps), lambda own: F.zip_with(
+                own, before_each(F.transform(own, lambda x: x["n"]), _sum),
+                lambda x, at: F.struct((at + x["n"] - F.length(x["value"])).alias("start"), (at + x["n"]).alias("end"), x["value"].alias("value")))))
+                .otherwise(F.array_remove(F.array(ends), ends)))
+            .drop(pieces, steps))
 
-    def before(lengths: Column) -> Column:
-        return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
-    def matched(value: Column, k: Column) -> Column:
-        run = F.floor(k / RUN).cast("int")
-        end = F.get(offsets, run) + before(F.slice(steps, run * RUN + 1, k - run * RUN + 1))
-        return F.struct(k.alias("place"), (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))
+def chunked(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` code points, from which ``cut`` takes parts without walking the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    def extend(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) + x))
 
-    n_runs = F.ceil(F.size(values) / RUN).cast("int")
-    return (df.withColumn(values, F.when(tried, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(none))
-            .withColumn(pieces, F.when(F.size(values) > 0, F.split("text", pattern, -1)).otherwise(none))
-            .withColumn(steps, F.transform(values, lambda v, k: F.length(F.get(pieces, k)) + F.length(v)))
-            .withColumn(runs, F.when(F.size(values) > 0, F.transform(
-                F.sequence(F.lit(0), n_runs - 1), lambda r: before(F.slice(steps, r * RUN + 1, F.lit(RUN))))).otherwise(F.array().cast("array<int>")))
-            .withColumn(offsets, F.aggregate(runs, F.array(F.lit(0)), extend))
-            .withColumn(values, F.transform(values, matched))
-            .drop(steps, runs, offsets))
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((end - 1) / CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substr(part, start - first * CHUNK + 1, end - start)).otherwise("")
+
+
+def cut_around(chunks: Column, rows: Column, length: Column, put) -> Column:
+    """The text with each of ``rows`` (start, end, covered: where the spans before it end) replaced by what ``put`` makes
+    of the row and its words; a row that overlaps the ones before gives nothing."""
+    def replaced(ch: Column):
+        return lambda s: F.when(s["start"] < s["covered"], F.lit("")).otherwise(
+            F.concat(cut(ch, s["covered"], s["start"]), put(s, cut(ch, s["start"], s["end"]))))
+
+    def whole(h: Column) -> Column:
+        last = F.try_element_at(h["rows"], F.lit(-1))
+        return F.concat(F.array_join(F.transform(h["rows"], replaced(h["chunks"])), ""),
+                        cut(h["chunks"], F.greatest(last["covered"], last["end"]), length))
+
+    return let(F.struct(chunks.alias("chunks"), rows.alias("rows")), whole)
+
+
+def with_covered(rows: Column, *fields: str) -> Column:
+    """Sorted spans (start, end, ...) with ``covered``: where the spans before each one end, and ``fresh``: 1 if it begins behind that."""
+    def row(s: Column, c: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), *[s[f].alias(f) for f in fields],
+            c.alias("covered"), (s["start"] >= c).cast("int").alias("fresh"))
+
+    return let(rows, lambda own: F.zip_with(own, before_each(F.transform(own, lambda s: s["end"]), _larger), row))
 
 
 def with_contexts(df: DataFrame) -> DataFrame:
     """``df`` with ``entities``: (entity, terms) of each of its ``found`` spans (start, end, entity), the
     terms being the distinct ones among the last ``CONTEXT`` before and the first after it in
     the text.  Words of spans are no terms; spans that overlap are one place."""
-    found = F.array_sort("found")
-    plain = F.translate("text", MARK, " ")
-
-    def put(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["end"]
-        places = acc["places"] + F.when(new, 1).otherwise(0)
-        kept = F.substr(plain, acc["end"] + 1, F.greatest(F.lit(0), s["start"] - acc["end"]))
-        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), places.alias("places"),
-                        F.when(new, F.concat(acc["out"], kept, F.lit(f" {MARK} "))).otherwise(acc["out"]).alias("out"),
-                        F.concat(acc["spans"], F.array(F.struct((places - 1).alias("place"), s["entity"].alias("entity")))).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("places"), F.lit("").alias("out"),
-                     F.array().cast("array<struct<place:int,entity:string>>").alias("spans"))
-    marked = F.aggregate(found, start, put)
-    masked = F.concat("marked.out", F.substr(plain, F.col("marked.end") + 1, F.length("text")))
+    some = F.size("found") > 0
+    masked = cut_around(chunked(F.translate("text", MARK, " ")), F.col("rows"), F.length("text"), lambda s, value: F.lit(f" {MARK} "))
     tokens = F.regexp_extract_all(F.lower(masked), F.lit(f"{MARK}|{TERM}"), F.lit(0))
-    none = F.array().cast("array<string>")
 
-    def entity(s: Column) -> Column:
-        before = F.get("marks", s["place"]) - s["place"]  # terms before the place
-        first = F.greatest(F.lit(0), before - CONTEXT)
-        return F.struct(s["entity"].alias("entity"), F.array_distinct(F.concat(
-            F.slice("words", first + 1, before - first), F.slice("words", before + 1, F.lit(CONTEXT)))).alias("terms"))
+    def around(h: Column) -> Column:
+        def entity(s: Column, earlier: Column) -> Column:
+            place = earlier + s["fresh"] - 1
+            before = F.get(h["marks"], place) - place  # terms before the place
+            first = F.greatest(F.lit(0), before - CONTEXT)
+            return F.struct(s["entity"].alias("entity"), F.array_distinct(F.concat(
+                F.slice(h["words"], first + 1, before - first), F.slice(h["words"], before + 1, F.lit(CONTEXT)))).alias("terms"))
+        return F.zip_with(h["rows"], h["places"], entity)
+
+    def parts(tokens: Column) -> Column:
+        marks = F.filter(F.transform(tokens, lambda t, i: F.when(t == MARK, i)), lambda i: i.isNotNull())
+        return F.struct(marks.alias("marks"), F.filter(tokens, lambda t: t != MARK).alias("words"), F.col("rows"),
+                        before_each(F.transform("rows", lambda s: s["fresh"]), _sum).alias("places"))
 
-    return (df.withColumn("marked", F.when(F.size("found") > 0, marked))
-            .withColumn("tokens", F.when(F.size("found") > 0, tokens).otherwise(none))
-            .withColumn("marks", F.filter(F.transform("tokens", lambda t, i: F.when(t == MARK, i)), lambda i: i.isNotNull()))
-            .withColumn("words", F.filter("tokens", lambda t: t != MARK))
-            .withColumn("entities", F.coalesce(F.transform("marked.spans", entity), F.array().cast(
-                "array<struct<entity:string,terms:array<string>>>"))))
+    return (df.withColumn("rows", with_covered(F.array_sort("found"), "entity"))
+            .withColumn("entities", F.when(some, let(let(tokens, parts), around)).otherwise(
+                F.array().cast("array<struct<entity:string,terms:array<string>>>"))))
 
 
 def written(kind: str, spans: Column) -> Column:
@@ -226,24 +287,18 @@ def sanitize(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs).select(F.col("doc_id").alias("of"), F.col("digest").alias("of_digest"), "spans", "terms")
     found = materialize(found.filter("spans <> ''").dropDuplicates(["of", "of_digest"]), "pii_found")
     parts = F.split("span", ":")
-    cut = (found.withColumn("span", F.explode(F.split("spans", ","))).select(
+    spans = (found.withColumn("span", F.explode(F.split("spans", ","))).select(
         "of", "of_digest", parts[1].cast("int").alias("start"), parts[2].cast("int").alias("end"), parts[0].alias("kind"), "terms")
         .withColumn("disclosure", F.when(F.col("kind") == "term", F.filter("terms", lambda t: t["start"] == F.col("start"))[0]["disclosure"]))
         .groupBy("of", "of_digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "disclosure"))).alias("cuts")))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.withColumn("digest", F.xxhash64("text")).join(
-        cut, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+        spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
 
-    def replace(acc: Column, s: Column) -> Column:
-        value = F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    def mark(s: Column, value: Column) -> Column:
         shape = F.when(value.rlike(r"^\p{N}+$"), "<NUMBER>").when(value.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
-        mark = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(
+        return F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(
             s["disclosure"] >= REMOVE, "").otherwise(shape)
-        kept = F.substr(F.col("text"), acc["end"] + 1, F.greatest(F.lit(0), s["start"] - acc["end"]))
-        return F.when(s["start"] < acc["end"], F.struct(  # overlaps the span before: only its rest goes
-            F.greatest(acc["end"], s["end"]).alias("end"), acc["out"].alias("out"))).otherwise(
-                F.struct(s["end"].alias("end"), F.concat(acc["out"], kept, mark).alias("out")))
-
-    done = F.aggregate("cuts", F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), replace)
-    return joined.withColumn("done", done).select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(
-        F.concat(F.col("done.out"), F.substr(F.col("text"), F.col("done.end") + 1, F.length("text")))).alias("text"))
+
+    done = cut_around(chunked(F.col("text")), with_covered(F.col("cuts"), "kind", "disclosure"), F.length("text"), mark)
+    return joined.select("doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(done).alias("text"))
