@@ -23,7 +23,7 @@ from cairn.llm.common import held_by_worker
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # White space beyond space, tab, line feed and carriage return.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 500_000
 LONG_PIECE = 200
 HOT_ENTRIES = 20_000
 HOT_AFTER = 500_000  # pieces
@@ -90,10 +90,12 @@ class PieceEncoder:
             for i in [i for i, ids in enumerate(got) if ids is None]:
                 piece = own[i]
                 ids = memo(piece)
-                if ids is None and (ids := older(piece)) is None:
-                    gaps.append((got, i, piece))
-                else:
-                    got[i] = new[piece] = ids
+                if ids is None:
+                    if (ids := older(piece)) is None:
+                        gaps.append((got, i, piece))
+                        continue
+                    new[piece] = ids  # used again: it goes on to the newer memo
+                got[i] = ids
             parts.append(got)
             if not self.hot:
                 self.seen.update(own)
