@@ -13,9 +13,11 @@ back-off weight.
 Training counts every training row: tasks count words, turn them into n-gram
 counts, and Spark adds these up by (language, n-gram), so a language that holds
 most rows is summed before the shuffle.  Continuation counts, discounts, probabilities
-and back-offs are computed in Spark from all strings of all languages.  The finished models are
-collected and broadcast; if they pass ``MODEL_BYTES``, the strings that add least
-to their language's cross-entropy go, and their mass to the back-off of their contexts.
+and back-offs are computed in Spark from all strings of all languages.  The finished models of
+as many languages as ``MODEL_BYTES`` hold are collected and broadcast at a time (one language at least), and
+texts pass by one such group after the other, so results don't depend on the bound.  Only if ``train``
+is given a size do the strings that add least to their language's cross-entropy go, and their mass to the
+back-off of their contexts.
 
 The language with the least cross-entropy per character wins.  Its score is the
 posterior probability under a temperature chosen to minimise the log-loss of the
@@ -42,6 +44,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -52,7 +55,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import held_by_worker, held_out, materialize
 
 ORDER = 4
-MODEL_BYTES = 192 << 20  # of the broadcast models, all languages together
+MODEL_BYTES = 192 << 20  # of the models that are broadcast together
 GRAM_BYTES = 40  # of a stored string at most: hash, offset, language and value, and as much for its context
 QUANTILE = 0.999
 TAIL = 0.95  # quantile from which on the tail is fitted
@@ -316,8 +319,39 @@ def _collect(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndar
     return got["language"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
 
 
-def train(training: DataFrame, model_bytes: int = MODEL_BYTES) -> CharacterModels | None:
-    """Models of the languages of ``training`` (lang, text); None if there is nothing to learn."""
+class Learned(NamedTuple):
+    """Finished models as tables: (lang, gram, p, backoff, kept) of each order, and each language's floor and strings."""
+    languages: list[str]
+    floors: dict
+    strings: dict
+    tables: dict[int, DataFrame]
+
+    def groups(self, model_bytes: int) -> list[list[str]]:
+        """The languages in order, as many together as ``model_bytes`` hold."""
+        out: list[list[str]] = []
+        size = 0
+        for lang in self.languages:
+            own = self.strings[lang] * GRAM_BYTES
+            if not out or size + own > model_bytes:
+                out.append([])
+                size = 0
+            out[-1].append(lang)
+            size += own
+        return out
+
+    def models(self, languages: list[str]) -> CharacterModels:
+        """The models of some of the languages, collected."""
+        collected = []
+        for n in range(1, ORDER + 1):
+            kept = self.tables[n].filter(F.col("kept") & F.col("lang").isin(languages))
+            contexts = kept.groupBy("lang", F.col("gram").substr(1, n - 1).alias("gram")).agg(F.first("backoff").alias("p"))
+            # a string that has no entry takes the next order's value times its context's weight: 1 if that has none kept
+            collected.append((_collect(kept, languages), _collect(contexts if n > 1 else contexts.limit(0), languages)))
+        return CharacterModels.of_tables(languages, np.array([self.floors[k] for k in languages]), collected)
+
+
+def learn(training: DataFrame, prune_to: int | None = None) -> Learned | None:
+    """The models of ``training`` (lang, text); None if there is nothing to learn.  ``prune_to``: bytes to prune them to."""
     grams = materialize(gram_counts(training), "language_grams")
     languages = sorted(r["lang"] for r in grams.select("lang").distinct().collect())  # a row per language
     if not languages:
@@ -325,23 +359,28 @@ def train(training: DataFrame, model_bytes: int = MODEL_BYTES) -> CharacterModel
     tables = string_counts(grams)
     alphabet = tables[1].select("gram").distinct().count() + 1
     done = probabilities(tables, alphabet)
-    most, losses = model_bytes // GRAM_BYTES, functools.reduce(DataFrame.union, [t.select("loss") for t in done.values()])
-    if (strings := losses.count()) > most:
-        # the quantile may be off by a share of 1 / 10,000
-        share = min(1.0, 1 - most / strings + 1e-4)
-        done = probabilities({n: t.drop("p", "backoff", "kept") for n, t in done.items()}, alphabet, losses.agg(F.percentile_approx("loss", share, 10_000)).first()[0])
-    floor = {r["lang"]: np.log(r["backoff"] / alphabet) for r in done[1].groupBy("lang").agg(F.first("backoff").alias("backoff")).collect()}
-    collected = []
-    for n in range(1, ORDER + 1):
-        kept = done[n].filter("kept")
-        contexts = kept.groupBy("lang", F.col("gram").substr(1, n - 1).alias("gram")).agg(F.first("backoff").alias("p"))
-        # a string that has no entry takes the next order's value times its context's weight: 1 if that has none kept
-        collected.append((_collect(kept, languages), _collect(contexts if n > 1 else contexts.limit(0), languages)))
-    return CharacterModels.of_tables(languages, np.array([floor[k] for k in languages]), collected)
+    if prune_to is not None:
+        losses = functools.reduce(DataFrame.union, [t.select("loss") for t in done.values()])
+        most = prune_to // GRAM_BYTES
+        if (strings := losses.count()) > most:
+            # the quantile may be off by a share of 1 / 10,000
+            share = min(1.0, 1 - most / strings + 1e-4)
+            least = losses.agg(F.percentile_approx("loss", share, 10_000)).first()[0]
+            done = probabilities({n: t.drop("p", "backoff", "kept") for n, t in done.items()}, alphabet, least)
+    floors = {r["lang"]: np.log(r["backoff"] / alphabet) for r in done[1].groupBy("lang").agg(F.first("backoff").alias("backoff")).collect()}
+    kept = functools.reduce(DataFrame.union, [t.filter("kept").select("lang") for t in done.values()])
+    strings = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()}  # a row per language
+    return Learned(languages, floors, {k: strings.get(k, 0) for k in languages}, done)
+
+
+def train(training: DataFrame, model_bytes: int | None = None) -> CharacterModels | None:
+    """Models of all languages of ``training`` (lang, text); ``model_bytes``: size to prune them to."""
+    learned = learn(training, model_bytes)
+    return learned and learned.models(learned.languages)
 
 
 def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
-    """doc_id, lang (as read), chars and the log-probability of every text in every language."""
+    """doc_id, lang (as read), chars and the log-probability of every text in each of the models' languages."""
     shared, key = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
     step = min(500, max(10, 25_000 // len(models.languages)))
 
@@ -358,6 +397,22 @@ def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, lang string, chars bigint, logs array<double>")
 
 
+def score_by_groups(docs: DataFrame, learned: Learned, model_bytes: int) -> DataFrame:
+    """The same in all languages, one group of them after the other; between groups texts and scores are written."""
+    groups = learned.groups(model_bytes)
+    if len(groups) == 1:
+        return score_texts(docs, learned.models(groups[0]))
+    keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "language_rows")
+    parts = None
+    for group in groups:
+        logs = materialize(score_texts(keyed.select("row", F.lit(None).cast("string").alias("lang"), "text").withColumnRenamed("row", "doc_id"),
+                                       learned.models(group)).select(F.col("doc_id").alias("row"), "chars", "logs"), "language_logs")
+        parts = logs if parts is None else materialize(
+            parts.withColumnRenamed("logs", "so_far").join(logs.drop("chars"), "row")
+                 .select("row", "chars", F.concat("so_far", "logs").alias("logs")), "language_logs")
+    return keyed.select("row", "doc_id", "lang").join(parts, "row").select("doc_id", "lang", "chars", "logs")
+
+
 def with_limits(scored: DataFrame, calibration: DataFrame) -> DataFrame:
     """``scored`` (best, chars) with the cross-entropy from which on a text is rejected, from
     the calibration rows (best, chars, cross_entropy) whose language was found."""
@@ -385,17 +440,17 @@ def with_limits(scored: DataFrame, calibration: DataFrame) -> DataFrame:
     return out.withColumn("limit", F.coalesce("centre", F.lit(rows["centre"])) + F.lit(quantile) * spread).drop("of", "centre")
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
+def identify_languages(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected and cross_entropy of every row of
     ``docs`` (doc_id, text, lang); the docstring above says how."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    models = train(rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & remainder.isin(0, 1)))
-    if models is None:
+    learned = learn(rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & remainder.isin(0, 1)))
+    if learned is None:
         return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"),
                            F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"))
-    names = F.array(*map(F.lit, models.languages))
-    scored = score_texts(rows, models)
+    names = F.array(*map(F.lit, learned.languages))
+    scored = score_by_groups(rows, learned, model_bytes)
     best = F.array_max("logs")
     scored = materialize(scored.select(
         "doc_id", "lang", "chars", "logs", F.when(F.col("chars") > 0, F.element_at(names, F.array_position("logs", best).cast("int")))
@@ -405,7 +460,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
         """Chance of the language whose log-probability is ``of``."""
         return 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(F.least((x - of) / temperature, F.lit(700.0))))
 
-    calibration = scored.filter((remainder == 3) & F.col("lang").isin(models.languages) & (F.col("chars") > 0))
+    calibration = scored.filter((remainder == 3) & F.col("lang").isin(learned.languages) & (F.col("chars") > 0))
     truth = F.element_at("logs", F.array_position(names, F.col("lang")).cast("int"))
     losses = [F.avg(-F.log(F.greatest(posterior(truth, t), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
     found = calibration.agg(*losses).first()

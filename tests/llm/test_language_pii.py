@@ -124,6 +124,16 @@ def test_pruned_models_fit_and_sum_to_one(spark):
     assert (totals.argmax(axis=1) == np.arange(60)).all()
 
 
+def test_predictions_do_not_depend_on_the_bound_of_the_models(spark):
+    docs = pd.concat([spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").toPandas(),
+                      pd.DataFrame({"doc_id": [None, 5_000_001], "text": [None, "odd one"], "lang": [None, None]})])
+    df = spark.createDataFrame(docs.astype(object).where(docs.notna(), None), "doc_id bigint, text string, lang string")
+    learned = L.learn(df.filter("lang IS NOT NULL"))
+    assert len(learned.groups(1)) == len(learned.languages) > 2 and len(learned.groups(1 << 40)) == 1
+    one, many = ({tuple(r) for r in L.identify_languages(df, size).collect()} for size in (L.MODEL_BYTES, 1))
+    assert one == many
+
+
 def test_held_out_accuracy_and_no_clean_rejects(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = L.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
