@@ -1,9 +1,8 @@
 """A lexical index of blocks of chunks, bucketed by term, that grows by commits.
 
 * **Blocks.**  Chunks are numbered as they are written; ``BLOCK`` consecutive ones form a block.
-  A posting row is one term in one block: the places of the chunks that hold it, with term
-  frequencies and chunk lengths, beside the greatest frequency and least length, which bound what
-  the term adds to any score there.
+  A posting row is one term in one block: place, term frequency and chunk length of the chunks
+  that hold it, packed into six bytes each.
 * **Buckets.**  Posting rows lie in ``BUCKETS`` files by hash of the term, sorted by term, so a
   search with few terms opens only their buckets.
 * **Commits.**  Every batch of documents becomes one segment, written in proportion to the batch: its
@@ -43,7 +42,7 @@ from cairn.functions.ordinal import top_k
 from cairn.operators.retrieval import B, K1, chunk_documents
 from cairn.session import delete_path, written
 
-BLOCK, RUN = 2048, 64  # chunks of a block, and of a run of chunks within it
+BLOCK, RUN = 16_384, 64  # chunks of a block (65,536 at most), and of a run of chunks within it
 BUCKETS = 32
 FAN = 4  # segments of one level that are merged
 GROUP_PAIRS = 200_000  # (question, term) pairs searched together: what is collected and broadcast at once
@@ -51,9 +50,9 @@ LITERAL_TERMS = 2_000  # terms named in the filter at most, so that buckets are
 SAMPLE = 16  # one block in so many gives the thresholds
 MARGIN = 1e-6  # scores are rounded to six decimals
 
-_POSTINGS = pa.schema([("term", pa.string()), ("block", pa.int64()), ("top_tf", pa.int32()), ("least_dl", pa.int32()),
-                       ("places", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("dls", pa.list_(pa.int32()))])
-_POSTINGS_DDL = "term string, block bigint, top_tf int, least_dl int, places array<int>, tfs array<int>, dls array<int>"
+_ENTRY = np.dtype([("place", "<u2"), ("tf", "<u2"), ("dl", "<u2")])
+_POSTINGS = pa.schema([("term", pa.string()), ("block", pa.int64()), ("entries", pa.binary())])
+_POSTINGS_DDL = "term string, block bigint, entries binary"
 
 
 # ------------------------------------------------------------------ building
@@ -71,11 +70,11 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, rows = keys // len(sizes), keys % len(sizes)
         blocks, places, dls = (batch.column(c).to_numpy()[rows] for c in ("block", "place", "n_tokens"))
         begins = np.flatnonzero(np.append(True, (np.diff(terms) != 0) | (np.diff(blocks) != 0)))
-        ends = pa.array(np.append(begins, len(keys)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (places, tfs, dls)]
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(terms[begins])), pa.array(blocks[begins], pa.int64()),
-                                          pa.array(np.maximum.reduceat(tfs, begins), pa.int32()),
-                                          pa.array(np.minimum.reduceat(dls, begins), pa.int32()), *lists], schema=_POSTINGS)
+        entries = np.empty(len(keys), _ENTRY)
+        entries["place"], entries["tf"], entries["dl"] = places, tfs, dls
+        ends = pa.array(np.append(begins, len(keys)) * _ENTRY.itemsize, pa.int32())
+        packed = pa.Array.from_buffers(pa.binary(), len(begins), [None, ends.buffers()[1], pa.py_buffer(entries.tobytes())])
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(terms[begins])), pa.array(blocks[begins], pa.int64()), packed], schema=_POSTINGS)
 
 
 def _placed(chunks: DataFrame) -> DataFrame:
@@ -111,6 +110,7 @@ class Snapshot(NamedTuple):
     chunks: DataFrame  # segment, block, place, doc_id, chunk_no, n_tokens, text (tokens joined by a space): live ones
     n_docs: int  # live chunks
     avgdl: float
+    some_gone: bool  # whether any chunk of a live segment has gone
 
 
 class BlockIndex:
@@ -177,6 +177,8 @@ class BlockIndex:
 
         ``batch``: a name by which a repeated call is known and does nothing (a replayed micro-batch).
         """
+        if size > np.iinfo(_ENTRY["dl"]).max:
+            raise ValueError("a chunk's length has two bytes")
         self.add_chunks(chunk_documents(docs, size=size, overlap=overlap), docs.select("doc_id"), batch)
 
     def add_chunks(self, chunks: DataFrame, ids: DataFrame | None = None, batch=None) -> None:
@@ -257,22 +259,39 @@ class BlockIndex:
         if postings is None:
             postings = self.spark.createDataFrame([], f"{_POSTINGS_DDL}, segment int")
         n, mean = self._with_fate(segments, "n_tokens").filter(~F.col("dead")).agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
-        if any(c["gone"] for c in segments[1:]):  # a block's gone places: BLOCK of them at most
+        some_gone = any(c["gone"] for c in segments[1:])
+        if some_gone:  # a block's gone places: BLOCK of them at most
             gone = written(self._with_fate(segments, "block", "place").filter("dead").groupBy("segment", "block")
                                .agg(F.collect_set("place").alias("gone")), "index_gone_places")
             postings = postings.join(gone, ["segment", "block"], "left")
         else:
             postings = postings.withColumn("gone", F.lit(None).cast("array<int>"))
-        return Snapshot(postings, self._chunks(segments), int(n or 0), float(mean or 0.0))
+        return Snapshot(postings, self._chunks(segments), int(n or 0), float(mean or 0.0), some_gone)
+
+
+def _unpacked(entries: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All entries one after the other, and how many each row has."""
+    sizes = entries.map(len).to_numpy(dtype=np.int64) // _ENTRY.itemsize
+    return np.frombuffer(b"".join(entries), dtype=_ENTRY), sizes
+
+
+def _living(entries: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Chunks of each posting row that haven't gone, and the term's occurrences in them."""
+    all_entries, sizes = _unpacked(entries)
+    alive = np.ones(len(all_entries), dtype=bool)
+    at = np.append(0, np.cumsum(sizes))
+    for i, g in enumerate(gone):
+        if g is not None:
+            alive[at[i]:at[i + 1]] = ~np.isin(all_entries["place"][at[i]:at[i + 1]], g)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return pd.DataFrame({"n": np.bincount(of, alive, len(sizes)).astype(np.int64),
+                         "tf": np.bincount(of, alive * all_entries["tf"].astype(np.float64), len(sizes)).astype(np.int64)})
 
 
 def term_stats(index: Snapshot) -> DataFrame:
     """(term, df, cf) over the live chunks."""
-    rows = F.arrays_zip("places", "tfs")
-    living = F.when(F.col("gone").isNull(), rows).otherwise(F.filter(rows, lambda x: ~F.array_contains("gone", x["places"])))
-    tf = F.aggregate(living, F.lit(0).cast("bigint"), lambda n, x: n + x["tfs"])
-    return (index.postings.select("term", F.size(living).alias("n"), tf.alias("tf")).groupBy("term")
-                 .agg(F.sum("n").cast("bigint").alias("df"), F.sum("tf").alias("cf")).filter("df > 0"))
+    rows = index.postings.select("term", F.pandas_udf(_living, "n bigint, tf bigint")("entries", "gone").alias("l"))
+    return rows.groupBy("term").agg(F.sum("l.n").alias("df"), F.sum("l.tf").alias("cf")).filter("df > 0")
 
 
 # -------------------------------------------------------------------- search
@@ -288,9 +307,9 @@ class _Questions(NamedTuple):
     def in_block(self, rows: pd.DataFrame) -> pd.DataFrame:
         """(question, place, score) of one block's chunks that may be among a question's k best."""
         rows = rows.sort_values("number", kind="stable")
-        sizes = np.array([len(p) for p in rows["places"]])
+        entries, sizes = _unpacked(rows["entries"])
         numbers = np.repeat(rows["number"].to_numpy(), sizes)
-        places, tf, dl = (np.concatenate(rows[c].to_numpy()) for c in ("places", "tfs", "dls"))
+        places, tf, dl = entries["place"].astype(np.int64), entries["tf"].astype(np.float64), entries["dl"]
         weights = self.idf[numbers] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
         gone = [g for g in rows["gone"] if g is not None]
         if gone:
@@ -299,7 +318,7 @@ class _Questions(NamedTuple):
         ends = np.append(begins[1:], len(numbers))
         row_of = np.full(len(self.idf), -1)
         row_of[here] = np.arange(len(here))
-        greatest = np.zeros((len(here), BLOCK // RUN))
+        greatest = np.zeros((len(here), -(-BLOCK // RUN)))
         np.maximum.at(greatest, (row_of[numbers], places // RUN), weights)
         out = []
         for q, terms in enumerate(self.terms):
@@ -364,8 +383,8 @@ def question_postings(index: Snapshot, vocabulary: list[str]) -> DataFrame:
 def _search_group(spark: SparkSession, ids: list, terms: list, index: Snapshot, k: int) -> DataFrame:
     vocabulary = sorted({t for row in terms for t in row})
     number = {t: i for i, t in enumerate(vocabulary)}
-    rows = written(question_postings(index, vocabulary).select("segment", "block", "number", "places", "tfs", "dls", "gone"), "search_postings")
-    living = F.when(F.col("gone").isNull(), F.size("places")).otherwise(F.size(F.array_except("places", "gone")))
+    rows = written(question_postings(index, vocabulary).select("segment", "block", "number", "entries", "gone"), "search_postings")
+    living = F.pandas_udf(_living, "n bigint, tf bigint")("entries", "gone")["n"] if index.some_gone else F.expr(f"octet_length(entries) div {_ENTRY.itemsize}")
     df = np.zeros(len(vocabulary))
     for r in rows.groupBy("number").agg(F.sum(living).alias("df")).collect():  # a row a term
         df[r["number"]] = r["df"]

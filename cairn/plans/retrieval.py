@@ -49,7 +49,9 @@ def _index(spark, sf_dir):
     index = BI.BlockIndex(spark, f"{shared_dir(spark).rstrip('/')}/bm25/{key}")
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     if not index.commits():
-        index.add_chunks(RV.chunk_documents(docs.repartition("doc_id"), size=SIZE, overlap=OVERLAP), batch="corpus")
+        if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few files: spread their texts over all cores
+            docs = docs.repartition("doc_id")
+        index.add_chunks(RV.chunk_documents(docs, size=SIZE, overlap=OVERLAP), batch="corpus")
     return index.snapshot()
 
 

@@ -148,8 +148,8 @@ def test_a_search_opens_its_terms_buckets_only(spark):
 def test_blocks_below_the_threshold_are_passed_by():
     import pandas as pd
 
-    rows = pd.DataFrame({"number": [0, 1], "places": [np.array([1, 70]), np.array([70])], "tfs": [np.array([1, 1]), np.array([3])],
-                         "dls": [np.array([10, 10]), np.array([10])], "gone": [None, None]})
+    packed = [np.array(e, dtype=BI._ENTRY).tobytes() for e in ([(1, 1, 10), (70, 1, 10)], [(70, 3, 10)])]
+    rows = pd.DataFrame({"number": [0, 1], "entries": packed, "gone": [None, None]})
     group = BI._Questions([np.array([0, 1])], np.array([1.0, 2.0]), 10.0, 1, np.zeros(1))
     best = group.in_block(rows)
     assert best["place"].tolist() == [70]
