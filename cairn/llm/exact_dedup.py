@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import fold_case, held_by_worker, materialize
 
-QUOTIENT_BITS = 12
+QUOTIENT_BITS = 12  # at most; a filter of few fingerprints has fewer, so that its bitmap grows with them
 SEGMENT_ROWS = 1 << 15  # fingerprints in a segment, about
 FLUSH = 1 << 20  # fingerprints a task holds before it writes filters
 
 
 def encode_filter(values: np.ndarray, counts: np.ndarray, segment_bits: int) -> bytes:
     """A filter of distinct sorted fingerprints of one segment and their counts."""
-    remainder_bits = np.uint64(64 - segment_bits - QUOTIENT_BITS)
+    quotient_bits = min(QUOTIENT_BITS, max(1, len(values).bit_length()))
+    remainder_bits = np.uint64(64 - segment_bits - quotient_bits)
     body = values & np.uint64((1 << (64 - segment_bits)) - 1)
     quotients = (body >> remainder_bits).astype(np.int64)
     remainders = body & np.uint64((1 << int(remainder_bits)) - 1)
@@ -55,23 +56,25 @@ def encode_filter(values: np.ndarray, counts: np.ndarray, segment_bits: int) ->
     run_ends = np.zeros(len(slots), bool)
     last = np.append(quotients[1:] != quotients[:-1], True) if len(values) else np.zeros(0, bool)
     run_ends[place[last] + many[last]] = True
-    occupied = np.zeros(1 << QUOTIENT_BITS, bool)
+    occupied = np.zeros(1 << quotient_bits, bool)
     occupied[quotients] = True
-    return b"".join((np.uint32(len(slots)).tobytes(), np.packbits(occupied).tobytes(),
+    return b"".join((np.uint32(len(slots)).tobytes(), np.uint8(quotient_bits).tobytes(), np.packbits(occupied).tobytes(),
                      np.packbits(run_ends).tobytes(), np.packbits(counters).tobytes(), slots.astype("<u8").tobytes()))
 
 
 def decode_filter(blob: bytes, segment: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct fingerprints of a filter, sorted, and their counts."""
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    bits, slots_at = (n + 7) // 8, 4 + (1 << QUOTIENT_BITS) // 8
-    occupied = np.unpackbits(np.frombuffer(blob, np.uint8, (1 << QUOTIENT_BITS) // 8, 4))
+    quotient_bits = blob[4]
+    bits, bitmap = (n + 7) // 8, ((1 << quotient_bits) + 7) // 8
+    slots_at = 5 + bitmap
+    occupied = np.unpackbits(np.frombuffer(blob, np.uint8, bitmap, 5))
     run_ends = np.unpackbits(np.frombuffer(blob, np.uint8, bits, slots_at), count=n)
     counters = np.unpackbits(np.frombuffer(blob, np.uint8, bits, slots_at + bits), count=n).astype(bool)
     slots = np.frombuffer(blob, "<u8", n, slots_at + 2 * bits).astype(np.uint64)
     run = np.cumsum(run_ends) - run_ends
     quotients = np.flatnonzero(occupied)[run].astype(np.uint64)
-    remainder_bits = np.uint64(64 - segment_bits - QUOTIENT_BITS)
+    remainder_bits = np.uint64(64 - segment_bits - quotient_bits)
     top = np.uint64(segment) << np.uint64(64 - segment_bits) if segment_bits else np.uint64(0)
     values = top | quotients << remainder_bits | slots
     counts = np.ones(n, np.int64)

@@ -208,18 +208,23 @@ def shingle_table(docs: DataFrame, with_sets: bool = False) -> DataFrame:
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 made = [s.tobytes() if with_sets else signature(s).tobytes() for s in sets]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0),
+                    "doc_id": part.column(0), "digest": part.column(2),
                     "class_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     "n": pa.array([len(s) for s in sets], pa.int64()), "made": pa.array(made, pa.binary())})
 
-    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-                .mapInArrow(run, "doc_id bigint, class_key binary, n bigint, made binary"))
+    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+                .mapInArrow(run, "doc_id bigint, digest bigint, class_key binary, n bigint, made binary"))
 
 
 def jaccard_links(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, class_id (least doc_id of its group of
     linked documents), n_links (documents with a similarity of at least 0.8, copies
     included) and n_class_links (different shingle sets among them)."""
+    return linked_rows(docs).select("doc_id", "class_id", "n_links", "n_class_links")
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """``jaccard_links`` with each row's text digest and its group's label (null: no shingle)."""
     table = materialize(shingle_table(docs), "join_signatures")
     classes = materialize(
         table.filter("class_key IS NOT NULL").groupBy("class_key").agg(
@@ -268,20 +273,23 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     named = materialize(named.join(links, "class_key", "left"), "join_named")
     ids = materialize(named.groupBy("label").agg(F.min("rep_id").alias("class_id")), "join_ids")
     named = materialize(named.join(ids, "label").select(
-        "class_key", "class_id", (F.coalesce("link_docs", F.lit(0)) + F.col("docs") - 1).alias("n_links"),
+        "class_key", "label", "class_id", (F.coalesce("link_docs", F.lit(0)) + F.col("docs") - 1).alias("n_links"),
         F.coalesce("link_classes", F.lit(0)).alias("n_class_links")), "join_classes_named")
-    return table.select("doc_id", "class_key").join(named, "class_key", "left").select(
-        "doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return table.select("doc_id", "digest", "class_key").join(named, "class_key", "left").select(
+        "doc_id", "digest", "label", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("n_class_links", F.lit(0)).cast("bigint").alias("n_class_links"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the least doc_id) of each group of linked documents."""
-    kept = (jaccard_links(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-            .select(F.struct(F.col("doc_id").alias("id")).alias("__key")).distinct())
+    """``docs`` with one document of each group of linked documents: the least doc_id, a null
+    one last; among texts that share it, the least text digest."""
+    key = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("digest"))
+    own = F.struct(F.col("doc_id").alias("id"), "digest")
+    kept = (linked_rows(docs).groupBy("label", F.when(F.col("label").isNull(), own).alias("alone"))
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), own.alias("key"))).alias("least"))
+            .select(F.col("least.key").alias("__key")))
     # one key for the join and the window, so that the texts are shuffled once
-    rows = (docs.withColumn("__key", F.struct(F.col("doc_id").cast("bigint").alias("id"))).hint("merge")
-                .join(kept, "__key", "left_semi").withColumn("__text", F.xxhash64("text")))
-    first = Window.partitionBy("__key", "__text").orderBy("__key")  # rows that repeat a doc_id and its text
+    rows = docs.withColumn("__key", key).hint("merge").join(kept, "__key", "left_semi")
+    first = Window.partitionBy("__key").orderBy("__key")  # rows that repeat a doc_id and its text
     return rows.withColumn("__copy", F.row_number().over(first)).filter("__copy = 1").select(*docs.columns)

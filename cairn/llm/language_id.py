@@ -380,7 +380,11 @@ def train(training: DataFrame, model_bytes: int | None = None) -> CharacterModel
 
 
 def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
-    """doc_id, lang (as read), chars and the log-probability of every text in each of the models' languages."""
+    """The columns of ``docs`` but text, chars and the log-probability of every text in each of the models' languages."""
+    kept, at_text = [f for f in docs.schema.fields if f.name != "text"], docs.columns.index("text")
+    places = [docs.columns.index(f.name) for f in kept]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["chars bigint", "logs array<double>"])
+    names = [f.name for f in kept]
     shared, key = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
     step = min(500, max(10, 25_000 // len(models.languages)))
 
@@ -389,12 +393,12 @@ def score_texts(docs: DataFrame, models: CharacterModels) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                totals, chars = scorer.score(part.column(2).to_pylist())
+                totals, chars = scorer.score(part.column(at_text).to_pylist())
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column(0), "lang": part.column(1), "chars": pa.array(chars),
+                    **{n: part.column(i) for n, i in zip(names, places, strict=True)}, "chars": pa.array(chars),
                     "logs": pa.array(list(totals), pa.list_(pa.float64()))})
 
-    return docs.mapInArrow(run, "doc_id bigint, lang string, chars bigint, logs array<double>")
+    return docs.mapInArrow(run, schema)
 
 
 def score_by_groups(docs: DataFrame, learned: Learned, model_bytes: int) -> DataFrame:
@@ -405,12 +409,11 @@ def score_by_groups(docs: DataFrame, learned: Learned, model_bytes: int) -> Data
     keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "language_rows")
     parts = None
     for group in groups:
-        logs = materialize(score_texts(keyed.select("row", F.lit(None).cast("string").alias("lang"), "text").withColumnRenamed("row", "doc_id"),
-                                       learned.models(group)).select(F.col("doc_id").alias("row"), "chars", "logs"), "language_logs")
+        logs = materialize(score_texts(keyed.select("row", "text"), learned.models(group)), "language_logs")
         parts = logs if parts is None else materialize(
             parts.withColumnRenamed("logs", "so_far").join(logs.drop("chars"), "row")
                  .select("row", "chars", F.concat("so_far", "logs").alias("logs")), "language_logs")
-    return keyed.select("row", "doc_id", "lang").join(parts, "row").select("doc_id", "lang", "chars", "logs")
+    return keyed.drop("text").join(parts, "row").drop("row")
 
 
 def with_limits(scored: DataFrame, calibration: DataFrame) -> DataFrame:
@@ -441,19 +444,19 @@ def with_limits(scored: DataFrame, calibration: DataFrame) -> DataFrame:
 
 
 def identify_languages(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected and cross_entropy of every row of
-    ``docs`` (doc_id, text, lang); the docstring above says how."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
+    """doc_id, held_out, lang_pred, score, rejected, cross_entropy and text digest of every row
+    of ``docs`` (doc_id, text, lang); the docstring above says how."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.xxhash64("text").alias("digest"), "text")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     learned = learn(rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & remainder.isin(0, 1)))
     if learned is None:
         return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"),
-                           F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"))
+                           F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"), "digest")
     names = F.array(*map(F.lit, learned.languages))
     scored = score_by_groups(rows, learned, model_bytes)
     best = F.array_max("logs")
     scored = materialize(scored.select(
-        "doc_id", "lang", "chars", "logs", F.when(F.col("chars") > 0, F.element_at(names, F.array_position("logs", best).cast("int")))
+        "doc_id", "lang", "digest", "chars", "logs", F.when(F.col("chars") > 0, F.element_at(names, F.array_position("logs", best).cast("int")))
         .alias("best"), F.when(F.col("chars") > 0, -best / F.col("chars")).alias("cross_entropy")), "language_scores")
 
     def posterior(of, temperature):
@@ -470,10 +473,13 @@ def identify_languages(docs: DataFrame, model_bytes: int = MODEL_BYTES) -> DataF
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(known, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(known, posterior(best, temperature)).otherwise(0.0).alias("score"),
-        F.when(known, F.col("cross_entropy") > F.col("limit")).otherwise(True).alias("rejected"), "cross_entropy")
+        F.when(known, F.col("cross_entropy") > F.col("limit")).otherwise(True).alias("rejected"), "cross_entropy", "digest")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language is rejected, all columns kept."""
-    kept = (identify_languages(docs).filter("NOT rejected").select(F.col("doc_id").alias("__kept_id")).distinct())
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi").select(*docs.columns)
+    """``docs`` without the documents whose language is rejected, all columns kept; of texts that
+    share a doc_id, or have none, each is judged for itself."""
+    key = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("digest"))
+    kept = (identify_languages(docs).filter("NOT rejected")
+            .select(F.struct(F.col("doc_id").alias("id"), "digest").alias("__key")).distinct())
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(*docs.columns)

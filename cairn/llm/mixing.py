@@ -6,7 +6,10 @@ are put in a hashed permutation and cut into blocks of about ``BLOCK_ROWS``
 documents.  The mix takes every block once for each whole time the target holds
 the source (an epoch), and blocks in permuted order for the rest; of the last
 block it takes the documents that still fit.  That fixes each source's quota of
-blocks exactly.
+blocks exactly.  Where a large document leaves a source short of its target by
+more than ``TOLERANCE``, documents that fit are taken once more, those taken least
+first, in permuted order, until none fits or has been taken ``cap`` times; these
+single draws go to shards by hash.
 
 The quotas are dealt to the output shards by a splitting tree: the root holds
 the quota of every source; a node draws, source by source, how many of its
@@ -41,6 +44,9 @@ BLOCK_ROWS = 1024
 SHARD_WORDS = 8_000_000
 MIN_SHARDS = 16
 SIGMAS = 12
+TOLERANCE = 0.001  # share of its target that a source may miss before single documents fill it up
+ROUNDS = 24  # of filling up: each takes a whole turn of a source, or makes its room smaller than a document
+MOST_TASKS = 1 << 16  # partitions of the mix at most; beyond it, shards share them
 
 
 def word_count(text: Column) -> Column:
@@ -129,10 +135,70 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.explode("held").alias("x")).select("shard", "x.rank", "x.blocks")
 
 
+def fit_documents(units: DataFrame) -> DataFrame:
+    """Of documents (row, place, doc_id, digest, size) grouped by rank, block and room: those
+    that fit one after the other in permuted order, the smallest of the others, and the room left."""
+    def fit(acc: Column, x: Column) -> Column:
+        fits = x["size"] <= acc["room"]
+        least = F.when(acc["least"].isNull() | (x["size"] < acc["least"]["size"]), x).otherwise(acc["least"])
+        return F.struct(F.when(fits, acc["room"] - x["size"]).otherwise(acc["room"]).alias("room"),
+                        F.when(fits, F.concat(acc["rows"], F.array(x["row"]))).otherwise(acc["rows"]).alias("rows"),
+                        F.when(fits, acc["least"]).otherwise(least).alias("least"))
+
+    x_kind = "struct<place:double,doc_id:bigint,digest:bigint,size:bigint,row:bigint>"
+    empty = F.struct(F.col("room"), F.array().cast("array<bigint>").alias("rows"), F.lit(None).cast(x_kind).alias("least"))
+    return (units.groupBy("rank", "block", "room")
+            .agg(F.array_sort(F.collect_list(F.struct("place", "doc_id", "digest", "size", "row"))).alias("docs"))
+            .select("rank", "block", F.aggregate("docs", empty, fit).alias("fit")))
+
+
+def fill_up(placed: DataFrame, blocks: DataFrame, chosen: DataFrame, short: DataFrame, cap: int) -> DataFrame | None:
+    """(row, epoch) of single documents that bring the ``short`` sources (rank, room, least
+    room that counts) nearer to their targets; None where no source is short."""
+    if short.isEmpty():
+        return None
+    times = F.col("epochs") + F.when(F.col("whole") | F.col("fits").isNotNull(), 1).otherwise(0)
+    held = materialize(
+        placed.filter("size > 0").join(short.select("rank"), "rank").join(blocks, ["rank", "block"])
+              .join(chosen, ["rank", "block", "row"], "left")
+              .select("rank", "row", "doc_id", "digest", "place", "size", "block", times.cast("int").alias("times")), "mix_short")
+    taken = None
+    for _ in range(ROUNDS):
+        open_ = held.filter(F.col("times") < cap).join(short, "rank").filter("size <= room")
+        # a turn: the documents of a block that have been taken equally often, once more
+        turns = open_.groupBy("rank", "times", "block").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
+        before = Window.partitionBy("rank").orderBy("times", "block").rowsBetween(Window.unboundedPreceding, -1)
+        turns = (turns.withColumn("room", F.col("room") - F.coalesce(F.sum("words").over(before), F.lit(0)))
+                      .filter("room > 0").select("rank", "times", "block", "words", "room"))
+        turns = materialize(turns, "mix_turns")
+        if turns.isEmpty():
+            break
+        mine = open_.drop("room", "enough").join(turns, ["rank", "times", "block"])
+        last = materialize(fit_documents(mine.filter("words > room")), "mix_fits")
+        now = materialize(mine.filter("words <= room").select("row", F.col("times").alias("epoch"), "size", "rank").unionByName(
+            mine.filter("words > room").join(last.select(F.explode("fit.rows").alias("row")), "row")
+                .select("row", F.col("times").alias("epoch"), "size", "rank")), "mix_filled")
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.groupBy("rank").agg(F.sum("size").alias("used"))
+        short = materialize(short.join(used, "rank").withColumn("room", F.col("room") - F.col("used")).drop("used")
+                                 .filter("room > enough"), "mix_room")
+        if short.isEmpty():
+            break
+        held = materialize(held.join(now.select("row", F.lit(1).alias("more")), "row", "left")
+                               .withColumn("times", F.col("times") + F.coalesce("more", F.lit(0))).drop("more"), "mix_short")
+    return taken and taken.select("row", "epoch")
+
+
 def draw_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 1,
              shard_words: int = SHARD_WORDS) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source) with size, source_size, target, its
     draws (epoch and shard of each time that the mix takes it) and taken words."""
+    return dealt_mix(docs, weights, cap, seed, shard_words)[0]
+
+
+def dealt_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 1,
+              shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """``draw_mix`` and the number of shards."""
     sized = materialize(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count(F.col("text")).alias("size"),
         F.xxhash64("text").alias("digest")).withColumn("row", F.monotonically_increasing_id()), "mix_sizes")
@@ -163,23 +229,15 @@ def draw_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
 
     # of the last block: the documents, in permuted order, that still fit, and the
     # smallest of the others if it brings the sum nearer
-    def fit(acc: Column, x: Column) -> Column:
-        fits = x["size"] <= acc["room"]
-        least = F.when(acc["least"].isNull() | (x["size"] < acc["least"]["size"]), x).otherwise(acc["least"])
-        return F.struct(F.when(fits, acc["room"] - x["size"]).otherwise(acc["room"]).alias("room"),
-                        F.when(fits, F.concat(acc["rows"], F.array(x["row"]))).otherwise(acc["rows"]).alias("rows"),
-                        F.when(fits, acc["least"]).otherwise(least).alias("least"))
-
-    x_kind = "struct<place:double,doc_id:bigint,digest:bigint,size:bigint,row:bigint>"
-    empty = F.struct(F.col("room"), F.array().cast("array<bigint>").alias("rows"), F.lit(None).cast(x_kind).alias("least"))
-    chosen = (placed.join(blocks.filter("last").select("rank", "block", "room"), ["rank", "block"])
-              .groupBy("rank", "block", "room")
-              .agg(F.array_sort(F.collect_list(F.struct("place", "doc_id", "digest", "size", "row"))).alias("docs"))
-              .select("rank", "block", F.aggregate("docs", empty, fit).alias("fit"))
-              .select("rank", "block", F.explode(F.when(
-                  F.col("fit.least.size") < 2 * F.col("fit.room"),
-                  F.concat("fit.rows", F.array("fit.least.row"))).otherwise(F.col("fit.rows"))).alias("row"))
-              .withColumn("fits", F.lit(True)))
+    nearer = F.coalesce(F.col("fit.least.size") < 2 * F.col("fit.room"), F.lit(False))
+    fitted = materialize(fit_documents(placed.join(blocks.filter("last").select("rank", "block", "room"), ["rank", "block"])), "mix_last")
+    chosen = (fitted.select("rank", "block", F.explode(F.when(nearer, F.concat("fit.rows", F.array("fit.least.row")))
+                                                       .otherwise(F.col("fit.rows"))).alias("row"))
+                    .withColumn("fits", F.lit(True)))
+    enough = sources.select("rank", F.greatest(F.col("target") * TOLERANCE, F.lit(0.0)).alias("enough"))
+    short = materialize(fitted.filter(~nearer).select("rank", F.col("fit.room").alias("room"))
+                              .join(enough, "rank").filter("room > enough"), "mix_room")
+    filled = fill_up(placed, blocks.select("rank", "block", "epochs", "whole"), chosen, short, cap)
 
     # a unit is a block taken in an epoch; the tree says how many of a source's go to each shard
     units = (blocks.select("rank", "block", "epochs", F.explode(F.when(
@@ -205,24 +263,31 @@ def draw_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     none = F.array().cast("array<struct<epoch:int,shard:bigint>>")
     own = F.filter(F.coalesce("draws", none), lambda d: F.coalesce(d["epoch"] != F.col("partial"), F.lit(True))
                    | F.col("fits").isNotNull())
-    return (drawn.withColumn("draws", own)
-                 .select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"),
-                         "draws", "digest", "source"))
+    drawn = drawn.withColumn("draws", own)
+    if filled is not None:
+        shard = F.pmod(F.xxhash64(F.lit(seed), "row", "epoch"), F.lit(2 ** levels)).cast("bigint")
+        more = filled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("epoch", shard.alias("shard")))).alias("more"))
+        drawn = drawn.join(more, "row", "left").withColumn("draws", F.concat("draws", F.coalesce("more", none)))
+    return (drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"),
+                         "draws", "digest", "source"), 2 ** levels)
 
 
 def take_mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as drawn, shard by shard in a
     locally shuffled order, with the columns of ``docs``."""
-    drawn = draw_mix(docs, seed=seed, **options)
+    drawn, shards = dealt_mix(docs, seed=seed, **options)
     key = F.struct(F.col("doc_id").cast("bigint").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("digest"))
     draws = (drawn.filter("size(draws) > 0")
                   .groupBy(F.struct(F.col("doc_id").alias("id"), "source", "digest").alias("__key"))
                   .agg(F.flatten(F.collect_list("draws")).alias("__draws")))
-    rows = docs.withColumn("__key", key).hint("merge").join(draws, "__key")
+    # rows that repeat a doc_id, source and text share their draws: one of them takes them all
+    one = Window.partitionBy("__key").orderBy("__key")
+    rows = (docs.withColumn("__key", key).hint("merge").join(draws, "__key")
+                .withColumn("__copy", F.row_number().over(one)).filter("__copy = 1"))
     dealt = (rows.select("*", F.posexplode("__draws").alias("__place", "__draw")).drop("__draws")
-                 .withColumn("__shard", F.col("__draw.shard")).repartition("__shard"))
-    # rows that repeat a doc_id, source and text share their draws: each draw is taken once
-    one = Window.partitionBy("__shard", "__key", "__place").orderBy("__key")
-    return (dealt.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1")
-                 .sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__key", "__draw.epoch"), "__place")
+                 .withColumn("__shard", F.col("__draw.shard")))
+    # a task a shard, so that hashing can't put several into one
+    tasks = min(shards, MOST_TASKS)
+    dealt = dealt.repartitionById(tasks, F.pmod("__shard", F.lit(tasks)).cast("int"))
+    return (dealt.sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__key", "__draw.epoch"), "__place")
                  .select(*docs.columns))

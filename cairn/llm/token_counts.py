@@ -78,11 +78,13 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str, limit: int = 1024
                                        F.sha2("text", 256).alias("digest")), "token_digests")
     wanted = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == tokenizer)
-    missing = wanted.join(stored, "digest", "left_anti")
-    (count_misses(texts, missing, spec)
-     .select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache))
+    missing = materialize(wanted.join(stored, "digest", "left_anti"), "token_misses")
+    if not missing.isEmpty():  # a run of hits alone adds no file
+        (count_misses(texts, missing, spec)
+         .select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == tokenizer)
-    counts = materialize(stored.join(digests, "digest", "left_semi").groupBy("digest")
+    # distinct digests: a text that a third of all rows repeat is one row of this side
+    counts = materialize(stored.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest")
                                .agg(F.max("n_tokens").alias("n_tokens")), "token_counts")
     return (digests.join(counts, "digest", "left")
                    .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

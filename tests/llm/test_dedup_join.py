@@ -160,3 +160,30 @@ def test_intersections_by_either_way():
     left, right = np.triu_indices(20, 1)
     got = J.common_counts(sets, left, right)
     assert got.tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in zip(left, right)]
+
+
+def test_texts_that_share_a_doc_id_are_decided_one_by_one(spark):
+    base = [f"word{i}" for i in range(60)]
+    near, other = " ".join(base), " ".join(base[:-1] + ["changed"])
+    alone = " ".join(f"other{i}" for i in range(30))
+    docs = edge.documents(spark, [(3, near), (3, other), (3, alone), (5, other + " end"), (None, near + " more"), (None, alone + " x y z q w e r t")])
+    out = [(r["doc_id"], r["text"]) for r in J.drop_near_duplicates(docs).collect()]
+    assert sum(t.startswith("word0 ") for _, t in out) == 1 and all(i == 3 for i, t in out if t.startswith("word0 "))
+    assert (3, alone) in out and (None, alone + " x y z q w e r t") in out and len(out) == 3
+
+
+def test_filter_bytes_do_not_grow_with_the_segments():
+    """A task's 8,000 fingerprints, in the segments of ten million up to a hundred thousand million rows."""
+    prints = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 8_000, dtype=np.uint64) * np.uint64(2))
+    sizes = []
+    for rows in (10**7, 10**9, 10**11):
+        bits = (rows // D.SEGMENT_ROWS).bit_length()
+        segments = prints >> np.uint64(64 - bits)
+        total = 0
+        for segment in np.unique(segments):
+            own = prints[segments == segment]
+            blob = D.encode_filter(own, np.ones(len(own), np.int64), bits)
+            assert (D.decode_filter(blob, int(segment), bits)[0] == own).all()
+            total += len(blob)
+        sizes.append(total / len(prints))
+    assert max(sizes) < 20, sizes

@@ -178,3 +178,20 @@ def test_mix_on_edge_rows(spark):
     words = sum(base_counts(r["text"])[0] for r in taken.collect())
     assert words == sum(r["taken"] for r in got)
     assert M.draw_mix(edge.frame(spark, [])).count() == 0 and M.take_mix(edge.frame(spark, [])).count() == 0
+
+
+def test_mix_meets_the_target_of_lumpy_sources(spark):
+    """One document of most of a source's words: small ones fill it up, up to three times."""
+    docs = [(i, "w " * 10, "en", "b") for i in range(200)] + [(1000, "w " * 10_000, "en", "b")]
+    docs += [(2000 + i, "x y " * (i % 9 + 1), "en", "a") for i in range(594)] + [(3000 + i, "x y " * 5, "en", "a") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    got = M.draw_mix(df, weights=(2, 1)).toPandas()
+    assert (got["taken"] <= 3 * got["size"]).all()
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert by["target"].to_dict() == {"a": 12_000.0, "b": 6_000.0}
+    assert ((by["taken"] - by["target"]).abs() <= 20).all(), by
+    draws = got.set_index("doc_id")["draws"]
+    assert all(len({d["epoch"] for d in v}) == len(v) for v in draws)
+    again = M.draw_mix(df, weights=(2, 1)).toPandas()
+    assert again.set_index("doc_id")["taken"].to_dict() == got.set_index("doc_id")["taken"].to_dict()
+    assert sum(base_counts(r["text"])[0] for r in M.take_mix(df, weights=(2, 1)).collect()) == got["taken"].sum()
