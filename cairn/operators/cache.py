@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.hashing import content_id, sha256_hex
+from cairn.functions.hashing import content_id, hash_udf, sha256_hex
 from cairn.functions import text as T
 from cairn.session import written
 
@@ -19,9 +19,10 @@ FILE_ID_PREFIX = "file-"
 STORE_ID_PREFIX = "vs_"
 
 
-def fingerprint(df: DataFrame, content: str = "content", out: str = "hash") -> DataFrame:
-    """SHA-256 hex of the content (string as UTF-8, or binary)."""
-    return df.withColumn(out, sha256_hex(content))
+def fingerprint(df: DataFrame, content: str = "content", out: str = "hash", algorithm: str = "sha256") -> DataFrame:
+    """Hex digest of the content (string as UTF-8, or binary; null: null).  SHA-256 is built in;
+    the other ``ALGORITHMS`` go through Arrow batches."""
+    return df.withColumn(out, sha256_hex(content) if algorithm == "sha256" else hash_udf(algorithm)(content))
 
 
 def first_positions(batch: DataFrame, key: str = "hash", pos: str = "pos") -> DataFrame:

@@ -28,6 +28,13 @@ def build_store(files: DataFrame, store: str = "store", order: str = "path") ->
             .withColumn("store_id", store_id(F.col(store))))
 
 
+def first_files(files: DataFrame, store: str = "store", order: str = "path") -> DataFrame:
+    """(store, store_id, path, file_id) of each store's first file: one partially aggregated
+    minimum a store, no numbering."""
+    first = files.groupBy(store).agg(F.min(F.struct(F.col(order).alias("path"), "file_id")).alias("f"))
+    return first.select(store, store_id(F.col(store)).alias("store_id"), "f.path", "f.file_id")
+
+
 def file_contents(df: DataFrame, path: str = "path", pos: str = "pos",
                   content: str = "content") -> DataFrame:
     """Path -> content; when a path repeats, the last one (highest pos) wins."""

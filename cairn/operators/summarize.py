@@ -5,7 +5,8 @@ the whole unit (document or conversation): sum(tf) / n_tokens, one exact
 division of integers.  The top ``n`` sentences (score desc, earlier first)
 are joined in their original order.  Everything is aggregation and joins
 keyed by the unit, so no unit's text is ever gathered in one place except
-the n chosen sentences.  For bounded units (documents) the input is
+the n chosen sentences.  ``summarize_reweighted`` is the paper's greedy form, in which
+the words of a chosen sentence count less for the next.  For bounded units (documents) the input is
 co-located by unit first and the per-unit term counts are a window.
 """
 
@@ -62,3 +63,46 @@ def summarize(units: DataFrame, unit: str, text: str = "text", part: str | None
     counts = sents.groupBy(unit).agg(F.count(F.lit(1)).alias("n_sentences"))
     return counts.join(summary, unit, "left").select(
         unit, F.coalesce("summary", F.lit("")).alias("summary"), "n_sentences")
+
+
+WEIGHT = 1_000_000  # a word's probability 1 as an integer weight
+
+
+def summarize_reweighted(units: DataFrame, unit: str, text: str = "text", part: str | None = None, n: int = 3) -> DataFrame:
+    """(unit, summary, n_sentences) by SumBasic's greedy choice.
+
+    A word's weight is its share of the unit's tokens.  Each of the ``n`` picks takes, among
+    the sentences left that hold the heaviest word left (ties: the least word), the one of
+    the greatest mean weight (ties: the earlier), then squares the weights of its words, so
+    that what has been said counts less.  Weights are integers (millionths, rounded down), so
+    results don't depend on the order of sums.  A pick is one round of joins and aggregates
+    over all units at once; no unit's words are gathered anywhere.  Units without any token
+    have an empty summary.
+    """
+    sents = written(split_sentences(units, unit, text, part), "sentences")
+    held = written(sents.select(unit, "s_ord", F.explode(T.tokens("sentence")).alias("term"))
+                        .groupBy(unit, "s_ord", "term").agg(F.count(F.lit(1)).alias("n")), "sentence_terms")
+    tf = held.groupBy(unit, "term").agg(F.sum("n").alias("tf"))
+    totals = written(held.groupBy(unit).agg(F.sum("n").alias("total")), "unit_totals")
+    weights = written(tf.join(totals, unit).select(unit, "term", F.expr(f"tf * {WEIGHT} div total").alias("w")), "term_weights")
+    chosen = None
+    for _ in range(n):
+        now = written(held.join(weights, [unit, "term"]), "weighted_terms")
+        top = written(now.groupBy(unit).agg(F.min(F.struct((-F.col("w")).alias("least"), "term")).alias("t"))
+                         .select(unit, F.col("t.term").alias("term"), F.lit(True).alias("top")), "top_terms")
+        scored = (now.join(top, [unit, "term"], "left").groupBy(unit, "s_ord")
+                     .agg(F.expr("sum(w * n) * 1000 div sum(n)").alias("score"), F.max("top").alias("top")).filter("top"))
+        pick = written(top_k(scored, [unit], [F.col("score").desc(), F.col("s_ord")], 1).select(unit, "s_ord"), "picks")
+        chosen = pick if chosen is None else chosen.unionByName(pick)
+        said = held.join(pick, [unit, "s_ord"], "left_semi").select(unit, "term", F.lit(True).alias("said"))
+        weights = written(weights.join(said, [unit, "term"], "left").select(
+            unit, "term", F.when(F.col("said"), F.expr(f"w * w div {WEIGHT}")).otherwise(F.col("w")).alias("w")), "term_weights")
+        held = written(held.join(pick, [unit, "s_ord"], "left_anti"), "sentence_terms")
+    counts = sents.groupBy(unit).agg(F.count(F.lit(1)).alias("n_sentences"))
+    if chosen is None:
+        return counts.select(unit, F.lit("").alias("summary"), "n_sentences")
+    summary = chosen.join(sents, [unit, "s_ord"]).groupBy(unit).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_ord", "sentence"))),
+                                 lambda x: x["sentence"]), " ").alias("summary"))
+    return counts.join(summary, unit, "left").select(
+        unit, F.coalesce("summary", F.lit("")).alias("summary"), "n_sentences")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
 from cairn.functions import text as T
-from cairn.functions.hashing import content_id, int64_digest, sha256_hex
+from cairn.functions.hashing import ALGORITHMS, content_id, int64_digest, sha256_hex
 from cairn.operators import cache as C
+from cairn.operators import listing as LI
 from cairn.operators import select as S
 from cairn.operators import stores as ST
 from cairn.plans import sqlx as X
@@ -118,6 +119,21 @@ def q_fingerprint_corpus(spark, sf_dir):
     return C.fingerprint(d, "text").select("doc_id", "hash")
 
 
+@register("fingerprint_sha3")  # DuckDB has no SHA-3; tested against hashlib
+def q_fingerprint_sha3(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return C.fingerprint(d, "text", algorithm="sha3_256").select("doc_id", "hash")
+
+
+@register("fingerprint_xxh")  # tested against the xxhash library
+def q_fingerprint_xxh(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    names = [a for a in ALGORITHMS if a.startswith("xx")]
+    for name in names:
+        d = C.fingerprint(d, "text", name, name)
+    return d.select("doc_id", *names)
+
+
 @register("fingerprint_int64", """
 SELECT doc_id, CAST(CAST('0x' || substr(sha256(text), 1, 16) AS UBIGINT) AS VARCHAR) AS int64_digest
 FROM documents""")
@@ -244,6 +260,14 @@ def q_build_store(spark, sf_dir):
             .select("store", "store_id", "path", "file_id", "position"))
 
 
+@register("first_files", f"""
+SELECT store, {X.store_id('store')} AS store_id, path, file_id
+FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY path, file_id) AS k FROM ({_SELECTED_SQL})) WHERE k = 1""")
+def q_first_files(spark, sf_dir):
+    """Each store's first file and its id."""
+    return ST.first_files(_selected_with_ids(spark, sf_dir).select("store", "path", "file_id"))
+
+
 @register("file_contents", f"""
 SELECT path, sha256(arg_max(content, doc_id)) AS content_hash,
   CAST(length(arg_max(content, doc_id)) AS BIGINT) AS n_chars
@@ -271,6 +295,49 @@ def q_store_status(spark, sf_dir):
     return ST.store_status(FX.file_status(spark, sf_dir), "store")
 
 
+# ----------------------------------------------------------------- listing difference
+
+# The earlier listing has the files with doc_id % 4 <> 0, the later one those with doc_id % 4 <> 1,
+# of which every sixth has moved to another folder and every fifth has been edited.
+_LISTINGS_SQL = """
+old AS (SELECT path, source, sha256(content) AS hash FROM files WHERE doc_id % 4 <> 0),
+new AS (SELECT CASE WHEN doc_id % 6 = 0 THEN '/corpus/' || source || '/moved' || substr(path, length(source) + 9) ELSE path END AS path,
+  source, sha256(CASE WHEN doc_id % 5 = 0 THEN content || ' edited' ELSE content END) AS hash FROM files WHERE doc_id % 4 <> 1)"""
+
+
+def _listings(spark, sf_dir):
+    f, k = FX.files(spark, sf_dir), F.col("doc_id")
+    old = f.filter(k % 4 != 0).select("path", sha256_hex("content").alias("hash"))
+    moved = F.concat(F.lit("/corpus/"), "source", F.lit("/moved"), F.expr("substr(path, length(source) + 9)"))
+    edited = F.when(k % 5 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content"))
+    new = f.filter(k % 4 != 1).select(F.when(k % 6 == 0, moved).otherwise(F.col("path")).alias("path"), sha256_hex(edited).alias("hash"))
+    return old, new
+
+
+@register("listing_changes", f"""
+WITH {_LISTINGS_SQL.strip()},
+come AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM new WHERE path NOT IN (SELECT path FROM old)),
+gone AS (SELECT path, hash, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM old WHERE path NOT IN (SELECT path FROM new))
+SELECT new.path, 'changed' AS change, old.path AS old_path, old.hash AS old_hash, new.hash AS hash
+FROM new JOIN old USING (path) WHERE new.hash <> old.hash
+UNION ALL SELECT come.path, CASE WHEN gone.path IS NULL THEN 'added' ELSE 'moved' END, coalesce(gone.path, ''),
+  CASE WHEN gone.path IS NULL THEN '' ELSE gone.hash END, come.hash FROM come LEFT JOIN gone ON come.hash = gone.hash AND come.n = gone.n
+UNION ALL SELECT gone.path, 'removed', gone.path, gone.hash, '' FROM gone ANTI JOIN come ON come.hash = gone.hash AND come.n = gone.n""")
+def q_listing_changes(spark, sf_dir):
+    return LI.listing_changes(*_listings(spark, sf_dir)).fillna("")
+
+
+@register("stores_after_changes", f"""
+WITH {_LISTINGS_SQL.strip()}
+SELECT source AS store, path, 'file-' || substr(hash, 1, 24) AS file_id FROM new""")
+def q_stores_after_changes(spark, sf_dir):
+    """Stores of the earlier listing brought up to date by the difference: equal to a fresh build."""
+    old, new = _listings(spark, sf_dir)
+    store_of = F.regexp_extract("path", "^/corpus/([^/]*)/", 1)
+    members = old.select(store_of.alias("store"), "path", content_id("file-", "hash").alias("file_id"))
+    return LI.apply_changes(members, LI.listing_changes(old, new), store_of)
+
+
 # ----------------------------------------------------------------- flagship
 
 

@@ -47,6 +47,14 @@ def q_walk_files(spark, sf_dir):
     return FS.walk_files(spark, root).select(_rel().alias("path"), "length")
 
 
+@register("fingerprint_blocks", """
+SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS length, sha256(content) AS hash FROM files""")
+def q_fingerprint_blocks(spark, sf_dir):
+    """Landed files, hashed in 64 MB blocks (a file of one block has its plain SHA-256)."""
+    root = _land(spark, sf_dir)
+    return FS.tree_fingerprints(FS.scan_files(spark, root), root).select(_rel().alias("path"), "length", "hash")
+
+
 @register("read_corpus", """
 SELECT path || CASE WHEN doc_id % 5 = 0 THEN '.gz' ELSE '' END AS path, content AS text FROM files""")
 def q_read_corpus(spark, sf_dir):

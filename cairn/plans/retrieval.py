@@ -241,6 +241,49 @@ def q_summarize_threads(spark, sf_dir):
     return SM.summarize(c, "conv_id", "text", "turn", SUMMARY_N).select("conv_id", "summary", "n_sentences")
 
 
+def _reweighted_sql(units: str, unit: str, part: str) -> str:
+    ctes = [f"""
+WITH s0 AS (SELECT {unit}, {part} AS part, unnest({X.sentences('text')}) AS raw,
+                   unnest(range(len({X.sentences('text')}))) AS i FROM {units}),
+s AS MATERIALIZED (SELECT {unit}, struct_pack(part := part, i := i) AS s_ord, trim(raw) AS sentence FROM s0 WHERE length(trim(raw)) > 0),
+t AS (SELECT {unit}, s_ord, unnest({X.tokens('sentence')}) AS term FROM s),
+h0 AS MATERIALIZED (SELECT {unit}, s_ord, term, count(*) AS n FROM t GROUP BY ALL),
+w0 AS MATERIALIZED (SELECT {unit}, term, CAST(sum(n) * {SM.WEIGHT} // sum(sum(n)) OVER (PARTITION BY {unit}) AS BIGINT) AS w
+                    FROM h0 GROUP BY {unit}, term)"""]
+    for r in range(SUMMARY_N):
+        ctes.append(f"""
+n{r} AS MATERIALIZED (SELECT {unit}, term, s_ord, n, w FROM h{r} JOIN w{r} USING ({unit}, term)),
+top{r} AS (SELECT {unit}, term FROM (SELECT {unit}, term, row_number() OVER (PARTITION BY {unit} ORDER BY w DESC, term) AS k FROM n{r})
+           WHERE k = 1),
+sc{r} AS (SELECT a.{unit}, a.s_ord, CAST(sum(a.w * a.n) * 1000 // sum(a.n) AS BIGINT) AS score
+          FROM n{r} a LEFT JOIN top{r} b ON a.{unit} = b.{unit} AND a.term = b.term
+          GROUP BY a.{unit}, a.s_ord HAVING bool_or(b.term IS NOT NULL)),
+p{r} AS MATERIALIZED (SELECT {unit}, s_ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY {unit} ORDER BY score DESC, s_ord) AS k FROM sc{r}) WHERE k = 1),
+said{r} AS (SELECT DISTINCT {unit}, term, true AS said FROM h{r} SEMI JOIN p{r} USING ({unit}, s_ord)),
+h{r + 1} AS MATERIALIZED (SELECT * FROM h{r} ANTI JOIN p{r} USING ({unit}, s_ord)),
+w{r + 1} AS MATERIALIZED (SELECT {unit}, term, CASE WHEN said THEN w * w // {SM.WEIGHT} ELSE w END AS w
+                          FROM w{r} LEFT JOIN said{r} USING ({unit}, term))""")
+    picks = " UNION ALL ".join(f"SELECT * FROM p{r}" for r in range(SUMMARY_N))
+    return ",".join(ctes) + f""",
+summ AS (SELECT b.{unit}, string_agg(s.sentence, ' ' ORDER BY b.s_ord) AS summary FROM ({picks}) b JOIN s USING ({unit}, s_ord)
+         GROUP BY b.{unit}),
+cnt AS (SELECT {unit}, count(*) AS n_sentences FROM s GROUP BY {unit})
+SELECT cnt.{unit}, coalesce(summary, '') AS summary, n_sentences FROM cnt LEFT JOIN summ USING ({unit})"""
+
+
+@register("summarize_documents_reweighted", _reweighted_sql("documents", "doc_id", "0"))
+def q_summarize_documents_reweighted(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return SM.summarize_reweighted(d, "doc_id", "text", None, SUMMARY_N).select("doc_id", "summary", "n_sentences")
+
+
+@register("summarize_threads_reweighted", _reweighted_sql("conversations", "conv_id", "turn"))
+def q_summarize_threads_reweighted(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    return SM.summarize_reweighted(c, "conv_id", "text", "turn", SUMMARY_N).select("conv_id", "summary", "n_sentences")
+
+
 # ----------------------------------------------------------------- tool calls
 
 _FIRST_DONE = "(SELECT call_id, min(ord) AS done FROM tool_events WHERE phase = 'done' GROUP BY call_id)"

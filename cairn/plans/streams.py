@@ -6,6 +6,7 @@ SQL as the batch operator's, so the stream is checked against the batch answer.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from cairn.plans import query_registry
 from cairn.operators import block_index as BI
@@ -16,11 +17,13 @@ from cairn.plans.corpus import ORACLE as CORPUS_ORACLE
 from cairn.session import fresh_path
 from cairn.sources.tables import read_table
 from cairn.streaming import pipelines as PL
+from cairn.streaming import readiness as RD
 from cairn.streaming import runner as RN
 from cairn.streaming import toolcalls as TS
 
 QUERIES, ORACLE, register = query_registry()
 
+READY_TTL_MS, READY_KEEP_MS, READY_DELAY_MS = 12 * 3_600_000, 24 * 3_600_000, 3_600_000
 FILES_PER_BATCH = 16  # files that a micro-batch takes at most, which bounds its size
 
 
@@ -73,6 +76,21 @@ def q_store_status_stream(spark, sf_dir):
     return RN.run_to_table(PL.store_status_stream(status), "complete", "store_status")
 
 
+@register("readiness_stream", f"""
+WITH w AS (SELECT max(epoch_ms(ts)) - {READY_DELAY_MS} AS mark FROM tool_events),
+c AS (SELECT call_id AS key, min(epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP))) + {READY_TTL_MS} AS due,
+        min(CASE WHEN phase = 'done' THEN epoch_ms(ts) END) AS done FROM tool_events GROUP BY call_id)
+SELECT key, CASE WHEN done <= due THEN 'completed' WHEN due < mark THEN 'expired' ELSE 'in_progress' END AS status,
+  CASE WHEN done <= due THEN done WHEN due < mark THEN due ELSE due - {READY_TTL_MS} END AS at_ms
+FROM c, w""")
+def q_readiness_stream(spark, sf_dir):
+    """Calls are opened at the start of their day and must be done by noon."""
+    events = TS.tool_call_events(RN.table_stream(spark, sf_dir, "events", max_files_per_trigger=FILES_PER_BATCH))
+    stream = RD.readiness_stream(events, "call_id", F.date_trunc("day", "ts"), READY_TTL_MS, READY_KEEP_MS, f"{READY_DELAY_MS} milliseconds")
+    with RD.rocksdb_state(spark):
+        return RD.latest_status(RN.run_to_table(stream, "append", "readiness"))
+
+
 @register("ingest_stream", """
 SELECT DISTINCT sha256(text) AS hash, 'file-' || substr(sha256(text), 1, 24) AS file_id FROM documents""")
 def q_ingest_stream(spark, sf_dir):

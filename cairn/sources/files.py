@@ -4,6 +4,7 @@
   Spark's own file sources leave out; levels of directories are listed by tasks.
 * ``scan_contents``: their bytes, read by tasks by path; files above a size become
   reject rows (``oversize_files``) instead of disappearing.
+* ``tree_fingerprints``: digests of files of any size, read by tasks in blocks.
 * ``read_corpus``: bytes -> text, gunzipping '.gz'/'.bin' files that carry
   the gzip magic, then strict UTF-8 (invalid text becomes null, row kept).
 * ``land_files``: writes one file per row (optionally gzip) under a root in
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import gzip
+import hashlib
 import posixpath
 
 import pandas as pd
@@ -103,6 +105,53 @@ def scan_contents(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTE
     return read_files(scan_files(spark, root).filter(F.col("length") <= max_bytes), root)
 
 
+BLOCK_BYTES = 64 << 20
+READ_BYTES = 1 << 20
+
+
+def block_digests(listing: DataFrame, root: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(path, length, node, digest): the SHA-256 of each block of each file of the listing; an
+    empty file has one empty block.  Tasks get blocks, not files, and hold a megabyte."""
+    def read(batches):
+        fs, _ = _fs(root)
+        for pdf in batches:
+            out = []
+            for path, node in zip(pdf["path"], pdf["node"]):
+                digest, left = hashlib.sha256(), block_bytes
+                with fs.open_input_file(path) as f:
+                    f.seek(int(node) * block_bytes)
+                    while left and (data := f.read(min(READ_BYTES, left))):
+                        digest.update(data)
+                        left -= len(data)
+                out.append(digest.hexdigest())
+            yield pdf.assign(digest=out)
+
+    last = F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0)).cast("bigint")
+    blocks = listing.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("node"))
+    tasks = max(1, int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(tasks, "path", "node").mapInPandas(read, "path string, length bigint, node bigint, digest string")
+
+
+def tree_fingerprints(listing: DataFrame, root: str, block_bytes: int = BLOCK_BYTES, fan: int = 1024) -> DataFrame:
+    """(path, length, hash) of every file of the listing, of any size: no row or task holds a file.
+
+    Block digests are combined by a tree: a node is the SHA-256 of the hex digests of up to
+    ``fan`` children, one after the other, until one is left.  A file of one block keeps that
+    block's digest, the plain SHA-256 of its bytes, so its id is that of ``fingerprint``.
+    """
+    nodes = written(block_digests(listing, root, block_bytes), "block_digests")
+    most = (nodes.agg(F.max("node")).first()[0] or 0) + 1
+    while most > 1:
+        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
+        joined = F.array_join(F.transform("children", lambda x: x["digest"]), "")
+        only = (F.col("parent") == 0) & (F.size("children") == 1)
+        nodes = (nodes.groupBy("path", "length", F.floor(F.col("node") / fan).alias("parent")).agg(children.alias("children"))
+                      .select("path", "length", F.col("parent").alias("node"),
+                              F.when(only, F.col("children")[0]["digest"]).otherwise(F.sha2(joined, 256)).alias("digest")))
+        most = -(-most // fan)
+    return nodes.select("path", "length", F.col("digest").alias("hash"))
+
+
 @F.pandas_udf(T.BinaryType())
 def _gunzip(paths: pd.Series, data: pd.Series) -> pd.Series:
     out = []
