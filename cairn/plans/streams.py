@@ -77,9 +77,9 @@ def q_store_status_stream(spark, sf_dir):
 
 
 @register("readiness_stream", f"""
-WITH w AS (SELECT max(epoch_ms(ts)) - {READY_DELAY_MS} AS mark FROM tool_events),
-c AS (SELECT call_id AS key, min(epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP))) + {READY_TTL_MS} AS due,
-        min(CASE WHEN phase = 'done' THEN epoch_ms(ts) END) AS done FROM tool_events GROUP BY call_id)
+WITH w AS (SELECT max(epoch_us(ts) // 1000) - {READY_DELAY_MS} AS mark FROM tool_events),
+c AS (SELECT call_id AS key, min(epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) // 1000) + {READY_TTL_MS} AS due,
+        min(CASE WHEN phase = 'done' THEN epoch_us(ts) // 1000 END) AS done FROM tool_events GROUP BY call_id)
 SELECT key, CASE WHEN done <= due THEN 'completed' WHEN due < mark THEN 'expired' ELSE 'in_progress' END AS status,
   CASE WHEN done <= due THEN done WHEN due < mark THEN due ELSE due - {READY_TTL_MS} END AS at_ms
 FROM c, w""")
