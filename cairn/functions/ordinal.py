@@ -84,8 +84,9 @@ def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int
 
 
 def ordered_concat(df: DataFrame, group_cols: Sequence[str], order_col: str, value_col: str,
-                   sep: str = "", out: str = "text", run: int = 256) -> DataFrame:
-    """Concatenate ``value_col`` per group in ``order_col`` order with ``sep``.
+                   sep: str = "", out: str = "text", run: int = 256, count: str | None = None) -> DataFrame:
+    """Concatenate ``value_col`` per group in ``order_col`` order with ``sep``; ``count`` names a
+    column for the number of rows.
 
     Runs of ``run`` consecutive order values are joined first (in parallel,
     spread over the hot group's rows), then the runs per group.
@@ -96,7 +97,9 @@ def ordered_concat(df: DataFrame, group_cols: Sequence[str], order_col: str, val
     pieces = (df.withColumn("_run", F.floor(F.col(order_col) / F.lit(run)))
                 .groupBy(*group_cols, "_run")
                 .agg(joined(F.collect_list(F.struct(F.col(order_col).alias("o"),
-                                                    F.col(value_col).alias("v")))).alias("_piece")))
+                                                    F.col(value_col).alias("v")))).alias("_piece"),
+                     F.count(F.lit(1)).alias("_rows")))
+    total = [F.sum("_rows").alias(count)] if count else []
     return (pieces.groupBy(*group_cols)
                   .agg(joined(F.collect_list(F.struct(F.col("_run").alias("o"),
-                                                      F.col("_piece").alias("v")))).alias(out)))
+                                                      F.col("_piece").alias("v")))).alias(out), *total))

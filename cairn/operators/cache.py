@@ -8,7 +8,10 @@ of their own.  Never a window over a hot hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.hashing import content_id, hash_udf, sha256_hex
@@ -17,6 +20,8 @@ from cairn.session import written
 
 FILE_ID_PREFIX = "file-"
 STORE_ID_PREFIX = "vs_"
+FILTER_WORDS = 8  # words of 64 bits in a filter's block, and bits a key sets
+FILTER_BYTES = 64 << 20  # a filter up to this size is broadcast
 
 
 def fingerprint(df: DataFrame, content: str = "content", out: str = "hash", algorithm: str = "sha256") -> DataFrame:
@@ -46,12 +51,79 @@ def assign_file_ids(batch: DataFrame, cache: DataFrame, key: str = "hash",
     cached_ids = cache.select(F.col(key), F.col("file_id").alias("_cached_id"))
     # one row per hash, so the batch is joined once
     known = written(batch.groupBy(key).agg(F.min(pos).alias("first_pos")).join(cached_ids, key, "left"), "known_hashes")
+    return _with_ids(batch, known, key, pos)
+
+
+def _with_ids(batch: DataFrame, known: DataFrame, key: str, pos: str) -> DataFrame:
     return (batch.join(known, key)
                  .withColumn("file_id", F.coalesce("_cached_id", content_id(FILE_ID_PREFIX, key)))
                  .withColumn("cached", F.col("_cached_id").isNotNull() | (F.col(pos) > F.col("first_pos")))
                  .drop("_cached_id", "first_pos"))
 
 
+def filter_geometry(n: int, error: float = 0.01) -> int:
+    """Blocks of a filter that lets about ``error`` of the absent keys pass when it holds ``n``."""
+    bits = -FILTER_WORDS / math.log(1 - error ** (1 / FILTER_WORDS))  # a key, as for a plain Bloom filter
+    return max(1, math.ceil(1.25 * n * bits / (64 * FILTER_WORDS)))  # keys spread unevenly over blocks: a quarter more
+
+
+def _filter_bits(key: str, blocks: int) -> tuple[Column, list[Column]]:
+    """A key's block, and its bit in each of the block's words."""
+    second = F.xxhash64(F.lit("bits"), key)
+    return (F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"),
+            [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(second, 6 * i).bitwiseAND(63).cast("int"))
+             for i in range(FILTER_WORDS)])
+
+
+def build_filter(keys: DataFrame, blocks: int, key: str = "hash") -> DataFrame:
+    """Bloom filter of ``key`` as a table: a row a block (block, w0..w7), words of 64 bits.
+
+    Each key sets one bit in every word of one block, so the table is a ``bit_or`` by block: map
+    tasks combine first, repeated and hot keys add nothing, and null keys aren't held.
+    """
+    block, bits = _filter_bits(key, blocks)
+    return (keys.filter(F.col(key).isNotNull()).select(block, *[b.alias(f"w{i}") for i, b in enumerate(bits)])
+                .groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(FILTER_WORDS)]))
+
+
+def merge_filters(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The filter of both key sets (of equal geometry); as exact as one built from all keys."""
+    return one.unionByName(other).groupBy("block").agg(
+        *[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(FILTER_WORDS)])
+
+
+def may_hold(df: DataFrame, held: DataFrame, blocks: int, key: str = "hash", out: str = "maybe") -> DataFrame:
+    """``df`` with a flag: false only where ``key`` certainly isn't among the filter's keys.
+
+    The filter is broadcast while its ``blocks`` are within ``FILTER_BYTES``; a larger one is joined by block.
+    """
+    block, bits = _filter_bits(key, blocks)
+    names = [f"_w{i}" for i in range(FILTER_WORDS)]
+    side = held.select(F.col("block").alias("_block"), *[F.col(f"w{i}").alias(n) for i, n in enumerate(names)])
+    if blocks * 8 * (FILTER_WORDS + 1) <= FILTER_BYTES:
+        side = F.broadcast(side)
+    hit = reduce(lambda a, b: a & b, [F.col(n).bitwiseAND(b) != 0 for n, b in zip(names, bits, strict=True)])
+    return (df.withColumn("_block", block).join(side, "_block", "left")
+              .withColumn(out, F.coalesce(hit, F.lit(False))).drop("_block", *names))
+
+
+def assign_file_ids_filtered(batch: DataFrame, cache: DataFrame, held: DataFrame, blocks: int, key: str = "hash",
+                             pos: str = "pos") -> DataFrame:
+    """``assign_file_ids`` with a filter of the cache's hashes (kept beside the cache, grown by
+    ``merge_filters``): hashes that the filter rules out get their ids without meeting the cache.
+
+    The batch's distinct hashes are written once with the filter's verdict; only possible hits are joined
+    with the cache, which is read once.  A filter that is too full lets more of them pass and changes no result.
+    """
+    distinct = written(may_hold(batch.groupBy(key).agg(F.min(pos).alias("first_pos")), held, blocks, key, "_maybe"),
+                       "filtered_hashes")
+    cached_ids = cache.select(F.col(key), F.col("file_id").alias("_cached_id"))
+    hits = distinct.filter("_maybe").drop("_maybe").join(cached_ids, key, "left")
+    misses = distinct.filter("NOT _maybe").drop("_maybe").withColumn("_cached_id", F.lit(None).cast("string"))
+    known = written(hits.unionByName(misses), "known_hashes")
+    return _with_ids(batch, known, key, pos)
+
+
 def update_hash_cache(cache: DataFrame, assigned: DataFrame, key: str = "hash") -> DataFrame:
     """The cache after this batch: old entries plus one entry per new hash."""
     # within one batch every row of a hash carries the same id, so distinct() gives

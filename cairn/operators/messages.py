@@ -27,17 +27,24 @@ def build_messages(files: DataFrame, store: str = "store", path: str = "path",
     JSON payload is at most ``limit`` characters, numbered in path order.
 
     Output: store, seq, path, payload_chars, message (header text or JSON payload);
-    the header's ``payload_chars`` is its own length.
+    the header's ``payload_chars`` is its own length.  Files with one path in a store are numbered
+    in the order of their digests, repeated rows each on their own.
     """
-    sized = files.select(store, path, content,
-                         T.payload_length(F.col(path), F.col(content)).alias("payload_chars"))
-    kept = sized.filter(F.col("payload_chars") <= limit)
-    numbered = group_ordinal(kept, [store], [path], "seq")
-    body = numbered.select(store, "seq", path, "payload_chars",
-                           F.to_json(F.struct(F.col(path).alias("path"),
-                                              F.col(content).alias("content"))).alias("message"))
-    header = (files.groupBy(store).agg(F.count(F.lit(1)).alias("n"))
-                   .select(store, F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias(path),
+    key = [store, path, "_digest"]
+    # escaping never shortens a content, so longer ones needn't be measured
+    short = F.length(content) <= limit
+    digested = files.select(store, path, content, F.xxhash64(content).alias("_digest"))
+    # counts and numbers are worked out on narrow rows, written once; contents are shuffled once, to meet them
+    sized = written(digested.select(*key, F.when(short, T.payload_length(F.col(path), F.col(content))).alias("payload_chars")),
+                    "message_sizes")
+    numbered = group_ordinal(sized.filter(F.col("payload_chars") <= limit), [store], [path, "_digest"], "seq")
+    contents = digested.filter(short).groupBy(*key).agg(F.first(content).alias(content))
+    body = numbered.join(contents, key).select(
+        store, "seq", path, "payload_chars",
+        F.to_json(F.struct(F.col(path).alias("path"), F.col(content).alias("content"))).alias("message"))
+    header = (sized.groupBy(store).agg(F.count(F.lit(1)).alias("n"))
+                   .select(store, F.lit(0).cast("bigint").alias("seq"),
+                           F.lit(None).cast("string").alias(path),
                            F.format_string(HEADER_TEMPLATE, F.col("n")).alias("message"))
                    .withColumn("payload_chars", F.length("message").cast("bigint")))
     return header.unionByName(body)

@@ -54,6 +54,11 @@ def summarize(units: DataFrame, unit: str, text: str = "text", part: str | None
         with_tf = toks.join(tf, [unit, "term"])
     scored = (with_tf.groupBy(unit, "s_ord")
                      .agg((F.sum("tf") / F.count(F.lit(1))).alias("score")))
+    return best_sentences(scored, sents, unit, n)
+
+
+def best_sentences(scored: DataFrame, sents: DataFrame, unit: str, n: int) -> DataFrame:
+    """(unit, summary, n_sentences) of scored (unit, s_ord, score) and all sentences (unit, s_ord, sentence)."""
     best = top_k(scored, [unit], [F.col("score").desc(), F.col("s_ord")], n)
     chosen = best.join(sents, [unit, "s_ord"])
     # a unit without any token keeps a row, with an empty summary

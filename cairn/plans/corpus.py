@@ -16,6 +16,7 @@ from cairn.operators import listing as LI
 from cairn.operators import select as S
 from cairn.operators import stores as ST
 from cairn.plans import sqlx as X
+from cairn.session import written
 from cairn.sources import fixtures as FX
 from cairn.sources.tables import read_table
 
@@ -174,6 +175,16 @@ def q_assign_file_ids(spark, sf_dir):
     return _assigned(spark, sf_dir).select("pos", "path", "source", "hash", "file_id", "cached")
 
 
+@register("assign_file_ids_filtered", _ASSIGN_SQL)
+def q_assign_file_ids_filtered(spark, sf_dir):
+    """The same ids by way of the cache's Bloom filter, which is written beside the cache."""
+    cache = FX.hash_cache(spark, sf_dir)
+    blocks = C.filter_geometry(cache.count())
+    held = written(C.build_filter(cache, blocks), "cache_filter")
+    ids = C.assign_file_ids_filtered(FX.batch(spark, sf_dir), cache, held, blocks)
+    return ids.select("pos", "path", "source", "hash", "file_id", "cached")
+
+
 @register("batch_duplicates", """
 WITH b AS (SELECT doc_id AS pos, sha256(content) AS hash FROM files)
 SELECT b.pos, b.hash, f.first_pos FROM b

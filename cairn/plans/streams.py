@@ -19,6 +19,7 @@ from cairn.sources.tables import read_table
 from cairn.streaming import pipelines as PL
 from cairn.streaming import readiness as RD
 from cairn.streaming import runner as RN
+from cairn.streaming import summaries as SU
 from cairn.streaming import toolcalls as TS
 
 QUERIES, ORACLE, register = query_registry()
@@ -36,7 +37,6 @@ def stream_frames(spark, sf_dir) -> dict:
     return {
         "tool_calls_stream": TS.tool_calls_stream(events),
         "completed_calls_stream": TS.completed_calls_stream(events),
-        "response_text_stream": PL.response_text_stream(msgs),
         "response_deltas_stream": PL.response_deltas(msgs),
         "store_status_stream": PL.store_status_stream(status),
     }
@@ -64,8 +64,18 @@ def q_completed_calls_stream(spark, sf_dir):
 @register("response_text_stream", CONV_ORACLE["response_text"])
 def q_response_text_stream(spark, sf_dir):
     msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", max_files_per_trigger=FILES_PER_BATCH)
-    return RN.run_to_table(PL.response_text_stream(msgs), "complete", "response_text").select(
-        "conv_id", "response_text", "n_messages")
+    root = fresh_path(spark, "response_text")
+    RN.run_foreach_batch(PL.response_deltas(msgs), PL.deltas_batch(root), "response_text")
+    return PL.read_response_text(spark, root).select("conv_id", "response_text", "n_messages")
+
+
+@register("summarize_threads_stream", PR.ORACLE["summarize_threads"])
+def q_summarize_threads_stream(spark, sf_dir):
+    """Summaries kept by the turns that arrive; earlier turns aren't split again."""
+    root = fresh_path(spark, "thread_summaries")
+    msgs = RN.table_stream(spark, sf_dir, "conversations", "conv_id", "turn", "text", max_files_per_trigger=FILES_PER_BATCH)
+    RN.run_foreach_batch(msgs, SU.summary_batch(root), "thread_summaries")
+    return SU.read_summaries(spark, root, PR.SUMMARY_N).select("conv_id", "summary", "n_sentences")
 
 
 @register("store_status_stream", CORPUS_ORACLE["store_status"])

@@ -6,8 +6,9 @@
   batch writes the same rows again (idempotent).
 * ``store_status_stream``: the per-store roll-up over a file-status stream
   (stream-static join with the labels), complete mode.
-* ``response_text_stream``: per-run concatenation of assistant text, complete
-  mode; ``response_deltas`` is the append-mode stream of the deltas themselves.
+* ``response_deltas`` is the append-mode stream of assistant text; ``deltas_batch``
+  keeps it in a table by micro-batch id, and ``read_response_text`` joins the text of
+  every run from that table, so a stream holds no text in its state.
 * ``answer_stream``: prompts arriving on a stream are answered in
   ``foreachBatch`` against an index written once before the stream starts.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.hashing import content_id, sha256_hex
+from cairn.functions.ordinal import ordered_concat
 from cairn.operators import block_index as BI
 from cairn.operators import stores as ST
 from cairn.session import fresh_path
@@ -71,13 +73,24 @@ def response_deltas(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
 
 
-def response_text_stream(messages: DataFrame) -> DataFrame:
-    """Full response text per run (ordered by turn), updated as deltas arrive."""
-    deltas = response_deltas(messages)
-    return deltas.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]),
-                     "").alias("response_text"),
-        F.count(F.lit(1)).alias("n_messages"))
+def deltas_batch(root: str):
+    """foreachBatch function: the batch's deltas, under its own id (a replayed batch overwrites them)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch_id={batch_id}")
+    return run
+
+
+def read_response_text(spark: SparkSession, root: str, until_batch: int | None = None) -> DataFrame:
+    """Full text and number of messages per run, in the order of turns whatever batch they came with.
+
+    ``until_batch`` gives the text as it was after that batch.  Null texts add nothing but count as
+    messages.  Stretches of consecutive turns are joined first, so only the finished text of a run is
+    one value.
+    """
+    deltas = spark.read.parquet(root)
+    if until_batch is not None:
+        deltas = deltas.filter(F.col("batch_id") <= until_batch)
+    return ordered_concat(deltas, ["conv_id"], "turn", "text", "", "response_text", count="n_messages")
 
 
 def index_batch(index: BI.BlockIndex, size: int, overlap: int):
