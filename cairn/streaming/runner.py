@@ -16,11 +16,14 @@ from cairn.session import fresh_path
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, *columns: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame over ``<sf_dir>/<name>.parquet`` (and any later files of that name)."""
-    path = sf_dir.rstrip("/")
-    glob = f"{name}*.parquet"
-    schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """A streaming DataFrame over ``<sf_dir>/<name>.parquet`` (and any later ones of that name).
+
+    Each may be a file or a folder of part files, so the names are matched by the path: a
+    ``pathGlobFilter`` tests the files alone, and would leave out all that lie in a folder.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}*.parquet"
+    schema = spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     df = r.parquet(path)

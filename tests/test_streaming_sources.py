@@ -58,6 +58,24 @@ def test_ingest_stream_restart_is_idempotent(spark, sf_small):
     assert first <= cache.count() == distinct == cache.select("hash").distinct().count()
 
 
+def test_table_stream_reads_files_and_folders_of_part_files(spark):
+    d = fresh_path(spark, "stream_folders")
+    rows = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
+    rows(1, 2, 3, 4).repartition(3).write.parquet(f"{d}/documents.parquet")  # a folder, as Spark writes it
+    rows(7).write.parquet(f"{d}/labels.parquet")
+    ckpt, out = fresh_path(spark, "folders_ckpt"), fresh_path(spark, "folders_out")
+
+    def run():
+        RN.run_to_files(RN.table_stream(spark, d, "documents", "doc_id", max_files_per_trigger=1), out, ckpt)
+        return sorted(r[0] for r in spark.read.parquet(out).collect())
+
+    assert run() == [1, 2, 3, 4]
+    pq.write_table(rows(5).toArrow(), f"{d}/documents_later.parquet")  # later ones: a file beside, part files in both folders
+    rows(6).write.parquet(f"{d}/documents_more.parquet")
+    rows(8).write.mode("append").parquet(f"{d}/documents.parquet")
+    assert run() == [1, 2, 3, 4, 5, 6, 8]
+
+
 def test_scan_walk_and_read(spark):
     root = fresh_path(spark, "tree")
     rows = [("/r/a.py", "print(1)", False), ("/r/.git/b.py", "x", False), ("/r/_u.py", "y", False),
