@@ -13,10 +13,12 @@
   have been replaced, so the number of segments stays logarithmic.
 * **Search** is exact BM25 (k1, b; idf = ln(1 + (N - df + 0.5) / (df + 0.5))) over the live chunks of all
   segments: statistics are taken at search time, so a grown index answers as a fresh one.
-  Questions are taken in groups of a bounded number of terms and broadcast; each block is one group of
-  a shuffle, scored with numpy.  A sample of the blocks gives each question a threshold first (its
-  k-th best score there); then a question passes by every block in which no run of ``RUN`` chunks
-  can reach it by the sum of its terms' greatest contributions.
+  The postings of all questions' terms are shuffled once, without the chunks that have gone, and written as
+  a row a block.  Questions are taken in groups of a bounded number of terms and broadcast; a group
+  passes over the block rows without another shuffle, scored with numpy, so what a search
+  writes doesn't grow with the groups.  A sample of the blocks gives each question a threshold first (its
+  k-th best score there), which the blocks that a task has seen raise; a question passes by every run of
+  ``RUN`` chunks that can't reach it by the sum of its terms' greatest contributions.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import types as ST
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
 from cairn.operators.retrieval import B, K1, chunk_documents
-from cairn.session import delete_path, written
+from cairn.session import delete_path, fresh_path, written
 
 BLOCK, RUN = 16_384, 64  # chunks of a block (65,536 at most), and of a run of chunks within it
 BUCKETS = 32
@@ -49,6 +51,8 @@ GROUP_PAIRS = 200_000  # (question, term) pairs searched together: what is colle
 LITERAL_TERMS = 2_000  # terms named in the filter at most, so that buckets are pruned; more are joined
 SAMPLE = 16  # one block in so many gives the thresholds
 MARGIN = 1e-6  # scores are rounded to six decimals
+DENSE = 16  # a term in one of so many chunks of a block, or in more, is held as a row over all its places
+FEW = 8  # where one run in so many, or fewer, can reach the threshold, only their entries are gathered
 
 _ENTRY = np.dtype([("place", "<u2"), ("tf", "<u2"), ("dl", "<u2")])
 _POSTINGS = pa.schema([("term", pa.string()), ("block", pa.int64()), ("entries", pa.binary())])
@@ -94,7 +98,7 @@ def _write_postings(chunks: DataFrame, path: str, buckets: int) -> None:
     spark = chunks.sparkSession
     rows = chunks.select("block", "place", "n_tokens", "text").mapInArrow(_post, _POSTINGS_DDL)
     (rows.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term", "block")
-         .option("path", path).mode("overwrite").saveAsTable(_table(path)))
+         .option("compression", "zstd").option("path", path).mode("overwrite").saveAsTable(_table(path)))
 
 
 def _read_postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
@@ -105,12 +109,12 @@ def _read_postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
 
 
 class Snapshot(NamedTuple):
-    """The live index as of one commit.  ``postings`` have a ``segment`` and, where chunks have gone, their places (``gone``)."""
-    postings: DataFrame
+    """The live index as of one commit."""
+    postings: DataFrame  # term, block, entries, segment: with the chunks that have gone
     chunks: DataFrame  # segment, block, place, doc_id, chunk_no, n_tokens, text (tokens joined by a space): live ones
     n_docs: int  # live chunks
     avgdl: float
-    some_gone: bool  # whether any chunk of a live segment has gone
+    gone: DataFrame | None  # segment, block, gone: the places in a block whose chunks have gone (none if nothing was replaced)
 
 
 class BlockIndex:
@@ -162,7 +166,7 @@ class BlockIndex:
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         n = 0
         if chunks is not None:
-            _placed(chunks).write.parquet(f"{path}/chunks")
+            _placed(chunks).write.option("compression", "zstd").parquet(f"{path}/chunks")
             placed = self.spark.read.parquet(f"{path}/chunks")
             n = placed.count()
             _write_postings(placed, f"{path}/postings", self.buckets)
@@ -259,14 +263,11 @@ class BlockIndex:
         if postings is None:
             postings = self.spark.createDataFrame([], f"{_POSTINGS_DDL}, segment int")
         n, mean = self._with_fate(segments, "n_tokens").filter(~F.col("dead")).agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
-        some_gone = any(c["gone"] for c in segments[1:])
-        if some_gone:  # a block's gone places: BLOCK of them at most
+        gone = None
+        if any(c["gone"] for c in segments[1:]):  # a block's gone places: BLOCK of them at most
             gone = written(self._with_fate(segments, "block", "place").filter("dead").groupBy("segment", "block")
                                .agg(F.collect_set("place").alias("gone")), "index_gone_places")
-            postings = postings.join(gone, ["segment", "block"], "left")
-        else:
-            postings = postings.withColumn("gone", F.lit(None).cast("array<int>"))
-        return Snapshot(postings, self._chunks(segments), int(n or 0), float(mean or 0.0), some_gone)
+        return Snapshot(postings, self._chunks(segments), int(n or 0), float(mean or 0.0), gone)
 
 
 def _unpacked(entries: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -275,23 +276,36 @@ def _unpacked(entries: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(entries), dtype=_ENTRY), sizes
 
 
-def _living(entries: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    """Chunks of each posting row that haven't gone, and the term's occurrences in them."""
-    all_entries, sizes = _unpacked(entries)
-    alive = np.ones(len(all_entries), dtype=bool)
-    at = np.append(0, np.cumsum(sizes))
-    for i, g in enumerate(gone):
-        if g is not None:
-            alive[at[i]:at[i + 1]] = ~np.isin(all_entries["place"][at[i]:at[i + 1]], g)
+_BLOCKS_DDL = "segment int, block bigint, terms array<string>, ns array<bigint>, tfs array<bigint>, entries binary"
+
+
+def _pack(key: tuple, rows: pd.DataFrame, gone: pd.DataFrame | None = None) -> pd.DataFrame:
+    """One row of a block's postings, without the chunks that have gone: its terms, each one's chunks and occurrences, all entries."""
+    entries, sizes = _unpacked(rows["entries"])
+    alive = np.ones(len(entries), dtype=bool)
+    if gone is not None and len(gone):
+        alive = ~np.isin(entries["place"], np.concatenate(gone["gone"].to_list()))
     of = np.repeat(np.arange(len(sizes)), sizes)
-    return pd.DataFrame({"n": np.bincount(of, alive, len(sizes)).astype(np.int64),
-                         "tf": np.bincount(of, alive * all_entries["tf"].astype(np.float64), len(sizes)).astype(np.int64)})
+    ns = np.bincount(of, alive, len(sizes)).astype(np.int64)
+    tfs = np.bincount(of, alive * entries["tf"].astype(np.float64), len(sizes)).astype(np.int64)
+    held = ns > 0
+    return pd.DataFrame({"segment": [key[0]], "block": [key[1]], "terms": [rows["term"].to_numpy()[held]], "ns": [ns[held]],
+                         "tfs": [tfs[held]], "entries": [entries[alive].tobytes()]})[:int(held.any())]
+
+
+def block_rows(postings: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """The given postings as one row a block; each block meets its gone places once."""
+    blocks = postings.select("segment", "block", "term", "entries").groupBy("segment", "block")
+    if gone is None:
+        return blocks.applyInPandas(lambda key, rows: _pack(key, rows), _BLOCKS_DDL)
+    return blocks.cogroup(gone.groupBy("segment", "block")).applyInPandas(
+        lambda key, rows, dead: _pack(key, rows, dead), _BLOCKS_DDL)
 
 
 def term_stats(index: Snapshot) -> DataFrame:
     """(term, df, cf) over the live chunks."""
-    rows = index.postings.select("term", F.pandas_udf(_living, "n bigint, tf bigint")("entries", "gone").alias("l"))
-    return rows.groupBy("term").agg(F.sum("l.n").alias("df"), F.sum("l.tf").alias("cf")).filter("df > 0")
+    rows = block_rows(index.postings, index.gone).select(F.explode(F.arrays_zip("terms", "ns", "tfs")).alias("l"))
+    return rows.groupBy(F.col("l.terms").alias("term")).agg(F.sum("l.ns").alias("df"), F.sum("l.tfs").alias("cf"))
 
 
 # -------------------------------------------------------------------- search
@@ -306,42 +320,110 @@ class _Questions(NamedTuple):
 
     def in_block(self, rows: pd.DataFrame) -> pd.DataFrame:
         """(question, place, score) of one block's chunks that may be among a question's k best."""
-        rows = rows.sort_values("number", kind="stable")
         entries, sizes = _unpacked(rows["entries"])
         numbers = np.repeat(rows["number"].to_numpy(), sizes)
+        order = np.lexsort((entries["place"], numbers))
+        numbers, entries = numbers[order], entries[order]
         places, tf, dl = entries["place"].astype(np.int64), entries["tf"].astype(np.float64), entries["dl"]
         weights = self.idf[numbers] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
         gone = [g for g in rows["gone"] if g is not None]
         if gone:
             weights[np.isin(places, gone[0])] = 0.0
+        return self._replace(thresholds=self.thresholds.copy()).best_of(numbers, places, weights)
+
+    def best_of(self, numbers: np.ndarray, places: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
+        """The same for a block's entries in the order of terms and places.  What is found raises the thresholds."""
         here, begins = np.unique(numbers, return_index=True)
-        ends = np.append(begins[1:], len(numbers))
         row_of = np.full(len(self.idf), -1)
         row_of[here] = np.arange(len(here))
-        greatest = np.zeros((len(here), -(-BLOCK // RUN)))
-        np.maximum.at(greatest, (row_of[numbers], places // RUN), weights)
+        n_runs = int(places.max()) // RUN + 1 if len(places) else 0
+        cell = row_of[numbers] * n_runs + places // RUN  # entries lie in the order of their cells
+        starts = np.append(0, np.cumsum(np.bincount(cell, minlength=len(here) * n_runs)))
+        greatest = np.zeros(len(here) * n_runs)
+        if len(cell):
+            firsts = np.flatnonzero(np.append(True, np.diff(cell) != 0))
+            greatest[cell[firsts]] = np.maximum.reduceat(weights, firsts)
+        greatest = greatest.reshape(len(here), n_runs)
+        # terms of many chunks as rows over all places: adding rows costs less than gathering entries
+        ends = np.append(begins[1:], len(numbers))
+        width = n_runs * RUN
+        common = np.flatnonzero(ends - begins >= max(1, width // DENSE))
+        dense_of = np.full(len(here), -1)
+        dense_of[common] = np.arange(len(common))
+        dense = np.zeros((len(common), width), np.float32)
+        for i, r in enumerate(common):
+            dense[i, places[begins[r]:ends[r]]] = weights[begins[r]:ends[r]]
         out = []
         for q, terms in enumerate(self.terms):
             own = row_of[terms]
             own = own[own >= 0]
+            if not len(own):
+                continue
             least = self.thresholds[q] - MARGIN
-            if not len(own) or greatest[own].sum(axis=0).max() < least:
+            bounds = greatest[own].sum(axis=0)
+            runs = np.flatnonzero(bounds >= least)
+            if not len(runs):
                 continue
-            at = [slice(begins[r], ends[r]) for r in own]
-            scores = np.bincount(np.concatenate([places[s] for s in at]), weights=np.concatenate([weights[s] for s in at]))
-            some = min(self.k, len(scores))
-            least = max(least, np.partition(scores, len(scores) - some)[len(scores) - some] - MARGIN)
+            if len(runs) * FEW > n_runs:
+                # single precision first, and what comes close enough to the threshold again in double
+                rounded = MARGIN + float(bounds.max()) * (len(own) + 1) * 2.0 ** -23
+                about = np.zeros(width, np.float32)
+                for r in own:
+                    if dense_of[r] >= 0:
+                        about += dense[dense_of[r]]
+                    else:
+                        about[places[begins[r]:ends[r]]] += weights[begins[r]:ends[r]]
+                likely = np.flatnonzero(about >= least - rounded)
+                if len(likely) > self.k:
+                    kth = np.partition(about[likely], len(likely) - self.k)[len(likely) - self.k]
+                    likely = likely[about[likely] >= kth - 2 * rounded]
+                runs = np.unique(likely // RUN)
+                if not len(runs):
+                    continue
+            cells = (own[:, None] * n_runs + runs).ravel()
+            sizes = starts[cells + 1] - starts[cells]
+            at = np.repeat(starts[cells] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            first = int(runs[0]) * RUN
+            scores = np.bincount(places[at] - first, weights=weights[at])
             found = np.flatnonzero((scores >= least) & (scores > 0))
-            out.append((np.full(len(found), q), found, scores[found]))
+            if len(found) >= self.k:
+                kth = np.partition(scores[found], len(found) - self.k)[len(found) - self.k]
+                found = found[scores[found] >= kth - MARGIN]
+                self.thresholds[q] = max(self.thresholds[q], kth)
+            out.append((np.full(len(found), q), found + first, scores[found]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pd.DataFrame(dict(zip(("question", "place", "score"), columns)))
 
-
-def _groups(questions: DataFrame, qid: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """(ids, term arrays) of the questions, at most about GROUP_PAIRS pairs at a time."""
-    asked = questions.select(F.col(qid).alias("id"), F.array_distinct(T.tokens(text_col)).alias("terms")).filter(F.size("terms") > 0)
-    pairs = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    n = max(1, -(-pairs // GROUP_PAIRS))
+    def in_blocks(self, batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
+        """``best_of`` of every block row."""
+        mine = self._replace(thresholds=self.thresholds.copy())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, ns = (batch.column(c)[i].values for c in ("terms", "ns"))
+                number = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy()
+                sizes = ns.to_numpy()
+                wanted = np.flatnonzero(number >= 0)
+                if not len(wanted):
+                    continue
+                begins = np.cumsum(sizes) - sizes
+                take = np.repeat(begins[wanted] - np.cumsum(sizes[wanted]) + sizes[wanted], sizes[wanted]) + np.arange(sizes[wanted].sum())
+                entries = np.frombuffer(batch.column("entries")[i].as_buffer(), dtype=_ENTRY)[take]
+                numbers, places, tf = np.repeat(number[wanted], sizes[wanted]), entries["place"].astype(np.int64), entries["tf"].astype(np.float64)
+                order = np.lexsort((places, numbers))
+                numbers, places, tf, dl = numbers[order], places[order], tf[order], entries["dl"][order]
+                hits = mine.best_of(numbers, places, self.idf[numbers] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl)))
+                if len(hits):
+                    hits.insert(1, "segment", batch.column("segment")[i].as_py())
+                    hits.insert(2, "block", batch.column("block")[i].as_py())
+                    yield pa.RecordBatch.from_pandas(hits, schema=_HITS, preserve_index=False)
+
+
+_HITS = pa.schema([("question", pa.int32()), ("segment", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("score", pa.float64())])
+_HITS_DDL = "question int, segment int, block bigint, place int, score double"
+
+
+def _groups(asked: DataFrame, n: int) -> Iterator[tuple[list, list]]:
+    """(ids, term arrays) of the questions (id, terms), in ``n`` groups."""
     for g in range(n):
         held: dict = {}  # rows that share an id are one question
         for row in asked.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == g).collect():
@@ -358,16 +440,36 @@ def search(questions: DataFrame, index: Snapshot, k: int = 3, qid: str = "item_i
     """
     spark = questions.sparkSession
     named = ST.StructType([ST.StructField("question", ST.IntegerType()), ST.StructField(qid, questions.schema[qid].dataType)])
-    found = None
-    for ids, terms in _groups(questions, qid, text_col):
-        hits = _search_group(spark, ids, terms, index, k)
+    asked = questions.select(F.col(qid).alias("id"), F.array_distinct(T.tokens(text_col)).alias("terms")).filter(F.size("terms") > 0)
+    pairs = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+    n = max(1, -(-pairs // GROUP_PAIRS))
+    found = blocks = None
+    for ids, terms in _groups(asked, n):
+        if blocks is None:
+            if n == 1:
+                rows = question_postings(index, sorted({t for row in terms for t in row}))
+            else:  # every group's terms at once
+                rows = index.postings.join(written(asked.select(F.explode("terms").alias("term")).distinct(), "search_terms"), "term", "left_semi")
+            blocks = _write_blocks(block_rows(rows, index.gone))
+            sample = _write_blocks(blocks.filter(F.pmod(F.xxhash64("segment", "block"), F.lit(SAMPLE)) == 0))
+        hits = _search_group(spark, terms, blocks, sample, index, k)
         names = spark.createDataFrame(list(enumerate(ids)), named)
-        part = hits.join(F.broadcast(names), "question").select(qid, "rank", "doc_id", "chunk_no", "score")
+        part = written(hits.join(F.broadcast(names), "question").drop("question"), "search_hits")
         found = part if found is None else found.unionByName(part)
     if found is None:
         none = index.chunks.limit(0).select("doc_id", "chunk_no", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
         return none.join(spark.createDataFrame([], named), F.lit(True)).select(qid, "rank", "doc_id", "chunk_no", "score")
-    return found
+    # the hits of all groups meet the chunks once
+    placed = found.join(index.chunks.select("segment", "block", "place", "doc_id", "chunk_no"), ["segment", "block", "place"])
+    best = top_k(placed.withColumn("score", F.round("score", 6)), [qid], [F.col("score").desc(), "doc_id", "chunk_no"], k)
+    return best.select(qid, "rank", "doc_id", "chunk_no", "score")
+
+
+def _write_blocks(rows: DataFrame) -> DataFrame:
+    """Block rows, written; the writer looks at its memory after every few of them, since a row may have megabytes."""
+    path = fresh_path(rows.sparkSession, "search_blocks")
+    rows.write.option("parquet.page.size.row.check.min", 2).option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(_BLOCKS_DDL).parquet(path)
 
 
 def question_postings(index: Snapshot, vocabulary: list[str]) -> DataFrame:
@@ -380,31 +482,30 @@ def question_postings(index: Snapshot, vocabulary: list[str]) -> DataFrame:
     return rows.join(F.broadcast(numbered), "term")  # GROUP_PAIRS rows at most, one question's terms besides
 
 
-def _search_group(spark: SparkSession, ids: list, terms: list, index: Snapshot, k: int) -> DataFrame:
+def _search_group(spark: SparkSession, terms: list, blocks: DataFrame, sample: DataFrame, index: Snapshot, k: int) -> DataFrame:
+    """(question, segment, block, place, score) of what may be among a question's k best."""
     vocabulary = sorted({t for row in terms for t in row})
     number = {t: i for i, t in enumerate(vocabulary)}
-    rows = written(question_postings(index, vocabulary).select("segment", "block", "number", "entries", "gone"), "search_postings")
-    living = F.pandas_udf(_living, "n bigint, tf bigint")("entries", "gone")["n"] if index.some_gone else F.expr(f"octet_length(entries) div {_ENTRY.itemsize}")
     df = np.zeros(len(vocabulary))
-    for r in rows.groupBy("number").agg(F.sum(living).alias("df")).collect():  # a row a term
-        df[r["number"]] = r["df"]
+    here = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string"))
+    counted = blocks.select(F.explode(F.arrays_zip("terms", "ns")).alias("l")).select(F.col("l.terms").alias("term"), "l.ns")
+    for r in counted.join(here, "term").groupBy("term").agg(F.sum("ns").alias("df")).collect():  # a row a term
+        df[number[r["term"]]] = r["df"]
     idf = np.where(df > 0, np.log(1.0 + (index.n_docs - df + 0.5) / (df + 0.5)), 0.0)
-    of_question = [np.array([number[t] for t in row]) for row in terms]
+    group = _Questions([np.array([number[t] for t in row]) for row in terms], idf, index.avgdl or 1.0, k, np.zeros(len(terms)))
 
-    def scored(blocks: DataFrame, thresholds: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast(_Questions(of_question, idf, index.avgdl or 1.0, k, thresholds))
+    def scored(rows: DataFrame, thresholds: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((group._replace(thresholds=thresholds), vocabulary))
 
-        def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            out = shared.value.in_block(rows)
-            return out.assign(segment=key[0], block=key[1])[["question", "segment", "block", "place", "score"]]
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            questions, words = shared.value
+            yield from questions.in_blocks(batches, pa.array(words, pa.string()))
 
-        return blocks.groupBy("segment", "block").applyInPandas(score, "question int, segment int, block bigint, place int, score double")
+        return rows.select("segment", "block", "terms", "ns", "entries").mapInArrow(score, _HITS_DDL)
 
-    sample = scored(rows.filter(F.pmod(F.xxhash64("segment", "block"), F.lit(SAMPLE)) == 0), np.zeros(len(ids)))
-    best = top_k(sample, ["question"], [F.col("score").desc()], k).groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    thresholds = np.zeros(len(ids))
+    best = (top_k(scored(sample, np.zeros(len(terms))), ["question"], [F.col("score").desc()], k)
+            .groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")))
+    thresholds = np.zeros(len(terms))
     for r in best.filter(F.col("n") >= k).collect():  # a row a question
         thresholds[r["question"]] = r["least"]
-    places = index.chunks.select("segment", "block", "place", "doc_id", "chunk_no")
-    hits = scored(rows, thresholds).join(places, ["segment", "block", "place"])
-    return top_k(hits.withColumn("score", F.round("score", 6)), ["question"], [F.col("score").desc(), "doc_id", "chunk_no"], k)
+    return scored(blocks, thresholds)
