@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.ordinal import top_k
-from cairn.session import written
+from cairn.session import co_located, written
 
 
 def split_sentences(units: DataFrame, unit: str, text: str = "text", part: str | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def summarize(units: DataFrame, unit: str, text: str = "text", part: str | None
     arbitrarily large (a conversation), where the default spreads work by term.
     """
     if colocate:
-        units = units.repartition(unit)
+        units = co_located(units, unit, text)
     sents = split_sentences(units, unit, text, part)
     toks = sents.select(unit, "s_ord", F.explode(T.tokens("sentence")).alias("term"))
     if colocate:

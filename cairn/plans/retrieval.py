@@ -13,7 +13,7 @@ from cairn.operators import toolcalls as TC
 from cairn.operators import vector_index as VI
 from cairn.plans import sqlx as X
 from cairn.sources import fixtures as FX
-from cairn.session import fresh_path, shared_dir
+from cairn.session import co_located, fresh_path, shared_dir
 from cairn.sources.tables import read_table
 
 QUERIES, ORACLE, register = query_registry()
@@ -26,7 +26,7 @@ TOP_K, ANSWER_K, VECTOR_K, SUMMARY_N = 3, 1, 5, 3
 
 def _chunks(spark, sf_dir, colocate=False):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return RV.chunk_documents(docs.repartition("doc_id") if colocate else docs, size=SIZE, overlap=OVERLAP)
+    return RV.chunk_documents(co_located(docs, "doc_id", "text") if colocate else docs, size=SIZE, overlap=OVERLAP)
 
 
 def _index(spark, sf_dir):

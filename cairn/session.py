@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every cairn job relies on: UTC timestamps (the oracle is UTC-naive),
 # AQE for runtime re-planning, skew-join splitting, Arrow for pandas UDFs.
@@ -109,6 +110,20 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+PART_BYTES = 8 << 20  # text that a task of co-located units has, about
+
+
+def co_located(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` hash-partitioned by ``key`` into parts of about ``PART_BYTES`` of ``text``.
+
+    Tokens take many times the memory of their text, and Spark sizes partitions by the bytes before
+    they are split; with a number of partitions that follows the texts, a task's share stays the same
+    however large the table.
+    """
+    total = df.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES)), key)
+
+
 _SHIPPED: set = set()
 
 
