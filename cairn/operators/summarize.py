@@ -7,11 +7,18 @@ are joined in their original order.  Everything is aggregation and joins
 keyed by the unit, so no unit's text is ever gathered in one place except
 the n chosen sentences.  ``summarize_reweighted`` is the paper's greedy form, in which
 the words of a chosen sentence count less for the next.  For bounded units (documents) the input is
-co-located by unit first and the per-unit term counts are a window.
+co-located by unit first and the per-unit term counts are a window; the greedy form then chooses for all
+units of a batch at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +80,88 @@ def best_sentences(scored: DataFrame, sents: DataFrame, unit: str, n: int) -> Da
 WEIGHT = 1_000_000  # a word's probability 1 as an integer weight
 
 
-def summarize_reweighted(units: DataFrame, unit: str, text: str = "text", part: str | None = None, n: int = 3) -> DataFrame:
+class _Greedy(NamedTuple):
+    """The greedy choice for the sentences (unit, i, sentence, terms) of whole units, many at once."""
+    n: int
+
+    def picks(self, unit: np.ndarray, i: np.ndarray, terms: pa.ListArray) -> np.ndarray:
+        """Which rows are chosen; ``unit`` ascends.  Rows that share a unit and ``i`` are one sentence."""
+        if not len(unit):
+            return np.zeros(0, bool)
+        width = int(i.max()) + 1
+        key, sentence_of = np.unique(unit * width + i, return_inverse=True)
+        unit_of = key // width
+        chosen = np.zeros(len(key), bool)
+        coded = terms.flatten().dictionary_encode()
+        if len(coded):
+            rank = np.empty(len(coded.dictionary), np.int64)  # ties between terms go by their order
+            rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+            sizes = np.diff(terms.offsets.to_numpy())
+            held, count = np.unique(np.repeat(sentence_of, sizes) * len(rank) + rank[coded.indices.to_numpy()], return_counts=True)
+            sentence, term = held // len(rank), held % len(rank)
+            of_unit, word = np.unique(unit_of[sentence] * len(rank) + term, return_inverse=True)
+            total = np.bincount(unit_of[sentence], count).astype(np.int64)
+            weight = np.bincount(word, count).astype(np.int64) * WEIGHT // total[of_unit // len(rank)]
+            for _ in range(self.n):
+                left = np.flatnonzero(~chosen[sentence])
+                if not len(left):
+                    break
+                s, t, c, w = sentence[left], term[left], count[left], weight[word[left]]
+                units, at = np.unique(unit_of[s], return_index=True)
+                each = np.diff(np.append(at, len(left)))
+                heaviest = w == np.repeat(np.maximum.reduceat(w, at), each)
+                top = heaviest & (t == np.repeat(np.minimum.reduceat(np.where(heaviest, t, len(rank)), at), each))
+                ids, at = np.unique(s, return_index=True)
+                score = np.add.reduceat(w * c, at) * 1000 // np.add.reduceat(c, at)
+                score = np.where(np.maximum.reduceat(top, at), score, -1)
+                units, at = np.unique(unit_of[ids], return_index=True)
+                best = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, at), np.diff(np.append(at, len(ids)))))
+                first = np.unique(unit_of[ids[best]], return_index=True)[1]
+                chosen[ids[best[first]]] = True
+                said = np.unique(word[left[np.isin(s, ids[best[first]])]])
+                weight[said] = weight[said] * weight[said] // WEIGHT
+        return chosen[sentence_of]
+
+    def summaries(self, rows: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        codes = rows.column(0).dictionary_encode(null_encoding="encode").combine_chunks()
+        unit = codes.indices.to_numpy().astype(np.int64)
+        column = lambda c: rows.column(c).chunk(0)
+        picked = np.flatnonzero(self.picks(unit, column("i").to_numpy(), column("terms")))
+        found: list = [[] for _ in range(len(codes.dictionary))]
+        for u, at, text in zip(unit[picked], column("i").to_numpy()[picked], rows.column("sentence").take(pa.array(picked)).to_pylist()):
+            found[u].append((at, text))
+        known = codes.dictionary.is_valid().to_pylist()  # rows without a unit have no summary
+        texts = [" ".join(t for _, t in sorted(f)) if k else "" for f, k in zip(found, known)]
+        return pa.RecordBatch.from_arrays([codes.dictionary.cast(schema.field(0).type), pa.array(texts, pa.string()),
+                                           pa.array(np.bincount(unit, minlength=len(found)), pa.int64())], schema=schema)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a unit, of rows in the order of units; the last unit of a batch may go on in the next."""
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            schema = pa.schema([(rows.column_names[0], rows.schema.field(0).type), ("summary", pa.string()), ("n_sentences", pa.int64())])
+            codes = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            whole = int(np.flatnonzero(codes == codes[-1])[0])
+            if whole:
+                yield self.summaries(rows.slice(0, whole), schema)
+            kept = rows.slice(whole)
+        if kept is not None:
+            yield self.summaries(kept, schema)
+
+
+def _reweighted_within(units: DataFrame, unit: str, text: str, n: int) -> DataFrame:
+    """``summarize_reweighted`` for bounded units: each lies whole in one task, so that nothing is joined."""
+    sents = split_sentences(co_located(units.select(unit, text), unit, text).sortWithinPartitions(unit), unit, text)
+    rows = sents.select(unit, F.col("s_ord.i").cast("bigint").alias("i"), "sentence", T.tokens("sentence").alias("terms"))
+    return rows.mapInArrow(_Greedy(n).__call__, f"`{unit}` {units.schema[unit].dataType.simpleString()}, summary string, n_sentences bigint")
+
+
+def summarize_reweighted(units: DataFrame, unit: str, text: str = "text", part: str | None = None, n: int = 3,
+                         colocate: bool = False) -> DataFrame:
     """(unit, summary, n_sentences) by SumBasic's greedy choice.
 
     A word's weight is its share of the unit's tokens.  Each of the ``n`` picks takes, among
@@ -82,8 +170,13 @@ def summarize_reweighted(units: DataFrame, unit: str, text: str = "text", part:
     that what has been said counts less.  Weights are integers (millionths, rounded down), so
     results don't depend on the order of sums.  A pick is one round of joins and aggregates
     over all units at once; no unit's words are gathered anywhere.  Units without any token
-    have an empty summary.
+    have an empty summary.  ``colocate=True`` makes all picks of a unit in one task instead, without rounds: use it
+    when a unit is one bounded row (a document), not for units that may be arbitrarily large.
     """
+    if colocate:
+        if part is not None:
+            raise ValueError("co-located units have one part")
+        return _reweighted_within(units, unit, text, n)
     sents = written(split_sentences(units, unit, text, part), "sentences")
     held = written(sents.select(unit, "s_ord", F.explode(T.tokens("sentence")).alias("term"))
                         .groupBy(unit, "s_ord", "term").agg(F.count(F.lit(1)).alias("n")), "sentence_terms")

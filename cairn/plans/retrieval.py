@@ -275,7 +275,7 @@ SELECT cnt.{unit}, coalesce(summary, '') AS summary, n_sentences FROM cnt LEFT J
 @register("summarize_documents_reweighted", _reweighted_sql("documents", "doc_id", "0"))
 def q_summarize_documents_reweighted(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return SM.summarize_reweighted(d, "doc_id", "text", None, SUMMARY_N).select("doc_id", "summary", "n_sentences")
+    return SM.summarize_reweighted(d, "doc_id", "text", None, SUMMARY_N, colocate=True).select("doc_id", "summary", "n_sentences")
 
 
 @register("summarize_threads_reweighted", _reweighted_sql("conversations", "conv_id", "turn"))
