@@ -7,8 +7,8 @@ without one; a completion that comes after that is refused.  The deadline depend
 alone, so batches and their order don't change the end states, as long as events aren't
 later than the watermark's delay (those that are don't count).
 
-State is one status per key (``transformWithStateInPandas``), with two event-time timers: one at
-the deadline, one at ``opened + keep`` that clears it.  Events at or after ``opened + keep``
+State is one status per key (``transformWithState``), with an event-time timer at the
+deadline, and then one at ``opened + keep`` that clears it.  Events at or after ``opened + keep``
 are ignored, so a cleared key can't open again.  Null keys, times and events without a
 time are left out.
 """
@@ -17,8 +17,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -27,12 +26,12 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _row(key, status: str, at: int) -> pd.DataFrame:
-    return pd.DataFrame({"key": [key], "status": [status], "at_ms": [at]})
-
-
 class Readiness(StatefulProcessor):
-    """One key's way from in_progress to completed or expired."""
+    """One key's way from in_progress to completed or expired.
+
+    Calls on the state and its timers cost more than the rows, so each is made once: a key has one
+    timer, at its deadline while it is in progress and at ``opened + keep`` afterwards.
+    """
 
     def __init__(self, ttl_ms: int, keep_ms: int):
         self.ttl_ms, self.keep_ms = ttl_ms, keep_ms
@@ -42,39 +41,39 @@ class Readiness(StatefulProcessor):
         self.state = handle.getValueState("readiness", "status string, opened bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        # one pass over the batches: what they say about the key is a few numbers
+        # one pass over the rows: what they say about the key is two numbers
         opened, done = None, None
-        for pdf in rows:
-            pdf = pdf[pdf["at_ms"] < pdf["opened_ms"] + self.keep_ms]
-            if len(pdf):
-                opened = int(pdf["opened_ms"].min()) if opened is None else min(opened, int(pdf["opened_ms"].min()))
-                at = pdf.loc[(pdf["phase"] == "done") & (pdf["at_ms"] <= pdf["opened_ms"] + self.ttl_ms), "at_ms"]
-                if len(at):
-                    done = int(at.min()) if done is None else min(done, int(at.min()))
+        for r in rows:
+            if r.at_ms < r.opened_ms + self.keep_ms:
+                opened = r.opened_ms if opened is None else min(opened, r.opened_ms)
+                if r.phase == "done" and r.at_ms <= r.opened_ms + self.ttl_ms:
+                    done = r.at_ms if done is None else min(done, r.at_ms)
         if opened is None:
             return
-        status = self.state.get()[0] if self.state.exists() else None
+        held = self.state.get()
+        status, opened = held if held is not None else (None, opened)
         if status is None:
-            status = "in_progress"
-            self.state.update((status, opened))
-            self.handle.registerTimer(opened + self.ttl_ms)
-            self.handle.registerTimer(opened + self.keep_ms)
-            yield _row(key[0], status, opened)
-        if done is not None and status != "expired":
+            yield Row(key=key[0], status="in_progress", at_ms=opened)
+            self.state.update(("in_progress" if done is None else "completed", opened))
+            self.handle.registerTimer(opened + (self.ttl_ms if done is None else self.keep_ms))
+        elif status == "in_progress" and done is not None:
             self.state.update(("completed", opened))
-            yield _row(key[0], "completed", done)
+        if done is not None and status != "expired":
+            yield Row(key=key[0], status="completed", at_ms=done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
+        held = self.state.get()
+        if held is None:
             return
-        status, opened = self.state.get()
-        if expiredTimerInfo.getExpiryTimeInMs() >= opened + self.keep_ms:
-            if status == "in_progress":  # both timers passed at once
-                yield _row(key[0], "expired", opened + self.ttl_ms)
+        status, opened = held
+        if status == "in_progress":
+            yield Row(key=key[0], status="expired", at_ms=opened + self.ttl_ms)
+        if max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) >= opened + self.keep_ms:
             self.state.clear()
-        elif status == "in_progress":
+            return
+        if status == "in_progress":
             self.state.update(("expired", opened))
-            yield _row(key[0], "expired", opened + self.ttl_ms)
+        self.handle.registerTimer(opened + self.keep_ms)
 
     def close(self) -> None:
         pass
@@ -87,7 +86,7 @@ def readiness_stream(events: DataFrame, key: str, opened: Column, ttl_ms: int, k
     rows = events.select(F.col(key).cast("string").alias("key"), "phase", F.unix_millis(opened).alias("opened_ms"),
                          F.unix_millis("ts").alias("at_ms"), "ts").filter("key IS NOT NULL AND ts IS NOT NULL AND opened_ms IS NOT NULL")
     return (rows.withWatermark("ts", delay).groupBy("key")
-                .transformWithStateInPandas(Readiness(ttl_ms, keep_ms), OUT, "Append", "EventTime"))
+                .transformWithState(Readiness(ttl_ms, keep_ms), OUT, "Append", "EventTime"))
 
 
 def latest_status(rows: DataFrame) -> DataFrame:
