@@ -79,9 +79,9 @@ def token_counts(docs: DataFrame, vocabulary: str, cache: str, limit: int = 1024
     wanted = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == tokenizer)
     missing = materialize(wanted.join(stored, "digest", "left_anti"), "token_misses")
+    counted = count_misses(texts, missing, spec)
     if not missing.isEmpty():  # a run of hits alone adds no file
-        (count_misses(texts, missing, spec)
-         .select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache))
+        counted.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == tokenizer)
     # distinct digests: a text that a third of all rows repeat is one row of this side
     counts = materialize(stored.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest")
