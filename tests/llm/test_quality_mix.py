@@ -195,3 +195,19 @@ def test_mix_meets_the_target_of_lumpy_sources(spark):
     again = M.draw_mix(df, weights=(2, 1)).toPandas()
     assert again.set_index("doc_id")["taken"].to_dict() == got.set_index("doc_id")["taken"].to_dict()
     assert sum(base_counts(r["text"])[0] for r in M.take_mix(df, weights=(2, 1)).collect()) == got["taken"].sum()
+
+
+def test_the_mix_plans_little(spark, monkeypatch, capsys):
+    """The driver plans an expression for each six levels of the tree, and two tables a round of filling up."""
+    df = spark.createDataFrame([(0, 1000), (1, 3)], "rank int, blocks bigint")
+    M.split_quotas(df, 12, 9).explain()
+    assert capsys.readouterr().out.count("xxhash64") <= 4
+    sums = M.split_quotas(df, 7, 9).groupBy("rank").agg(F.sum("blocks"), F.count_distinct("shard")).orderBy("rank").collect()
+    assert list(map(tuple, sums)) == [(0, 1000, 128), (1, 3, 128)]
+    docs = [(i, "w " * (1 + i % 7), "en", "b") for i in range(200)] + [(1000, "w " * 10_000, "en", "b"), (1001, "w " * 3000, "en", "b")]
+    docs += [(2000 + i, "x y " * (i % 9 + 1), "en", "a") for i in range(900)]
+    written, real = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, kind: written.append(kind) or real(df, kind))
+    M.draw_mix(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"), weights=(2, 1)).count()
+    rounds = written.count("mix_turns")
+    assert rounds > 1 and len(written) <= rounds + 7, written
