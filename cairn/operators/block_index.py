@@ -18,7 +18,8 @@
   passes over the block rows without another shuffle, scored with numpy, so what a search
   writes doesn't grow with the groups.  A sample of the blocks gives each question a threshold first (its
   k-th best score there), which the blocks that a task has seen raise; a question passes by every run of
-  ``RUN`` chunks that can't reach it by the sum of its terms' greatest contributions.
+  ``RUN`` chunks that can't reach it by the sum of its terms' greatest contributions.  In a block its terms
+  are added up in whole units, rounded up; only what reaches the threshold so is scored in double.
 """
 
 from __future__ import annotations
@@ -44,14 +45,17 @@ from cairn.functions.ordinal import top_k
 from cairn.operators.retrieval import B, K1, chunk_documents
 from cairn.session import delete_path, fresh_path, written
 
-BLOCK, RUN = 16_384, 64  # chunks of a block (65,536 at most), and of a run of chunks within it
+BLOCK, RUN = 65_536, 1_024  # chunks of a block (65,536 at most), and of a run of chunks within it
 BUCKETS = 32
 FAN = 4  # segments of one level that are merged
-GROUP_PAIRS = 200_000  # (question, term) pairs searched together: what is collected and broadcast at once
+GROUP_PAIRS = 1_000_000  # (question, term) pairs searched together: what is collected and broadcast at once
 LITERAL_TERMS = 2_000  # terms named in the filter at most, so that buckets are pruned; more are joined
 SAMPLE = 16  # one block in so many gives the thresholds
+HELD_HITS = 1_000_000  # rows of hits that a task has at once
+ROW_GROUP = 16 << 20  # bytes of block rows in a row group
 MARGIN = 1e-6  # scores are rounded to six decimals
 DENSE = 16  # a term in one of so many chunks of a block, or in more, is held as a row over all its places
+LATE = 0.5  # of the threshold: what the commonest terms may add that are looked up only where the others come so close
 FEW = 8  # where one run in so many, or fewer, can reach the threshold, only their entries are gathered
 
 _ENTRY = np.dtype([("place", "<u2"), ("tf", "<u2"), ("dl", "<u2")])
@@ -279,26 +283,47 @@ def _unpacked(entries: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 _BLOCKS_DDL = "segment int, block bigint, terms array<string>, ns array<bigint>, tfs array<bigint>, entries binary"
 
 
-def _pack(key: tuple, rows: pd.DataFrame, gone: pd.DataFrame | None = None) -> pd.DataFrame:
-    """One row of a block's postings, without the chunks that have gone: its terms, each one's chunks and occurrences, all entries."""
-    entries, sizes = _unpacked(rows["entries"])
-    alive = np.ones(len(entries), dtype=bool)
-    if gone is not None and len(gone):
-        alive = ~np.isin(entries["place"], np.concatenate(gone["gone"].to_list()))
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    ns = np.bincount(of, alive, len(sizes)).astype(np.int64)
-    tfs = np.bincount(of, alive * entries["tf"].astype(np.float64), len(sizes)).astype(np.int64)
-    held = ns > 0
-    return pd.DataFrame({"segment": [key[0]], "block": [key[1]], "terms": [rows["term"].to_numpy()[held]], "ns": [ns[held]],
-                         "tfs": [tfs[held]], "entries": [entries[alive].tobytes()]})[:int(held.any())]
+def _pack(key: tuple, rows: pa.Table, gone: pa.Table | None = None) -> pa.Table:
+    """One row of a block's postings, without the chunks that have gone: its terms in order, each one's chunks and
+    occurrences, all entries in the order of terms and places."""
+    held = [_entries(c) for c in rows.column("entries").chunks]
+    entries = np.concatenate([e for e, _ in held] or [np.empty(0, _ENTRY)])
+    coded = rows.column("term").combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    numbers = np.repeat(rank[coded.indices.to_numpy(zero_copy_only=False)], np.concatenate([n for _, n in held] or [np.empty(0, np.int64)]))
+    if gone is not None and gone.num_rows:
+        alive = np.ones(1 << 16, dtype=bool)
+        alive[pc.list_flatten(gone.column("gone")).to_numpy()] = False
+        alive = alive[entries["place"]]
+        entries, numbers = entries[alive], numbers[alive]
+    sorted_ = np.argsort((numbers << 16) | entries["place"], kind="stable")
+    ns = np.bincount(numbers, minlength=len(order))
+    tfs = np.bincount(numbers, entries["tf"], len(order)).astype(np.int64)
+    here = np.flatnonzero(ns)
+    n = min(1, len(here))
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)][:n + 1], pa.int32()), values)
+    return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int64()),
+                     one(coded.dictionary.take(pa.array(order[here]))), one(pa.array(ns[here], pa.int64())), one(pa.array(tfs[here], pa.int64())),
+                     pa.array([entries[sorted_].tobytes()] * n, pa.binary())], names=["segment", "block", "terms", "ns", "tfs", "entries"])
+
+
+def _entries(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of an array of packed ones, one after the other, and how many each has."""
+    wide = packed.cast(pa.large_binary())
+    ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset:wide.offset + len(wide) + 1]
+    if not len(wide):
+        return np.empty(0, _ENTRY), np.empty(0, np.int64)
+    return np.frombuffer(wide.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(_ENTRY), np.diff(ends) // _ENTRY.itemsize
 
 
 def block_rows(postings: DataFrame, gone: DataFrame | None) -> DataFrame:
     """The given postings as one row a block; each block meets its gone places once."""
     blocks = postings.select("segment", "block", "term", "entries").groupBy("segment", "block")
     if gone is None:
-        return blocks.applyInPandas(lambda key, rows: _pack(key, rows), _BLOCKS_DDL)
-    return blocks.cogroup(gone.groupBy("segment", "block")).applyInPandas(
+        return blocks.applyInArrow(lambda key, rows: _pack(key, rows), _BLOCKS_DDL)
+    return blocks.cogroup(gone.groupBy("segment", "block")).applyInArrow(
         lambda key, rows, dead: _pack(key, rows, dead), _BLOCKS_DDL)
 
 
@@ -310,6 +335,144 @@ def term_stats(index: Snapshot) -> DataFrame:
 
 # -------------------------------------------------------------------- search
 
+class _Scores:
+    """One block's entries, in the order of terms and places, for many questions.
+
+    A question's terms are added up as whole numbers of one byte, each weight rounded up, so that a sum is never less
+    than the score; what reaches the threshold is scored again in double.
+    """
+
+    def __init__(self, numbers: np.ndarray, places: np.ndarray, weights: np.ndarray, n_terms: int):
+        self.begins = np.flatnonzero(np.append(True, np.diff(numbers) != 0))[:len(numbers)]
+        self.places, self.weights = places, weights
+        self.row_of = np.full(n_terms, -1, np.int32)
+        self.row_of[numbers[self.begins]] = np.arange(len(self.begins))
+        self.sizes = np.diff(np.append(self.begins, len(numbers)))
+        self.n_runs = int(places.max()) // RUN + 1 if len(places) else 0
+        self.width = self.n_runs * RUN
+        row = np.repeat(np.arange(len(self.begins)), self.sizes)
+        self.key = row * self.width + places  # ascending
+        cell = row * self.n_runs + places // RUN
+        firsts = np.flatnonzero(np.append(True, np.diff(cell) != 0))[:len(cell)]
+        greatest = np.zeros(len(self.begins) * self.n_runs, np.float32)
+        if len(cell):
+            greatest[cell[firsts]] = np.nextafter(np.maximum.reduceat(weights, firsts).astype(np.float32), np.float32(np.inf))
+        self.greatest = greatest.reshape(len(self.begins), self.n_runs)
+        self.most = self.greatest.max(axis=1, initial=0.0)
+        # terms of many chunks are held as rows over all places: adding rows costs less than gathering entries
+        self.common = np.flatnonzero(self.sizes >= max(1, self.width // DENSE))
+        self.dense_of = np.full(len(self.begins), -1)
+        self.dense_of[self.common] = np.arange(len(self.common))
+        self.coarse = _unit(8 * max(float(self.most.max(initial=0.0)), 1e-9))
+        self.units: dict = {}
+        self.sums, self.some = np.zeros(self.width, np.uint16), np.zeros(self.width, np.uint8)
+
+    def best(self, own: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the chunks that reach ``least`` by the terms of these rows; some below the k-th best may be left out."""
+        bounds = self.greatest[own].sum(axis=0, dtype=np.float64)
+        runs = np.flatnonzero(bounds >= least)
+        if not len(runs):
+            return runs, np.zeros(0)
+        if len(runs) * FEW <= self.n_runs:
+            at = self._entries_of(own, runs)
+            first = int(runs[0]) * RUN
+            scores = np.bincount(self.places[at] - first, weights=self.weights[at])
+            found = np.flatnonzero((scores >= least) & (scores > 0))
+            return found + first, scores[found]
+        if least <= 0:  # fewer than k chunks are known to have a term
+            found = np.flatnonzero(self._add_up(own, self.coarse)[0])
+            scores = self._exact(own, found)
+            return found[scores > 0], scores[scores > 0]
+        unit = _unit(least)
+        least_sum = math.ceil(least / unit - 1e-6)
+        sums, late, slack = self._add_up(own, unit, int(LATE * least_sum))
+        likely = np.flatnonzero(sums >= least_sum - slack)  # slack is less than least_sum
+        near = sums[likely]
+        for row in late:
+            near += row[likely]
+        kept = near >= least_sum
+        likely, near = likely[kept], near[kept]
+        if len(likely) > 4 * k:  # the k that seem best raise the threshold
+            scores = self._exact(own, likely[_seem_best(near, k)])
+            likely = likely[near >= min(255, math.ceil((scores.min() - MARGIN) / unit - 1e-6))]  # 255 may stand for more
+        if not len(likely):
+            return likely, np.zeros(0)
+        scores = self._exact(own, likely)
+        kept = (scores >= least) & (scores > 0)
+        return likely[kept], scores[kept]
+
+    def threshold(self, own: np.ndarray, k: int) -> float:
+        """What k chunks reach, those that seem best; 0 if there are fewer."""
+        sums = self._add_up(own, self.coarse)[0]
+        return float(self._exact(own, _seem_best(sums, k)).min()) if len(sums) > k else 0.0
+
+    def _entries_of(self, own: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """The positions of these rows' entries in these runs."""
+        low = (own[:, None].astype(np.int64) * self.width + runs * RUN).ravel()
+        starts, ends = np.searchsorted(self.key, low), np.searchsorted(self.key, low + RUN)
+        sizes = ends - starts
+        return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+    def _exact(self, own: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+        """Scores of the chunks at these places in double."""
+        wanted = own[:, None].astype(np.int64) * self.width + chunks
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return np.where(self.key[at] == wanted, self.weights[at], 0.0).sum(axis=0)
+
+    def _in_units(self, unit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Weights in units, rounded up, and the common terms' rows of them in one byte."""
+        if unit not in self.units:
+            if len(self.units) > 1:
+                del self.units[next(iter(self.units))]
+            small = np.minimum(np.ceil(self.weights / unit), 255).astype(np.uint16)
+            rows = np.zeros((len(self.common), self.width), np.uint8)
+            for i, r in enumerate(self.common):
+                held = slice(self.begins[r], self.begins[r] + self.sizes[r])
+                rows[i, self.places[held]] = small[held]
+            self.units[unit] = small, rows
+        return self.units[unit]
+
+    def _add_up(self, own: np.ndarray, unit: float, late: int = 0) -> tuple[np.ndarray, list, int]:
+        """Every place's sum in units, without the rows returned, whose sum is the number returned (``late``) at most.
+
+        The sums are overwritten by the next call.
+        """
+        small, rows = self._in_units(unit)
+        dense = self.dense_of[own]
+        rare, own, dense = own[dense < 0], own[dense >= 0], dense[dense >= 0]
+        order = np.argsort(-self.sizes[own])
+        first, most = dense[order].tolist(), np.minimum(np.ceil(self.most[own[order]] / unit), 255).tolist()
+        left, slack = [], 0
+        while first and slack + most[0] <= late:
+            slack += int(most.pop(0))
+            left.append(rows[first.pop(0)])
+        sums, some = self.sums, self.some
+        if len(dense) + len(rare) > 257:  # times 255: more than two bytes
+            sums = np.zeros(self.width, np.uint32)
+        sums.fill(0)
+        while first:
+            top = 0
+            some.fill(0)
+            while first and top + most[0] <= 255:  # one byte holds so many rows
+                top += most.pop(0)
+                some += rows[first.pop(0)]
+            sums += some
+        if len(rare):
+            held = [slice(b, e) for b, e in zip(self.begins[rare].tolist(), (self.begins[rare] + self.sizes[rare]).tolist())]
+            np.add.at(sums, np.concatenate([self.places[h] for h in held]), np.concatenate([small[h] for h in held]).astype(sums.dtype, copy=False))
+        return sums, left, slack
+
+
+def _seem_best(sums: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest of more than k sums."""
+    return np.array([sums.argmax()]) if k == 1 else np.argpartition(sums, len(sums) - k)[len(sums) - k:]
+
+
+def _unit(score: float) -> float:
+    """A power of two of which the score is 100 to 200."""
+    return 2.0 ** math.ceil(math.log2(score / 200))
+
+
 class _Questions(NamedTuple):
     """A group of questions: their terms as numbers, each term's idf, and each question's threshold."""
     terms: list  # arrays of term numbers
@@ -333,132 +496,96 @@ class _Questions(NamedTuple):
 
     def best_of(self, numbers: np.ndarray, places: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
         """The same for a block's entries in the order of terms and places.  What is found raises the thresholds."""
-        here, begins = np.unique(numbers, return_index=True)
-        row_of = np.full(len(self.idf), -1)
-        row_of[here] = np.arange(len(here))
-        n_runs = int(places.max()) // RUN + 1 if len(places) else 0
-        cell = row_of[numbers] * n_runs + places // RUN  # entries lie in the order of their cells
-        starts = np.append(0, np.cumsum(np.bincount(cell, minlength=len(here) * n_runs)))
-        greatest = np.zeros(len(here) * n_runs)
-        if len(cell):
-            firsts = np.flatnonzero(np.append(True, np.diff(cell) != 0))
-            greatest[cell[firsts]] = np.maximum.reduceat(weights, firsts)
-        greatest = greatest.reshape(len(here), n_runs)
-        # terms of many chunks as rows over all places: adding rows costs less than gathering entries
-        ends = np.append(begins[1:], len(numbers))
-        width = n_runs * RUN
-        common = np.flatnonzero(ends - begins >= max(1, width // DENSE))
-        dense_of = np.full(len(here), -1)
-        dense_of[common] = np.arange(len(common))
-        dense = np.zeros((len(common), width), np.float32)
-        for i, r in enumerate(common):
-            dense[i, places[begins[r]:ends[r]]] = weights[begins[r]:ends[r]]
+        block = _Scores(numbers, places, weights, len(self.idf))
+        rows = [block.row_of[terms] for terms in self.terms]
+        for q in np.flatnonzero(self.thresholds <= 0).tolist():
+            own = rows[q][rows[q] >= 0]
+            if len(own):
+                self.thresholds[q] = block.threshold(own, self.k)
         out = []
-        for q, terms in enumerate(self.terms):
-            own = row_of[terms]
-            own = own[own >= 0]
+        for q in np.argsort(self.thresholds, kind="stable").tolist():  # so that few units are in use at a time
+            own = rows[q][rows[q] >= 0]
             if not len(own):
                 continue
-            least = self.thresholds[q] - MARGIN
-            bounds = greatest[own].sum(axis=0)
-            runs = np.flatnonzero(bounds >= least)
-            if not len(runs):
-                continue
-            if len(runs) * FEW > n_runs:
-                # single precision first, and what comes close enough to the threshold again in double
-                rounded = MARGIN + float(bounds.max()) * (len(own) + 1) * 2.0 ** -23
-                about = np.zeros(width, np.float32)
-                for r in own:
-                    if dense_of[r] >= 0:
-                        about += dense[dense_of[r]]
-                    else:
-                        about[places[begins[r]:ends[r]]] += weights[begins[r]:ends[r]]
-                likely = np.flatnonzero(about >= least - rounded)
-                if len(likely) > self.k:
-                    kth = np.partition(about[likely], len(likely) - self.k)[len(likely) - self.k]
-                    likely = likely[about[likely] >= kth - 2 * rounded]
-                runs = np.unique(likely // RUN)
-                if not len(runs):
-                    continue
-            cells = (own[:, None] * n_runs + runs).ravel()
-            sizes = starts[cells + 1] - starts[cells]
-            at = np.repeat(starts[cells] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            first = int(runs[0]) * RUN
-            scores = np.bincount(places[at] - first, weights=weights[at])
-            found = np.flatnonzero((scores >= least) & (scores > 0))
+            found, scores = block.best(own, self.thresholds[q] - MARGIN, self.k)
             if len(found) >= self.k:
-                kth = np.partition(scores[found], len(found) - self.k)[len(found) - self.k]
-                found = found[scores[found] >= kth - MARGIN]
+                kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                found, scores = found[scores >= kth - MARGIN], scores[scores >= kth - MARGIN]
                 self.thresholds[q] = max(self.thresholds[q], kth)
-            out.append((np.full(len(found), q), found + first, scores[found]))
+            if len(found):
+                out.append((np.full(len(found), q), found, scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pd.DataFrame(dict(zip(("question", "place", "score"), columns)))
 
     def in_blocks(self, batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
-        """``best_of`` of every block row."""
+        """``best_of`` of every block row, without what later blocks have passed."""
         mine = self._replace(thresholds=self.thresholds.copy())
+        held: list = []
+
+        def kept() -> pa.RecordBatch:
+            hits = pd.concat(held)
+            held.clear()
+            hits = hits[hits["score"].to_numpy() >= mine.thresholds[hits["question"].to_numpy()] - MARGIN]
+            return pa.RecordBatch.from_pandas(hits, schema=_HITS, preserve_index=False)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 terms, ns = (batch.column(c)[i].values for c in ("terms", "ns"))
-                number = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy()
+                number = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy()  # ascending, as both are sorted
                 sizes = ns.to_numpy()
                 wanted = np.flatnonzero(number >= 0)
                 if not len(wanted):
                     continue
-                begins = np.cumsum(sizes) - sizes
-                take = np.repeat(begins[wanted] - np.cumsum(sizes[wanted]) + sizes[wanted], sizes[wanted]) + np.arange(sizes[wanted].sum())
-                entries = np.frombuffer(batch.column("entries")[i].as_buffer(), dtype=_ENTRY)[take]
+                entries = np.frombuffer(batch.column("entries")[i].as_buffer(), dtype=_ENTRY)
+                if len(wanted) < len(number):
+                    entries = entries[np.repeat(number >= 0, sizes)]
                 numbers, places, tf = np.repeat(number[wanted], sizes[wanted]), entries["place"].astype(np.int64), entries["tf"].astype(np.float64)
-                order = np.lexsort((places, numbers))
-                numbers, places, tf, dl = numbers[order], places[order], tf[order], entries["dl"][order]
-                hits = mine.best_of(numbers, places, self.idf[numbers] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl)))
+                hits = mine.best_of(numbers, places, self.idf[numbers] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * entries["dl"] / self.avgdl)))
                 if len(hits):
                     hits.insert(1, "segment", batch.column("segment")[i].as_py())
                     hits.insert(2, "block", batch.column("block")[i].as_py())
-                    yield pa.RecordBatch.from_pandas(hits, schema=_HITS, preserve_index=False)
+                    held.append(hits)
+                if sum(map(len, held)) > HELD_HITS:
+                    yield kept()
+        if held:
+            yield kept()
 
 
 _HITS = pa.schema([("question", pa.int32()), ("segment", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("score", pa.float64())])
 _HITS_DDL = "question int, segment int, block bigint, place int, score double"
 
 
-def _groups(asked: DataFrame, n: int) -> Iterator[tuple[list, list]]:
-    """(ids, term arrays) of the questions (id, terms), in ``n`` groups."""
-    for g in range(n):
-        held: dict = {}  # rows that share an id are one question
-        for row in asked.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == g).collect():
-            held.setdefault(row["id"], set()).update(row["terms"])
-        if held:
-            yield list(held), [sorted(t) for t in held.values()]
-
-
 def search(questions: DataFrame, index: Snapshot, k: int = 3, qid: str = "item_id", text_col: str = "text") -> DataFrame:
     """Top-``k`` chunks per question by BM25: (qid, rank, doc_id, chunk_no, score), exact.
 
     Scores are rounded to six decimals, ties ordered by document and chunk.  Questions
-    without a token, or whose tokens no chunk holds, have no row.
+    without a token, or whose tokens no chunk holds, have no row.  Rows that share an id are one question.
     """
     spark = questions.sparkSession
     named = ST.StructType([ST.StructField("question", ST.IntegerType()), ST.StructField(qid, questions.schema[qid].dataType)])
-    asked = questions.select(F.col(qid).alias("id"), F.array_distinct(T.tokens(text_col)).alias("terms")).filter(F.size("terms") > 0)
+    words = questions.select(F.col(qid).alias("id"), F.explode(T.tokens(text_col)).alias("term")).distinct()
+    asked = written(words.groupBy("id").agg(F.collect_list("term").alias("terms")), "search_questions")
     pairs = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    n = max(1, -(-pairs // GROUP_PAIRS))
-    found = blocks = None
-    for ids, terms in _groups(asked, n):
-        if blocks is None:
-            if n == 1:
-                rows = question_postings(index, sorted({t for row in terms for t in row}))
-            else:  # every group's terms at once
-                rows = index.postings.join(written(asked.select(F.explode("terms").alias("term")).distinct(), "search_terms"), "term", "left_semi")
-            blocks = _write_blocks(block_rows(rows, index.gone))
-            sample = _write_blocks(blocks.filter(F.pmod(F.xxhash64("segment", "block"), F.lit(SAMPLE)) == 0))
-        hits = _search_group(spark, terms, blocks, sample, index, k)
-        names = spark.createDataFrame(list(enumerate(ids)), named)
-        part = written(hits.join(F.broadcast(names), "question").drop("question"), "search_hits")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not pairs:
         none = index.chunks.limit(0).select("doc_id", "chunk_no", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
         return none.join(spark.createDataFrame([], named), F.lit(True)).select(qid, "rank", "doc_id", "chunk_no", "score")
+    terms = written(asked.select(F.explode("terms").alias("term")).distinct(), "search_terms")
+    few = [r["term"] for r in terms.limit(LITERAL_TERMS + 1).collect()]
+    rows = question_postings(index, sorted(few)) if len(few) <= LITERAL_TERMS else index.postings.join(terms, "term", "left_semi")
+    blocks = _write_blocks(block_rows(rows, index.gone))  # every group's terms at once
+    sample = _write_blocks(blocks.filter(F.pmod(F.xxhash64("segment", "block"), F.lit(SAMPLE)) == 0))
+    counted = blocks.select(F.explode(F.arrays_zip("terms", "ns")).alias("l")).groupBy(F.col("l.terms").alias("term"))
+    dfs = written(counted.agg(F.sum("l.ns").alias("df")), "search_dfs")
+    found = None
+    n = -(-pairs // GROUP_PAIRS)
+    for g in range(n):
+        group = asked.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == g).toArrow()
+        if not group.num_rows:
+            continue
+        hits = _search_group(spark, group.column("terms").combine_chunks(), dfs, blocks, sample, index, k)
+        names = spark.createDataFrame(pa.table({"question": pa.array(np.arange(group.num_rows), pa.int32()), qid: group.column("id")}), named)
+        part = written(hits.join(F.broadcast(names), "question").drop("question"), "search_hits")
+        found = part if found is None else found.unionByName(part)
     # the hits of all groups meet the chunks once
     placed = found.join(index.chunks.select("segment", "block", "place", "doc_id", "chunk_no"), ["segment", "block", "place"])
     best = top_k(placed.withColumn("score", F.round("score", 6)), [qid], [F.col("score").desc(), "doc_id", "chunk_no"], k)
@@ -466,9 +593,11 @@ def search(questions: DataFrame, index: Snapshot, k: int = 3, qid: str = "item_i
 
 
 def _write_blocks(rows: DataFrame) -> DataFrame:
-    """Block rows, written; the writer looks at its memory after every few of them, since a row may have megabytes."""
+    """Block rows, written; the writer looks at its memory after every few of them, since a row may have megabytes,
+    and begins a row group every few, so that tasks share a file."""
     path = fresh_path(rows.sparkSession, "search_blocks")
-    rows.write.option("parquet.page.size.row.check.min", 2).option("compression", "zstd").parquet(path)
+    (rows.write.option("parquet.page.size.row.check.min", 2).option("parquet.block.size.row.check.min", 1).option("parquet.block.size", ROW_GROUP)
+         .option("compression", "zstd").parquet(path))
     return rows.sparkSession.read.schema(_BLOCKS_DDL).parquet(path)
 
 
@@ -482,30 +611,32 @@ def question_postings(index: Snapshot, vocabulary: list[str]) -> DataFrame:
     return rows.join(F.broadcast(numbered), "term")  # GROUP_PAIRS rows at most, one question's terms besides
 
 
-def _search_group(spark: SparkSession, terms: list, blocks: DataFrame, sample: DataFrame, index: Snapshot, k: int) -> DataFrame:
-    """(question, segment, block, place, score) of what may be among a question's k best."""
-    vocabulary = sorted({t for row in terms for t in row})
-    number = {t: i for i, t in enumerate(vocabulary)}
+def _search_group(spark: SparkSession, terms: pa.ListArray, dfs: DataFrame, blocks: DataFrame, sample: DataFrame, index: Snapshot, k: int) -> DataFrame:
+    """(question, segment, block, place, score) of what may be among a question's k best; a question is a list of terms."""
+    coded = terms.flatten().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    vocabulary = coded.dictionary.take(order)
+    rank = np.empty(len(vocabulary), np.int32)
+    rank[order.to_numpy()] = np.arange(len(vocabulary))
+    ends, flat = terms.offsets.to_numpy() - terms.offsets[0].as_py(), rank[coded.indices.to_numpy(zero_copy_only=False)]
+    here = spark.createDataFrame(pa.table({"term": vocabulary}), "term string")
+    held = dfs.join(F.broadcast(here), "term").toArrow()  # a row a term
     df = np.zeros(len(vocabulary))
-    here = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string"))
-    counted = blocks.select(F.explode(F.arrays_zip("terms", "ns")).alias("l")).select(F.col("l.terms").alias("term"), "l.ns")
-    for r in counted.join(here, "term").groupBy("term").agg(F.sum("ns").alias("df")).collect():  # a row a term
-        df[number[r["term"]]] = r["df"]
+    df[pc.index_in(held.column("term"), value_set=vocabulary).to_numpy()] = held.column("df").to_numpy()
     idf = np.where(df > 0, np.log(1.0 + (index.n_docs - df + 0.5) / (df + 0.5)), 0.0)
-    group = _Questions([np.array([number[t] for t in row]) for row in terms], idf, index.avgdl or 1.0, k, np.zeros(len(terms)))
 
     def scored(rows: DataFrame, thresholds: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((group._replace(thresholds=thresholds), vocabulary))
+        shared = spark.sparkContext.broadcast((flat, ends, idf, index.avgdl or 1.0, k, thresholds, vocabulary))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            questions, words = shared.value
-            yield from questions.in_blocks(batches, pa.array(words, pa.string()))
+            flat, ends, idf, avgdl, k, thresholds, vocabulary = shared.value
+            yield from _Questions(np.split(flat, ends[1:-1]), idf, avgdl, k, thresholds).in_blocks(batches, vocabulary)
 
         return rows.select("segment", "block", "terms", "ns", "entries").mapInArrow(score, _HITS_DDL)
 
-    best = (top_k(scored(sample, np.zeros(len(terms))), ["question"], [F.col("score").desc()], k)
-            .groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")))
     thresholds = np.zeros(len(terms))
-    for r in best.filter(F.col("n") >= k).collect():  # a row a question
-        thresholds[r["question"]] = r["least"]
+    best = (top_k(scored(sample, thresholds), ["question"], [F.col("score").desc()], k)
+            .groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))).filter(F.col("n") >= k).toArrow()  # a row a question
+    thresholds = np.zeros(len(terms))
+    thresholds[best.column("question").to_numpy()] = best.column("least").to_numpy()
     return scored(blocks, thresholds)
